@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions import vectors as vx
+from ..operators.evaluate import class_report, confusion_long, confusion_wide, evaluate
+from ..operators.extract import dictionary_join, extract_terms, term_counts
 from ..operators.labels import label_dimension, with_label_id, with_label_name
 from ..operators.split import seeded_rank, split_exact
 from ..operators.stats import corpus_stats, label_counts
@@ -53,6 +56,18 @@ def sql_words(e: str) -> str:
     return f"(CASE WHEN length({e}) = 0 THEN 0 ELSE len(string_split({e}, ' ')) END)"
 
 
+def sql_norm(e: str) -> str:
+    return f"regexp_replace(regexp_replace({e}, '{tx.MARK}', '.', 'g'), '{tx.NON_ASCII_WORD}', '_', 'g')"
+
+
+def sql_title(e: str) -> str:
+    return f"array_to_string(list_transform(string_split({e}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+
+
+def sql_r6(e: str) -> str:
+    return f"round({e}, 6)"
+
+
 def sql_key(e: str, seed: int = SEED) -> str:
     return f"md5('{seed}:' || CAST({e} AS VARCHAR))"
 
@@ -181,3 +196,210 @@ def q_label_counts_ranked(spark, sf_dir):
     e = s.select("scope", F.posexplode(F.map_entries("label_counts")).alias("p", "e"))
     return e.select("scope", F.col("e.key").alias("label"), F.col("e.value").alias("n"),
                     (F.col("p") + 1).cast("int").alias("rank_in_scope"))
+
+
+# ---------------------------------------------------------------- extraction (EXT1-2, JN4, SET2, FN5-8, AGG20, SRT6)
+# The driver's documents never contain "cancer", so these queries pass their own terms and head noun.
+QUERY_TERMS = ["in the", "of the", "tion"]
+QUERY_HEAD = "the"
+SQL_QUERY_TERMS = "(VALUES " + ", ".join(f"('{t}')" for t in QUERY_TERMS) + ") v(term)"
+SQL_HITS = f"""
+(SELECT DISTINCT doc_id, {sql_title('m')} AS name FROM (
+   SELECT doc_id, term AS m FROM documents, {SQL_QUERY_TERMS} WHERE contains(lower(text), term)
+   UNION ALL
+   SELECT doc_id, unnest(regexp_extract_all({sql_norm('lower(text)')}, '\\b([A-Za-z]+ {QUERY_HEAD})\\b', 1)) AS m
+   FROM documents))"""
+
+
+def docs_extracted(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", extract_terms("text", QUERY_TERMS, QUERY_HEAD).alias("extracted"))
+
+
+@register("dict_match", f"SELECT doc_id, term FROM documents, {SQL_QUERY_TERMS} WHERE contains(lower(text), term)")
+def q_dict_match(spark, sf_dir):
+    from ..operators.extract import dictionary_hits
+
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.explode(dictionary_hits("text", QUERY_TERMS, title=False)).alias("term"))
+
+
+# a table-sized dictionary derived from the data: long words of the benchmark passages
+SQL_BENCH_TERMS = "(SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{9,}', 0)) AS term FROM benchmark)"
+
+
+def bench_terms(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), 0)).alias("term")).distinct()
+
+
+@register("dict_match_join", f"""
+SELECT d.doc_id, t.term FROM documents d JOIN {SQL_BENCH_TERMS} t ON contains(lower(d.text), t.term)""")
+def q_dict_match_join(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dictionary_join(d, bench_terms(spark, sf_dir)).select("doc_id", "term")
+
+
+@register("dict_match_words", f"""
+SELECT DISTINCT d.doc_id, t.term FROM
+  (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '{tx.WS}+', ' ', 'g')), ' ')) AS w FROM documents) d
+  JOIN {SQL_BENCH_TERMS} t ON d.w = t.term""")
+def q_dict_match_words(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dictionary_join(d, bench_terms(spark, sf_dir), mode="words").select("doc_id", "term")
+
+
+@register("term_extract", f"SELECT doc_id, name FROM {SQL_HITS}")
+def q_term_extract(spark, sf_dir):
+    return docs_extracted(spark, sf_dir).select("doc_id", F.explode("extracted").alias("name"))
+
+
+@register("term_extract_sorted", f"""
+SELECT doc_id, string_agg(name, '|' ORDER BY name) AS names, CAST(count(*) AS INTEGER) AS n_names
+FROM {SQL_HITS} GROUP BY doc_id""")
+def q_term_extract_sorted(spark, sf_dir):
+    e = docs_extracted(spark, sf_dir).where(F.size("extracted") > 0)
+    return e.select("doc_id", F.array_join("extracted", "|").alias("names"), F.size("extracted").alias("n_names"))
+
+
+@register("term_counts", f"SELECT name, count(*) AS n_docs FROM {SQL_HITS} GROUP BY name")
+def q_term_counts(spark, sf_dir):
+    return term_counts(docs_extracted(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- vectors (FN11-12, LIM2)
+SQL_SOFTMAX = """
+(SELECT vec_id, k, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM
+ (SELECT vec_id, k, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM
+  (SELECT vec_id, CAST(generate_subscripts(embedding[1:4], 1) - 1 AS INTEGER) AS k,
+          CAST(unnest(embedding[1:4]) AS DOUBLE) AS z FROM embeddings)))"""
+
+
+def _emb_probs(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", vx.softmax(F.slice("embedding", 1, 4)).alias("p"))
+
+
+@register("softmax_argmax", f"""
+SELECT vec_id, CAST(arg_max(k, p) AS INTEGER) AS pred_id, round(max(p), 6) AS p_max, round(sum(p), 6) AS p_sum
+FROM {SQL_SOFTMAX} GROUP BY vec_id""")
+def q_softmax_argmax(spark, sf_dir):
+    p = _emb_probs(spark, sf_dir)
+    return p.select("vec_id", vx.argmax("p").alias("pred_id"), F.round(F.array_max("p"), 6).alias("p_max"),
+                    F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 6).alias("p_sum"))
+
+
+@register("confidence_map", f"SELECT vec_id, 'c' || CAST(k AS VARCHAR) AS class, round(p, 6) AS prob FROM {SQL_SOFTMAX}")
+def q_confidence_map(spark, sf_dir):
+    p = _emb_probs(spark, sf_dir)
+    m = p.select("vec_id", vx.confidence_map([f"c{i}" for i in range(4)], "p").alias("m"))
+    return m.select("vec_id", F.explode("m").alias("class", "prob")).withColumn("prob", F.round("prob", 6))
+
+
+# ---------------------------------------------------------------- evaluation (AGG9-16, JN3, FN18, SRT5, WIN3)
+RULE_K = 2000
+SQL_RULE = f"""
+(SELECT l.doc_id, l.quality AS label_id, CAST(d.n_chars > {{k}} AS INTEGER) AS pred_id
+ FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
+
+
+def rule_predictions(spark, sf_dir, k: int = RULE_K) -> DataFrame:
+    """A fixed rule scorer (long documents are predicted ``quality = 1``), joined to the truth by key."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label_id"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return lab.join(d, "doc_id").select("doc_id", "label_id", (F.col("n_chars") > k).cast("int").alias("pred_id"))
+
+
+def _metric_cols(m: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    cols = [F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")]
+    return m.select(*(extra or []), *cols, "tn", "fp", "fn", "tp", "support")
+
+
+def sql_metrics(src: str, group: str = "", pos: int = 1) -> str:
+    g = f"{group}, " if group else ""
+    tp = f"count(*) FILTER (WHERE label_id = {pos} AND pred_id = {pos})"
+    fp = f"count(*) FILTER (WHERE label_id <> {pos} AND pred_id = {pos})"
+    fn = f"count(*) FILTER (WHERE label_id = {pos} AND pred_id <> {pos})"
+
+    def ratio(a, b):
+        return f"round(CASE WHEN ({b}) = 0 THEN 0.0 ELSE ({a})::DOUBLE / ({b}) END, 6)"
+
+    return f"""SELECT {g}{ratio('count(*) FILTER (WHERE label_id = pred_id)', 'count(*)')} AS accuracy,
+       {ratio(tp, f'{tp} + {fp}')} AS precision, {ratio(tp, f'{tp} + {fn}')} AS recall,
+       {ratio(f'2 * {tp}', f'2 * {tp} + {fp} + {fn}')} AS f1,
+       count(*) FILTER (WHERE label_id = 0 AND pred_id = 0) AS tn, {fp} AS fp, {fn} AS fn, {tp} AS tp,
+       count(*) AS support FROM {src} {'GROUP BY ' + group if group else ''}"""
+
+
+@register("rule_metrics", sql_metrics(SQL_RULE.format(k=RULE_K)))
+def q_rule_metrics(spark, sf_dir):
+    return _metric_cols(evaluate(rule_predictions(spark, sf_dir), classes=[0, 1]))
+
+
+SQL_CONF_LONG = f"""
+SELECT t.c AS true_id, p.c AS pred_id, count(r.doc_id) AS n
+FROM (VALUES (0), (1)) t(c) JOIN (VALUES (0), (1)) p(c) ON true
+LEFT JOIN {SQL_RULE.format(k=RULE_K)} r ON r.label_id = t.c AND r.pred_id = p.c
+GROUP BY t.c, p.c"""
+
+
+@register("confusion_long", SQL_CONF_LONG)
+def q_confusion_long(spark, sf_dir):
+    return confusion_long(rule_predictions(spark, sf_dir))
+
+
+@register("confusion_wide", f"""
+SELECT true_id, sum(n) FILTER (WHERE pred_id = 0)::BIGINT AS pred_0, sum(n) FILTER (WHERE pred_id = 1)::BIGINT AS pred_1
+FROM ({SQL_CONF_LONG}) GROUP BY true_id""")
+def q_confusion_wide(spark, sf_dir):
+    long = confusion_long(rule_predictions(spark, sf_dir))
+    return confusion_wide(long, [0, 1])
+
+
+@register("class_report", f"""
+WITH c AS ({SQL_CONF_LONG}),
+per AS (SELECT r.cls, r.support, r.tp, p.pred FROM
+          (SELECT true_id AS cls, sum(n) AS support, sum(n) FILTER (WHERE true_id = pred_id) AS tp FROM c GROUP BY true_id) r
+          JOIN (SELECT pred_id AS cls, sum(n) AS pred FROM c GROUP BY pred_id) p ON p.cls = r.cls),
+m AS (SELECT cls, CASE WHEN pred = 0 THEN 0.0 ELSE tp / pred END AS precision,
+             CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+             CASE WHEN pred + support = 0 THEN 0.0 ELSE 2 * tp / (pred + support) END AS f1, support, tp FROM per)
+SELECT CAST(cls AS VARCHAR) AS class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       support::BIGINT AS support FROM m
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), sum(support)::BIGINT FROM m
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::BIGINT FROM m
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+                 round(sum(f1 * support) / sum(support), 6), sum(support)::BIGINT FROM m""")
+def q_class_report(spark, sf_dir):
+    r = class_report(confusion_long(rule_predictions(spark, sf_dir)))
+    return r.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+CANDIDATE_K = [500, 1000, 2000, 4000, 8000]
+SQL_CANDIDATES = " UNION ALL ".join(
+    f"SELECT {k} AS k, * FROM {SQL_RULE.format(k=k)}" for k in CANDIDATE_K)
+
+
+@register("candidate_metrics", sql_metrics(f"({SQL_CANDIDATES})", group="k"))
+def q_candidate_metrics(spark, sf_dir):
+    return _metric_cols(_candidates_eval(spark, sf_dir), ["k"])
+
+
+def _candidates_eval(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label_id"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    ks = F.explode(F.array(*[F.lit(k) for k in CANDIDATE_K])).alias("k")
+    preds = lab.join(d, "doc_id").select("doc_id", "label_id", "n_chars", ks)
+    preds = preds.withColumn("pred_id", (F.col("n_chars") > F.col("k")).cast("int"))
+    return evaluate(preds, group_cols=["k"], classes=[0, 1])
+
+
+@register("best_candidate", f"""
+SELECT k, f1, accuracy FROM (
+  SELECT k, f1, accuracy, row_number() OVER (ORDER BY f1 DESC, k) AS rn
+  FROM ({sql_metrics(f"({SQL_CANDIDATES})", group="k")})) WHERE rn = 1""")
+def q_best_candidate(spark, sf_dir):
+    from ..operators.select import best_by
+
+    m = _metric_cols(_candidates_eval(spark, sf_dir), ["k"])
+    return best_by(m, "f1", tie_cols=["k"]).select("k", "f1", "accuracy")
