@@ -86,3 +86,13 @@ def ascii_word_border(c: Column | str) -> Column:
 def title_words(c: Column | str) -> Column:
     """Title case of ``[a-z ]`` phrases (first letter of each word upper-cased)."""
     return F.initcap(_col(c))
+
+
+def word_tokens(c: Column | str, clean: bool = False) -> Column:
+    """Lower-case word tokens.
+
+    ``clean=False`` expects text that is already cleaned (split on the single space);
+    ``clean=True`` applies the cleaning rule first (for raw text).
+    """
+    t = F.lower(clean_text(c) if clean else _col(c))
+    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, " "))

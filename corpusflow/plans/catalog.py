@@ -25,7 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 SEED = 42
-FLAGSHIP = "corpus_stats"
+FLAGSHIP = "enriched_predictions"
 TRAIN, VAL = 0.8, 0.1
 
 
@@ -315,14 +315,15 @@ def _metric_cols(m: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return m.select(*(extra or []), *cols, "tn", "fp", "fn", "tp", "support")
 
 
-def sql_metrics(src: str, group: str = "", pos: int = 1) -> str:
+def sql_metrics(src: str, group: str = "", pos: int = 1, rounded: bool = True) -> str:
     g = f"{group}, " if group else ""
     tp = f"count(*) FILTER (WHERE label_id = {pos} AND pred_id = {pos})"
     fp = f"count(*) FILTER (WHERE label_id <> {pos} AND pred_id = {pos})"
     fn = f"count(*) FILTER (WHERE label_id = {pos} AND pred_id <> {pos})"
 
     def ratio(a, b):
-        return f"round(CASE WHEN ({b}) = 0 THEN 0.0 ELSE ({a})::DOUBLE / ({b}) END, 6)"
+        r = f"CASE WHEN ({b}) = 0 THEN 0.0 ELSE ({a})::DOUBLE / ({b}) END"
+        return f"round({r}, 6)" if rounded else r
 
     return f"""SELECT {g}{ratio('count(*) FILTER (WHERE label_id = pred_id)', 'count(*)')} AS accuracy,
        {ratio(tp, f'{tp} + {fp}')} AS precision, {ratio(tp, f'{tp} + {fn}')} AS recall,
@@ -403,3 +404,6 @@ def q_best_candidate(spark, sf_dir):
 
     m = _metric_cols(_candidates_eval(spark, sf_dir), ["k"])
     return best_by(m, "f1", tie_cols=["k"]).select("k", "f1", "accuracy")
+
+
+from . import catalog_models  # noqa: E402,F401  (registers the model and scoring queries)
