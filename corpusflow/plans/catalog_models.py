@@ -17,7 +17,7 @@ from ..operators.evaluate import class_report, confusion_long, evaluate
 from ..operators.extract import extract_terms
 from ..operators.labels import label_dimension, label_list, with_label_id
 from ..operators.split import split_exact
-from .catalog import (QUERY_HEAD, QUERY_TERMS, SEED, SQL_QUERY_TERMS, SQL_RULE, TRAIN, VAL, register, sql_clean,
+from .catalog import (QUERY_HEAD, QUERY_TERMS, SEED, SQL, SQL_QUERY_TERMS, SQL_RULE, TRAIN, VAL, register, sql_clean,
                       sql_metrics, sql_norm, sql_split, sql_title, table)
 from .prepare import clean_rows
 from .score import NaiveBayesScorer, score_table
@@ -343,3 +343,46 @@ def q_select_best(spark, sf_dir):
     return sel.table.select("candidate", regs.alias("reg_param"), F.round("f1", 6).alias("f1"),
                             F.round("accuracy", 6).alias("accuracy"),
                             (F.col("candidate") == F.lit(grid.index(sel.best_params))).alias("chosen"))
+
+
+# ---------------------------------------------------------------- streams (STR1-2)
+def _stream_scratch(spark):
+    from ..session import scratch_path
+
+    return scratch_path(spark, "stream")
+
+
+@register("stream_score", SQL["enriched_predictions"])
+def q_stream_score(spark, sf_dir):
+    """``documents`` as a file stream: labelled rows with non-empty cleaned text, scored per micro-batch."""
+    from ..functions.text import clean_text
+    from ..streaming.score_stream import stream_score
+
+    _, model = _nb(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select("doc_id")
+    base = _stream_scratch(spark)
+    schema = table(spark, sf_dir, "documents").schema
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        rows = batch.join(lab, "doc_id").where(F.length(clean_text("text")) > 0)
+        return rows.select(F.col("doc_id").cast("string").alias("abstract_id"), "text")
+
+    q = stream_score(spark, sf_dir, NaiveBayesScorer(model, clean=True), sink=f"{base}/out",
+                     checkpoint=f"{base}/ckpt", schema=schema, prepare=prepare, path_glob="documents.parquet",
+                     extractor=lambda c: extract_terms(c, QUERY_TERMS, QUERY_HEAD))
+    q.awaitTermination()
+    return flatten_predictions(spark.read.parquet(f"{base}/out").drop("batch"), ["0", "1"])
+
+
+@register("stream_csv")
+def q_stream_csv(spark, sf_dir):
+    """CSV copies of ``documents`` (no id column) streamed in; ids default to ``id_<row in file>``."""
+    from ..streaming.score_stream import stream_score_csv
+
+    _, model = _nb(spark, sf_dir)
+    base = _stream_scratch(spark)
+    docs = table(spark, sf_dir, "documents").select("text")
+    docs.repartition(4).write.option("header", "true").option("escape", '"').csv(f"{base}/in")
+    q = stream_score_csv(spark, f"{base}/in", NaiveBayesScorer(model, clean=True), f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    return spark.read.json(f"{base}/out").drop("batch")
