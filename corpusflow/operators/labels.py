@@ -63,3 +63,20 @@ def label_map_row(dim: DataFrame) -> DataFrame:
 def invert_label_map(label2id: Column) -> Column:
     """``map<string,int>`` -> ``map<int,string>``."""
     return F.map_from_entries(F.transform(F.map_entries(label2id), lambda e: F.struct(e["value"], e["key"])))
+
+
+def with_default_ids(df: DataFrame, id_col: str = "abstract_id", source: str = "parquet") -> DataFrame:
+    """Fill a missing id column with ``id_<row index in the input file>``.
+
+    ``source="parquet"`` uses the scan's ``_metadata.row_index`` (exact, no shuffle, any split of the
+    file); other file sources use the per-file ordinal of ``sources.corpus.file_ordinal``.
+    """
+    if id_col in df.columns:
+        return df
+    if source == "parquet":
+        idx = F.col("_metadata.row_index")
+        return df.withColumn(id_col, F.concat(F.lit("id_"), idx.cast("string")))
+    from ..sources.corpus import file_ordinal
+
+    return file_ordinal(df).withColumn(id_col, F.concat(F.lit("id_"), F.col("_cf_ordinal").cast("string"))).drop(
+        "_cf_ordinal")

@@ -406,4 +406,52 @@ def q_best_candidate(spark, sf_dir):
     return best_by(m, "f1", tie_cols=["k"]).select("k", "f1", "accuracy")
 
 
+
+# ---------------------------------------------------------------- default ids, preview, union (PRJ4, WIN2, LIM1, SET1)
+@register("default_ids", """
+SELECT 'id_' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS abstract_id, n_chars FROM documents""")
+def q_default_ids(spark, sf_dir):
+    from ..operators.labels import with_default_ids
+
+    d = table(spark, sf_dir, "documents").select("text", "n_chars")  # as if the id column were absent
+    return with_default_ids(d).select("abstract_id", "n_chars")
+
+
+@register("preview3", f"""
+SELECT doc_id, coalesce(string_agg(h.name, '|' ORDER BY h.name), '') AS names
+FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 3) d LEFT JOIN {SQL_HITS} h USING (doc_id) GROUP BY doc_id""")
+def q_preview3(spark, sf_dir):
+    e = docs_extracted(spark, sf_dir)
+    return e.orderBy("doc_id").limit(3).select("doc_id", F.array_join("extracted", "|").alias("names"))
+
+
+@register("union_sources", f"""
+SELECT source, id, {sql_words(sql_clean('text'))} AS n_words FROM (
+  SELECT 'documents' AS source, CAST(doc_id AS VARCHAR) AS id, text FROM documents
+  UNION ALL
+  SELECT 'conversations', CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), text FROM conversations)""")
+def q_union_sources(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(
+        F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("id"), "text")
+    c = table(spark, sf_dir, "conversations").select(
+        F.lit("conversations").alias("source"),
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
+    u = d.unionByName(c)
+    return u.select("source", "id", tx.word_count(tx.clean_text("text")).alias("n_words"))
+
+
+@register("union_stats", f"""
+SELECT source, count(*) AS num_samples, round(avg(length(t)), 6) AS avg_len_chars,
+       CAST(max({sql_words('t')}) AS INTEGER) AS max_len_words FROM (
+  SELECT 'documents' AS source, {sql_clean('text')} AS t FROM documents
+  UNION ALL SELECT 'conversations', {sql_clean('text')} FROM conversations) WHERE length(t) > 0 GROUP BY source""")
+def q_union_stats(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), "text")
+    c = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("source"), "text")
+    u = clean_rows(d.unionByName(c))
+    return u.groupBy("source").agg(
+        F.count(F.lit(1)).alias("num_samples"), F.round(F.avg(F.length("text")), 6).alias("avg_len_chars"),
+        F.max(tx.word_count("text")).cast("int").alias("max_len_words"))
+
+
 from . import catalog_models  # noqa: E402,F401  (registers the model and scoring queries)
