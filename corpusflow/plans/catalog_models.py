@@ -383,6 +383,7 @@ def q_stream_csv(spark, sf_dir):
     base = _stream_scratch(spark)
     docs = table(spark, sf_dir, "documents").select("text")
     docs.repartition(4).write.option("header", "true").option("escape", '"').csv(f"{base}/in")
-    q = stream_score_csv(spark, f"{base}/in", NaiveBayesScorer(model, clean=True), f"{base}/out", f"{base}/ckpt")
+    q = stream_score_csv(spark, f"{base}/in", NaiveBayesScorer(model, clean=True), f"{base}/out", f"{base}/ckpt",
+                         extractor=lambda c: extract_terms(c, QUERY_TERMS, QUERY_HEAD))
     q.awaitTermination()
     return spark.read.json(f"{base}/out").drop("batch")

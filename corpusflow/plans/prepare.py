@@ -31,5 +31,6 @@ def prepare(df: DataFrame, id_col: str = "abstract_id", text_col: str = "text",
     """Return ``(prepared, label_dim)``: rows with cleaned text, ``label_id`` and ``split``."""
     rows = clean_rows(df, text_col)
     dim = label_dimension(rows, label_col) if label_dim is None else label_dim
-    rows = with_label_id(rows, label_col, dim)
+    cols = df.columns
+    rows = with_label_id(rows, label_col, dim).select(*cols, "label_id")
     return split_exact(rows, id_col, train_ratio, val_ratio, seed), dim

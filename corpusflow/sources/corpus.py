@@ -30,8 +30,8 @@ def read_class_folders(spark: SparkSession, root: str, required: list[str] | Non
     which also removes genuine U+FFFD characters). Unreadable files are skipped.
     """
     reader = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
-              .option("ignoreCorruptFiles", "true").option("wholetext", "true"))
-    raw = reader.text(root)
+              .option("ignoreCorruptFiles", "true"))
+    raw = reader.text(root, wholetext=True)
     path = _decoded_path()
     parts = F.split(path, "/")
     root_name = root.rstrip("/").rsplit("/", 1)[-1]
@@ -118,7 +118,7 @@ def read_metrics(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     want = spark.createDataFrame([(m,) for m in paths], "model string")
     rec = None
     for m, p in present.items():  # one small file per model
-        r = spark.read.option("wholetext", "true").text(p).select(F.lit(m).alias("model"), F.col("value").alias("json"))
+        r = spark.read.text(p, wholetext=True).select(F.lit(m).alias("model"), F.col("value").alias("json"))
         rec = r if rec is None else rec.unionByName(r)
     if rec is None:
         return core_table(want.withColumn("json", F.lit(None).cast("string")), keep=["model"])

@@ -10,7 +10,15 @@ from .corpus import CSV_OPTIONS
 
 
 def write_prepared(df: DataFrame, path: str, fmt: str = "parquet", by_split: bool = True, mode: str = "overwrite") -> None:
-    """Prepared rows; ``partitionBy('split')`` so a reader of one split prunes the others."""
+    """Prepared rows; ``partitionBy('split')`` so a reader of one split prunes the others.
+
+    CSV is written in the fixed column order of ``schemas.PREPARED`` (its reader is positional).
+    """
+    from ..schemas import PREPARED
+
+    if fmt == "csv" and set(PREPARED.fieldNames()) <= set(df.columns):
+        keep = [c for c in PREPARED.fieldNames() if not (by_split and c == "split")] + (["split"] if by_split else [])
+        df = df.select(*keep)
     w = df.write.mode(mode)
     if by_split and "split" in df.columns:
         w = w.partitionBy("split")

@@ -46,18 +46,35 @@ def stream_score(spark: SparkSession, source: str, scorer, sink: str, checkpoint
     return w.start()
 
 
-def stream_score_csv(spark: SparkSession, source: str, scorer, sink: str, checkpoint: str, schema=SCORING_INPUT,
-                     available_now: bool = True, extractor: Callable[[Column], Column] | None = None) -> StreamingQuery:
-    """Score CSV files (``text``, optional ``abstract_id``) arriving under ``source`` -> JSON lines."""
+def stream_score_csv(spark: SparkSession, source: str, scorer, sink: str, checkpoint: str,
+                     columns: list[str] | None = None, available_now: bool = True,
+                     extractor: Callable[[Column], Column] | None = None) -> StreamingQuery:
+    """Score CSV files (``text``, optional ``abstract_id``) arriving under ``source`` -> JSON lines.
+
+    ``columns`` is the CSV header layout (all read as strings); when not given it is taken from the
+    files already in ``source``. Rows without an ``abstract_id`` column get ``id_<row in its file>``.
+    """
+    from pyspark.sql import types as T
+
+    if columns is None:
+        try:
+            columns = spark.read.option("header", "true").csv(source).columns
+        except Exception:  # noqa: BLE001 - empty folder: assume the full layout
+            columns = ["abstract_id", "text"]
+    if "text" not in columns:
+        raise ValueError("scoring CSV needs a 'text' column")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     stream = (spark.readStream.schema(schema).option("header", "true").option("escape", '"')
               .option("multiLine", "true").csv(source).select("*", F.col("_metadata.file_path").alias("_cf_path")))
+    has_id = "abstract_id" in columns
 
     def prepare(batch: DataFrame) -> DataFrame:
+        if has_id:
+            return batch.select("abstract_id", "text")
         m = "_cf_mono"
-        x = batch.withColumn(m, F.monotonically_increasing_id())
+        x = batch.withColumn(m, F.monotonically_increasing_id())  # files arrive whole, one task each
         ordinal = F.col(m) - F.min(m).over(Window.partitionBy("_cf_path"))
-        ids = F.coalesce(F.col("abstract_id"), F.concat(F.lit("id_"), ordinal.cast("string")))
-        return x.select(ids.alias("abstract_id"), "text")
+        return x.select(F.concat(F.lit("id_"), ordinal.cast("string")).alias("abstract_id"), "text")
 
     w = stream.writeStream.foreachBatch(_writer(scorer, sink, "json", extractor, prepare)).option(
         "checkpointLocation", checkpoint)
