@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import materialize, spread
 from ..functions import vectors as vx
 from ..operators.evaluate import class_report, confusion_long, confusion_wide, evaluate
 from ..operators.extract import dictionary_join, extract_terms, term_counts
@@ -39,8 +40,13 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# text tables: their per-row work is CPU-bound, so a scan with too few splits is spread out
+TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_rows and name in TEXT_TABLES else df
 
 
 # ---------------------------------------------------------------- SQL fragments (DuckDB)
@@ -90,7 +96,7 @@ SQL_DOCS_PREPARED = sql_split(
 
 def docs_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label"), "text")
-    return split_exact(clean_rows(d), "doc_id", TRAIN, VAL, SEED)
+    return split_exact(materialize(clean_rows(d), "cleaned"), "doc_id", TRAIN, VAL, SEED)
 
 
 # ---------------------------------------------------------------- cleaning (PRJ1, FN1-4, FLT1-2)
@@ -413,7 +419,8 @@ SELECT 'id_' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS abst
 def q_default_ids(spark, sf_dir):
     from ..operators.labels import with_default_ids
 
-    d = table(spark, sf_dir, "documents").select("text", "n_chars")  # as if the id column were absent
+    # as if the id column were absent; ids come from the scan's row index, so no spreading here
+    d = table(spark, sf_dir, "documents", spread_rows=False).select("text", "n_chars")
     return with_default_ids(d).select("abstract_id", "n_chars")
 
 

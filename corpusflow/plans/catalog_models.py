@@ -19,6 +19,7 @@ from ..operators.labels import label_dimension, label_list, with_label_id
 from ..operators.split import split_exact
 from .catalog import (QUERY_HEAD, QUERY_TERMS, SEED, SQL, SQL_QUERY_TERMS, SQL_RULE, TRAIN, VAL, register, sql_clean,
                       sql_metrics, sql_norm, sql_split, sql_title, table)
+from ..session import materialize
 from .prepare import clean_rows
 from .score import NaiveBayesScorer, score_table
 
@@ -96,9 +97,9 @@ def labelled(spark, sf_dir):
     """Labelled documents: cleaned, label = quality as text, label ids, exact seeded split."""
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = clean_rows(d.join(lab, "doc_id"))
     dim = label_dimension(lab)
-    return split_exact(with_label_id(rows, "label", dim), "doc_id", TRAIN, VAL, SEED), dim
+    rows = materialize(with_label_id(clean_rows(d.join(lab, "doc_id")), "label", dim), "labelled")
+    return split_exact(rows, "doc_id", TRAIN, VAL, SEED), dim
 
 
 # ---------------------------------------------------------------- vocabulary and ids (ML4, FN13-14)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text
 from ..operators.labels import label_dimension, with_label_id
 from ..operators.split import split_exact
+from ..session import materialize
 
 
 def clean_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -27,9 +28,15 @@ def dropped_count(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def prepare(df: DataFrame, id_col: str = "abstract_id", text_col: str = "text", label_col: str = "label",
             train_ratio: float = 0.8, val_ratio: float = 0.1, seed: int = 42,
-            label_dim: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Return ``(prepared, label_dim)``: rows with cleaned text, ``label_id`` and ``split``."""
+            label_dim: DataFrame | None = None, write: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Return ``(prepared, label_dim)``: rows with cleaned text, ``label_id`` and ``split``.
+
+    With ``write`` the cleaned rows are written once to the shared checkpoint folder before the
+    split, so cleaning runs once and the split's histogram jobs scan only the id column.
+    """
     rows = clean_rows(df, text_col)
+    if write:
+        rows = materialize(rows, "cleaned")
     dim = label_dimension(rows, label_col) if label_dim is None else label_dim
     cols = df.columns
     rows = with_label_id(rows, label_col, dim).select(*cols, "label_id")

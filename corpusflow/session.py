@@ -50,3 +50,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (for stream sinks and written tables)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Spread rows over the cluster when a scan yields fewer partitions than there are cores.
+
+    Text work (regular expressions, tokenising, scoring) is CPU-bound per row; an input of a few
+    large files or row groups would otherwise run on a few tasks. On a large input this is a no-op:
+    the scan already has at least as many splits as the cluster has cores, and no shuffle is added.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads files instead of recomputing the plan), runs
+    expensive per-row work once for several later jobs, and lets those jobs prune columns (a
+    Parquet scan of one id column instead of a recomputation of whole rows).
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
