@@ -116,7 +116,7 @@ SELECT doc_id, t AS text_clean, length(t) AS n_chars_clean, {sql_words('t')} AS
 FROM (SELECT doc_id, {sql_clean(NOISE_SQL)} AS t FROM documents) WHERE length(t) > 0""")
 def q_clean_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    c = d.select("doc_id", tx.clean_text(_noisy(d)).alias("text_clean")).where(F.length("text_clean") > 0)
+    c = clean_rows(d.select("doc_id", _noisy(d).alias("text_clean")), "text_clean")
     return c.select("doc_id", "text_clean", F.length("text_clean").alias("n_chars_clean"),
                     tx.word_count("text_clean").alias("n_words"))
 

@@ -12,8 +12,15 @@ from ..session import materialize
 
 
 def clean_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Clean the text column and drop rows whose cleaned text is empty."""
-    return df.withColumn(text_col, clean_text(text_col)).where(F.length(text_col) > 0)
+    """Clean the text column and drop rows whose cleaned text is empty.
+
+    The cleaned text is produced by a one-element generator so that it is computed once: a plain
+    projection + filter lets the optimiser inline the regex chain into the filter (evaluating it
+    twice) and push that filter below a preceding repartition, into the scan tasks.
+    """
+    others = [c for c in df.columns if c != text_col]
+    once = df.select(*others, F.explode(F.array(clean_text(text_col))).alias(text_col))
+    return once.where(F.length(text_col) > 0).select(*df.columns)
 
 
 def dropped_count(df: DataFrame, text_col: str = "text") -> DataFrame:
