@@ -31,6 +31,18 @@ from ..operators.select import best_by
 TOKEN_GAPS = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
+# rows per partition for iterative fits: each L-BFGS step is one job over all partitions, so many
+# tiny partitions cost scheduling time per iteration without adding useful parallelism
+ROWS_PER_FIT_PARTITION = 50_000
+
+
+def fit_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_FIT_PARTITION) -> DataFrame:
+    """Coalesce (no shuffle) a training set to about one partition per ``rows_per_partition`` rows."""
+    n = df.count()
+    want = max(1, -(-n // rows_per_partition))
+    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+
+
 def text_pipeline(text_col: str = "text", label_col: str = "label_id", num_features: int = 1 << 18,
                   reg_param: float = 0.0, elastic_net: float = 0.0, max_iter: int = 100) -> Pipeline:
     tok = RegexTokenizer(inputCol=text_col, outputCol="_cf_words", pattern=TOKEN_GAPS, toLowercase=True)
@@ -42,7 +54,8 @@ def text_pipeline(text_col: str = "text", label_col: str = "label_id", num_featu
 
 
 def fit_text_lr(train: DataFrame, text_col: str = "text", label_col: str = "label_id", **kw) -> PipelineModel:
-    data = train.select(text_col, F.col(label_col).cast("double").alias(label_col)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = fit_partitions(train.select(text_col, F.col(label_col).cast("double").alias(label_col)))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return text_pipeline(text_col, label_col, **kw).fit(data)
     finally:
@@ -52,8 +65,9 @@ def fit_text_lr(train: DataFrame, text_col: str = "text", label_col: str = "labe
 def fit_vector_lr(train: DataFrame, vec_col: str = "embedding", label_col: str = "label", reg_param: float = 0.0,
                   max_iter: int = 100) -> PipelineModel:
     """Linear head on frozen vectors (multinomial when there are more than two classes)."""
-    data = train.select(array_to_vector(F.col(vec_col)).alias("_cf_features"),
-                        F.col(label_col).cast("double").alias(label_col)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = fit_partitions(train.select(array_to_vector(F.col(vec_col)).alias("_cf_features"),
+                                       F.col(label_col).cast("double").alias(label_col)))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         lr = LogisticRegression(featuresCol="_cf_features", labelCol=label_col, regParam=reg_param, maxIter=max_iter)
         return PipelineModel(stages=[lr.fit(data)])
@@ -109,3 +123,41 @@ def select_on_validation(train: DataFrame, val: DataFrame, grid: list[dict], fit
     best = best_by(metrics, "f1", tie_cols=["candidate"], keep=keep).collect()  # at most ``keep`` rows
     i = int(best[0]["candidate"])
     return Selection(models[i], grid[i], metrics, models)
+
+
+def select_text_lr(train: DataFrame, val: DataFrame, reg_params: list[float], text_col: str = "text",
+                   label_col: str = "label_id", num_features: int = 1 << 18, max_iter: int = 100,
+                   positive: int = 1, parallelism: int = 4) -> Selection:
+    """Validation-split selection of the text classifier's regularisation.
+
+    The featuriser (tokens -> hashed TF -> IDF) does not depend on the candidates, so it is fitted
+    once and its output persisted; only the logistic-regression heads are fitted per candidate,
+    concurrently from a thread pool (Spark runs the candidates' jobs side by side).
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    feat = Pipeline(stages=text_pipeline(text_col, label_col, num_features).getStages()[:3])
+    data = fit_partitions(train.select(text_col, F.col(label_col).cast("double").alias(label_col)))
+    fmodel = feat.fit(data)
+    tr = fmodel.transform(data).select("_cf_features", label_col).persist(StorageLevel.MEMORY_AND_DISK)
+    va = fmodel.transform(val.select(text_col, F.col(label_col).cast("double").alias(label_col))).select(
+        "_cf_features", label_col)
+    try:
+        def fit_one(reg):
+            lr = LogisticRegression(featuresCol="_cf_features", labelCol=label_col, regParam=reg, maxIter=max_iter)
+            return lr.fit(tr)
+
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(reg_params)))) as pool:
+            heads = list(pool.map(fit_one, reg_params))
+        scored = None
+        for i, h in enumerate(heads):
+            p = h.transform(va).select(F.lit(i).alias("candidate"), F.col(label_col).cast("int").alias("label_id"),
+                                       argmax(vector_to_array("probability")).alias("pred_id"))
+            scored = p if scored is None else scored.unionByName(p)
+        metrics = evaluate(scored, group_cols=["candidate"], positive=positive)
+        best = best_by(metrics, "f1", tie_cols=["candidate"]).collect()  # one row
+        i = int(best[0]["candidate"])
+        models = {j: PipelineModel(stages=fmodel.stages + [h]) for j, h in enumerate(heads)}
+        return Selection(models[i], {"reg_param": reg_params[i], "num_features": num_features}, metrics, models)
+    finally:
+        tr.unpersist()

@@ -461,4 +461,15 @@ def q_union_stats(spark, sf_dir):
         F.max(tx.word_count("text")).cast("int").alias("max_len_words"))
 
 
+
+@register("confusion_nested", f"""
+SELECT CAST(to_json(list(r ORDER BY true_id)) AS VARCHAR) AS confusion_matrix FROM (
+  SELECT true_id, list(n ORDER BY pred_id) AS r FROM ({SQL_CONF_LONG}) GROUP BY true_id)""")
+def q_confusion_nested(spark, sf_dir):
+    from ..operators.evaluate import confusion_nested
+
+    long = confusion_long(rule_predictions(spark, sf_dir), classes=[0, 1])
+    return confusion_nested(long).select(F.to_json("confusion_matrix").alias("confusion_matrix"))
+
+
 from . import catalog_models  # noqa: E402,F401  (registers the model and scoring queries)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vx
 from ..functions.text import word_tokens
 from ..models.centroid import fit_centroids
-from ..models.linear import (fit_text_lr, fit_vector_lr, predict_text, predict_vectors, select_on_validation,
+from ..models.linear import (fit_text_lr, fit_vector_lr, predict_text, predict_vectors, select_text_lr,
                              trainable_parameters)
 from ..models.nb import fit_naive_bayes
 from ..operators.compare import compare, core_table, metrics_json
@@ -337,13 +337,12 @@ def q_linear_params(spark, sf_dir):
 def q_select_best(spark, sf_dir):
     p, _ = labelled(spark, sf_dir)
     train, val = p.where(F.col("split") == "train"), p.where(F.col("split") == "val")
-    grid = [{"reg_param": r, "num_features": 1 << 16} for r in (0.0, 0.01, 0.1)]
-    sel = select_on_validation(train, val, grid, lambda d, **kw: fit_text_lr(d, "text", "label_id", **kw),
-                               lambda m, d: predict_text(m, d), "label_id")
-    regs = F.element_at(F.array(*[F.lit(g["reg_param"]) for g in grid]), F.col("candidate") + 1)
-    return sel.table.select("candidate", regs.alias("reg_param"), F.round("f1", 6).alias("f1"),
+    regs = [0.0, 0.01, 0.1]
+    sel = select_text_lr(train, val, regs, "text", "label_id", num_features=1 << 16)
+    reg = F.element_at(F.array(*[F.lit(r) for r in regs]), F.col("candidate") + 1)
+    return sel.table.select("candidate", reg.alias("reg_param"), F.round("f1", 6).alias("f1"),
                             F.round("accuracy", 6).alias("accuracy"),
-                            (F.col("candidate") == F.lit(grid.index(sel.best_params))).alias("chosen"))
+                            (F.col("candidate") == F.lit(regs.index(sel.best_params["reg_param"]))).alias("chosen"))
 
 
 # ---------------------------------------------------------------- streams (STR1-2)

@@ -46,6 +46,13 @@ def write_predictions(preds: DataFrame, path: str, mode: str = "overwrite") -> N
 
 
 def write_metrics(metrics: DataFrame, path: str, by: str | None = "model") -> None:
+    """Metric records. A frame with a ``json`` column (from ``operators.compare.metrics_json``) is
+    written as the records themselves, one per line; other frames as JSON rows."""
+    if "json" in metrics.columns:
+        keep = [by] if by and by in metrics.columns else []
+        w = metrics.select(*keep, "json").write.mode("overwrite")
+        (w.partitionBy(by) if keep else w).text(path)
+        return
     w = metrics.write.mode("overwrite")
     if by and by in metrics.columns:
         w = w.partitionBy(by)

@@ -16,12 +16,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.score import score_table
+from ..session import spread
 from ..schemas import SCORING_INPUT
 
 
-def _writer(scorer, sink: str, fmt: str, extractor, prepare: Callable[[DataFrame], DataFrame] | None):
+def _writer(scorer, sink: str, fmt: str, extractor, prepare: Callable[[DataFrame], DataFrame] | None,
+            keep_file_order: bool = False):
     def run(batch: DataFrame, epoch: int) -> None:
-        rows = prepare(batch) if prepare else batch
+        # a micro-batch of a few large files arrives in a few partitions and scoring is CPU-bound,
+        # so rows are spread first – after ``prepare`` when it needs the files' own row order
+        if keep_file_order:
+            rows = spread(prepare(batch) if prepare else batch)
+        else:
+            rows = spread(batch)
+            rows = prepare(rows) if prepare else rows
         preds = score_table(rows, scorer, extractor=extractor)
         preds.write.mode("overwrite").format(fmt).save(f"{sink}/batch={epoch}")
 
@@ -76,7 +84,7 @@ def stream_score_csv(spark: SparkSession, source: str, scorer, sink: str, checkp
         ordinal = F.col(m) - F.min(m).over(Window.partitionBy("_cf_path"))
         return x.select(F.concat(F.lit("id_"), ordinal.cast("string")).alias("abstract_id"), "text")
 
-    w = stream.writeStream.foreachBatch(_writer(scorer, sink, "json", extractor, prepare)).option(
+    w = stream.writeStream.foreachBatch(_writer(scorer, sink, "json", extractor, prepare, keep_file_order=True)).option(
         "checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
