@@ -210,23 +210,17 @@ SELECT CAST(sc.doc_id AS VARCHAR) AS abstract_id, CAST(sc.pred_id AS VARCHAR) AS
        round(sc.p0, 6) AS conf_0, round(sc.p1, 6) AS conf_1, coalesce(ex.names, '') AS extracted
 FROM sc JOIN documents d ON d.doc_id = sc.doc_id LEFT JOIN ex ON ex.doc_id = sc.doc_id""")
 def q_enriched_predictions(spark, sf_dir):
-    p, model = _nb(spark, sf_dir)
-    raw = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))
-    rows = p.select("doc_id", "text").join(raw, "doc_id")
-    scorer = NaiveBayesScorer(model, clean=False)
-    preds = _score_with_extraction(rows, scorer)
+    """Labelled documents scored on their cleaned text, names extracted from the raw text – both
+    from one row, so no text is joined or shuffled."""
+    _, model = _nb(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").join(lab, "doc_id")
+    rows = clean_rows(d.withColumn("clean", F.col("text")), "clean")
+    preds = score_table(rows, NaiveBayesScorer(model), "text", "doc_id",
+                        extractor=lambda c: extract_terms(c, QUERY_TERMS, QUERY_HEAD), score_col="clean")
     return flatten_predictions(preds, ["0", "1"])
 
 
-def _score_with_extraction(rows: DataFrame, scorer) -> DataFrame:
-    """Score the cleaned ``text``; extract names from the ``raw`` text (as inference does)."""
-    base = rows.select(F.col("doc_id").cast("string").alias("abstract_id"), "text",
-                       extract_terms("raw", QUERY_TERMS, QUERY_HEAD).alias("extracted_diseases"))
-    from .score import predictions
-
-    return predictions(scorer.scores(base, "text", ["abstract_id", "extracted_diseases"]), scorer.labels)
-
-
 def flatten_predictions(preds: DataFrame, labels: list[str]) -> DataFrame:
     return preds.select(
         "abstract_id", F.col("predicted_labels")[0].alias("predicted_label"),

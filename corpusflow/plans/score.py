@@ -89,12 +89,17 @@ def predictions(scored: DataFrame, labels: list[str], id_col: str = "abstract_id
 
 
 def score_table(df: DataFrame, scorer, text_col: str = "text", id_col: str = "abstract_id",
-                extractor: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Enriched predictions for every row of ``df`` (ids kept as strings)."""
+                extractor: Callable[[Column], Column] | None = None, score_col: str | None = None) -> DataFrame:
+    """Enriched predictions for every row of ``df`` (ids kept as strings).
+
+    Names are extracted from ``text_col``; the scorer reads ``score_col`` when given (e.g. a cleaned
+    copy of the text in the same row), else ``text_col``.
+    """
     extractor = extractor or (lambda c: extract_terms(c))
-    base = df.select(F.col(id_col).cast("string").alias("abstract_id"), F.col(text_col).alias("_cf_text"))
-    base = base.withColumn("extracted_diseases", extractor(F.col("_cf_text")))
-    scored = scorer.scores(base, "_cf_text", ["abstract_id", "extracted_diseases"])
+    base = df.select(F.col(id_col).cast("string").alias("abstract_id"), F.col(text_col).alias("_cf_text"),
+                     F.col(score_col or text_col).alias("_cf_score"))
+    base = base.withColumn("extracted_diseases", extractor(F.col("_cf_text"))).drop("_cf_text")
+    scored = scorer.scores(base, "_cf_score", ["abstract_id", "extracted_diseases"])
     return predictions(scored, scorer.labels)
 
 
