@@ -67,3 +67,19 @@ def test_seeded_rank_matches_row_number(spark):
     w = Window.orderBy(seeded_key("doc_id"), "doc_id")
     want = {tuple(r) for r in df.select("doc_id", (F.row_number().over(w) - 1).alias("pos")).collect()}
     assert got == want
+
+
+def test_seeded_rank_with_a_hot_duplicated_id(spark):
+    hot = spark.range(200).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").alias("copy")).repartition(5)
+    rest = spark.range(300).select((F.col("id") + 1000).alias("doc_id"), F.lit(-1).cast("long").alias("copy"))
+    df = hot.unionByName(rest)
+    r = seeded_rank(df, "doc_id", bucket_digits=2)
+    pos = sorted(x.pos for x in r.collect())
+    assert pos == list(range(500))  # a permutation: every position exactly once
+    w = Window.orderBy(seeded_key("doc_id"), "doc_id")
+    first = {x.doc_id: x.p for x in df.groupBy("doc_id").count().select(
+        "doc_id", (F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1))).alias("p")).collect()}
+    got = r.groupBy("doc_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("n")).collect()
+    for g in got:
+        lo = first[g.doc_id] or 0
+        assert (g.lo, g.hi) == (lo, lo + g.n - 1)  # copies occupy their key's block
