@@ -85,42 +85,81 @@ def dictionary_join(docs: DataFrame, terms: DataFrame, text_col: str = "text", t
                     max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Rows ``docs x terms`` where the lower-cased text contains the (lower-case) term.
 
-    ``mode="substring"`` keeps the plain-substring rule. The dictionary's size is checked first: a
-    dictionary within ``max_terms``/``max_bytes`` is broadcast once (broadcast nested-loop join, no
-    shuffle of the documents); a larger one is cut into hash shards that each fit, and the shards'
-    joins are united – exact, each broadcast bounded.
+    ``mode="substring"`` keeps the plain-substring rule. A term without whitespace can only occur
+    inside one whitespace-delimited token, so those terms are found by an equi-join: each row's
+    distinct tokens yield their substrings of the dictionary's term lengths, which are probed
+    against the dictionary (broadcast hash join when its checked size fits, else a shuffle join).
+    That is linear in the text and independent of the dictionary size. Terms that hold whitespace
+    use a containment test against a broadcast dictionary (a nested loop, cut into hash shards that
+    each fit the broadcast bound); such multi-word dictionaries are small in practice.
 
     ``mode="words"`` matches whole word sequences only: word n-grams of the text (n up to the
-    longest term's word count) equi-join the dictionary, a shuffle hash join that scales with any
-    dictionary size (hot n-grams are split by adaptive skew handling).
+    longest term's word count) equi-join the dictionary, broadcast when it fits, else a shuffle
+    hash join (hot n-grams are split by adaptive skew handling).
     """
+    if mode not in ("substring", "words"):
+        raise ValueError("mode must be 'substring' or 'words'")
     t = terms.select(F.lower(F.col(term_col)).alias(term_col)).where(F.length(term_col) > 0).distinct()
+    has_ws = F.col(term_col).rlike(WS)
+    size = t.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.length(term_col) + 16), F.lit(0)).alias("b"),
+        F.count_if(has_ws).alias("n_multi"),
+        F.collect_set(F.when(~has_ws, F.length(term_col))).alias("lens"),
+        F.max(F.size(F.split(term_col, " "))).alias("max_words"),
+    ).first()
+    fits = int(size["n"]) <= max_terms and int(size["b"]) <= max_bytes
     if mode == "words":
-        return _ngram_join(docs, t, text_col, term_col)
-    if mode != "substring":
-        raise ValueError("mode must be 'substring' or 'words'")
-    size = t.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(term_col) + 16), F.lit(0)).alias("b")).first()
+        return _ngram_join(docs, t, text_col, term_col, int(size["max_words"] or 1), fits)
     low = "_cf_low"
     d = docs.withColumn(low, F.lower(F.col(text_col)))
-    shards = max(1, -(-int(size["n"]) // max_terms), -(-int(size["b"]) // max_bytes))
     out = None
-    for i in range(shards):
-        part = t if shards == 1 else t.where(F.pmod(F.xxhash64(term_col), F.lit(shards)) == i)
-        j = d.join(F.broadcast(part), F.contains(F.col(low), F.col(term_col)))
-        out = j if out is None else out.unionByName(j)
+    if size["lens"]:
+        single = t.where(~has_ws)
+        out = _token_substring_join(d, low, single, term_col, sorted(int(x) for x in size["lens"]), fits)
+    n_multi = int(size["n_multi"])
+    if n_multi:
+        multi = t.where(has_ws)
+        shards = max(1, -(-n_multi // max_terms), -(-int(size["b"]) // max_bytes))
+        for i in range(shards):
+            part = multi if shards == 1 else multi.where(F.pmod(F.xxhash64(term_col), F.lit(shards)) == i)
+            j = d.join(F.broadcast(part), F.contains(F.col(low), F.col(term_col)))
+            out = j if out is None else out.unionByName(j)
+    if out is None:  # empty dictionary
+        out = d.withColumn(term_col, F.lit(None).cast("string")).where(F.lit(False))
     return out.drop(low)
 
 
-def _ngram_join(docs: DataFrame, terms: DataFrame, text_col: str, term_col: str) -> DataFrame:
-    max_n = terms.agg(F.max(F.size(F.split(term_col, " ")))).first()[0] or 1
+def _token_substring_join(d: DataFrame, low: str, single: DataFrame, term_col: str, lens: list[int],
+                          broadcast_ok: bool) -> DataFrame:
+    """Whitespace-free terms contained in ``low``: candidate substrings of the row's distinct tokens,
+    de-duplicated per row, equi-joined with the dictionary. No nested loop, no regrouping."""
+    shortest = lens[0]
+
+    def subs(w: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(w) - F.lit(n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: w.substr(i, F.lit(n)))
+
+    tokens = F.filter(F.array_distinct(F.split(F.col(low), WS + "+")), lambda w: F.length(w) >= shortest)
+    cands = F.array_distinct(F.flatten(F.transform(tokens, lambda w: F.flatten(F.array(*[subs(w, n) for n in lens])))))
+    c = "_cf_cand"
+    e = d.withColumn(c, F.explode(cands))
+    side = F.broadcast(single) if broadcast_ok else single
+    return e.join(side, e[c] == side[term_col]).drop(c)
+
+
+def _ngram_join(docs: DataFrame, terms: DataFrame, text_col: str, term_col: str, max_n: int,
+                broadcast_ok: bool) -> DataFrame:
     words = F.split(F.trim(F.regexp_replace(F.lower(F.col(text_col)), WS + "+", " ")), " ")
     w = "_cf_words"
     d = docs.withColumn(w, words)
+
     def grams_of(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
         return F.transform(starts, lambda i: F.when(F.size(w) >= n, F.array_join(F.slice(w, i, n), " ")))
 
-    grams = [grams_of(n) for n in range(1, int(max_n) + 1)]
+    grams = [grams_of(n) for n in range(1, max_n + 1)]
     g = "_cf_gram"
     exploded = d.withColumn(g, F.explode(F.array_distinct(F.filter(F.flatten(F.array(*grams)), lambda x: F.coalesce(F.length(x), F.lit(0)) > 0))))
-    return exploded.join(terms, exploded[g] == terms[term_col]).drop(g, w)
+    side = F.broadcast(terms) if broadcast_ok else terms
+    return exploded.join(side, exploded[g] == side[term_col]).drop(g, w)

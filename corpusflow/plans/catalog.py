@@ -117,8 +117,8 @@ FROM (SELECT doc_id, {sql_clean(NOISE_SQL)} AS t FROM documents) WHERE length(t)
 def q_clean_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     c = clean_rows(d.select("doc_id", _noisy(d).alias("text_clean")), "text_clean")
-    return c.select("doc_id", "text_clean", F.length("text_clean").alias("n_chars_clean"),
-                    tx.word_count("text_clean").alias("n_words"))
+    return c.select("doc_id", "text_clean", F.length("text_clean").cast("long").alias("n_chars_clean"),
+                    tx.word_count("text_clean").cast("long").alias("n_words"))
 
 
 @register("clean_dropped", f"""
@@ -277,13 +277,14 @@ def q_term_counts(spark, sf_dir):
 SQL_SOFTMAX = """
 (SELECT vec_id, k, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM
  (SELECT vec_id, k, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM
-  (SELECT vec_id, CAST(generate_subscripts(embedding[1:4], 1) - 1 AS INTEGER) AS k,
-          CAST(unnest(embedding[1:4]) AS DOUBLE) AS z FROM embeddings)))"""
+  (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS k,
+          CAST(unnest(embedding) AS DOUBLE) AS z FROM embeddings)))"""
 
 
 def _emb_probs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", vx.softmax(F.slice("embedding", 1, 4)).alias("p"))
+    # the whole vector is read as one row of logits
+    return e.select("vec_id", vx.softmax("embedding").alias("p"))
 
 
 @register("softmax_argmax", f"""
@@ -298,7 +299,8 @@ def q_softmax_argmax(spark, sf_dir):
 @register("confidence_map", f"SELECT vec_id, 'c' || CAST(k AS VARCHAR) AS class, round(p, 6) AS prob FROM {SQL_SOFTMAX}")
 def q_confidence_map(spark, sf_dir):
     p = _emb_probs(spark, sf_dir)
-    m = p.select("vec_id", vx.confidence_map([f"c{i}" for i in range(4)], "p").alias("m"))
+    names = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.concat(F.lit("c"), i.cast("string")))
+    m = p.select("vec_id", vx.confidence_map(names, "p").alias("m"))
     return m.select("vec_id", F.explode("m").alias("class", "prob")).withColumn("prob", F.round("prob", 6))
 
 
@@ -444,7 +446,7 @@ def q_union_sources(spark, sf_dir):
         F.lit("conversations").alias("source"),
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
     u = d.unionByName(c)
-    return u.select("source", "id", tx.word_count(tx.clean_text("text")).alias("n_words"))
+    return u.select("source", "id", tx.word_count(tx.clean_text("text")).cast("long").alias("n_words"))
 
 
 @register("union_stats", f"""

@@ -103,7 +103,7 @@ def labelled(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- vocabulary and ids (ML4, FN13-14)
-VOCAB_SIZE, MAX_LEN = 2000, 16
+VOCAB_SIZE, MAX_LEN = 2000, 256  # MAX_LEN: the reference's default sequence length
 SQL_VOCAB = f"""
 (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 1 AS INTEGER) AS token_id, n FROM
   (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS token FROM {SQL_LAB} WHERE split = 'train')

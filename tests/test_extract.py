@@ -48,6 +48,23 @@ def test_dictionary_join_shards_equal_single(spark):
     assert one == many == [(1, "lung cancer"), (2, "leukemia"), (2, "melanoma")]
 
 
+def test_dictionary_join_matches_brute_force(spark):
+    """Token-substring equi-join + multi-word containment equal Python's ``in`` on every pair."""
+    import random
+
+    rnd = random.Random(7)
+    alphabet = "abcé \u00a0\n,-"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(80)]
+    texts += ["ABCabc", "", "x\u3000ab-c ab"]
+    vocab = sorted({"ab", "abc", "bca", "c,a", "a-b", "é", "ab c", "b\u00a0c", "cab", "aaaa", "b-"})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    terms = spark.createDataFrame([(v,) for v in vocab], "term string")
+    want = sorted((i, v) for i, t in enumerate(texts) for v in vocab if v in t.lower())
+    for kw in ({}, {"max_terms": 2}, {"max_bytes": 1}):
+        got = sorted(tuple(r) for r in dictionary_join(docs, terms, **kw).select("doc_id", "term").collect())
+        assert got == want, kw
+
+
 def test_dictionary_join_words_mode(spark):
     docs = spark.createDataFrame([(1, "the lung  cancer study"), (2, "leukemias")], "doc_id int, text string")
     terms = spark.createDataFrame([("lung cancer",), ("leukemia",)], "term string")
