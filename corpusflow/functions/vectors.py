@@ -10,13 +10,26 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable.
+
+    An outer expression used inside a higher-order function's lambda is evaluated again for every
+    array element; binding it first keeps per-row work linear in the array length.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(z: Column | str) -> Column:
-    """Numerically stable softmax of a numeric array (as doubles)."""
+    """Numerically stable softmax of a numeric array (as doubles); linear in the array length."""
     zc = F.transform(_col(z), lambda x: x.cast("double"))
-    m = F.array_max(zc)
-    e = F.transform(zc, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+
+    def with_max(a: Column) -> Column:
+        return let(F.array_max(a), lambda m: let(F.transform(a, lambda x: F.exp(x - m)), normalise))
+
+    def normalise(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda s: F.transform(e, lambda x: x / s))
+
+    return let(zc, with_max)
 
 
 def argmax(p: Column | str) -> Column:
@@ -50,8 +63,7 @@ def pad_truncate(ids: Column | str, length: int, pad: int = 0) -> Column:
 
 def attention_mask(ids: Column | str, length: int) -> Column:
     """1 for real positions, 0 for padding, over ``length`` positions."""
-    n = F.size(_col(ids))
-    return F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: (i <= n).cast("int"))
+    return let(F.size(_col(ids)), lambda n: F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: (i <= n).cast("int")))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

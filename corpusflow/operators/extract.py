@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, ascii_word_border, title_words
+from ..functions.vectors import let
 
 # --- fixed values: the default disease dictionary and head noun -----------------------------
 DEFAULT_TERMS = [
@@ -45,9 +46,9 @@ def _col(c: Column | str) -> Column:
 
 def dictionary_hits(text: Column | str, terms: list[str] = DEFAULT_TERMS, title: bool = True) -> Column:
     """Terms (lower case) contained in ``lower(text)`` as plain substrings, dictionary order."""
-    low = F.lower(_col(text))
     arr = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    hits = F.filter(arr, lambda t: F.contains(low, t))
+    # lower-case the text once per row, not once per term
+    hits = let(F.lower(_col(text)), lambda low: F.filter(arr, lambda t: F.contains(low, t)))
     return F.transform(hits, title_words) if title else hits
 
 
