@@ -44,12 +44,28 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _dictionary_hits_low(low: Column, terms: list[str], title: bool) -> Column:
+    arr = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    hits = F.filter(arr, lambda t: F.contains(low, t))
+    return F.transform(hits, title_words) if title else hits
+
+
+def _pattern_hits_low(low: Column, head: str, stopwords: list[str] | None, title: bool) -> Column:
+    s = ascii_word_border(low)
+    hits = F.regexp_extract_all(s, F.lit(head_pattern(head)), 1)
+    if stopwords:
+        stop = F.array(*[F.lit(w.lower()) for w in stopwords])
+        hits = F.filter(hits, lambda m: ~F.array_contains(stop, F.substring_index(m, " ", 1)))
+    hits = F.transform(hits, title_words) if title else hits
+    # a match needs " <head>" in the text (normalisation keeps ASCII as is): skip the regex work
+    # for texts without it
+    return F.when(F.contains(low, F.lit(" " + head.lower())), hits).otherwise(F.array().cast("array<string>"))
+
+
 def dictionary_hits(text: Column | str, terms: list[str] = DEFAULT_TERMS, title: bool = True) -> Column:
     """Terms (lower case) contained in ``lower(text)`` as plain substrings, dictionary order."""
-    arr = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     # lower-case the text once per row, not once per term
-    hits = let(F.lower(_col(text)), lambda low: F.filter(arr, lambda t: F.contains(low, t)))
-    return F.transform(hits, title_words) if title else hits
+    return let(F.lower(_col(text)), lambda low: _dictionary_hits_low(low, terms, title))
 
 
 def pattern_hits(text: Column | str, head: str = DEFAULT_HEAD, stopwords: list[str] | None = None,
@@ -59,21 +75,20 @@ def pattern_hits(text: Column | str, head: str = DEFAULT_HEAD, stopwords: list[s
     Matching runs on ``ascii_word_border(lower(text))`` so that ``\\b`` is the Unicode word border
     in Java's and RE2's regex engines alike. ``stopwords`` drops first words such as ``of``.
     """
-    s = ascii_word_border(F.lower(_col(text)))
-    hits = F.regexp_extract_all(s, F.lit(head_pattern(head)), 1)
-    if stopwords:
-        stop = F.array(*[F.lit(w.lower()) for w in stopwords])
-        hits = F.filter(hits, lambda m: ~F.array_contains(stop, F.substring_index(m, " ", 1)))
-    return F.transform(hits, title_words) if title else hits
+    return let(F.lower(_col(text)), lambda low: _pattern_hits_low(low, head, stopwords, title))
 
 
 def extract_terms(text: Column | str, terms: list[str] = DEFAULT_TERMS, head: str | None = DEFAULT_HEAD,
                   stopwords: list[str] | None = None) -> Column:
     """Sorted distinct title-cased names: dictionary hits united with pattern hits."""
-    parts = [dictionary_hits(text, terms)]
-    if head:
-        parts.append(pattern_hits(text, head, stopwords))
-    return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+    def names(low: Column) -> Column:
+        parts = [_dictionary_hits_low(low, terms, True)]
+        if head:
+            parts.append(_pattern_hits_low(low, head, stopwords, True))
+        return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+    return let(F.lower(_col(text)), names)
 
 
 def term_counts(df: DataFrame, names_col: str = "extracted", name: str = "name") -> DataFrame:
