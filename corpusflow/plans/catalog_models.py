@@ -368,6 +368,9 @@ def q_stream_score(spark, sf_dir):
     return flatten_predictions(spark.read.parquet(f"{base}/out").drop("batch"), ["0", "1"])
 
 
+CSV_ROWS_PER_FILE = 2_500
+
+
 @register("stream_csv")
 def q_stream_csv(spark, sf_dir):
     """CSV copies of ``documents`` (no id column) streamed in; ids default to ``id_<row in file>``."""
@@ -376,7 +379,9 @@ def q_stream_csv(spark, sf_dir):
     _, model = _nb(spark, sf_dir)
     base = _stream_scratch(spark)
     docs = table(spark, sf_dir, "documents").select("text")
-    docs.repartition(4).write.option("header", "true").option("escape", '"').csv(f"{base}/in")
+    # several input files without a shuffle: the writer cuts a new file every CSV_ROWS_PER_FILE rows
+    docs.write.option("header", "true").option("escape", '"').option("maxRecordsPerFile", CSV_ROWS_PER_FILE).csv(
+        f"{base}/in")
     q = stream_score_csv(spark, f"{base}/in", NaiveBayesScorer(model, clean=True), f"{base}/out", f"{base}/ckpt",
                          extractor=lambda c: extract_terms(c, QUERY_TERMS, QUERY_HEAD))
     q.awaitTermination()

@@ -5,7 +5,7 @@ Every reader gives an explicit schema (no inference): ids stay strings and the t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
@@ -65,17 +65,23 @@ def read_prepared(spark: SparkSession, path: str, split: str | None = None) -> D
     return df.where(F.col("split") == split) if split else df
 
 
-def file_ordinal(df: DataFrame, col: str = "_cf_ordinal") -> DataFrame:
+def file_ordinal(df: DataFrame, col: str = "_cf_ordinal", path_col: str | None = None) -> DataFrame:
     """0-based row number inside each input file, in file order.
 
-    CSV read with ``multiLine`` is not split, so a file is read by one task in order: the ordinal
-    is the row id minus the smallest row id of the same file (a window per file; the file was one
-    task's input already).
+    CSV read with ``multiLine`` is not split, so a file is read by one task in order and
+    ``monotonically_increasing_id`` rises along the file. The ordinal is that id minus the smallest
+    id of the same file; the per-file minimum is a grouped aggregate (partial aggregation, one row
+    per file) joined back on the path – adaptive execution broadcasts it when small. No window, so
+    a file holding a large share of the rows is never gathered and sorted in one task.
     """
     m = "_cf_mono"
-    f = "_cf_file"
-    x = df.withColumn(m, F.monotonically_increasing_id()).withColumn(f, F.col("_metadata.file_path"))
-    return x.withColumn(col, F.col(m) - F.min(m).over(Window.partitionBy(f))).drop(m, f)
+    f = path_col or "_cf_file"
+    x = df.withColumn(m, F.monotonically_increasing_id())
+    if path_col is None:
+        x = x.withColumn(f, F.col("_metadata.file_path"))
+    first = x.groupBy(f).agg(F.min(m).alias("_cf_first"))
+    out = x.join(first, f).withColumn(col, F.col(m) - F.col("_cf_first")).drop(m, "_cf_first")
+    return out if path_col else out.drop(f)
 
 
 def read_scoring_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -79,10 +79,10 @@ def stream_score_csv(spark: SparkSession, source: str, scorer, sink: str, checkp
     def prepare(batch: DataFrame) -> DataFrame:
         if has_id:
             return batch.select("abstract_id", "text")
-        m = "_cf_mono"
-        x = batch.withColumn(m, F.monotonically_increasing_id())  # files arrive whole, one task each
-        ordinal = F.col(m) - F.min(m).over(Window.partitionBy("_cf_path"))
-        return x.select(F.concat(F.lit("id_"), ordinal.cast("string")).alias("abstract_id"), "text")
+        from ..sources.corpus import file_ordinal
+
+        x = file_ordinal(batch, "_cf_ordinal", path_col="_cf_path")  # files arrive whole, one task each
+        return x.select(F.concat(F.lit("id_"), F.col("_cf_ordinal").cast("string")).alias("abstract_id"), "text")
 
     w = stream.writeStream.foreachBatch(_writer(scorer, sink, "json", extractor, prepare, keep_file_order=True)).option(
         "checkpointLocation", checkpoint)

@@ -76,6 +76,16 @@ def test_scoring_csv_default_ids(spark, tmp_dir):
     assert got == {"id_0": "first", "id_1": "second", "id_2": "third"}
 
 
+def test_default_ids_restart_per_file(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "many")
+    os.makedirs(d)
+    for k, n in (("a", 5), ("b", 1), ("c", 3)):
+        with open(os.path.join(d, f"{k}.csv"), "w") as f:
+            f.write("text\n" + "".join(f"{k}{i}\n" for i in range(n)))
+    got = {r.text: r.abstract_id for r in src.read_scoring_csv(spark, d).collect()}
+    assert got == {f"{k}{i}": f"id_{i}" for k, n in (("a", 5), ("b", 1), ("c", 3)) for i in range(n)}
+
+
 def test_read_metrics_files_with_missing(spark, tmp_dir):
     a = os.path.join(tmp_dir, "baseline", "test_metrics.json")
     b = os.path.join(tmp_dir, "lora", "test_metrics.json")
