@@ -9,13 +9,19 @@ from ..operators.labels import label_map_row
 from .corpus import CSV_OPTIONS
 
 
-def write_prepared(df: DataFrame, path: str, fmt: str = "parquet", by_split: bool = True, mode: str = "overwrite") -> None:
+def write_prepared(df: DataFrame, path: str, fmt: str = "parquet", by_split: bool = True, mode: str = "overwrite",
+                   order_by: str | None = None) -> None:
     """Prepared rows; ``partitionBy('split')`` so a reader of one split prunes the others.
 
     CSV is written in the fixed column order of ``schemas.PREPARED`` (its reader is positional).
+    ``order_by`` (e.g. ``"filepath"``, the order files were listed in) sorts the export: a range
+    exchange on sampled bounds then per-partition sorts, so files come out in global order.
     """
     from ..schemas import PREPARED
 
+    if order_by:
+        df = df.orderBy(order_by)
+
     if fmt == "csv" and set(PREPARED.fieldNames()) <= set(df.columns):
         keep = [c for c in PREPARED.fieldNames() if not (by_split and c == "split")] + (["split"] if by_split else [])
         df = df.select(*keep)

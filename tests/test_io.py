@@ -60,6 +60,16 @@ def test_prepare_write_read_round_trip(spark, tmp_dir):
     assert sorted(tuple(r) for r in lm.collect()) == [("Cancer", 0), ("Non-Cancer", 1)]
 
 
+def test_export_in_path_order(spark, tmp_dir):
+    from corpusflow.sources.sinks import write_prepared
+
+    df = spark.createDataFrame([(f"/c/{i:03d}.txt", i % 3) for i in range(40)][::-1], "filepath string, v int")
+    write_prepared(df.repartition(4), tmp_dir + "/o", by_split=False, order_by="filepath")
+    files = sorted(f for f in os.listdir(tmp_dir + "/o") if f.endswith(".parquet"))
+    got = [r.filepath for f in files for r in spark.read.parquet(f"{tmp_dir}/o/{f}").collect()]
+    assert got == sorted(got) and len(got) == 40
+
+
 def test_csv_quotes_and_na(spark, tmp_dir):
     p = os.path.join(tmp_dir, "s.csv")
     with open(p, "w") as f:
