@@ -19,6 +19,10 @@ from ..plans.score import score_table
 from ..session import spread
 from ..schemas import SCORING_INPUT
 
+# files per micro-batch: a backlog (``availableNow``) is worked off in bounded, separately committed
+# batches, so a failure replays one batch, not the whole backlog
+MAX_FILES_PER_TRIGGER = 1_000
+
 
 def _writer(scorer, sink: str, fmt: str, extractor, prepare: Callable[[DataFrame], DataFrame] | None,
             keep_file_order: bool = False):
@@ -39,8 +43,8 @@ def _writer(scorer, sink: str, fmt: str, extractor, prepare: Callable[[DataFrame
 def stream_score(spark: SparkSession, source: str, scorer, sink: str, checkpoint: str, schema=SCORING_INPUT,
                  source_format: str = "parquet", sink_format: str = "parquet", available_now: bool = True,
                  extractor: Callable[[Column], Column] | None = None,
-                 prepare: Callable[[DataFrame], DataFrame] | None = None, max_files: int | None = None,
-                 path_glob: str | None = None) -> StreamingQuery:
+                 prepare: Callable[[DataFrame], DataFrame] | None = None,
+                 max_files: int | None = MAX_FILES_PER_TRIGGER, path_glob: str | None = None) -> StreamingQuery:
     """Score rows ``(abstract_id, text)`` of files arriving under ``source``."""
     r = spark.readStream.schema(schema).format(source_format)
     if max_files:
@@ -56,7 +60,8 @@ def stream_score(spark: SparkSession, source: str, scorer, sink: str, checkpoint
 
 def stream_score_csv(spark: SparkSession, source: str, scorer, sink: str, checkpoint: str,
                      columns: list[str] | None = None, available_now: bool = True,
-                     extractor: Callable[[Column], Column] | None = None) -> StreamingQuery:
+                     extractor: Callable[[Column], Column] | None = None,
+                     max_files: int | None = MAX_FILES_PER_TRIGGER) -> StreamingQuery:
     """Score CSV files (``text``, optional ``abstract_id``) arriving under ``source`` -> JSON lines.
 
     ``columns`` is the CSV header layout (all read as strings); when not given it is taken from the
@@ -72,8 +77,10 @@ def stream_score_csv(spark: SparkSession, source: str, scorer, sink: str, checkp
     if "text" not in columns:
         raise ValueError("scoring CSV needs a 'text' column")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    stream = (spark.readStream.schema(schema).option("header", "true").option("escape", '"')
-              .option("multiLine", "true").csv(source).select("*", F.col("_metadata.file_path").alias("_cf_path")))
+    r = spark.readStream.schema(schema).option("header", "true").option("escape", '"').option("multiLine", "true")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", str(max_files))
+    stream = r.csv(source).select("*", F.col("_metadata.file_path").alias("_cf_path"))
     has_id = "abstract_id" in columns
 
     def prepare(batch: DataFrame) -> DataFrame:

@@ -29,3 +29,22 @@ def test_stream_csv_default_ids(spark):
     assert out.count() == docs
     assert out.where(~F.col("abstract_id").startswith("id_")).count() == 0
     assert out.where(F.size("extracted_diseases") > 0).count() > 0  # the text column arrived
+
+
+def test_csv_stream_bounded_batches(spark, tmp_dir):
+    from corpusflow.plans.score import PandasScorer
+    from corpusflow.streaming.score_stream import stream_score_csv
+
+    src = os.path.join(tmp_dir, "in")
+    os.makedirs(src)
+    for k, n in (("a", 4), ("b", 2), ("c", 3)):
+        with open(os.path.join(src, f"{k}.csv"), "w") as f:
+            f.write("text\n" + "".join(f"{k} lung cancer {i}\n" for i in range(n)))
+    scorer = PandasScorer(lambda texts: [[float(len(t)), 0.0] for t in texts], ["long", "short"])
+    q = stream_score_csv(spark, src, scorer, tmp_dir + "/out", tmp_dir + "/ckpt", max_files=1)
+    q.awaitTermination()
+    batches = sorted(d for d in os.listdir(tmp_dir + "/out") if d.startswith("batch="))
+    assert len(batches) == 3  # one file per micro-batch
+    out = spark.read.json(tmp_dir + "/out")
+    assert out.count() == 9
+    assert sorted(r.abstract_id for r in out.collect()) == sorted(f"id_{i}" for n in (4, 2, 3) for i in range(n))
