@@ -64,15 +64,15 @@ class NaiveBayesModel:
         k = self.num_classes
         # the row id is made in a projection below the explode (one id per input row)
         keyed = df.select(F.monotonically_increasing_id().alias(key), *carry, F.col(tokens_col).alias("_cf_tokens"))
-        ex = keyed.select(key, *carry, F.posexplode_outer("_cf_tokens").alias("_p", "token"))
+        ex = keyed.select(key, *carry, F.explode_outer("_cf_tokens").alias("token"))
         side = self.params.select("token", "logp")
         est = self.vocab_size * (8 * k + 48)
         side = F.broadcast(side) if est <= MAX_BROADCAST_BYTES else side
         j = ex.join(side, "token", "left")
-        first = (F.col("_p").isNull()) | (F.col("_p") == 0)
-        aggs = [F.first(F.when(first, F.col(c)), ignorenulls=True).alias(c) for c in carry]
-        aggs += [F.sum(F.col("logp")[i]).alias(f"_s{i}") for i in range(k)]
-        per = j.groupBy(key).agg(*aggs)
+        # the carried columns are fixed per row id, so they join the grouping key: the aggregate
+        # buffers stay fixed-width sums (hash aggregation, partial per task) instead of first() over
+        # arbitrary types, which would force a sort of every token occurrence
+        per = j.groupBy(key, *carry).agg(*[F.sum(F.col("logp")[i]).alias(f"_s{i}") for i in range(k)])
         logits = F.array(*[F.lit(self.log_priors[i]) + F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) for i in range(k)])
         return per.select(*carry, logits.alias(out_col))
 
