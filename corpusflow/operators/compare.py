@@ -120,11 +120,16 @@ def compare(core: DataFrame, baseline: str, candidate: str, model_col: str = "mo
     """
     on = list(on or [])
     cols = ["accuracy", "f1", "confusion_matrix", "fp", "fn", "classification_report"]
-    key = on or ["_cf_k"]
-    core = core.withColumn("_cf_k", F.lit(0)) if not on else core
-    b = core.where(F.col(model_col) == baseline).select(*key, *[F.col(c).alias(f"base_{c}") for c in cols])
-    c = core.where(F.col(model_col) == candidate).select(*key, *[F.col(c).alias(f"cand_{c}") for c in cols])
-    j = b.join(c, key)
+    m = F.col(model_col)
+    # one conditional aggregate per key instead of a join of the two models' rows (each model has
+    # at most one row per key; a present null stays null)
+    aggs = [F.first(F.when(m == F.lit(name), F.col(c)), ignorenulls=True).alias(f"{tag}_{c}")
+            for tag, name in (("base", baseline), ("cand", candidate)) for c in cols]
+    seen = [F.count_if(m == F.lit(baseline)).alias("_cf_nb"), F.count_if(m == F.lit(candidate)).alias("_cf_nc")]
+    rows = core.where(m.isin(baseline, candidate))
+    j = (rows.groupBy(*on).agg(*aggs, *seen) if on else rows.agg(*aggs, *seen)).where(
+        (F.col("_cf_nb") > 0) & (F.col("_cf_nc") > 0))
+    key = on
 
     def both(x: str) -> Column:
         return F.col(f"base_{x}").isNotNull() & F.col(f"cand_{x}").isNotNull()
@@ -144,4 +149,4 @@ def compare(core: DataFrame, baseline: str, candidate: str, model_col: str = "mo
         F.when(both("accuracy"), F.format_string("%+.4f", delta("accuracy"))).alias("delta_accuracy_text"),
         F.when(both("f1"), F.format_string("%+.4f", delta("f1"))).alias("delta_f1_text"),
     )
-    return out.drop("_cf_k") if not on else out
+    return out

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
+
 MAX_CLASSES = 10_000
 
 
@@ -72,10 +74,7 @@ def evaluate(df: DataFrame, label_col: str = "label_id", pred_col: str = "pred_i
     ``confusion_matrix``, ``tn, fp, fn, tp`` (2 x 2 only, else null), ``support``, and any
     ``extra`` aggregate Columns (custom metrics over the prediction rows)."""
     classes = class_ids(df, label_col, pred_col) if classes is None else classes
-    synthetic = not group_cols
-    if synthetic:  # one group: a constant key keeps every step an equi-join
-        df, group_cols = df.withColumn("_cf_g", F.lit(0)), ["_cf_g"]
-    group_cols = list(group_cols)
+    group_cols = list(group_cols or [])
     long = confusion_long(df, label_col, pred_col, group_cols, classes)
     t, p, n = F.col("true_id"), F.col("pred_id"), F.col("n")
     pos = F.lit(positive)
@@ -84,6 +83,12 @@ def evaluate(df: DataFrame, label_col: str = "label_id", pred_col: str = "pred_i
         return F.sum(F.when(cond, n).otherwise(F.lit(0)))
 
     tp, fp, fn = s((t == pos) & (p == pos)), s((t != pos) & (p == pos)), s((t == pos) & (p != pos))
+    k = len(classes)
+    # the long table holds the complete class x class grid, so its cells sorted by (true, pred) are
+    # the matrix in row-major order: the nested matrix comes out of the same aggregate, no join
+    cells = F.array_sort(F.collect_list(F.struct(t, p, n)))
+    matrix = let(cells, lambda c: F.transform(
+        F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.transform(F.slice(c, i * k + 1, F.lit(k)), lambda x: x["n"])))
     aggs = [
         F.sum("n").alias("support"),
         _ratio(s(t == p), F.sum("n")).alias("accuracy"),
@@ -91,15 +96,35 @@ def evaluate(df: DataFrame, label_col: str = "label_id", pred_col: str = "pred_i
         _ratio(tp, tp + fn).alias("recall"),
         _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
     ]
-    two = len(classes) == 2
+    two = k == 2
     for name, (ti, pi) in {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}.items():
         val = s((t == F.lit(classes[ti])) & (p == F.lit(classes[pi]))) if two else F.lit(None).cast("long")
         aggs.append(val.cast("long").alias(name))
-    m = long.groupBy(*group_cols).agg(*aggs)
-    out = m.join(confusion_nested(long, group_cols), group_cols)
+    aggs.append((matrix if k else F.array().cast("array<array<bigint>>")).alias("confusion_matrix"))
+    out = long.groupBy(*group_cols).agg(*aggs) if group_cols else long.agg(*aggs)
     if extra:
-        out = out.join(df.groupBy(*group_cols).agg(*[v.alias(k) for k, v in extra.items()]), group_cols)
-    return out.drop("_cf_g") if synthetic else out
+        more = df.groupBy(*group_cols).agg(*[v.alias(k) for k, v in extra.items()]) if group_cols else \
+            df.agg(*[v.alias(k) for k, v in extra.items()])
+        out = merge_rows(out, more, group_cols)
+    return out
+
+
+def merge_rows(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Columns of ``a`` and ``b`` side by side per key, for inputs with at most one row per key.
+
+    A union with null padding, then ``first`` per key – no join, so an empty key list (one global
+    row each) needs no constant-key cross product.
+    """
+    a_cols = [c for c in a.columns if c not in keys]
+    b_cols = [c for c in b.columns if c not in keys]
+
+    def padded(df: DataFrame, own: list[str]) -> DataFrame:
+        fields = {f.name: f.dataType for f in a.schema.fields + b.schema.fields}
+        return df.select(*keys, *[F.col(c) if c in own else F.lit(None).cast(fields[c]).alias(c) for c in a_cols + b_cols])
+
+    u = padded(a, a_cols).unionByName(padded(b, b_cols))
+    aggs = [F.first(c, ignorenulls=True).alias(c) for c in a_cols + b_cols]
+    return u.groupBy(*keys).agg(*aggs) if keys else u.agg(*aggs)
 
 
 def class_report(long: DataFrame, group_cols: list[str] | None = None, names: dict[int, str] | None = None) -> DataFrame:
@@ -107,10 +132,16 @@ def class_report(long: DataFrame, group_cols: list[str] | None = None, names: di
     ``weighted avg`` rows, from the long confusion table."""
     group_cols = list(group_cols or [])
     t, p, n = F.col("true_id"), F.col("pred_id"), F.col("n")
-    rows = long.groupBy(*group_cols, t.alias("class_id")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(t == p, n).otherwise(0)).alias("_tp"))
-    cols = long.groupBy(*group_cols, p.alias("class_id")).agg(F.sum("n").alias("_pred"))
-    per = rows.join(cols, group_cols + ["class_id"])
+    # every cell counts once for its true class (support, hits) and once for its predicted class
+    side = "struct<class_id:int,support:bigint,tp:bigint,pred:bigint>"
+    zero = F.lit(0).cast("long")
+    cell = F.explode(F.array(
+        F.struct(t.alias("class_id"), n.cast("long").alias("support"), F.when(t == p, n).otherwise(zero).cast("long").alias("tp"),
+                 zero.alias("pred")).cast(side),
+        F.struct(p.alias("class_id"), zero.alias("support"), zero.alias("tp"), n.cast("long").alias("pred")).cast(side),
+    )).alias("_e")
+    per = long.select(*group_cols, cell).groupBy(*group_cols, F.col("_e.class_id").alias("class_id")).agg(
+        F.sum("_e.support").alias("support"), F.sum("_e.tp").alias("_tp"), F.sum("_e.pred").alias("_pred"))
     per = per.select(
         *group_cols, "class_id",
         _ratio(F.col("_tp"), F.col("_pred")).alias("precision"),
