@@ -38,7 +38,8 @@ def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, max_len: int = 256,
     projection (no join, no shuffle). A larger one is joined: the first ``max_len`` tokens of each
     row are exploded with their positions, joined to the vocabulary (broadcast when its checked
     size allows), and regrouped per row – map-side partial aggregation collapses each row before
-    the exchange, so one small row per document is shuffled.
+    the exchange, so one row per document (its other columns and at most ``max_len`` ids) is
+    shuffled. In both paths the token column is replaced by the ids.
     """
     n = vocab.count()
     cut = F.slice(F.col(tokens_col), 1, max_len)
@@ -47,18 +48,20 @@ def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, max_len: int = 256,
         m = F.create_map(*[x for r in rows for x in (F.lit(r[0]), F.lit(r[1]))]) if rows else None
         ids = F.transform(cut, lambda t: F.coalesce(F.element_at(m, t), F.lit(UNK_ID)) if m is not None else F.lit(UNK_ID))
         out = df.withColumn(ids_col, ids)
+        out = out.drop(tokens_col) if tokens_col != ids_col else out
     else:
-        # deterministic row key: two hashes of the cut token array (rows with the same first
-        # max_len tokens get the same ids, so copies collapse in the partial aggregation)
-        k1, k2 = "_cf_h1", "_cf_h2"
-        base = df.withColumn(k1, F.xxhash64(cut)).withColumn(k2, F.hash(cut))
-        ex = base.select(k1, k2, F.posexplode(cut).alias("_p", "token"))
+        # one id per input row, made below the explode; the row's other columns are fixed per id and
+        # join the grouping key, so the regroup needs no join back to the input and the full token
+        # array never crosses a shuffle (only the cut positions are exploded)
+        key = "_cf_row"
+        carry = [c for c in df.columns if c != tokens_col]
+        keyed = df.select(F.monotonically_increasing_id().alias(key), *carry, cut.alias("_cf_cut"))
+        ex = keyed.select(key, *carry, F.posexplode_outer("_cf_cut").alias("_p", "token"))
         v = vocab.select("token", "token_id")
         j = ex.join(F.broadcast(v) if n <= MAX_BROADCAST_VOCAB else v, "token", "left")
-        first = j.groupBy(k1, k2, "_p").agg(F.first(F.coalesce("token_id", F.lit(UNK_ID))).alias("i"))
-        per = first.groupBy(k1, k2).agg(F.array_sort(F.collect_list(F.struct("_p", "i"))).alias("_s"))
-        out = base.join(per, [k1, k2], "left").withColumn(
-            ids_col, F.coalesce(F.transform("_s", lambda s: s["i"]), F.array().cast("array<int>"))).drop("_s", k1, k2)
+        item = F.when(F.col("_p").isNotNull(), F.struct(F.col("_p"), F.coalesce("token_id", F.lit(UNK_ID)).alias("i")))
+        per = j.groupBy(key, *carry).agg(F.array_sort(F.collect_list(item)).alias("_s"))
+        out = per.select(*carry, F.transform("_s", lambda s: s["i"]).alias(ids_col))
     return out.withColumn(mask_col, attention_mask(F.col(ids_col), max_len)).withColumn(
         ids_col, pad_truncate(F.col(ids_col), max_len, PAD_ID))
 
