@@ -14,9 +14,9 @@ def corpus_stats(df: DataFrame, text_col: str = "text", label_col: str = "label"
     min_len_words, max_len_words``.
 
     ``text_col`` must hold cleaned text (single spaces, stripped). One scan feeds one aggregate
-    over the grouping sets ``(split, label), (label), (split), ()``; the label rows are folded into
-    ``label_counts`` (most frequent first, then label) in a second aggregate over at most
-    scopes x labels rows. ``scopes`` (if given) adds rows for empty scopes, with nulls.
+    over the grouping sets ``(split, label), (label), (split), ()``; a second aggregate over its at
+    most scopes x (labels + 1) rows takes each scope's totals and folds its label rows into
+    ``label_counts`` (most frequent first, then label) – no join. ``scopes`` (if given) adds rows for empty scopes, with nulls.
     """
     base = df.select(
         F.col(split_col).alias("_split"),
@@ -35,18 +35,22 @@ def corpus_stats(df: DataFrame, text_col: str = "text", label_col: str = "label"
     )
     scope = F.when(F.col("_gs") == 1, F.lit(global_name)).otherwise(F.col("_split"))
     g = g.withColumn("scope", scope)
-    totals = g.where(F.col("_gl") == 1).select(
-        "scope", F.col("n").alias("num_samples"), "avg_len_chars", "avg_len_words", "min_len_words", "max_len_words"
-    )
+    # one aggregate per scope: the scope's total row gives the scalars, its label rows the map
+    tot = F.col("_gl") == 1
+
+    def scalar(c: str):
+        return F.first(F.when(tot, F.col(c)), ignorenulls=True).alias(c)
+
     entries = F.array_sort(
-        F.collect_list(F.struct(F.col("n"), F.col("_label"))),
+        F.collect_list(F.when(~tot, F.struct(F.col("n"), F.col("_label")))),
         lambda a, b: F.when(a["n"] > b["n"], -1).when(a["n"] < b["n"], 1)
         .when(a["_label"] < b["_label"], -1).when(a["_label"] > b["_label"], 1).otherwise(0),
     )
-    counts = g.where(F.col("_gl") == 0).groupBy("scope").agg(
-        F.map_from_entries(F.transform(entries, lambda e: F.struct(e["_label"], e["n"]))).alias("label_counts")
+    out = g.groupBy("scope").agg(
+        F.first(F.when(tot, F.col("n")), ignorenulls=True).alias("num_samples"),
+        *[scalar(c) for c in ("avg_len_chars", "avg_len_words", "min_len_words", "max_len_words")],
+        F.map_from_entries(F.transform(entries, lambda e: F.struct(e["_label"], e["n"]))).alias("label_counts"),
     )
-    out = totals.join(counts, "scope", "left")
     if scopes:
         spark = df.sparkSession
         want = spark.createDataFrame([(s,) for s in [global_name] + list(scopes)], "scope string")
