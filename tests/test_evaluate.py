@@ -56,3 +56,12 @@ def test_best_by(spark):
     df = spark.createDataFrame([(1, 0.5), (2, 0.7), (3, 0.7)], "k int, f1 double")
     assert best_by(df, "f1", tie_cols=["k"]).first().k == 2
     assert sorted(r.k for r in best_by(df, "f1", tie_cols=["k"], keep=2).collect()) == [2, 3]
+
+
+def test_ungrouped_extra_metric_has_no_cross_join(spark):
+    df = preds(spark, [(0, 0), (1, 1), (1, 0), (0, 1)])
+    out = evaluate(df, classes=[0, 1], extra={"n_pos_pred": F.sum("pred_id"), "worst": F.max("label_id")})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    m = out.first()
+    assert m.accuracy == 0.5 and m.n_pos_pred == 2 and m.worst == 1 and m.confusion_matrix == [[1, 1], [1, 1]]
