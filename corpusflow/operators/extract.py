@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, ascii_word_border, title_words
+
+# one character that is not whitespace (the complement of WS)
+NOT_WS = "[^" + WS[1:]
 from ..functions.vectors import let
 
 # --- fixed values: the default disease dictionary and head noun -----------------------------
@@ -106,8 +109,12 @@ def dictionary_join(docs: DataFrame, terms: DataFrame, text_col: str = "text", t
     distinct tokens yield their substrings of the dictionary's term lengths, which are probed
     against the dictionary (broadcast hash join when its checked size fits, else a shuffle join).
     That is linear in the text and independent of the dictionary size. Terms that hold whitespace
-    use a containment test against a broadcast dictionary (a nested loop, cut into hash shards that
-    each fit the broadcast bound); such multi-word dictionaries are small in practice.
+    are anchored at a gap instead: for a term ``p1 s1 ...`` without leading or trailing whitespace,
+    every occurrence starts ``len(p1)`` characters before a maximal whitespace run of the text (that
+    run equals ``s1``), so each gap yields one candidate per distinct term shape ``(len(p1),
+    len(term), pieces)``, equi-joined with the dictionary the same way. Only terms that begin or end
+    with whitespace use a containment test against a broadcast dictionary (a nested loop, cut into
+    hash shards that each fit the broadcast bound).
 
     ``mode="words"`` matches whole word sequences only: word n-grams of the text (n up to the
     longest term's word count) equi-join the dictionary, broadcast when it fits, else a shuffle
@@ -116,12 +123,17 @@ def dictionary_join(docs: DataFrame, terms: DataFrame, text_col: str = "text", t
     if mode not in ("substring", "words"):
         raise ValueError("mode must be 'substring' or 'words'")
     t = terms.select(F.lower(F.col(term_col)).alias(term_col)).where(F.length(term_col) > 0).distinct()
-    has_ws = F.col(term_col).rlike(WS)
+    tc = F.col(term_col)
+    has_ws = tc.rlike(WS)
+    anchored = has_ws & tc.rlike("^" + NOT_WS) & tc.rlike(NOT_WS + "$")
+    shape = F.struct(F.length(F.regexp_extract(tc, "^" + NOT_WS + "+", 0)).alias("a"), F.length(tc).alias("n"),
+                     (2 * F.size(F.regexp_extract_all(tc, F.lit(WS + "+"), 0))).alias("pieces"))
     size = t.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.length(term_col) + 16), F.lit(0)).alias("b"),
-        F.count_if(has_ws).alias("n_multi"),
+        F.count_if(has_ws & ~anchored).alias("n_edge"),
         F.collect_set(F.when(~has_ws, F.length(term_col))).alias("lens"),
+        F.collect_set(F.when(anchored, shape)).alias("shapes"),
         F.max(F.size(F.split(term_col, " "))).alias("max_words"),
     ).first()
     fits = int(size["n"]) <= max_terms and int(size["b"]) <= max_bytes
@@ -133,12 +145,16 @@ def dictionary_join(docs: DataFrame, terms: DataFrame, text_col: str = "text", t
     if size["lens"]:
         single = t.where(~has_ws)
         out = _token_substring_join(d, low, single, term_col, sorted(int(x) for x in size["lens"]), fits)
-    n_multi = int(size["n_multi"])
-    if n_multi:
-        multi = t.where(has_ws)
-        shards = max(1, -(-n_multi // max_terms), -(-int(size["b"]) // max_bytes))
+    if size["shapes"]:
+        shapes = sorted((int(r["a"]), int(r["n"]), int(r["pieces"])) for r in size["shapes"])
+        j = _gap_join(d, low, t.where(anchored), term_col, shapes, fits)
+        out = j if out is None else out.unionByName(j)
+    n_edge = int(size["n_edge"])
+    if n_edge:
+        edge = t.where(has_ws & ~anchored)
+        shards = max(1, -(-n_edge // max_terms), -(-int(size["b"]) // max_bytes))
         for i in range(shards):
-            part = multi if shards == 1 else multi.where(F.pmod(F.xxhash64(term_col), F.lit(shards)) == i)
+            part = edge if shards == 1 else edge.where(F.pmod(F.xxhash64(term_col), F.lit(shards)) == i)
             j = d.join(F.broadcast(part), F.contains(F.col(low), F.col(term_col)))
             out = j if out is None else out.unionByName(j)
     if out is None:  # empty dictionary
@@ -164,6 +180,34 @@ def _token_substring_join(d: DataFrame, low: str, single: DataFrame, term_col: s
     return e.join(side, e[c] == side[term_col]).drop(c)
 
 
+def _gap_join(d: DataFrame, low: str, multi: DataFrame, term_col: str, shapes: list[tuple[int, int, int]],
+              broadcast_ok: bool) -> DataFrame:
+    """Terms ``p1 s1 p2 ... pk`` (whitespace inside, none at the ends) contained in ``low``.
+
+    The text is cut into alternating runs (tokens and whitespace). At every whitespace run ``i``
+    after a token, a term of shape ``(a, n, pieces)`` can only read: the last ``a`` characters of
+    the token before, then runs ``i .. i + pieces - 1`` joined, cut to ``n`` characters. Those
+    candidates, de-duplicated per row, equi-join the dictionary.
+    """
+    runs = F.regexp_extract_all(F.col(low), F.lit("(" + WS + "+|" + NOT_WS + "+)"), 1)
+
+    def candidates(ps: Column) -> Column:
+        def of_shape(a: int, n: int, pieces: int) -> Column:
+            def at(i: Column) -> Column:
+                prev, cur = F.try_element_at(ps, i - 1), F.try_element_at(ps, i)
+                ok = cur.rlike("^" + WS) & (F.length(prev) >= a)
+                return F.when(ok, F.substring(F.concat(F.substring(prev, -a, a), F.array_join(F.slice(ps, i, pieces), "")), 1, n))
+            return F.transform(F.sequence(F.lit(2), F.greatest(F.size(ps), F.lit(2))), at)
+
+        every = F.flatten(F.array(*[of_shape(a, n, k) for a, n, k in shapes]))
+        return F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
+
+    c = "_cf_cand"
+    e = d.withColumn(c, F.explode(let(runs, candidates)))
+    side = F.broadcast(multi) if broadcast_ok else multi
+    return e.join(side, e[c] == side[term_col]).drop(c)
+
+
 def _ngram_join(docs: DataFrame, terms: DataFrame, text_col: str, term_col: str, max_n: int,
                 broadcast_ok: bool) -> DataFrame:
     words = F.split(F.trim(F.regexp_replace(F.lower(F.col(text_col)), WS + "+", " ")), " ")
