@@ -30,6 +30,9 @@ DEFAULT_HEAD = "cancer"
 # dictionaries above this many terms (or bytes) are not broadcast as one piece
 MAX_BROADCAST_TERMS = 200_000
 MAX_BROADCAST_BYTES = 64 << 20
+# multi-word dictionaries up to this many terms are matched by a containment scan (terms x text,
+# a fast byte search); larger ones by the gap-anchored equi-join, whose cost does not grow with them
+MAX_SCAN_TERMS = 4_096
 
 _REGEX_SPECIAL = set(r".^$*+?()[]{}|\\")
 
@@ -101,7 +104,7 @@ def term_counts(df: DataFrame, names_col: str = "extracted", name: str = "name")
 
 def dictionary_join(docs: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term",
                     mode: str = "substring", max_terms: int = MAX_BROADCAST_TERMS,
-                    max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                    max_bytes: int = MAX_BROADCAST_BYTES, max_scan_terms: int = MAX_SCAN_TERMS) -> DataFrame:
     """Rows ``docs x terms`` where the lower-cased text contains the (lower-case) term.
 
     ``mode="substring"`` keeps the plain-substring rule. A term without whitespace can only occur
@@ -112,9 +115,10 @@ def dictionary_join(docs: DataFrame, terms: DataFrame, text_col: str = "text", t
     are anchored at a gap instead: for a term ``p1 s1 ...`` without leading or trailing whitespace,
     every occurrence starts ``len(p1)`` characters before a maximal whitespace run of the text (that
     run equals ``s1``), so each gap yields one candidate per distinct term shape ``(len(p1),
-    len(term), pieces)``, equi-joined with the dictionary the same way. Only terms that begin or end
-    with whitespace use a containment test against a broadcast dictionary (a nested loop, cut into
-    hash shards that each fit the broadcast bound).
+    len(term), pieces)``, equi-joined with the dictionary the same way. That path is taken for
+    dictionaries of more than ``max_scan_terms`` such terms; up to that size, and for terms that
+    begin or end with whitespace, a containment test against the broadcast dictionary is cheaper
+    (terms x text with a fast byte search; cut into hash shards that each fit the broadcast bound).
 
     ``mode="words"`` matches whole word sequences only: word n-grams of the text (n up to the
     longest term's word count) equi-join the dictionary, broadcast when it fits, else a shuffle
@@ -132,6 +136,7 @@ def dictionary_join(docs: DataFrame, terms: DataFrame, text_col: str = "text", t
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.length(term_col) + 16), F.lit(0)).alias("b"),
         F.count_if(has_ws & ~anchored).alias("n_edge"),
+        F.count_if(anchored).alias("n_anchored"),
         F.collect_set(F.when(~has_ws, F.length(term_col))).alias("lens"),
         F.collect_set(F.when(anchored, shape)).alias("shapes"),
         F.max(F.size(F.split(term_col, " "))).alias("max_words"),
@@ -145,13 +150,15 @@ def dictionary_join(docs: DataFrame, terms: DataFrame, text_col: str = "text", t
     if size["lens"]:
         single = t.where(~has_ws)
         out = _token_substring_join(d, low, single, term_col, sorted(int(x) for x in size["lens"]), fits)
-    if size["shapes"]:
+    by_gap = int(size["n_anchored"]) > max_scan_terms
+    if by_gap:
         shapes = sorted((int(r["a"]), int(r["n"]), int(r["pieces"])) for r in size["shapes"])
         j = _gap_join(d, low, t.where(anchored), term_col, shapes, fits)
         out = j if out is None else out.unionByName(j)
-    n_edge = int(size["n_edge"])
+    scan = (has_ws & ~anchored) if by_gap else has_ws
+    n_edge = int(size["n_edge"]) if by_gap else int(size["n_edge"]) + int(size["n_anchored"])
     if n_edge:
-        edge = t.where(has_ws & ~anchored)
+        edge = t.where(scan)
         shards = max(1, -(-n_edge // max_terms), -(-int(size["b"]) // max_bytes))
         for i in range(shards):
             part = edge if shards == 1 else edge.where(F.pmod(F.xxhash64(term_col), F.lit(shards)) == i)

@@ -246,6 +246,22 @@ def q_dict_match_join(spark, sf_dir):
     return dictionary_join(d, bench_terms(spark, sf_dir)).select("doc_id", "term")
 
 
+# a table-sized dictionary of phrases: pairs of long words as they follow each other in the passages
+SQL_BENCH_PHRASES = "(SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,} [a-z]{6,}', 0)) AS term FROM benchmark)"
+
+
+def bench_phrases(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,} [a-z]{6,}"), 0)).alias("term")).distinct()
+
+
+@register("dict_match_phrases", f"""
+SELECT d.doc_id, t.term FROM documents d JOIN {SQL_BENCH_PHRASES} t ON contains(lower(d.text), t.term)""")
+def q_dict_match_phrases(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dictionary_join(d, bench_phrases(spark, sf_dir)).select("doc_id", "term")
+
+
 @register("dict_match_words", f"""
 SELECT DISTINCT d.doc_id, t.term FROM
   (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '{tx.WS}+', ' ', 'g')), ' ')) AS w FROM documents) d

@@ -61,7 +61,7 @@ def test_dictionary_join_matches_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     terms = spark.createDataFrame([(v,) for v in vocab], "term string")
     want = sorted((i, v) for i, t in enumerate(texts) for v in vocab if v in t.lower())
-    for kw in ({}, {"max_terms": 2}, {"max_bytes": 1}):
+    for kw in ({}, {"max_terms": 2}, {"max_bytes": 1}, {"max_scan_terms": 0}, {"max_scan_terms": 0, "max_bytes": 1}):
         got = sorted(tuple(r) for r in dictionary_join(docs, terms, **kw).select("doc_id", "term").collect())
         assert got == want, kw
 
