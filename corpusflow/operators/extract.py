@@ -197,16 +197,28 @@ def _gap_join(d: DataFrame, low: str, multi: DataFrame, term_col: str, shapes: l
     candidates, de-duplicated per row, equi-join the dictionary.
     """
     runs = F.regexp_extract_all(F.col(low), F.lit("(" + WS + "+|" + NOT_WS + "+)"), 1)
+    max_pieces = max(k for _, _, k in shapes)
+    by_a: dict[int, list[int]] = {}
+    for a, n, _ in shapes:
+        by_a.setdefault(a, []).append(n)
 
     def candidates(ps: Column) -> Column:
-        def of_shape(a: int, n: int, pieces: int) -> Column:
-            def at(i: Column) -> Column:
-                prev, cur = F.try_element_at(ps, i - 1), F.try_element_at(ps, i)
-                ok = cur.rlike("^" + WS) & (F.length(prev) >= a)
-                return F.when(ok, F.substring(F.concat(F.substring(prev, -a, a), F.array_join(F.slice(ps, i, pieces), "")), 1, n))
-            return F.transform(F.sequence(F.lit(2), F.greatest(F.size(ps), F.lit(2))), at)
-
-        every = F.flatten(F.array(*[of_shape(a, n, k) for a, n, k in shapes]))
+        # runs alternate token / whitespace: the gaps that follow a token sit at every second index,
+        # from 2 when the text starts with a token, else from 3
+        first = F.when(F.try_element_at(ps, F.lit(1)).rlike("^" + WS), F.lit(3)).otherwise(F.lit(2))
+        gaps = F.sequence(first, F.greatest(F.size(ps), first), F.lit(2))
+
+        def at_gap(i: Column) -> Column:
+            prev = F.try_element_at(ps, i - 1)
+            tail = F.array_join(F.slice(ps, i, max_pieces), "")  # once per gap, shared by all shapes
+
+            def per_a(a: int, lengths: list[int]) -> list[Column]:
+                head = F.concat(F.substring(prev, -a, a), tail)
+                return [F.when(F.length(prev) >= a, F.substring(head, 1, n)) for n in sorted(set(lengths))]
+
+            return F.array(*[c for a, ns in sorted(by_a.items()) for c in per_a(a, ns)])
+
+        every = F.flatten(F.transform(gaps, lambda i: F.when(F.try_element_at(ps, i).isNotNull(), at_gap(i))))
         return F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
 
     c = "_cf_cand"
