@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import license_scan, mixing, rules
+from corpusflow.llm import language_id, license_scan, mixing, quality, rules, toxicity
 
 QUERIES = {
+    "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_license_scan": license_scan.op6_license_scan,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_quality_rules": rules.op9_quality_rules,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 SQL = {

@@ -40,7 +40,7 @@ DIM = 8
 WINDOW = 12
 SEED = 13
 BATCH = 128
-WARM_EPOCHS, EPOCHS = 3, 15
+WARM_EPOCHS, EPOCHS, MIN_STEPS = 3, 18, 200
 
 _BREAKS = tk.SPACES.copy()
 _BREAKS[[ord(c) for c in ".,;:!?()[]{}\"'|/\\<>"]] = True
@@ -56,11 +56,14 @@ def fold_case(data: np.ndarray) -> np.ndarray:
 
 
 def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row and word number of each word; and start and end of each distinct word."""
+    """Row and word number of each row's distinct words, in order; and start and end of each distinct word."""
     start, end, row = tk.word_bounds(data, offsets, _BREAKS)
     h = tk.range_hash(tk.prefix_hash(data), start, end)
     _, first, number = np.unique(h, return_index=True, return_inverse=True)
-    return row, number, start[first], end[first]
+    # a word counts once a document, where it stands first: runs of one word must not fill a window
+    _, once = np.unique(row * np.int64(len(first)) + number, return_index=True)
+    once.sort()
+    return row[once], number[once], start[first], end[first]
 
 
 def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +183,9 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = SEED) -> tuple[np.
     seen = np.zeros(1 << BUCKET_BITS, bool)
     adam = _Adam(emb, soft, bias, rate=0.05)
     everything = slice(None)
-    for epoch in range(WARM_EPOCHS + EPOCHS):
-        adam.rate = 0.05 if epoch < WARM_EPOCHS + EPOCHS // 2 else 0.02
+    epochs = max(EPOCHS, -(-MIN_STEPS // max(1, len(batches))))
+    for epoch in range(WARM_EPOCHS + epochs):
+        adam.rate = 0.05 if epoch < WARM_EPOCHS + epochs // 2 else 0.02
         for k in rng.permutation(len(batches)):
             b = batches[k]
             seen[b.touched] = True
