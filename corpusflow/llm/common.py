@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.vectors import let
-from corpusflow.session import materialize
+from corpusflow.session import scratch_path
 
 __all__ = ["WORD", "SPACE_CLASS", "let", "materialize", "read", "text_key", "fold", "with_columns", "word_count", "blank_if_null"]
 
@@ -18,6 +18,22 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Drops a finished write's shuffle files at once instead of when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write into the shared checkpoint folder and read back: cuts the lineage, frees the shuffles behind it."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the data folder, through Spark's reader only."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
