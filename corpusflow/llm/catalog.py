@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import language_id, license_scan, mixing, quality, rules, toxicity
+from corpusflow.llm import language_id, license_scan, mixing, quality, rules, suffix_dedup, toxicity
 
 QUERIES = {
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_license_scan": license_scan.op6_license_scan,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_quality_rules": rules.op9_quality_rules,
