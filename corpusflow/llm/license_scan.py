@@ -25,7 +25,9 @@ from corpusflow.llm.common import blank_if_null, let, read, text_key, with_colum
 
 #: Fixed by the contract: words after lower-casing A-Z, and the base phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words: the same rule turned round, before and after lower-casing (splitting is cheaper than finding).
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,7 +54,16 @@ def ascii_lower(c: Column) -> Column:
 
 
 def _words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    """Words of a lower-cased text; an empty string may stand at either end."""
+    return F.split(c, GAP)
+
+
+def _n_words(t: Column) -> Column:
+    def count(w: Column) -> Column:
+        ends = F.when(F.get(w, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), 1).otherwise(0)
+        return (F.size(w) - ends).cast("long")
+
+    return let(F.split(t, GAP_ANY_CASE), count)
 
 
 def base_scan(text: Column) -> Column:
@@ -74,9 +85,9 @@ def base_scan(text: Column) -> Column:
         return F.when(F.size(w) > 0, F.flatten(F.transform(places, one)))
 
     # the word list is only built where a phrase's last word occurs at all
-    found = F.when(t.rlike("(?i)license"), let(_words(ascii_lower(t)), hits))
+    found = F.when(t.rlike("(?i)license"), let(F.filter(_words(ascii_lower(t)), lambda w: w != ""), hits))
     return F.struct(
-        F.regexp_count(t, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
+        _n_words(t).alias("n_words"),
         let(
             F.coalesce(found, F.array().cast("array<struct<i:bigint,label:string>>")),
             lambda h: F.struct(
@@ -104,7 +115,7 @@ def match_templates(docs: DataFrame, templates=TEMPLATES, threshold: float = THR
     words = blocks.select("doc_id", "key", "block", _words(F.lower("line")).alias("words"))
 
     # how often each template word occurs in the corpus: one row per template word comes back
-    counted = words.select(F.explode("words").alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count()
+    counted = docs.select(F.explode(_words(F.lower("text"))).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count()
     counts = {r["w"]: r["count"] for r in counted.collect()}
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     ordered = [(t, label, sorted(s, key=rank.__getitem__), k) for t, label, s, k in sets]
@@ -139,7 +150,8 @@ def scan(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
     best = found.groupBy(F.col("doc_id").alias("m_id"), F.col("key").alias("m_key")).agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("containment")
     )
-    b = d.select("doc_id", "key", base_scan(F.col("text")).alias("s")).select("doc_id", "key", "s.n_words", "s.hit.*")
+    # a generator of one row: the scan of a text is evaluated once, not once for each of its fields
+    b = d.select("doc_id", "key", F.inline(F.array(base_scan(F.col("text"))))).select("doc_id", "key", "n_words", "hit.*")
     j = b.join(best, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")), "left")
     empty = F.array().cast("array<string>")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", empty)))
