@@ -20,3 +20,34 @@ def removed_bytes(rows, length):
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         out[doc_id] = (len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def shingles(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)])
+
+
+def jaccard_components(rows, k, percent):
+    """{doc_id: (n_shingles, component)}; pairs found by a plain inverted index, then every pair counted."""
+    sets = {d: shingles(t, k) for d, t in rows}
+    post, parent = {}, {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for d in sorted(sets, key=lambda d: (len(sets[d]), d)):
+        count = {}
+        for s in sets[d]:
+            for e in post.get(s, ()):
+                count[e] = count.get(e, 0) + 1
+            post.setdefault(s, []).append(d)
+        for e, n in count.items():
+            if 100 * n >= percent * (len(sets[d]) + len(sets[e]) - n):
+                a, b = sorted((find(d), find(e)))
+                parent[b] = a
+    return {d: (len(s), find(d)) for d, s in sets.items()}
