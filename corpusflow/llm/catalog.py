@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import language_id, license_scan, mixing, ngram_join, quality, rules, suffix_dedup, toxicity
+from corpusflow.llm import decontaminate, language_id, license_scan, mixing, ngram_join, quality, rules, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_license_scan": license_scan.op6_license_scan,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
