@@ -202,6 +202,7 @@ def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
     """
     d = prepared(documents)
     gone = removed_starts(d, length, gram, hot).groupBy("o", "k").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    gone = materialize(gone, "suffix_gone")
     carry = [f for f in documents.schema.fields if f.name in keep and f.name not in ("doc_id", "text")]
     give_text = "text" in keep
 
