@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import decontaminate, language_id, license_scan, mixing, ngram_join, quality, rules, suffix_dedup, toxicity
+from corpusflow.llm import decontaminate, language_id, license_scan, mixing, ngram_join, passages, quality, rules, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_near_passages": passages.op1_near_passages,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_toxicity": toxicity.op4_toxicity,

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm import tokens as tk
-from corpusflow.llm.common import read, text_key, with_columns
+from corpusflow.llm.common import read, with_columns
 
 SEED_WORDS = 3
 RARE_SHARE = 0.5
@@ -185,50 +185,76 @@ def _passages(hit: np.ndarray, number: np.ndarray, row: np.ndarray, bound: np.nd
     return r, item, first, np.minimum(diagonal[last] + size[item] + slack, bound[r + 1])
 
 
+def _leaks(data: np.ndarray, offsets: np.ndarray, items: Items, table: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """Row, item, score, first and last word of the best passage of each row and item, for a span of texts."""
+    word, row = hashed_words(data, offsets)
+    h, at = tk.shingle_hashes(word, row, SEED_WORDS)
+    hit, number = items.find(h, table)
+    if not len(hit):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0), none, none
+    size = np.array([len(x) for x in items.words])
+    bound = np.searchsorted(row, np.arange(len(offsets)))
+    r, item, first, last = _passages(at[hit], number, row, bound, items)
+    # equal passages are aligned once
+    passages = [word[s:e] for s, e in zip(first, last, strict=True)]
+    where: dict[tuple[int, bytes], int] = {}
+    which = np.array([where.setdefault((int(i), p.tobytes()), len(where)) for i, p in zip(item, passages, strict=True)])
+    _, some = np.unique(which, return_index=True)
+    found = align([passages[x] for x in some], [items.words[item[x]] for x in some])[which]
+    score = found[:, 0] / (MATCH * size[item])
+    order = np.lexsort((first, -score, item, r))
+    top = order[np.concatenate([[True], (r[order][1:] != r[order][:-1]) | (item[order][1:] != item[order][:-1])])]
+    top = top[score[top] >= threshold]
+    return r[top], item[top], score[top], first[top] - bound[r[top]], first[top] + found[top, 1] - bound[r[top]]
+
+
+def _seeded_shards(docs: DataFrame, benchmark: DataFrame, max_grams: int) -> Iterator[Items]:
+    for items in shards(with_columns(benchmark, {"item_id": "long", "text": "string"}), max_grams):
+        yield items.rarest(count_grams(docs, items))
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """doc_id, key, item_id, score, first_word, last_word: passages that align with an item."""
+    """doc_id, item_id, score, first_word, last_word: passages that align with an item."""
     docs = with_columns(documents, {"doc_id": "long", "text": "string"})
-    docs = docs.withColumn("key", text_key(F.col("doc_id"), F.col("text")))
-    schema = "doc_id long, key long, item_id long, score double, first_word long, last_word long"
+    schema = "doc_id long, item_id long, score double, first_word long, last_word long"
 
     def scan(items: Items) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = items.lookup()
-            size = np.array([len(x) for x in items.words])
-            for batch, lo, hi, data, offsets in tk.text_batches(batches):
-                word, row = hashed_words(data, offsets)
-                h, at = tk.shingle_hashes(word, row, SEED_WORDS)
-                hit, number = items.find(h, table)
-                if not len(hit):
-                    continue
-                bound = np.searchsorted(row, np.arange(hi - lo + 1))
-                r, item, first, last = _passages(at[hit], number, row, bound, items)
-                # equal passages are aligned once
-                passages = [word[s:e] for s, e in zip(first, last, strict=True)]
-                where: dict[tuple[int, bytes], int] = {}
-                which = np.array([where.setdefault((int(i), p.tobytes()), len(where)) for i, p in zip(item, passages, strict=True)])
-                _, some = np.unique(which, return_index=True)
-                found = align([passages[x] for x in some], [items.words[item[x]] for x in some])[which]
-                score = found[:, 0] / (MATCH * size[item])
-                # the best passage of each document and item
-                order = np.lexsort((first, -score, item, r))
-                top = order[np.concatenate([[True], (r[order][1:] != r[order][:-1]) | (item[order][1:] != item[order][:-1])])]
-                top = top[score[top] >= threshold]
-                own = pa.array(r[top] + lo)
+            for batch, lo, _, data, offsets in tk.text_batches(batches):
+                r, item, score, first, last = _leaks(data, offsets, items, table, threshold)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(own), batch.column("key").take(own), pa.array(items.ids[item[top]]), pa.array(score[top]),
-                     pa.array(first[top] - bound[r[top]]), pa.array(first[top] + found[top, 1] - bound[r[top]])],
-                    ["doc_id", "key", "item_id", "score", "first_word", "last_word"],
-                )
+                    [batch.column("doc_id").take(pa.array(r + lo)), pa.array(items.ids[item]), pa.array(score), pa.array(first), pa.array(last)],
+                    ["doc_id", "item_id", "score", "first_word", "last_word"],
+                )
 
-        return docs.select("doc_id", "key", "text").mapInArrow(run, schema)
+        return docs.mapInArrow(run, schema)
 
     out = None
-    for items in shards(with_columns(benchmark, {"item_id": "long", "text": "string"}), max_grams):
-        part = scan(items.rarest(count_grams(docs, items)))
-        out = part if out is None else out.unionByName(part)
+    for items in _seeded_shards(docs, benchmark, max_grams):
+        out = scan(items) if out is None else out.unionByName(scan(items))
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def without_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_grams: int = MAX_GRAMS) -> DataFrame:
+    """The rows of documents that hold no leak, whole and unshuffled."""
+
+    def scan(docs: DataFrame, items: Items) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = items.lookup()
+            for batch, lo, hi, data, offsets in tk.text_batches(batches):
+                clean = np.ones(hi - lo, bool)
+                clean[_leaks(data, offsets, items, table, threshold)[0]] = False
+                yield batch.slice(lo, hi - lo).filter(pa.array(clean))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    out = documents
+    for items in _seeded_shards(documents, benchmark, max_grams):
+        out = scan(out, items)
+    return out
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -143,20 +143,21 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = SEED, copies: int = COP
     return sure.unionByName(edge)
 
 
-def mix_documents(documents: DataFrame, seed: int = SEED) -> DataFrame:
-    """The contract's mix of a documents table: doc_id, size, source_size, target, taken, source."""
-    d = with_columns(documents, {"doc_id": "long", "text": "string", "source": "string"})
-    d = materialize(d.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix_sizes")
+def mix_documents(documents: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A mix of a documents table: doc_id, size, source_size, target, taken, source, and the columns to keep."""
+    d = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep)
+    d = materialize(d, "mix_sizes")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes), "mix_targets")
     taken = mix(d.withColumn("sources", F.array("source")), targets.select("source", "target"), seed)
     t = targets.withColumnRenamed("source", "target_source")
     out = taken.join(t, F.col("source").eqNullSafe(F.col("target_source")))
-    return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source", *keep)
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_documents(read(spark, sf_dir, "documents")).drop("source")
+    d = with_columns(read(spark, sf_dir, "documents"), {"doc_id": "long", "text": "string", "source": "string"})
+    return mix_documents(d).drop("source")
 
 
 _W = r"[^\x20\x09-\x0D]+"

@@ -257,12 +257,11 @@ def _link_units(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield done()
 
 
-def join(documents: DataFrame, k: int, percent: int, max_block: int = MAX_BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of documents (doc_id, text).
+def classes(docs: DataFrame, k: int, percent: int, max_block: int = MAX_BLOCK) -> DataFrame:
+    """docs: doc_id, text, o, k (see ``prepared``) -> doc_id, o, k, n, class, smallest (order id) per row.
 
     Two documents link when ``100 * intersection >= percent * union`` of their k-word shingle sets.
     """
-    docs = prepared(documents)
     order = corpus_order(docs, k)
     rows = materialize(node_table(docs, k, percent, order), "join_rows")
     nodes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("o", "k", "n", "spare", "prefix")).alias("x"))
@@ -320,12 +319,34 @@ def join(documents: DataFrame, k: int, percent: int, max_block: int = MAX_BLOCK)
 
     named = nodes.select("f1", "f2", "node", "o").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = named.groupBy("c").agg(F.min("o").alias("smallest"))
-    named = named.select("f1", "f2", "c").join(least, "c").select("f1", "f2", "smallest")
+    named = named.select("f1", "f2", "c").join(least, "c")
     out = rows.join(named, ["f1", "f2"], "left")
-    component = F.coalesce(F.when((F.col("n") > 0) & (F.col("smallest") < LAST), F.col("smallest")), "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "k")
+    some = F.col("n") > 0  # an empty set has no class
+    return out.select("doc_id", "o", "k", "n", F.when(some, F.col("c")).alias("class"), F.when(some, F.col("smallest")).alias("smallest"))
+
+
+def join(documents: DataFrame, k: int, percent: int, max_block: int = MAX_BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id linked) for every row of documents (doc_id, text)."""
+    c = classes(prepared(documents), k, percent, max_block)
+    component = F.coalesce(F.when(F.col("smallest") < LAST, F.col("smallest")), "doc_id")
+    return c.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, k: int, percent: int, max_block: int = MAX_BLOCK) -> DataFrame:
+    """The rows of documents without those similar to one that stays: of each class the smallest id stays."""
+    docs = prepared(documents)
+    rows = materialize(classes(docs.select("doc_id", "text", "o", "k"), k, percent, max_block), "join_classes")
+    stays = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct("o", "k")).alias("x")).select("x.o", "x.k")
+    stays = stays.unionByName(rows.where(F.col("class").isNull()).select("o", "k").distinct())
+    out = docs.join(stays.hint("shuffle_hash"), ["o", "k"], "left_semi")
+    if rows.where(F.col("class").isNotNull()).groupBy("o", "k").count().where("count > 1").limit(1).count():
+        # repeated rows of one text are one class: only one of them stays
+        out = out.where(F.col("text").isNull() | ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")).unionByName(
+            out.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).dropDuplicates(["o", "k"])
+        )
+    return out.select(documents.columns)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_columns(read(spark, sf_dir, "documents"), {"doc_id": "long", "text": "string"})
-    return join(docs, 3, 90).drop("k")
+    return join(docs, 3, 90)

@@ -173,19 +173,19 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVES, unla
 
 def score(docs: DataFrame, model: QualityModel | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted, and the named columns of docs carried along."""
-    keep = tuple(c for c in keep if c not in ("doc_id", "text"))
-    fields = [f for f in docs.schema.fields if f.name in keep]
+    fields = [f for f in docs.schema.fields if f.name in keep and f.name != "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lo, hi, data, offsets in tk.text_batches(batches):
             p = model.score(statistics(data, offsets)).astype(float) if model else np.full(hi - lo, 0.5)
-            more = [batch.column(f.name).slice(lo, hi - lo) for f in fields]
+            own = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo), pa.array(p), pa.array((p >= CUT).astype(np.int32)), *more],
+                [own.column("doc_id"), own.column("held_out"), pa.array(p), pa.array((p >= CUT).astype(np.int32)), *(own.column(f.name) for f in fields)],
                 ["doc_id", "held_out", "score", "predicted", *[f.name for f in fields]],
             )
 
-    d = docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text", *[f.name for f in fields])
+    held_out = (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
+    d = docs.select("doc_id", held_out, "text", *[f.name for f in fields if f.name != "text"])
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
     return d.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + more)
 

@@ -83,6 +83,14 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def value_prefix(values: np.ndarray) -> np.ndarray:
+    """As prefix_hash, for a sequence of 64-bit values."""
+    out = np.empty(len(values) + 1, U64)
+    out[0] = 0
+    np.cumsum(values * _power(_BASE, len(values)), out=out[1:])
+    return out
+
+
 def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes [start, end), the same wherever they stand."""
     inverse = _power(_INVERSE, len(prefix))

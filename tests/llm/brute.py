@@ -51,3 +51,50 @@ def jaccard_components(rows, k, percent):
                 a, b = sorted((find(d), find(e)))
                 parent[b] = a
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def passage_components(rows, span=46, percent=80, words=5):
+    """{doc_id: least id linked}: every two windows of ``span`` shingles compared; small inputs only."""
+    import numpy as np
+
+    toks = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        toks[d] = [tuple(w[i : i + words]) for i in range(len(w) - words + 1)]
+    parent = {d: d for d in toks}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    post = {}
+    for d, s in toks.items():
+        for x in set(s):
+            post.setdefault(x, set()).add(d)
+    ids = sorted(toks)
+    for a in ids:
+        near = {}
+        for x in set(toks[a]):
+            for b in post[x]:
+                if b > a:
+                    near[b] = near.get(b, 0) + 1
+        for b, n in near.items():
+            if n < 2 * percent * span / (100 + percent) * 0.9 or len(toks[b]) < span or len(toks[a]) < span:
+                continue
+            hit = False
+            for i in range(len(toks[a]) - span + 1):
+                x = set(toks[a][i : i + span])
+                flag = np.array([t in x for t in toks[b]])
+                c = np.convolve(flag, np.ones(span, int), "valid")
+                for j in np.flatnonzero(c >= 0.8 * span):
+                    y = set(toks[b][j : j + span])
+                    if 100 * len(x & y) >= percent * len(x | y):
+                        hit = True
+                        break
+                if hit:
+                    break
+            if hit:
+                p, q = sorted((find(a), find(b)))
+                parent[q] = p
+    return {d: find(d) for d in ids}
