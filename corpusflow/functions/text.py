@@ -66,12 +66,6 @@ def word_count(c: Column | str, cleaned: bool = True) -> Column:
     return F.when(F.length(t) == 0, F.lit(0)).otherwise(F.size(F.split(t, " ")))
 
 
-def tokens(c: Column | str) -> Column:
-    """Lower-cased word tokens of cleaned text (split on the single space)."""
-    t = F.lower(clean_text(c))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, " "))
-
-
 def ascii_word_border(c: Column | str) -> Column:
     """Rewrite text so that ASCII ``\\b`` gives Unicode word borders.
 
@@ -84,8 +78,10 @@ def ascii_word_border(c: Column | str) -> Column:
 
 
 def title_words(c: Column | str) -> Column:
-    """Title case of ``[a-z ]`` phrases (first letter of each word upper-cased)."""
-    return F.initcap(_col(c))
+    """Title case: in every run of letters the first is upper-cased, the others lower-cased (so a new
+    word also starts after a hyphen, an apostrophe or a digit)."""
+    runs = F.regexp_extract_all(_col(c), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def word_tokens(c: Column | str, clean: bool = False) -> Column:

@@ -66,10 +66,6 @@ def attention_mask(ids: Column | str, length: int) -> Column:
     return let(F.size(_col(ids)), lambda n: F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: (i <= n).cast("int")))
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def squared_distance(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)),
                        F.lit(0.0), lambda s, x: s + x)

@@ -50,9 +50,3 @@ def fit_centroids(df: DataFrame, vec_col: str = "embedding", label_col: str = "l
     if sum(len(r["c"]) for r in rows) > max_params:
         raise ValueError("centroid table too large to ship with the projection")
     return CentroidModel([int(r["l"]) for r in rows], [[float(s["m"]) for s in r["c"]] for r in rows])
-
-
-def centroid_table(df: DataFrame, vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """The fitted centroids as a table ``label, pos, mean`` (relational form of the fit)."""
-    pe = df.select(F.col(label_col).cast("int").alias("label"), F.posexplode(vec_col).alias("pos", "x"))
-    return pe.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))

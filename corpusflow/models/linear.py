@@ -8,7 +8,8 @@
   ``val`` split with the positive-class F1, keep the best (``row_number`` per model family).
 
 Fits are full-batch L-BFGS: every iteration is one ``treeAggregate`` over the cached feature
-partitions, so the corpus is read and featurised once, not once per iteration.
+partitions, so the corpus is read and featurised once, not once per iteration. A fit keeps the
+partitions of its input, or spreads them to at least one per core; no task fits alone.
 """
 
 from __future__ import annotations
@@ -23,24 +24,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import WS
 from ..functions.vectors import argmax
 from ..operators.evaluate import evaluate
 from ..operators.select import best_by
+from ..session import spread
 
-# a whitespace run (the same 29 code points as functions.text.WS)
-TOKEN_GAPS = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-
-
-# rows per partition for iterative fits: each L-BFGS step is one job over all partitions, so many
-# tiny partitions cost scheduling time per iteration without adding useful parallelism
-ROWS_PER_FIT_PARTITION = 50_000
-
-
-def fit_partitions(df: DataFrame, rows_per_partition: int = ROWS_PER_FIT_PARTITION) -> DataFrame:
-    """Coalesce (no shuffle) a training set to about one partition per ``rows_per_partition`` rows."""
-    n = df.count()
-    want = max(1, -(-n // rows_per_partition))
-    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+TOKEN_GAPS = WS + "+"  # a whitespace run
 
 
 def text_pipeline(text_col: str = "text", label_col: str = "label_id", num_features: int = 1 << 18,
@@ -54,7 +44,7 @@ def text_pipeline(text_col: str = "text", label_col: str = "label_id", num_featu
 
 
 def fit_text_lr(train: DataFrame, text_col: str = "text", label_col: str = "label_id", **kw) -> PipelineModel:
-    data = fit_partitions(train.select(text_col, F.col(label_col).cast("double").alias(label_col)))
+    data = spread(train.select(text_col, F.col(label_col).cast("double").alias(label_col)))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return text_pipeline(text_col, label_col, **kw).fit(data)
@@ -65,7 +55,7 @@ def fit_text_lr(train: DataFrame, text_col: str = "text", label_col: str = "labe
 def fit_vector_lr(train: DataFrame, vec_col: str = "embedding", label_col: str = "label", reg_param: float = 0.0,
                   max_iter: int = 100) -> PipelineModel:
     """Linear head on frozen vectors (multinomial when there are more than two classes)."""
-    data = fit_partitions(train.select(array_to_vector(F.col(vec_col)).alias("_cf_features"),
+    data = spread(train.select(array_to_vector(F.col(vec_col)).alias("_cf_features"),
                                        F.col(label_col).cast("double").alias(label_col)))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -137,7 +127,7 @@ def select_text_lr(train: DataFrame, val: DataFrame, reg_params: list[float], te
     from concurrent.futures import ThreadPoolExecutor
 
     feat = Pipeline(stages=text_pipeline(text_col, label_col, num_features).getStages()[:3])
-    data = fit_partitions(train.select(text_col, F.col(label_col).cast("double").alias(label_col)))
+    data = spread(train.select(text_col, F.col(label_col).cast("double").alias(label_col)))
     fmodel = feat.fit(data)
     tr = fmodel.transform(data).select("_cf_features", label_col).persist(StorageLevel.MEMORY_AND_DISK)
     va = fmodel.transform(val.select(text_col, F.col(label_col).cast("double").alias(label_col))).select(

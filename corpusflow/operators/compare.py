@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
+
 # --- fixed values: accepted key names per metric, in order of preference ----------------------
 CORE_ALIASES = {
     "accuracy": ["accuracy", "eval_accuracy"],
@@ -55,18 +57,27 @@ def _core(j: Column) -> Column:
     )
 
 
-def extract_core(j: Column | str, depth: int = 3) -> Column:
+def _unwrapped(j: Column) -> Column:
+    """The record itself: while accuracy is missing and there is a ``metrics`` object, that object.
+
+    A record cannot be wrapped more often than the key's name occurs in it, so that bounds the steps.
+    """
+
+    def step(x: Column, _: Column) -> Column:
+        has_wrapper = F.coalesce(F.array_contains(F.json_object_keys(x), WRAPPER_KEY), F.lit(False))
+        bare = pick(x, CORE_ALIASES["accuracy"]).cast("double").isNull()
+        return F.when(bare & has_wrapper, F.get_json_object(x, f"$.{WRAPPER_KEY}")).otherwise(x)
+
+    levels = F.sequence(F.lit(1), F.regexp_count(j, F.lit(f'"{WRAPPER_KEY}"')) + 1)
+    return F.when(j.isNotNull(), F.aggregate(levels, j, step))
+
+
+def extract_core(j: Column | str) -> Column:
     """Struct ``accuracy, f1, precision, recall, confusion_matrix, classification_report``.
 
-    Descends into ``metrics`` when accuracy is missing (up to ``depth`` levels).
+    Descends into ``metrics`` as long as accuracy is missing, however deep.
     """
-    jc = _col(j)
-    core = _core(jc)
-    if depth <= 0:
-        return core
-    has_wrapper = F.coalesce(F.array_contains(F.json_object_keys(jc), WRAPPER_KEY), F.lit(False))
-    inner = extract_core(F.get_json_object(jc, f"$.{WRAPPER_KEY}"), depth - 1)
-    return F.when(core["accuracy"].isNull() & has_wrapper, inner).otherwise(core)
+    return let(_unwrapped(_col(j)), _core)
 
 
 def flat_cm_stats(cm: Column | str) -> Column:
@@ -129,6 +140,8 @@ def compare(core: DataFrame, baseline: str, candidate: str, model_col: str = "mo
     rows = core.where(m.isin(baseline, candidate))
     j = (rows.groupBy(*on).agg(*aggs, *seen) if on else rows.agg(*aggs, *seen)).where(
         (F.col("_cf_nb") > 0) & (F.col("_cf_nc") > 0))
+    twice = (F.col("_cf_nb") > 1) | (F.col("_cf_nc") > 1)
+    j = j.where(F.when(twice, F.raise_error(F.lit("a model has several metric records; name a key in `on`")).cast("boolean")).otherwise(True))
     key = on
 
     def both(x: str) -> Column:
@@ -143,6 +156,7 @@ def compare(core: DataFrame, baseline: str, candidate: str, model_col: str = "mo
         "base_accuracy", "cand_accuracy", delta("accuracy").alias("delta_accuracy"),
         "base_f1", "cand_f1", delta("f1").alias("delta_f1"),
         delta("fp").alias("delta_fp"), delta("fn").alias("delta_fn"),
+        "base_confusion_matrix", "cand_confusion_matrix", "base_classification_report", "cand_classification_report",
         missing.alias("missing"),
         F.format_string("%.4f", "base_accuracy").alias("base_accuracy_text"),
         F.format_string("%.4f", "cand_accuracy").alias("cand_accuracy_text"),

@@ -1,71 +1,65 @@
 """Token ids: corpus vocabulary, fixed-length id sequences and attention masks.
 
-The vocabulary is the ``size`` most frequent tokens (ties by token), ids after the reserved ids
-(0 = padding, 1 = unknown). Counting is an explode + partial aggregation; the top-``size`` cut is a
-``TakeOrderedAndProject`` (per-partition top-k, then a merge of at most ``size`` rows per task), so
-the vocabulary is bounded by its parameter and can be broadcast.
+The vocabulary holds all tokens by falling count (ties by token), or the ``size`` most frequent, with ids
+after the reserved ids (0 = padding, 1 = unknown). Counting is an explode + partial aggregation; a
+``size`` cut is a ``TakeOrderedAndProject`` (per-partition top-k, then a merge of at most ``size``
+rows per task).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import attention_mask, pad_truncate
+from ..session import materialize
 
 PAD_ID, UNK_ID = 0, 1
 RESERVED = 2
-# vocabularies up to this many entries are broadcast to the lookup join
-MAX_BROADCAST_VOCAB = 2_000_000
-# up to this many entries the vocabulary travels as a literal map inside the projection (a map
-# literal is searched linearly, so only tiny vocabularies take this path)
-MAX_LITERAL_VOCAB = 1_000
 
 
-def build_vocab(df: DataFrame, tokens_col: str = "tokens", size: int = 30_000, min_count: int = 1) -> DataFrame:
-    """``token, token_id, n`` for the ``size`` most frequent tokens."""
+def build_vocab(df: DataFrame, tokens_col: str = "tokens", size: int | None = None, min_count: int = 1) -> DataFrame:
+    """``token, token_id, n`` of all tokens, or of the ``size`` most frequent ones.
+
+    Ids of a cut vocabulary come from a window over its at most ``size`` rows. A whole one is as large
+    as the corpus makes it: its ids are positions in a distributed sort (start of the row's partition
+    plus row in it), so no task numbers it alone.
+    """
     counts = df.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.where(F.col("n") >= min_count).orderBy(F.desc("n"), F.asc("token")).limit(size)
+    counts = counts.where(F.col("n") >= min_count)
+    if size is None:
+        m = F.monotonically_increasing_id()
+        rows = materialize(counts.orderBy(F.desc("n"), F.asc("token")).select("token", "n", m.alias("_m")), "vocabulary")
+        rows = rows.withColumn("_part", F.shiftright("_m", 33))
+        w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+        starts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).select("_part", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_s"))
+        place = F.col("_s") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + RESERVED
+        return rows.join(starts, "_part").select("token", place.cast("int").alias("token_id"), "n")
+    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
     w = Window.orderBy(F.desc("n"), F.asc("token"))
     return top.select("token", (F.row_number().over(w) + RESERVED - 1).cast("int").alias("token_id"), "n")
 
 
 def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, max_len: int = 256, ids_col: str = "input_ids",
-           mask_col: str = "attention_mask", max_literal: int = MAX_LITERAL_VOCAB) -> DataFrame:
+           mask_col: str = "attention_mask") -> DataFrame:
     """Add ``input_ids`` (cut/padded to ``max_len``, unknown -> 1) and ``attention_mask``.
 
-    A vocabulary of at most ``max_literal`` entries is applied as a literal map inside the
-    projection (no join, no shuffle). A larger one is joined: the first ``max_len`` tokens of each
-    row are exploded with their positions, joined to the vocabulary (broadcast when its checked
-    size allows), and regrouped per row – map-side partial aggregation collapses each row before
-    the exchange, so one row per document (its other columns and at most ``max_len`` ids) is
-    shuffled. In both paths the token column is replaced by the ids.
+    The first ``max_len`` tokens of each row are exploded with their positions, joined to the
+    vocabulary (Spark broadcasts it when it is small enough, else shuffles), and regrouped per row –
+    map-side partial aggregation collapses each row before the exchange, so one row per document
+    (its other columns and at most ``max_len`` ids) is shuffled. The token column is replaced by the
+    ids. A row without tokens (null or empty) is all padding.
     """
-    n = vocab.count()
-    cut = F.slice(F.col(tokens_col), 1, max_len)
-    if n <= max_literal:
-        rows = vocab.select("token", "token_id").collect()  # bounded by max_literal
-        m = F.create_map(*[x for r in rows for x in (F.lit(r[0]), F.lit(r[1]))]) if rows else None
-        ids = F.transform(cut, lambda t: F.coalesce(F.element_at(m, t), F.lit(UNK_ID)) if m is not None else F.lit(UNK_ID))
-        out = df.withColumn(ids_col, ids)
-        out = out.drop(tokens_col) if tokens_col != ids_col else out
-    else:
-        # one id per input row, made below the explode; the row's other columns are fixed per id and
-        # join the grouping key, so the regroup needs no join back to the input and the full token
-        # array never crosses a shuffle (only the cut positions are exploded)
-        key = "_cf_row"
-        carry = [c for c in df.columns if c != tokens_col]
-        keyed = df.select(F.monotonically_increasing_id().alias(key), *carry, cut.alias("_cf_cut"))
-        ex = keyed.select(key, *carry, F.posexplode_outer("_cf_cut").alias("_p", "token"))
-        v = vocab.select("token", "token_id")
-        j = ex.join(F.broadcast(v) if n <= MAX_BROADCAST_VOCAB else v, "token", "left")
-        item = F.when(F.col("_p").isNotNull(), F.struct(F.col("_p"), F.coalesce("token_id", F.lit(UNK_ID)).alias("i")))
-        per = j.groupBy(key, *carry).agg(F.array_sort(F.collect_list(item)).alias("_s"))
-        out = per.select(*carry, F.transform("_s", lambda s: s["i"]).alias(ids_col))
+    # one id per input row, made below the explode; the row's other columns are fixed per id and
+    # join the grouping key, so the regroup needs no join back to the input and the full token
+    # array never crosses a shuffle (only the cut positions are exploded)
+    key = "_cf_row"
+    carry = [c for c in df.columns if c != tokens_col]
+    keyed = df.select(F.monotonically_increasing_id().alias(key), *carry, F.slice(F.col(tokens_col), 1, max_len).alias("_cf_cut"))
+    ex = keyed.select(key, *carry, F.posexplode_outer("_cf_cut").alias("_p", "token"))
+    j = ex.join(vocab.select("token", "token_id"), "token", "left")
+    item = F.when(F.col("_p").isNotNull(), F.struct(F.col("_p"), F.coalesce("token_id", F.lit(UNK_ID)).alias("i")))
+    per = j.groupBy(key, *carry).agg(F.array_sort(F.collect_list(item)).alias("_s"))
+    out = per.select(*carry, F.transform("_s", lambda s: s["i"]).alias(ids_col))
     return out.withColumn(mask_col, attention_mask(F.col(ids_col), max_len)).withColumn(
         ids_col, pad_truncate(F.col(ids_col), max_len, PAD_ID))
-
-
-def encode_column(ids: Column, max_len: int) -> tuple[Column, Column]:
-    """Pad/cut an id array and make its mask (pure Column form)."""
-    return pad_truncate(ids, max_len, PAD_ID), attention_mask(ids, max_len)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import let
+from ..session import materialize
 
 MAX_CLASSES = 10_000
 
@@ -34,15 +35,27 @@ def confusion_long(df: DataFrame, label_col: str = "label_id", pred_col: str = "
                    group_cols: list[str] | None = None, classes: list[int] | None = None) -> DataFrame:
     """``group..., true_id, pred_id, n`` over the full class x class grid (zeros included)."""
     group_cols = list(group_cols or [])
-    classes = class_ids(df, label_col, pred_col) if classes is None else classes
+    return _grid(*_counted(df, label_col, pred_col, group_cols, classes), group_cols)
+
+
+def _counted(df: DataFrame, label_col: str, pred_col: str, group_cols: list[str], classes: list[int] | None):
+    """The count table and the class list; without given classes the counts are written once, so the
+    predictions are scanned once and the classes come from the counts."""
     c = _counts(df, label_col, pred_col, group_cols)
-    cells = F.map_from_entries(F.collect_list(F.struct(F.struct("true_id", "pred_id"), F.col("n"))))
-    per_group = c.groupBy(*group_cols).agg(cells.alias("_cells")) if group_cols else c.agg(cells.alias("_cells"))
-    ids = F.array(*[F.lit(i) for i in classes])
-    grid = per_group.select(*group_cols, "_cells", F.explode(ids).alias("true_id")).select(
-        *group_cols, "_cells", "true_id", F.explode(ids).alias("pred_id"))
-    n = F.coalesce(F.element_at("_cells", F.struct(F.col("true_id"), F.col("pred_id"))), F.lit(0)).cast("long")
-    return grid.select(*group_cols, F.col("true_id").cast("int"), F.col("pred_id").cast("int"), n.alias("n"))
+    if classes is None:
+        c = materialize(c, "confusion_counts")
+        classes = class_ids(c, "true_id", "pred_id")
+    return c, classes
+
+
+def _grid(c: DataFrame, classes: list[int], group_cols: list[str]) -> DataFrame:
+    """Counts over the full class x class grid: zero cells and counts side by side, summed."""
+    ids = F.array(*[F.lit(int(i)) for i in classes]).cast("array<int>")
+    groups = c.select(*group_cols).distinct() if group_cols else c.sparkSession.range(1).select()
+    grid = groups.select(*group_cols, F.explode(ids).alias("true_id")).select(*group_cols, "true_id", F.explode(ids).alias("pred_id"))
+    known = c.where(F.col("true_id").isin(classes) & F.col("pred_id").isin(classes))
+    cells = grid.select("*", F.lit(0).cast("long").alias("n")).unionByName(known.select(*group_cols, "true_id", "pred_id", "n"))
+    return cells.groupBy(*group_cols, "true_id", "pred_id").agg(F.sum("n").alias("n"))
 
 
 def confusion_wide(long: DataFrame, classes: list[int], group_cols: list[str] | None = None,
@@ -73,9 +86,9 @@ def evaluate(df: DataFrame, label_col: str = "label_id", pred_col: str = "pred_i
     """Metric bundle per group: ``accuracy, precision, recall, f1`` (for class ``positive``),
     ``confusion_matrix``, ``tn, fp, fn, tp`` (2 x 2 only, else null), ``support``, and any
     ``extra`` aggregate Columns (custom metrics over the prediction rows)."""
-    classes = class_ids(df, label_col, pred_col) if classes is None else classes
     group_cols = list(group_cols or [])
-    long = confusion_long(df, label_col, pred_col, group_cols, classes)
+    counts, classes = _counted(df, label_col, pred_col, group_cols, classes)
+    long = _grid(counts, classes, group_cols)
     t, p, n = F.col("true_id"), F.col("pred_id"), F.col("n")
     pos = F.lit(positive)
 
@@ -129,7 +142,8 @@ def merge_rows(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def class_report(long: DataFrame, group_cols: list[str] | None = None, names: dict[int, str] | None = None) -> DataFrame:
     """Per-class ``precision, recall, f1, support`` plus ``accuracy``, ``macro avg`` and
-    ``weighted avg`` rows, from the long confusion table."""
+    ``weighted avg`` rows, from the long confusion table. ``class_id`` orders the classes (null for
+    the summary rows)."""
     group_cols = list(group_cols or [])
     t, p, n = F.col("true_id"), F.col("pred_id"), F.col("n")
     # every cell counts once for its true class (support, hits) and once for its predicted class
@@ -172,8 +186,8 @@ def class_report(long: DataFrame, group_cols: list[str] | None = None, names: di
                            F.col("_mr").alias("recall"), F.col("_mf").alias("f1"), F.col("_tot").cast("long").alias("support"))
     weighted = summary.select(*group_cols, F.lit("weighted avg").alias("class"), F.col("_wp").alias("precision"),
                               F.col("_wr").alias("recall"), F.col("_wf").alias("f1"), F.col("_tot").cast("long").alias("support"))
-    body = per.select(*group_cols, "class", "precision", "recall", "f1", "support")
-    return body.unionByName(acc).unionByName(macro).unionByName(weighted)
+    body = per.select(*group_cols, "class", "precision", "recall", "f1", "support", "class_id")
+    return body.unionByName(acc.unionByName(macro).unionByName(weighted), allowMissingColumns=True)
 
 
 def report_text(report: DataFrame, group_cols: list[str] | None = None, digits: int = 2) -> DataFrame:
@@ -187,7 +201,7 @@ def report_text(report: DataFrame, group_cols: list[str] | None = None, digits:
     line = F.format_string("%14s %9s %9s %9s %9d", F.col("class"), num("precision"), num("recall"), num("f1"), F.col("support"))
     order = F.when(F.col("class") == "accuracy", 1).when(F.col("class") == "macro avg", 2).when(
         F.col("class") == "weighted avg", 3).otherwise(0)
-    lines = report.select(*group_cols, F.struct(order.alias("o"), F.col("class").alias("c"), line.alias("l")).alias("_x"))
+    lines = report.select(*group_cols, F.struct(order.alias("o"), F.col("class_id").alias("i"), F.col("class").alias("c"), line.alias("l")).alias("_x"))
     header = F.format_string("%14s %9s %9s %9s %9s", F.lit(""), F.lit("precision"), F.lit("recall"), F.lit("f1-score"), F.lit("support"))
     text = F.concat_ws("\n", F.array_prepend(F.transform(F.array_sort(F.collect_list("_x")), lambda s: s["l"]), header))
     g = lines.groupBy(*group_cols) if group_cols else lines

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, ascii_word_border, title_words
+from ..functions.text import WS, ascii_word_border, strip_ws, title_words
+from ..functions.vectors import let
 
 # one character that is not whitespace (the complement of WS)
 NOT_WS = "[^" + WS[1:]
-from ..functions.vectors import let
 
 # --- fixed values: the default disease dictionary and head noun -----------------------------
 DEFAULT_TERMS = [
@@ -30,9 +30,6 @@ DEFAULT_HEAD = "cancer"
 # dictionaries above this many terms (or bytes) are not broadcast as one piece
 MAX_BROADCAST_TERMS = 200_000
 MAX_BROADCAST_BYTES = 64 << 20
-# multi-word dictionaries up to this many terms are matched by a containment scan (terms x text,
-# a fast byte search); larger ones by the gap-anchored equi-join, whose cost does not grow with them
-MAX_SCAN_TERMS = 4_096
 
 _REGEX_SPECIAL = set(r".^$*+?()[]{}|\\")
 
@@ -104,21 +101,18 @@ def term_counts(df: DataFrame, names_col: str = "extracted", name: str = "name")
 
 def dictionary_join(docs: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "term",
                     mode: str = "substring", max_terms: int = MAX_BROADCAST_TERMS,
-                    max_bytes: int = MAX_BROADCAST_BYTES, max_scan_terms: int = MAX_SCAN_TERMS) -> DataFrame:
+                    max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Rows ``docs x terms`` where the lower-cased text contains the (lower-case) term.
 
-    ``mode="substring"`` keeps the plain-substring rule. A term without whitespace can only occur
-    inside one whitespace-delimited token, so those terms are found by an equi-join: each row's
-    distinct tokens yield their substrings of the dictionary's term lengths, which are probed
-    against the dictionary (broadcast hash join when its checked size fits, else a shuffle join).
-    That is linear in the text and independent of the dictionary size. Terms that hold whitespace
-    are anchored at a gap instead: for a term ``p1 s1 ...`` without leading or trailing whitespace,
-    every occurrence starts ``len(p1)`` characters before a maximal whitespace run of the text (that
-    run equals ``s1``), so each gap yields one candidate per distinct term shape ``(len(p1),
-    len(term), pieces)``, equi-joined with the dictionary the same way. That path is taken for
-    dictionaries of more than ``max_scan_terms`` such terms; up to that size, and for terms that
-    begin or end with whitespace, a containment test against the broadcast dictionary is cheaper
-    (terms x text with a fast byte search; cut into hash shards that each fit the broadcast bound).
+    ``mode="substring"`` keeps the plain-substring rule as an equi-join on a short key. Whitespace at
+    a term's ends is set aside (its core). A core with whitespace inside, ``p1 s1 p2 ...``, can only
+    occur where a maximal whitespace run of the text equals ``s1``: its key is the end of ``p1``,
+    ``s1`` and the beginning of ``p2``, and every gap of a text gives one candidate key per key
+    shape. A core without whitespace lies inside one token: its key is its first letters, and the
+    candidates are the tokens' letter sequences of that length. Every term has one key and candidates
+    are distinct per row, so a pair is found once; what shares a key is verified by containment of
+    the whole term. Work is linear in the text; dictionaries above the checked broadcast size are cut
+    into hash shards that each fit (exact at any size).
 
     ``mode="words"`` matches whole word sequences only: word n-grams of the text (n up to the
     longest term's word count) equi-join the dictionary, broadcast when it fits, else a shuffle
@@ -127,104 +121,89 @@ def dictionary_join(docs: DataFrame, terms: DataFrame, text_col: str = "text", t
     if mode not in ("substring", "words"):
         raise ValueError("mode must be 'substring' or 'words'")
     t = terms.select(F.lower(F.col(term_col)).alias(term_col)).where(F.length(term_col) > 0).distinct()
-    tc = F.col(term_col)
-    has_ws = tc.rlike(WS)
-    anchored = has_ws & tc.rlike("^" + NOT_WS) & tc.rlike(NOT_WS + "$")
-    shape = F.struct(F.length(F.regexp_extract(tc, "^" + NOT_WS + "+", 0)).alias("a"), F.length(tc).alias("n"),
-                     (2 * F.size(F.regexp_extract_all(tc, F.lit(WS + "+"), 0))).alias("pieces"))
-    size = t.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.length(term_col) + 16), F.lit(0)).alias("b"),
-        F.count_if(has_ws & ~anchored).alias("n_edge"),
-        F.count_if(anchored).alias("n_anchored"),
-        F.collect_set(F.when(~has_ws, F.length(term_col))).alias("lens"),
-        F.collect_set(F.when(anchored, shape)).alias("shapes"),
-        F.max(F.size(F.split(term_col, " "))).alias("max_words"),
-    ).first()
-    fits = int(size["n"]) <= max_terms and int(size["b"]) <= max_bytes
     if mode == "words":
+        size = t.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(term_col)), F.lit(0)).alias("b"),
+                     F.max(F.size(F.split(term_col, " "))).alias("max_words")).first()
+        fits = int(size["n"]) <= max_terms and int(size["b"]) <= max_bytes
         return _ngram_join(docs, t, text_col, term_col, int(size["max_words"] or 1), fits)
-    low = "_cf_low"
+    low, key = "_cf_low", "_cf_key"
+    keyed = _keyed_terms(t, term_col, key)
+    size = keyed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(term_col) + F.octet_length(key)), F.lit(0)).alias("b"),
+                     F.collect_set("_cf_shape").alias("shapes")).first()  # a few dozen shapes at most
     d = docs.withColumn(low, F.lower(F.col(text_col)))
+    if not size["n"]:
+        return d.withColumn(term_col, F.lit(None).cast("string")).where(F.lit(False)).drop(low)
+    shapes = sorted((r["gap"], r["a"], r["b"]) for r in size["shapes"])
+    cand = d.withColumn(key, F.explode(_candidate_keys(F.col(low), shapes)))
+    shards = max(1, -(-int(size["n"]) // max_terms), -(-int(size["b"]) // max_bytes))
     out = None
-    if size["lens"]:
-        single = t.where(~has_ws)
-        out = _token_substring_join(d, low, single, term_col, sorted(int(x) for x in size["lens"]), fits)
-    by_gap = int(size["n_anchored"]) > max_scan_terms
-    if by_gap:
-        shapes = sorted((int(r["a"]), int(r["n"]), int(r["pieces"])) for r in size["shapes"])
-        j = _gap_join(d, low, t.where(anchored), term_col, shapes, fits)
+    for i in range(shards):
+        part = keyed if shards == 1 else keyed.where(F.pmod(F.xxhash64(term_col), F.lit(shards)) == i)
+        j = cand.join(F.broadcast(part.select(key, term_col)), key).where(F.contains(F.col(low), F.col(term_col)))
         out = j if out is None else out.unionByName(j)
-    scan = (has_ws & ~anchored) if by_gap else has_ws
-    n_edge = int(size["n_edge"]) if by_gap else int(size["n_edge"]) + int(size["n_anchored"])
-    if n_edge:
-        edge = t.where(scan)
-        shards = max(1, -(-n_edge // max_terms), -(-int(size["b"]) // max_bytes))
-        for i in range(shards):
-            part = edge if shards == 1 else edge.where(F.pmod(F.xxhash64(term_col), F.lit(shards)) == i)
-            j = d.join(F.broadcast(part), F.contains(F.col(low), F.col(term_col)))
-            out = j if out is None else out.unionByName(j)
-    if out is None:  # empty dictionary
-        out = d.withColumn(term_col, F.lit(None).cast("string")).where(F.lit(False))
-    return out.drop(low)
-
-
-def _token_substring_join(d: DataFrame, low: str, single: DataFrame, term_col: str, lens: list[int],
-                          broadcast_ok: bool) -> DataFrame:
-    """Whitespace-free terms contained in ``low``: candidate substrings of the row's distinct tokens,
-    de-duplicated per row, equi-joined with the dictionary. No nested loop, no regrouping."""
-    shortest = lens[0]
-
-    def subs(w: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(w) - F.lit(n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: w.substr(i, F.lit(n)))
-
-    tokens = F.filter(F.array_distinct(F.split(F.col(low), WS + "+")), lambda w: F.length(w) >= shortest)
-    cands = F.array_distinct(F.flatten(F.transform(tokens, lambda w: F.flatten(F.array(*[subs(w, n) for n in lens])))))
-    c = "_cf_cand"
-    e = d.withColumn(c, F.explode(cands))
-    side = F.broadcast(single) if broadcast_ok else single
-    return e.join(side, e[c] == side[term_col]).drop(c)
-
-
-def _gap_join(d: DataFrame, low: str, multi: DataFrame, term_col: str, shapes: list[tuple[int, int, int]],
-              broadcast_ok: bool) -> DataFrame:
-    """Terms ``p1 s1 p2 ... pk`` (whitespace inside, none at the ends) contained in ``low``.
-
-    The text is cut into alternating runs (tokens and whitespace). At every whitespace run ``i``
-    after a token, a term of shape ``(a, n, pieces)`` can only read: the last ``a`` characters of
-    the token before, then runs ``i .. i + pieces - 1`` joined, cut to ``n`` characters. Those
-    candidates, de-duplicated per row, equi-join the dictionary.
-    """
-    runs = F.regexp_extract_all(F.col(low), F.lit("(" + WS + "+|" + NOT_WS + "+)"), 1)
-    max_pieces = max(k for _, _, k in shapes)
-    by_a: dict[int, list[int]] = {}
-    for a, n, _ in shapes:
-        by_a.setdefault(a, []).append(n)
-
-    def candidates(ps: Column) -> Column:
-        # runs alternate token / whitespace: the gaps that follow a token sit at every second index,
-        # from 2 when the text starts with a token, else from 3
-        first = F.when(F.try_element_at(ps, F.lit(1)).rlike("^" + WS), F.lit(3)).otherwise(F.lit(2))
-        gaps = F.sequence(first, F.greatest(F.size(ps), first), F.lit(2))
-
-        def at_gap(i: Column) -> Column:
-            prev = F.try_element_at(ps, i - 1)
-            tail = F.array_join(F.slice(ps, i, max_pieces), "")  # once per gap, shared by all shapes
-
-            def per_a(a: int, lengths: list[int]) -> list[Column]:
-                head = F.concat(F.substring(prev, -a, a), tail)
-                return [F.when(F.length(prev) >= a, F.substring(head, 1, n)) for n in sorted(set(lengths))]
-
-            return F.array(*[c for a, ns in sorted(by_a.items()) for c in per_a(a, ns)])
-
-        every = F.flatten(F.transform(gaps, lambda i: F.when(F.try_element_at(ps, i).isNotNull(), at_gap(i))))
-        return F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
-
-    c = "_cf_cand"
-    e = d.withColumn(c, F.explode(let(runs, candidates)))
-    side = F.broadcast(multi) if broadcast_ok else multi
-    return e.join(side, e[c] == side[term_col]).drop(c)
+    return out.drop(key, low)
+
+
+# letters of a term that its key takes: up to so many on either side of a gap, or from a token's start
+GAP_LETTERS, TOKEN_LETTERS = 4, 8
+
+
+def _keyed_terms(t: DataFrame, term_col: str, key: str) -> DataFrame:
+    """Each term with its key and key shape (kind of key, letters before and after the gap)."""
+    tc = F.col(term_col)
+    core = strip_ws(tc)
+    inner = core.rlike(WS)
+    p1 = F.regexp_extract(core, "^" + NOT_WS + "+", 0)
+    s1 = F.regexp_extract(core, WS + "+", 0)
+    p2 = F.regexp_extract(core, "^" + NOT_WS + "+" + WS + "+(" + NOT_WS + "+)", 1)
+    a, b = F.least(F.length(p1), F.lit(GAP_LETTERS)), F.least(F.length(p2), F.lit(GAP_LETTERS))
+    q = F.least(F.length(core), F.lit(TOKEN_LETTERS))
+    blank = F.length(core) == 0  # nothing but whitespace: its own key, a piece of a whitespace run
+    return t.select(
+        term_col,
+        F.when(blank, tc).when(inner, F.concat(p1.substr(F.length(p1) - a + 1, a), s1, p2.substr(F.lit(1), b)))
+        .otherwise(core.substr(F.lit(1), q)).alias(key),
+        F.struct(F.when(blank, "blank").when(inner, "gap").otherwise("token").alias("gap"),
+                 F.when(blank, F.length(tc)).when(inner, a).otherwise(q).alias("a"), F.when(inner, b).otherwise(0).alias("b")).alias("_cf_shape"),
+    )
+
+
+def _pieces_of_runs(runs: Column, sizes: list[int]) -> Column:
+    """All substrings of the given lengths of all runs."""
+
+    def pieces(x: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(x) - F.lit(n - 1), F.lit(1)))
+        return F.when(F.length(x) >= n, F.transform(starts, lambda i: x.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    long_enough = F.filter(runs, lambda x: F.length(x) >= min(sizes))
+    return F.flatten(F.transform(long_enough, lambda x: F.flatten(F.array(*[pieces(x, n) for n in sizes]))))
+
+
+def _candidate_keys(low: Column, shapes: list[tuple[str, int, int]]) -> Column:
+    """Distinct keys of the given shapes that occur in a lower-cased text."""
+    gaps = [(a, b) for kind, a, b in shapes if kind == "gap"]
+    parts = []
+
+    for kind, split_on in (("token", WS + "+"), ("blank", NOT_WS + "+")):
+        sizes = [a for k, a, _ in shapes if k == kind]
+        if sizes:
+            parts.append(_pieces_of_runs(F.array_distinct(F.split(low, split_on)), sizes))
+    if gaps:
+        most_a, most_b = max(a for a, _ in gaps), max(b for _, b in gaps)
+        # the letters before a gap, the gap, and what stands after it (looked at, not consumed)
+        around = F.regexp_extract_all(low, F.lit(f"({NOT_WS}{{1,{most_a}}}{WS}+(?={NOT_WS}))"), 1)
+        after = F.regexp_extract_all(low, F.lit(f"{NOT_WS}{WS}+(?=({NOT_WS}{{1,{most_b}}}))"), 1)
+
+        def of(x: Column) -> Column:
+            letters = F.length(F.regexp_extract(x["k"], "^" + NOT_WS + "+", 0))
+            return F.array(*[
+                F.when((letters >= a) & (F.length(x["v"]) >= b), F.concat(x["k"].substr(letters - a + 1, F.length(x["k"])), x["v"].substr(F.lit(1), F.lit(b))))
+                for a, b in gaps
+            ])
+
+        pairs = F.array_distinct(F.zip_with(around, after, lambda k, v: F.struct(k.alias("k"), v.alias("v"))))
+        parts.append(F.filter(F.flatten(F.transform(pairs, of)), lambda x: x.isNotNull()))
+    return F.array_distinct(F.concat(*parts) if len(parts) > 1 else parts[0])
 
 
 def _ngram_join(docs: DataFrame, terms: DataFrame, text_col: str, term_col: str, max_n: int,

@@ -60,23 +60,21 @@ def label_map_row(dim: DataFrame) -> DataFrame:
     )
 
 
-def invert_label_map(label2id: Column) -> Column:
-    """``map<string,int>`` -> ``map<int,string>``."""
-    return F.map_from_entries(F.transform(F.map_entries(label2id), lambda e: F.struct(e["value"], e["key"])))
-
-
 def with_default_ids(df: DataFrame, id_col: str = "abstract_id", source: str = "parquet") -> DataFrame:
-    """Fill a missing id column with ``id_<row index in the input file>``.
+    """Fill a missing id column with ``id_<row>``: rows counted over the input files in path order.
 
-    ``source="parquet"`` uses the scan's ``_metadata.row_index`` (exact, no shuffle, any split of the
-    file); other file sources use the per-file ordinal of ``sources.corpus.file_ordinal``.
+    ``source="parquet"`` uses the scan's ``_metadata.row_index`` within a file (exact, no shuffle, any
+    split of the file); other file sources use the ordinal of ``sources.corpus.file_ordinal``. Rows of
+    earlier files are a running sum over one row per file, joined back on the path.
     """
     if id_col in df.columns:
         return df
-    if source == "parquet":
-        idx = F.col("_metadata.row_index")
-        return df.withColumn(id_col, F.concat(F.lit("id_"), idx.cast("string")))
-    from ..sources.corpus import file_ordinal
+    from ..sources.corpus import file_ordinal, file_starts
 
-    return file_ordinal(df).withColumn(id_col, F.concat(F.lit("id_"), F.col("_cf_ordinal").cast("string"))).drop(
-        "_cf_ordinal")
+    if source == "parquet":
+        x = df.select("*", F.col("_metadata.row_index").alias("_cf_ordinal"), F.col("_metadata.file_path").alias("_cf_file"))
+    else:
+        x = file_ordinal(df.withColumn("_cf_file", F.col("_metadata.file_path")), path_col="_cf_file")
+    x = x.join(file_starts(x, "_cf_file"), "_cf_file")
+    number = (F.col("_cf_start") + F.col("_cf_ordinal")).cast("string")
+    return x.withColumn(id_col, F.concat(F.lit("id_"), number)).drop("_cf_ordinal", "_cf_file", "_cf_start")

@@ -104,9 +104,10 @@ def _locate_cuts(ids: DataFrame, id_col: str, train_ratio: float, val_ratio: flo
 
 
 def _before(key: Column, idc: Column, cut) -> Column:
-    """(key, id) strictly before the cut key."""
+    """(key, id) strictly before the cut key; a null id comes before the other ids of its key."""
     k, i = F.lit(cut[0]), F.lit(cut[1])
-    return (key < k) | ((key == k) & (idc < i))
+    earlier = F.lit(False) if cut[1] is None else (idc.isNull() | (idc < i))
+    return (key < k) | ((key == k) & earlier)
 
 
 def split_exact(
@@ -164,24 +165,22 @@ def _split_straddling(out, keyed, id_col, split_col, cuts, straddles, names):
         by_key.setdefault((c[0], c[1]), []).append((i, c[3]))
     hot = F.lit(False)
     for k, i in by_key:
-        hot = hot | ((key == F.lit(k)) & (idc == F.lit(i)))
+        hot = hot | ((key == F.lit(k)) & idc.eqNullSafe(F.lit(i)))
     result = out.where(~hot)
     for (k, i), marks in by_key.items():
-        copies = keyed.where((key == F.lit(k)) & (idc == F.lit(i))).checkpoint(eager=True)
-        copies = copies.withColumn("_m", F.monotonically_increasing_id())
-        part = F.shiftright(F.col("_m"), 33)
-        counts = sorted((int(r[0]), int(r[1])) for r in copies.groupBy(part).agg(F.count(F.lit(1))).collect())
-        prefix, run = {}, 0
-        for p, cnt in counts:
-            prefix[p] = run
-            run += cnt
-        pmap = F.create_map(*[x for p, v in prefix.items() for x in (F.lit(p), F.lit(v))])
-        rank = F.element_at(pmap, part) + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+        copies = keyed.where((key == F.lit(k)) & idc.eqNullSafe(F.lit(i))).checkpoint(eager=True)
+        copies = copies.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
+        # copies in earlier partitions: a running sum over one row per partition, joined back
+        earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        prefix = copies.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+        prefix = prefix.select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        copies = copies.join(prefix, "_p")
+        rank = F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
         # cut i at offset m: copies ranked below m belong to split i, the others to a later split
         label = F.lit(names[max(j for j, _ in marks) + 1])
         for j, m in sorted(marks, reverse=True):
             label = F.when(rank < F.lit(m), F.lit(names[j])).otherwise(label)
-        result = result.unionByName(copies.withColumn(split_col, label).drop("_m"))
+        result = result.unionByName(copies.withColumn(split_col, label).drop("_m", "_p", "_before"))
     return result
 
 
@@ -209,7 +208,8 @@ def seeded_rank(df: DataFrame, id_col: str, seed: int = 42, pos_col: str = "pos"
     wk = Window.partitionBy(B).orderBy(K, id_col).rowsBetween(Window.unboundedPreceding, -1)
     keys = keys.join(F.broadcast(starts), B).select(
         K, id_col, "_c", (F.col("_bs") + F.coalesce(F.sum("_c").over(wk), F.lit(0))).alias("_ks"))
-    ranked = keyed.join(keys, [K, id_col])
+    same = keyed[K].eqNullSafe(keys[K]) & keyed[id_col].eqNullSafe(keys[id_col])  # null ids are rows too
+    ranked = keyed.join(keys, same).drop(keys[K]).drop(keys[id_col])
     if keys.where(F.col("_c") > 1).limit(1).count() == 0:
         return ranked.withColumn(pos_col, F.col("_ks").cast("long")).drop(K, B, "_c", "_ks")
     ensure_checkpoint_dir(SparkSession.getActiveSession())
@@ -220,6 +220,7 @@ def seeded_rank(df: DataFrame, id_col: str, seed: int = 42, pos_col: str = "pos"
     wp = Window.partitionBy(K, id_col).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     pref = cnt.select(K, id_col, "_p", F.coalesce(F.sum("_n").over(wp), F.lit(0)).alias("_pre"))
     wl = Window.partitionBy(K, id_col, "_p").orderBy("_m")
-    dups = dups.join(pref, [K, id_col, "_p"]).withColumn(
+    same = dups[K].eqNullSafe(pref[K]) & dups[id_col].eqNullSafe(pref[id_col]) & (dups["_p"] == pref["_p"])
+    dups = dups.join(pref, same).drop(pref[K]).drop(pref[id_col]).drop(pref["_p"]).withColumn(
         pos_col, (F.col("_ks") + F.col("_pre") + F.row_number().over(wl) - 1).cast("long")).drop("_m", "_p", "_pre")
     return singles.unionByName(dups).drop(K, B, "_c", "_ks")

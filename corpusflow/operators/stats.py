@@ -9,20 +9,21 @@ from ..functions.text import word_count
 
 
 def corpus_stats(df: DataFrame, text_col: str = "text", label_col: str = "label", split_col: str = "split",
-                 global_name: str = "global", scopes: list[str] | None = None) -> DataFrame:
+                 global_name: str = "global", scopes: list[str] | None = None, chars_col: str | None = None,
+                 words_col: str | None = None) -> DataFrame:
     """One row per scope: ``scope, num_samples, label_counts, avg_len_chars, avg_len_words,
     min_len_words, max_len_words``.
 
-    ``text_col`` must hold cleaned text (single spaces, stripped). One scan feeds one aggregate
+    ``text_col`` must hold cleaned text (single spaces, stripped), or ``chars_col`` and ``words_col`` its lengths. One scan feeds one aggregate
     over the grouping sets ``(split, label), (label), (split), ()``; a second aggregate over its at
     most scopes x (labels + 1) rows takes each scope's totals and folds its label rows into
-    ``label_counts`` (most frequent first, then label) – no join. ``scopes`` (if given) adds rows for empty scopes, with nulls.
+    ``label_counts`` (most frequent first, then label; a missing label is a sample but no entry) – no join. ``scopes`` (if given) adds rows for empty scopes, with nulls.
     """
     base = df.select(
         F.col(split_col).alias("_split"),
         F.col(label_col).alias("_label"),
-        F.length(text_col).alias("_chars"),
-        word_count(text_col).alias("_words"),
+        (F.col(chars_col) if chars_col else F.length(text_col)).alias("_chars"),
+        (F.col(words_col) if words_col else word_count(text_col)).alias("_words"),
     )
     g = base.groupingSets([["_split", "_label"], ["_label"], ["_split"], []], "_split", "_label").agg(
         F.count(F.lit(1)).alias("n"),
@@ -42,7 +43,7 @@ def corpus_stats(df: DataFrame, text_col: str = "text", label_col: str = "label"
         return F.first(F.when(tot, F.col(c)), ignorenulls=True).alias(c)
 
     entries = F.array_sort(
-        F.collect_list(F.when(~tot, F.struct(F.col("n"), F.col("_label")))),
+        F.collect_list(F.when(~tot & F.col("_label").isNotNull(), F.struct(F.col("n"), F.col("_label")))),
         lambda a, b: F.when(a["n"] > b["n"], -1).when(a["n"] < b["n"], 1)
         .when(a["_label"] < b["_label"], -1).when(a["_label"] > b["_label"], 1).otherwise(0),
     )

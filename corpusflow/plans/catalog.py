@@ -67,7 +67,8 @@ def sql_norm(e: str) -> str:
 
 
 def sql_title(e: str) -> str:
-    return f"array_to_string(list_transform(string_split({e}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+    runs = f"regexp_extract_all({e}, '\\p{{L}}+|\\P{{L}}+')"
+    return f"array_to_string(list_transform({runs}, lambda w: upper(w[1]) || lower(w[2:])), '')"
 
 
 def sql_r6(e: str) -> str:
@@ -95,8 +96,14 @@ SQL_DOCS_PREPARED = sql_split(
 
 
 def docs_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared rows without their text: only ids, labels and lengths of the cleaned text are written."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label"), "text")
-    return split_exact(materialize(clean_rows(d), "cleaned"), "doc_id", TRAIN, VAL, SEED)
+    rows = clean_rows(d).select("doc_id", "label", F.length("text").alias("n_chars"), tx.word_count("text").alias("n_words"))
+    return split_exact(materialize(rows, "cleaned"), "doc_id", TRAIN, VAL, SEED)
+
+
+def prepared_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_stats(docs_prepared(spark, sf_dir), chars_col="n_chars", words_col="n_words")
 
 
 # ---------------------------------------------------------------- cleaning (PRJ1, FN1-4, FLT1-2)
@@ -177,7 +184,7 @@ SELECT CASE WHEN grouping(split) = 1 THEN 'global' ELSE split END AS scope, coun
        count(DISTINCT label) AS num_labels
 FROM {SQL_DOCS_PREPARED} GROUP BY GROUPING SETS ((split), ())""")
 def q_corpus_stats(spark, sf_dir):
-    s = corpus_stats(docs_prepared(spark, sf_dir))
+    s = prepared_stats(spark, sf_dir)
     return s.select(
         "scope", "num_samples", F.round("avg_len_chars", 6).alias("avg_len_chars"),
         F.round("avg_len_words", 6).alias("avg_len_words"), "min_len_words", "max_len_words",
@@ -198,7 +205,7 @@ FROM (SELECT CASE WHEN grouping(split) = 1 THEN 'global' ELSE split END AS scope
       FROM {SQL_DOCS_PREPARED} GROUP BY GROUPING SETS ((split, label), (label)))""")
 def q_label_counts_ranked(spark, sf_dir):
     """The ``label_counts`` map of ``corpus_stats`` read back in its order (most frequent first)."""
-    s = corpus_stats(docs_prepared(spark, sf_dir))
+    s = prepared_stats(spark, sf_dir)
     e = s.select("scope", F.posexplode(F.map_entries("label_counts")).alias("p", "e"))
     return e.select("scope", F.col("e.key").alias("label"), F.col("e.value").alias("n"),
                     (F.col("p") + 1).cast("int").alias("rank_in_scope"))
@@ -330,7 +337,7 @@ SQL_RULE = f"""
 def rule_predictions(spark, sf_dir, k: int = RULE_K) -> DataFrame:
     """A fixed rule scorer (long documents are predicted ``quality = 1``), joined to the truth by key."""
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label_id"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    d = table(spark, sf_dir, "documents", spread_rows=False).select("doc_id", "n_chars")
     return lab.join(d, "doc_id").select("doc_id", "label_id", (F.col("n_chars") > k).cast("int").alias("pred_id"))
 
 
@@ -412,7 +419,7 @@ def q_candidate_metrics(spark, sf_dir):
 
 def _candidates_eval(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label_id"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    d = table(spark, sf_dir, "documents", spread_rows=False).select("doc_id", "n_chars")
     ks = F.explode(F.array(*[F.lit(k) for k in CANDIDATE_K])).alias("k")
     preds = lab.join(d, "doc_id").select("doc_id", "label_id", "n_chars", ks)
     preds = preds.withColumn("pred_id", (F.col("n_chars") > F.col("k")).cast("int"))
@@ -446,8 +453,10 @@ def q_default_ids(spark, sf_dir):
 SELECT doc_id, coalesce(string_agg(h.name, '|' ORDER BY h.name), '') AS names
 FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 3) d LEFT JOIN {SQL_HITS} h USING (doc_id) GROUP BY doc_id""")
 def q_preview3(spark, sf_dir):
-    e = docs_extracted(spark, sf_dir)
-    return e.orderBy("doc_id").limit(3).select("doc_id", F.array_join("extracted", "|").alias("names"))
+    # the three rows first (a top-k of ids and texts), then their extraction
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").limit(3)
+    e = d.select("doc_id", extract_terms("text", QUERY_TERMS, QUERY_HEAD).alias("extracted"))
+    return e.select("doc_id", F.array_join("extracted", "|").alias("names"))
 
 
 @register("union_sources", f"""

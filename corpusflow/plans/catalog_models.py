@@ -30,11 +30,12 @@ COMPARE_K = {1000: "baseline", 2000: "candidate", 4000: "nullf1"}
 def _metric_records(spark, sf_dir) -> DataFrame:
     """Metrics of three rule scorers written as JSON in three producers' layouts, read back."""
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label_id"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    d = table(spark, sf_dir, "documents", spread_rows=False).select("doc_id", "n_chars")
     ks = F.explode(F.array(*[F.lit(k) for k in COMPARE_K])).alias("k")
     preds = lab.join(d, "doc_id").select("label_id", "n_chars", ks).withColumn(
         "pred_id", (F.col("n_chars") > F.col("k")).cast("int"))
-    m = evaluate(preds, group_cols=["k"], classes=[0, 1])
+    # three rows, written once: the records below and every comparison read them
+    m = materialize(evaluate(preds, group_cols=["k"], classes=[0, 1]), "metric_rows")
     name = F.element_at(F.create_map(*[x for k, v in COMPARE_K.items() for x in (F.lit(k), F.lit(v))]), F.col("k"))
     m = m.withColumn("model", name)
     a = metrics_json(m.where(F.col("model") == "baseline"), "evaluate", keep=["model"])
@@ -63,6 +64,7 @@ def q_metrics_alias(spark, sf_dir):
 
 def _comparisons(spark, sf_dir):
     c = _metric_records(spark, sf_dir)
+    c = materialize(c, "metric_records")
     return compare(c, "baseline", "candidate").unionByName(compare(c, "baseline", "nullf1"))
 
 
@@ -199,7 +201,15 @@ def q_nb_evaluate(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- enriched predictions (ML9, PRJ5-6, ML6-7)
-@register("enriched_predictions", f"""WITH {SQL_NB},
+# the same model applied to every document
+SQL_NB_ALL = SQL_NB.replace("FROM p) dt", "FROM q) dt").replace("FROM p JOIN pri", "FROM q JOIN pri").replace(
+    "s.doc_id = p.doc_id", "s.doc_id = q.doc_id").replace("p.doc_id, p.split, p.label_id", "q.doc_id, q.split, q.label_id").replace(
+    "tr AS (", f"""q AS (SELECT doc_id, text, 'all' AS split, NULL::INTEGER AS label_id
+      FROM (SELECT doc_id, {sql_clean('text')} AS text FROM documents) WHERE length(text) > 0),
+tr AS (""", 1)
+
+
+@register("enriched_predictions", f"""WITH {SQL_NB_ALL},
 ex AS (SELECT doc_id, string_agg(name, '|' ORDER BY name) AS names FROM (
          SELECT DISTINCT doc_id, {sql_title('m')} AS name FROM (
            SELECT doc_id, term AS m FROM documents, {SQL_QUERY_TERMS} WHERE contains(lower(text), term)
@@ -208,13 +218,12 @@ ex AS (SELECT doc_id, string_agg(name, '|' ORDER BY name) AS names FROM (
            FROM documents)) GROUP BY doc_id)
 SELECT CAST(sc.doc_id AS VARCHAR) AS abstract_id, CAST(sc.pred_id AS VARCHAR) AS predicted_label,
        round(sc.p0, 6) AS conf_0, round(sc.p1, 6) AS conf_1, coalesce(ex.names, '') AS extracted
-FROM sc JOIN documents d ON d.doc_id = sc.doc_id LEFT JOIN ex ON ex.doc_id = sc.doc_id""")
+FROM sc LEFT JOIN ex ON ex.doc_id = sc.doc_id""")
 def q_enriched_predictions(spark, sf_dir):
-    """Labelled documents scored on their cleaned text, names extracted from the raw text – both
+    """All documents scored on their cleaned text by the model fitted on the labelled ones, names extracted from the raw text – both
     from one row, so no text is joined or shuffled."""
     _, model = _nb(spark, sf_dir)
-    lab = table(spark, sf_dir, "labels").select("doc_id")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").join(lab, "doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = clean_rows(d.withColumn("clean", F.col("text")), "clean")
     preds = score_table(rows, NaiveBayesScorer(model), "text", "doc_id",
                         extractor=lambda c: extract_terms(c, QUERY_TERMS, QUERY_HEAD), score_col="clean")
@@ -348,17 +357,16 @@ def _stream_scratch(spark):
 
 @register("stream_score", SQL["enriched_predictions"])
 def q_stream_score(spark, sf_dir):
-    """``documents`` as a file stream: labelled rows with non-empty cleaned text, scored per micro-batch."""
+    """``documents`` as a file stream: all rows with non-empty cleaned text, scored per micro-batch."""
     from ..functions.text import clean_text
     from ..streaming.score_stream import stream_score
 
     _, model = _nb(spark, sf_dir)
-    lab = table(spark, sf_dir, "labels").select("doc_id")
     base = _stream_scratch(spark)
     schema = table(spark, sf_dir, "documents").schema
 
     def prepare(batch: DataFrame) -> DataFrame:
-        rows = batch.join(lab, "doc_id").where(F.length(clean_text("text")) > 0)
+        rows = batch.where(F.length(clean_text("text")) > 0)
         return rows.select(F.col("doc_id").cast("string").alias("abstract_id"), "text")
 
     q = stream_score(spark, sf_dir, NaiveBayesScorer(model, clean=True), sink=f"{base}/out",

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ class PandasScorer:
                 texts = pdf[text_col].fillna("")
                 z = predict(model, texts) if load else predict(texts)
                 out = pdf[carry].copy()
-                out["logits"] = [list(map(float, row)) for row in z]
+                out["logits"] = np.asarray(z, dtype="float64").tolist()
                 yield out
 
         scored = df.select(*carry, text_col).mapInPandas(run, schema)

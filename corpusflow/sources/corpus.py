@@ -20,6 +20,19 @@ def _decoded_path() -> Column:
     return F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
 
 
+def _local_path(c: Column) -> Column:
+    """A file URI without its scheme and authority."""
+    return F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+
+
+def _roots(spark: SparkSession, root: str) -> list[str]:
+    """Paths that ``root`` stands for: itself, or the folders that a glob matches."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(path) or []
+    return [fs.makeQualified(s.getPath()).toUri().getPath() for s in found]
+
+
 def read_class_folders(spark: SparkSession, root: str, required: list[str] | None = None,
                        min_partitions: int | None = None) -> DataFrame:
     """``<root>/<label>/<id>.txt`` -> ``abstract_id, text, label, filepath``.
@@ -34,13 +47,12 @@ def read_class_folders(spark: SparkSession, root: str, required: list[str] | Non
     raw = reader.text(root, wholetext=True)
     path = _decoded_path()
     parts = F.split(path, "/")
-    root_name = root.rstrip("/").rsplit("/", 1)[-1]
     df = raw.select(
         F.regexp_replace(F.element_at(parts, -1), r"\.txt$", "").alias("abstract_id"),
         strip_ws(F.regexp_replace(F.col("value"), "\ufffd", "")).alias("text"),
         F.element_at(parts, -2).alias("label"),
         path.alias("filepath"),
-    ).where(F.element_at(parts, -3) == F.lit(root_name))
+    ).where(_local_path(F.array_join(F.slice(parts, 1, F.size(parts) - 2), "/")).isin(_roots(spark, root)))
     if required:
         require_labels(df, required, root)
     return df
@@ -84,8 +96,17 @@ def file_ordinal(df: DataFrame, col: str = "_cf_ordinal", path_col: str | None =
     return out if path_col else out.drop(f)
 
 
+def file_starts(df: DataFrame, path_col: str) -> DataFrame:
+    """``path, _cf_start``: rows in the files before each file, in path order (one row per file)."""
+    from pyspark.sql import Window
+
+    w = Window.orderBy(path_col).rowsBetween(Window.unboundedPreceding, -1)
+    per_file = df.groupBy(path_col).agg(F.count(F.lit(1)).alias("_n"))
+    return per_file.select(path_col, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_cf_start"))
+
+
 def read_scoring_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Scoring input: ``text`` required, ``abstract_id`` optional (else ``id_<row in file>``)."""
+    """Scoring input: ``text`` required, ``abstract_id`` optional (else ``id_<row>``, counted over the files in path order)."""
     header = spark.read.options(**CSV_OPTIONS).csv(path).columns
     if "text" not in header:
         raise ValueError("scoring CSV needs a 'text' column")
@@ -99,8 +120,9 @@ def read_scoring_csv(spark: SparkSession, path: str) -> DataFrame:
 
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
-    df = file_ordinal(df)
-    return df.select(F.concat(F.lit("id_"), F.col("_cf_ordinal").cast("string")).alias("abstract_id"), "text")
+    from ..operators.labels import with_default_ids
+
+    return with_default_ids(df, source="csv").select("abstract_id", "text")
 
 
 def text_source(spark: SparkSession, text: str, abstract_id: str = "manual_input") -> DataFrame:

@@ -74,5 +74,8 @@ def save_model(model, path: str) -> None:
 
 
 def to_display(preds: DataFrame, n: int = 3) -> DataFrame:
-    """The first ``n`` predictions in id order (a preview; top-n, not a collect of everything)."""
-    return preds.orderBy(F.col("abstract_id")).limit(n)
+    """The first ``n`` predictions in id order (a preview; top-n, not a collect of everything).
+
+    Shorter ids come first, so ``id_2`` stands before ``id_10``.
+    """
+    return preds.orderBy(F.length("abstract_id"), F.col("abstract_id")).limit(n)

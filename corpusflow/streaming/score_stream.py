@@ -65,7 +65,7 @@ def stream_score_csv(spark: SparkSession, source: str, scorer, sink: str, checkp
     """Score CSV files (``text``, optional ``abstract_id``) arriving under ``source`` -> JSON lines.
 
     ``columns`` is the CSV header layout (all read as strings); when not given it is taken from the
-    files already in ``source``. Rows without an ``abstract_id`` column get ``id_<row in its file>``.
+    files already in ``source``. Rows without an ``abstract_id`` column get ``<file name>#id_<row in the file>``.
     """
     from pyspark.sql import types as T
 
@@ -89,7 +89,9 @@ def stream_score_csv(spark: SparkSession, source: str, scorer, sink: str, checkp
         from ..sources.corpus import file_ordinal
 
         x = file_ordinal(batch, "_cf_ordinal", path_col="_cf_path")  # files arrive whole, one task each
-        return x.select(F.concat(F.lit("id_"), F.col("_cf_ordinal").cast("string")).alias("abstract_id"), "text")
+        # the file's name makes the id unique over files and batches, and leads back to the row
+        name = F.regexp_extract("_cf_path", r"([^/]+)$", 1)
+        return x.select(F.concat(name, F.lit("#id_"), F.col("_cf_ordinal").cast("string")).alias("abstract_id"), "text")
 
     w = stream.writeStream.foreachBatch(_writer(scorer, sink, "json", extractor, prepare, keep_file_order=True)).option(
         "checkpointLocation", checkpoint)

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators.compare import compare, core_table, extract_core, flat_cm_stats
@@ -37,3 +38,24 @@ def test_compare_deltas_and_missing(spark):
     assert r.delta_fp == 1 and r.delta_fn == 0 and r.missing == []
     b = compare(c, "base", "bad").first()
     assert b.delta_accuracy is None and b.missing == ["accuracy", "confusion_matrix"]
+
+
+def test_deeply_wrapped_record(spark):
+    record = '{"accuracy": 0.5, "f1": 0.25, "confusion_matrix": [[1, 0], [0, 1]]}'
+    for _ in range(6):
+        record = '{"metrics": ' + record + "}"
+    row = core_table(spark.createDataFrame([("m", record)], "model string, json string"), keep=["model"]).first()
+    assert (row.accuracy, row.f1, row.tp) == (0.5, 0.25, 1)
+
+
+def test_two_records_of_a_model_are_refused(spark):
+    rows = [("a", '{"accuracy": 1}'), ("a", '{"accuracy": 0}'), ("b", '{"accuracy": 1}')]
+    core = core_table(spark.createDataFrame(rows, "model string, json string"), keep=["model"])
+    with pytest.raises(Exception, match="several metric records"):
+        compare(core, "a", "b").collect()
+
+
+def test_comparison_holds_matrices_and_reports(spark):
+    rows = [(m, '{"accuracy": 1, "f1": 1, "confusion_matrix": [[1,0],[0,2]], "report": "r"}') for m in "ab"]
+    row = compare(core_table(spark.createDataFrame(rows, "model string, json string"), keep=["model"]), "a", "b").first()
+    assert row.base_confusion_matrix == row.cand_confusion_matrix == [[1, 0], [0, 2]] and row.cand_classification_report == "r"

@@ -65,3 +65,10 @@ def test_ungrouped_extra_metric_has_no_cross_join(spark):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     m = out.first()
     assert m.accuracy == 0.5 and m.n_pos_pred == 2 and m.worst == 1 and m.confusion_matrix == [[1, 1], [1, 1]]
+
+
+def test_report_text_is_in_class_order(spark):
+    rows = [(i % 12, (i * 5) % 12) for i in range(60)]
+    long = confusion_long(spark.createDataFrame(rows, "label_id int, pred_id int"))
+    text = report_text(class_report(long)).first()[0]
+    assert [x.split()[0] for x in text.split("\n")[1:13]] == [str(i) for i in range(12)]

@@ -86,14 +86,42 @@ def test_scoring_csv_default_ids(spark, tmp_dir):
     assert got == {"id_0": "first", "id_1": "second", "id_2": "third"}
 
 
-def test_default_ids_restart_per_file(spark, tmp_dir):
+def test_default_ids_count_over_files(spark, tmp_dir):
     d = os.path.join(tmp_dir, "many")
     os.makedirs(d)
     for k, n in (("a", 5), ("b", 1), ("c", 3)):
         with open(os.path.join(d, f"{k}.csv"), "w") as f:
             f.write("text\n" + "".join(f"{k}{i}\n" for i in range(n)))
     got = {r.text: r.abstract_id for r in src.read_scoring_csv(spark, d).collect()}
-    assert got == {f"{k}{i}": f"id_{i}" for k, n in (("a", 5), ("b", 1), ("c", 3)) for i in range(n)}
+    rows = [f"{k}{i}" for k, n in (("a", 5), ("b", 1), ("c", 3)) for i in range(n)]
+    assert got == {t: f"id_{i}" for i, t in enumerate(rows)}
+
+
+def test_default_ids_unique_over_parquet_files(spark, tmp_dir):
+    from corpusflow.operators.labels import with_default_ids
+
+    path = os.path.join(tmp_dir, "two")
+    spark.range(10).selectExpr("id", "concat('t', id) AS text").repartition(2).write.parquet(path)
+    ids = [r[0] for r in with_default_ids(spark.read.parquet(path)).select("abstract_id").collect()]
+    assert sorted(ids) == sorted(f"id_{i}" for i in range(10))
+
+
+def test_class_folders_of_dotted_and_globbed_roots(spark, tmp_dir):
+    for part in ("p1", "p2"):
+        os.makedirs(os.path.join(tmp_dir, part, "Cancer"))
+        for where in (("Cancer", "1.txt"), ("loose.txt",)):
+            with open(os.path.join(tmp_dir, part, *where), "w") as f:
+                f.write("text")
+    one = src.read_class_folders(spark, os.path.join(tmp_dir, "p1", "."))
+    assert [(r.abstract_id, r.label) for r in one.collect()] == [("1", "Cancer")]
+    assert src.read_class_folders(spark, os.path.join(tmp_dir, "p*")).count() == 2
+
+
+def test_preview_is_in_row_order(spark):
+    from corpusflow.sources.sinks import to_display
+
+    d = spark.createDataFrame([(f"id_{i}",) for i in range(25)], "abstract_id string")
+    assert [r[0] for r in to_display(d).collect()] == ["id_0", "id_1", "id_2"]
 
 
 def test_read_metrics_files_with_missing(spark, tmp_dir):

@@ -77,14 +77,41 @@ def test_pandas_scorer(spark):
     assert out["b"].predicted_labels == ["Long"] and out["a"].confidence_scores["Long"] > 0.5
 
 
-def test_encode_paths_agree(spark, lab, monkeypatch):
+def test_encode_equals_plain_lookup(spark, lab):
     p, _ = lab
     rows = p.select("doc_id", word_tokens("text").alias("tokens"))
-    vocab = enc.build_vocab(rows, "tokens", 500)
-    a = {r.doc_id: (r.input_ids, r.attention_mask) for r in enc.encode(rows, "tokens", vocab, 12).collect()}
-    b = {r.doc_id: (r.input_ids, r.attention_mask) for r in
-         enc.encode(rows, "tokens", vocab, 12, max_literal=0).collect()}
-    assert a == b and all(len(v[0]) == 12 for v in a.values())
+    for size in (500, None):
+        vocab = enc.build_vocab(rows, "tokens", size)
+        ids = {r.token: r.token_id for r in vocab.collect()}
+        assert sorted(ids.values()) == list(range(2, 2 + len(ids))) and (size is None or len(ids) == size)
+        got = {r.doc_id: (r.input_ids, r.attention_mask) for r in enc.encode(rows, "tokens", vocab, 12).collect()}
+        for r in rows.collect():
+            want = [ids.get(t, 1) for t in r.tokens[:12]]
+            assert got[r.doc_id] == (want + [0] * (12 - len(want)), [1] * len(want) + [0] * (12 - len(want)))
+
+
+def test_encode_null_and_empty_tokens(spark):
+    d = spark.createDataFrame([(1, ["a", "b"]), (2, None), (3, [])], "i int, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 2)], "token string, token_id int")
+    got = {r.i: (r.input_ids, r.attention_mask) for r in enc.encode(d, "tokens", vocab, 3).collect()}
+    assert got == {1: ([2, 1, 0], [1, 1, 0]), 2: ([0] * 3, [0] * 3), 3: ([0] * 3, [0] * 3)}
+
+
+def test_fits_use_several_tasks(spark):
+    from corpusflow.session import spread
+
+    d = spark.range(100).repartition(1)
+    assert spread(d).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_spark_ml_scorer(spark, lab):
+    from corpusflow.models.linear import fit_text_lr
+    from corpusflow.plans.score import SparkMLScorer, score_table
+
+    p, _ = lab
+    model = fit_text_lr(p, "text", "label_id", num_features=1 << 10, reg_param=0.1, max_iter=5)
+    out = score_table(p.select(p["doc_id"].alias("abstract_id"), "text"), SparkMLScorer(model, ["0", "1"])).collect()
+    assert len(out) == p.count() and all(abs(sum(r.confidence_scores.values()) - 1) < 1e-9 for r in out)
 
 
 def test_centroid_model(spark):

@@ -83,3 +83,17 @@ def test_seeded_rank_with_a_hot_duplicated_id(spark):
     for g in got:
         lo = first[g.doc_id] or 0
         assert (g.lo, g.hi) == (lo, lo + g.n - 1)  # copies occupy their key's block
+
+
+def test_null_ids_are_kept(spark):
+    for nulls in (0, 50, 67, 98, 100):
+        rows = [(None if i < nulls else i, i) for i in range(100)]
+        out = split_exact(spark.createDataFrame(rows, "id int, row int").repartition(4), "id", 0.8, 0.1, 42)
+        got = {r[0]: r[1] for r in out.groupBy("split").count().collect()}
+        assert got == {"train": 80, "val": 10, "test": 10} and out.select("row").distinct().count() == 100
+
+
+def test_seeded_rank_keeps_null_ids(spark):
+    rows = [(None if i < 40 else i // 2, i) for i in range(100)]
+    out = seeded_rank(spark.createDataFrame(rows, "id int, row int").repartition(4), "id", 42).collect()
+    assert sorted(r["pos"] for r in out) == list(range(100)) and len({r["row"] for r in out}) == 100

@@ -25,3 +25,9 @@ def test_label_counts_long(spark):
     df = spark.createDataFrame([("X", "train"), ("X", "test"), ("Y", "test")], "label string, split string")
     got = {(r.scope, r.label): r.n for r in label_counts(df).collect()}
     assert got == {("global", "X"): 2, ("global", "Y"): 1, ("train", "X"): 1, ("test", "X"): 1, ("test", "Y"): 1}
+
+
+def test_missing_label_is_a_sample_but_no_entry(spark):
+    d = spark.createDataFrame([("a b", "x", "train"), ("c", None, "train"), ("d", "x", "val")], "text string, label string, split string")
+    got = {r.scope: r for r in corpus_stats(d).collect()}
+    assert got["global"].num_samples == 3 and got["global"].label_counts == {"x": 2}

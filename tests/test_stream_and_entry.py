@@ -27,7 +27,8 @@ def test_stream_csv_default_ids(spark):
     out = catalog.QUERIES["stream_csv"](spark, SF_SMALL)
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
     assert out.count() == docs
-    assert out.where(~F.col("abstract_id").startswith("id_")).count() == 0
+    assert out.where(~F.col("abstract_id").rlike(r"^part-.*csv#id_\d+$")).count() == 0
+    assert out.select("abstract_id").distinct().count() == docs  # unique over files and batches
     assert out.where(F.size("extracted_diseases") > 0).count() > 0  # the text column arrived
 
 
@@ -47,4 +48,4 @@ def test_csv_stream_bounded_batches(spark, tmp_dir):
     assert len(batches) == 3  # one file per micro-batch
     out = spark.read.json(tmp_dir + "/out")
     assert out.count() == 9
-    assert sorted(r.abstract_id for r in out.collect()) == sorted(f"id_{i}" for n in (4, 2, 3) for i in range(n))
+    assert sorted(r.abstract_id for r in out.collect()) == sorted(f"{k}.csv#id_{i}" for k, n in (("a", 4), ("b", 2), ("c", 3)) for i in range(n))

@@ -54,3 +54,10 @@ def test_word_border_normalisation(spark):
 def test_strip_ws(spark):
     out = spark.createDataFrame([("  x y 　",)], "t string").select(tx.strip_ws("t")).first()[0]
     assert out == "x y"
+
+
+def test_title_case_starts_after_any_non_letter(spark):
+    from corpusflow.functions.text import title_words
+
+    for text in ("non-hodgkin lymphoma", "b2cell tumor", "crohn's disease", "élan vital", "a  b-c 1x", ""):
+        assert spark.createDataFrame([(text,)], "t string").select(title_words("t")).first()[0] == text.title()
