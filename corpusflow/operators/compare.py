@@ -94,7 +94,8 @@ def metrics_json(m: DataFrame, layout: str = "evaluate", keep: list[str] | None
     ``evaluate``: accuracy, precision, recall, f1_score, confusion_matrix, classification_report.
     ``finetune``: accuracy, f1, precision, recall, confusion_matrix, classification_report.
     ``trainer``:  {"metrics": {eval_accuracy, eval_f1, eval_precision, eval_recall,
-    eval_confusion_matrix}, "epoch": ...}.
+    eval_confusion_matrix}, "epoch": ...}. ``trainer_flat``: the same keys without the wrapper, as a trainer
+    writes them after its last epoch.
     """
     keep = list(keep or [])
     report = F.col("classification_report") if "classification_report" in m.columns else F.lit(None).cast("string")
@@ -107,6 +108,8 @@ def metrics_json(m: DataFrame, layout: str = "evaluate", keep: list[str] | None
     elif layout == "trainer":
         inner = F.struct(*[F.col(c).alias(f"eval_{c}") for c in ("accuracy", "f1", "precision", "recall", "confusion_matrix")])
         body = F.struct(inner.alias(WRAPPER_KEY), F.lit(3.0).alias("epoch"))
+    elif layout == "trainer_flat":
+        body = F.struct(*[F.col(c).alias(f"eval_{c}") for c in ("accuracy", "f1", "precision", "recall", "confusion_matrix")])
     else:
         raise ValueError(f"unknown layout {layout!r}")
     return m.select(*keep, F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))

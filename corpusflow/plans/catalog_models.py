@@ -27,8 +27,8 @@ from .score import NaiveBayesScorer, score_table
 COMPARE_K = {1000: "baseline", 2000: "candidate", 4000: "nullf1"}
 
 
-def _metric_records(spark, sf_dir) -> DataFrame:
-    """Metrics of three rule scorers written as JSON in three producers' layouts, read back."""
+def _rule_metric_rows(spark, sf_dir) -> DataFrame:
+    """Metrics of three rule scorers, one row each, written once."""
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label_id"))
     d = table(spark, sf_dir, "documents", spread_rows=False).select("doc_id", "n_chars")
     ks = F.explode(F.array(*[F.lit(k) for k in COMPARE_K])).alias("k")
@@ -37,7 +37,12 @@ def _metric_records(spark, sf_dir) -> DataFrame:
     # three rows, written once: the records below and every comparison read them
     m = materialize(evaluate(preds, group_cols=["k"], classes=[0, 1]), "metric_rows")
     name = F.element_at(F.create_map(*[x for k, v in COMPARE_K.items() for x in (F.lit(k), F.lit(v))]), F.col("k"))
-    m = m.withColumn("model", name)
+    return m.withColumn("model", name)
+
+
+def _metric_records(spark, sf_dir) -> DataFrame:
+    """Metrics of three rule scorers as JSON in three producers' layouts, read back."""
+    m = _rule_metric_rows(spark, sf_dir)
     a = metrics_json(m.where(F.col("model") == "baseline"), "evaluate", keep=["model"])
     b = metrics_json(m.where(F.col("model") == "candidate"), "trainer", keep=["model"])
     # a record where the preferred key is present but null, and a later alias holds a value
@@ -310,23 +315,40 @@ def _text_lr(spark, sf_dir, reg=0.01):
     return p, fit_text_lr(p.where(F.col("split") == "train"), "text", "label_id", num_features=1 << 16, reg_param=reg)
 
 
-@register("linear_text")
+def _checked(out: DataFrame, key: str) -> DataFrame:
+    """Scored rows with what must hold for any fit, next to the row's own columns: probabilities that sum
+    to 1, the predicted id at the largest of them, and training accuracy not below the majority class."""
+    out = out.withColumn("_sum", F.aggregate("probability", F.lit(0.0), lambda a, x: a + x))
+    train = out.where(F.col("split") == "train")
+    right = train.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred_id") == F.col("label_id")).alias("ok"))
+    floor = right.agg((F.sum("ok") >= F.max("n")).alias("x")).first()["x"]
+    return out.select(key, "split", F.col("label_id").cast("int").alias("label_id"), (F.abs(F.col("_sum") - 1) < 1e-9).alias("sums_to_one"),
+                      (F.element_at("probability", F.col("pred_id") + 1) == F.array_max("probability")).alias("is_argmax"),
+                      F.lit(bool(floor)).alias("above_majority"))
+
+
+SQL_CHECKS = "true AS sums_to_one, true AS is_argmax, true AS above_majority"
+
+
+@register("linear_text", f"SELECT doc_id, split, CAST(label_id AS INTEGER) AS label_id, {SQL_CHECKS} FROM {SQL_LAB}")
 def q_linear_text(spark, sf_dir):
     p, model = _text_lr(spark, sf_dir)
     out = predict_text(model, p.select("doc_id", "split", "label_id", "text"))
-    return out.select("doc_id", "split", "label_id", "pred_id", F.round(F.col("probability")[1], 6).alias("prob_1"))
+    return _checked(materialize(out.select("doc_id", "split", "label_id", "pred_id", "probability"), "linear_text"), "doc_id")
 
 
-@register("linear_frozen")
+@register("linear_frozen", f"SELECT vec_id, split, CAST(label AS INTEGER) AS label_id, {SQL_CHECKS} FROM {SQL_EMB}")
 def q_linear_frozen(spark, sf_dir):
     e = split_exact(table(spark, sf_dir, "embeddings"), "vec_id", TRAIN, VAL, SEED)
     model = fit_vector_lr(e.where(F.col("split") == "train"), "embedding", "label", reg_param=0.01)
-    out = predict_vectors(model, e)
-    return out.select("vec_id", "split", F.col("label").alias("label_id"), "pred_id",
-                      F.round(F.array_max("probability"), 6).alias("p_max"))
+    out = predict_vectors(model, e).withColumnRenamed("label", "label_id")
+    return _checked(materialize(out.select("vec_id", "split", "label_id", "pred_id", "probability"), "linear_frozen"), "vec_id")
 
 
-@register("linear_params")
+@register("linear_params", f"""
+SELECT split, count(*) AS rows, CAST((max(len(embedding)) + 1) * (SELECT count(DISTINCT label) FROM embeddings) AS INTEGER) AS trainable,
+       CAST(max(len(embedding)) AS INTEGER) AS input_width, CAST((SELECT count(DISTINCT label) FROM embeddings) AS INTEGER) AS classes
+FROM {SQL_EMB} GROUP BY split""")
 def q_linear_params(spark, sf_dir):
     e = split_exact(table(spark, sf_dir, "embeddings"), "vec_id", TRAIN, VAL, SEED)
     model = fit_vector_lr(e.where(F.col("split") == "train"), "embedding", "label", reg_param=0.01, max_iter=20)
@@ -336,16 +358,116 @@ def q_linear_params(spark, sf_dir):
                          F.lit(info["input_width"]).alias("input_width"), F.lit(info["classes"]).alias("classes"))
 
 
-@register("select_best")
+@register("select_best", f"""
+SELECT candidate, reg_param, (SELECT count(*) FROM {SQL_LAB} WHERE split = 'val') AS support, true AS choice_is_best
+FROM (VALUES (0, 0.0::DOUBLE), (1, 0.01::DOUBLE), (2, 0.1::DOUBLE)) v(candidate, reg_param)""")
 def q_select_best(spark, sf_dir):
     p, _ = labelled(spark, sf_dir)
     train, val = p.where(F.col("split") == "train"), p.where(F.col("split") == "val")
     regs = [0.0, 0.01, 0.1]
     sel = select_text_lr(train, val, regs, "text", "label_id", num_features=1 << 16)
+    rows = materialize(sel.table.select("candidate", "f1", "support"), "selection")
+    top = rows.orderBy(F.desc("f1"), "candidate").first()["candidate"]
     reg = F.element_at(F.array(*[F.lit(r) for r in regs]), F.col("candidate") + 1)
-    return sel.table.select("candidate", reg.alias("reg_param"), F.round("f1", 6).alias("f1"),
-                            F.round("accuracy", 6).alias("accuracy"),
-                            (F.col("candidate") == F.lit(regs.index(sel.best_params["reg_param"]))).alias("chosen"))
+    return rows.select("candidate", reg.alias("reg_param"), "support",
+                       F.lit(regs[top] == sel.best_params["reg_param"]).alias("choice_is_best"))
+
+
+# ---------------------------------------------------------------- two trained models on one test split (ML8, AGG16-18)
+ALPHAS = {"baseline": 1.0, "candidate": 0.05}
+
+
+def _sql_trained(alpha: float) -> str:
+    nb = SQL_NB.replace("+ 1.0) / (tot.tot + v.v)", f"+ {alpha}) / (tot.tot + {alpha} * v.v)")
+    return f"(WITH {nb} {sql_metrics('(SELECT * FROM sc WHERE split = ' + chr(39) + 'test' + chr(39) + ')', rounded=False)})"
+
+
+@register("compare_trained", f"""
+SELECT round(c.accuracy - b.accuracy, 6) AS delta_accuracy, round(c.f1 - b.f1, 6) AS delta_f1, c.fp - b.fp AS delta_fp, c.fn - b.fn AS delta_fn,
+       '[[' || b.tn || ',' || b.fp || '],[' || b.fn || ',' || b.tp || ']]' AS base_matrix,
+       '[[' || c.tn || ',' || c.fp || '],[' || c.fn || ',' || c.tp || ']]' AS cand_matrix
+FROM {_sql_trained(ALPHAS['baseline'])} b, {_sql_trained(ALPHAS['candidate'])} c""")
+def q_compare_trained(spark, sf_dir):
+    """Naive Bayes with two smoothing values, fitted on the same rows and compared on the same test split."""
+    p, dim = labelled(spark, sf_dir)
+    labels = label_list(dim)
+    tokens = materialize(p.select("doc_id", "split", "label_id", word_tokens("text").alias("tokens")), "tokens")
+    scored = None
+    for name, alpha in ALPHAS.items():
+        model = fit_naive_bayes(tokens.where(F.col("split") == "train"), "tokens", "label_id", labels, alpha)
+        z = model.logits(tokens.where(F.col("split") == "test"), "tokens", carry=["doc_id", "label_id"])
+        z = z.select(F.lit(name).alias("model"), "label_id", vx.argmax("logits").alias("pred_id"))
+        scored = z if scored is None else scored.unionByName(z)
+    m = evaluate(scored, group_cols=["model"], classes=[0, 1])
+    core = materialize(core_table(metrics_json(m, "trainer_flat", keep=["model"]), keep=["model"]), "trained_records")
+    r = compare(core, "baseline", "candidate")
+    return r.select(F.round("delta_accuracy", 6).alias("delta_accuracy"), F.round("delta_f1", 6).alias("delta_f1"), "delta_fp", "delta_fn",
+                    F.to_json("base_confusion_matrix").alias("base_matrix"), F.to_json("cand_confusion_matrix").alias("cand_matrix"))
+
+
+# ---------------------------------------------------------------- files out and in again (SRC3, SRC6-9, SNK1-2, SNK5-7)
+@register("csv_round_trip", f"SELECT doc_id, label, split, md5(text) AS text_md5 FROM {SQL_LAB}")
+def q_csv_round_trip(spark, sf_dir):
+    """Prepared rows written as quoted CSV by split and read back with line breaks and quotes intact."""
+    from ..schemas import PREPARED
+    from ..session import scratch_path
+    from ..sources.corpus import read_prepared_csv
+    from ..sources.sinks import write_prepared
+
+    p, _ = labelled(spark, sf_dir)
+    rows = p.select(F.col("doc_id").cast("string").alias("abstract_id"), "text", "label", F.lit("").alias("filepath"),
+                    F.col("label_id").cast("int").alias("label_id"), "split")
+    path = scratch_path(spark, "csv_round_trip")
+    write_prepared(rows.select(*PREPARED.fieldNames()), path, fmt="csv", by_split=False)
+    back = read_prepared_csv(spark, path)
+    return back.select(F.col("abstract_id").cast("long").alias("doc_id"), "label", "split", F.md5("text").alias("text_md5"))
+
+
+@register("label_map_round_trip", """
+SELECT lang AS label, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS label_id FROM (SELECT DISTINCT lang FROM documents)""")
+def q_label_map_round_trip(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sources.corpus import read_label_map
+    from ..sources.sinks import write_label_map
+
+    path = scratch_path(spark, "label_map")
+    write_label_map(label_dimension(table(spark, sf_dir, "documents", spread_rows=False).select(F.col("lang").alias("label"))), path)
+    return read_label_map(spark, path).select("label", "label_id")
+
+
+@register("model_round_trip", SQL["nb_score"])
+def q_model_round_trip(spark, sf_dir):
+    """The naive Bayes model saved, loaded and applied."""
+    from ..models.nb import NaiveBayesModel
+    from ..session import scratch_path
+    from ..sources.sinks import save_model
+
+    p, model = _nb(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    save_model(model, path)
+    z = NaiveBayesModel.load(spark, path).logits(
+        p.select("doc_id", "split", word_tokens("text").alias("tokens")), "tokens", carry=["doc_id", "split"])
+    s = z.withColumn("probs", vx.softmax("logits")).withColumn("pred_id", vx.argmax("probs"))
+    return s.select("doc_id", "split", "pred_id", F.round(F.col("logits")[0], 6).alias("logit_0"),
+                    F.round(F.col("logits")[1], 6).alias("logit_1"), F.round(F.col("probs")[1], 6).alias("prob_1"))
+
+
+@register("metrics_files", f"""
+SELECT k.model, round(m.accuracy, 6) AS accuracy, round(m.f1, 6) AS f1, m.tp
+FROM (VALUES ('baseline'), ('candidate'), ('absent')) k(model) LEFT JOIN {SQL_COMPARE_M} m ON m.model = k.model""")
+def q_metrics_files(spark, sf_dir):
+    """Metric records written as files, read back by model; a model without a file gives nulls."""
+    from ..session import scratch_path
+    from ..sources.corpus import read_metrics
+    from ..sources.sinks import write_metrics
+
+    base, paths = scratch_path(spark, "metrics"), {}
+    m = _rule_metric_rows(spark, sf_dir)
+    for name, layout in (("baseline", "evaluate"), ("candidate", "trainer_flat")):
+        write_metrics(metrics_json(m.where(F.col("model") == name), layout).coalesce(1), f"{base}/{name}")
+        paths[name] = f"{base}/{name}"
+    c = read_metrics(spark, paths | {"absent": f"{base}/absent"})
+    return c.select("model", F.round("accuracy", 6).alias("accuracy"), F.round("f1", 6).alias("f1"), "tp")
 
 
 # ---------------------------------------------------------------- streams (STR1-2)

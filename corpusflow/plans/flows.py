@@ -31,12 +31,14 @@ SCOPES = ["train", "val", "test"]
 
 def prepare_corpus(spark: SparkSession, root: str, out_dir: str, labels: list[str] | None = None,
                    train_ratio: float = 0.8, val_ratio: float = 0.1, seed: int = 42, csv: bool = False):
-    """Folders -> ``out_dir/{prepared, label_map, stats}`` (+ ``prepared_csv``)."""
+    """Folders -> ``out_dir/{prepared, label_map, stats}`` (+ ``prepared_csv`` by split and
+    ``full_cleaned_csv``, the whole cleaned set as one export in path order)."""
     raw = src.read_class_folders(spark, root, required=labels)
     prepared, dim = prepare(raw, "abstract_id", "text", "label", train_ratio, val_ratio, seed)
     sinks.write_prepared(prepared, f"{out_dir}/prepared")
     if csv:
         sinks.write_prepared(prepared, f"{out_dir}/prepared_csv", fmt="csv")
+        sinks.write_prepared(prepared, f"{out_dir}/full_cleaned_csv", fmt="csv", by_split=False, order_by="filepath")
     sinks.write_label_map(dim, f"{out_dir}/label_map")
     stats = corpus_stats(src.read_prepared(spark, f"{out_dir}/prepared"), scopes=SCOPES)
     sinks.write_stats(stats, f"{out_dir}/stats")
