@@ -22,9 +22,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Batches of whole texts for Python tasks are bounded by bytes, not only by rows.
+_BATCH_BYTES, _MOST_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on an Arrow batch's bytes (64 MB by default) to a few megabytes."""
+    if int(spark.conf.get(_BATCH_BYTES).rstrip("bB")) != _MOST_BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(_MOST_BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write into the shared checkpoint folder and read back: cuts the lineage, frees the shuffles behind it."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -36,6 +47,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the data folder, through Spark's reader only."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

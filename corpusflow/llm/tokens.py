@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SPAN_BYTES = 1 << 20
+SPAN_BYTES = 1 << 18
 
 U64 = np.uint64
 _RNG = np.random.default_rng(20_240_229)
