@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 # parameter tables up to this many bytes (estimated) are broadcast to the scoring join
-MAX_BROADCAST_BYTES = 512 << 20
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 @dataclass
@@ -34,6 +34,7 @@ class NaiveBayesModel:
     params: DataFrame  # token string, logp array<double> (index = label id)
     vocab_size: int
     alpha: float = 1.0
+    token_bytes: int = 0  # of all tokens of the vocabulary
 
     @property
     def num_classes(self) -> int:
@@ -47,14 +48,15 @@ class NaiveBayesModel:
     def save(self, path: str) -> None:
         spark = self.params.sparkSession
         self.params.write.mode("overwrite").parquet(f"{path}/params")
-        meta = {"labels": self.labels, "log_priors": self.log_priors, "vocab_size": self.vocab_size, "alpha": self.alpha}
+        meta = {"labels": self.labels, "log_priors": self.log_priors, "vocab_size": self.vocab_size, "alpha": self.alpha,
+                "token_bytes": self.token_bytes}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "NaiveBayesModel":
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         return NaiveBayesModel(meta["labels"], meta["log_priors"], spark.read.parquet(f"{path}/params"),
-                               int(meta["vocab_size"]), float(meta["alpha"]))
+                               int(meta["vocab_size"]), float(meta["alpha"]), int(meta["token_bytes"]))
 
     def logits(self, df: DataFrame, tokens_col: str = "tokens", carry: list[str] | None = None,
                out_col: str = "logits") -> DataFrame:
@@ -66,7 +68,7 @@ class NaiveBayesModel:
         keyed = df.select(F.monotonically_increasing_id().alias(key), *carry, F.col(tokens_col).alias("_cf_tokens"))
         ex = keyed.select(key, *carry, F.explode_outer("_cf_tokens").alias("token"))
         side = self.params.select("token", "logp")
-        est = self.vocab_size * (8 * k + 48)
+        est = self.vocab_size * (8 * k + 48) + self.token_bytes
         side = F.broadcast(side) if est <= MAX_BROADCAST_BYTES else side
         j = ex.join(side, "token", "left")
         # the carried columns are fixed per row id, so they join the grouping key: the aggregate
@@ -92,7 +94,7 @@ def fit_naive_bayes(df: DataFrame, tokens_col: str = "tokens", label_col: str =
         cnt = cnt.checkpoint(eager=True)
     tot_rows = cnt.groupBy("label_id").agg(F.sum("n")).collect()  # L rows
     totals = {int(r[0]): int(r[1]) for r in tot_rows}
-    v = cnt.select("token").distinct().count()
+    v, token_bytes = cnt.select("token").distinct().agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
     per_token = cnt.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("label_id", "n"))).alias("m"))
     logp = F.array(*[
         F.log((F.coalesce(F.element_at("m", F.lit(i)), F.lit(0)) + F.lit(alpha)) / F.lit(totals.get(i, 0) + alpha * v))
@@ -102,4 +104,4 @@ def fit_naive_bayes(df: DataFrame, tokens_col: str = "tokens", label_col: str =
     if checkpoint:
         params = params.checkpoint(eager=True)
     priors = [math.log(docs.get(i, 0) / n_docs) if docs.get(i, 0) else float("-inf") for i in ids]
-    return NaiveBayesModel(labels, priors, params, v, alpha)
+    return NaiveBayesModel(labels, priors, params, int(v), alpha, int(token_bytes))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Above this many distinct labels the dimension is joined by shuffle instead of broadcast.
 MAX_BROADCAST_LABELS = 100_000
+MAX_BROADCAST_BYTES = 16 << 20
 
 
 def label_dimension(df: DataFrame, label_col: str = "label", id_col: str = "label_id") -> DataFrame:
@@ -19,7 +20,10 @@ def label_dimension(df: DataFrame, label_col: str = "label", id_col: str = "labe
 
 
 def _small(dim: DataFrame, limit: int) -> bool:
-    return dim.limit(limit + 1).count() <= limit
+    """Whether the dimension may be broadcast: its rows and the bytes of its names are both checked."""
+    names = [f.name for f in dim.schema.fields if f.dataType.simpleString() == "string"]
+    size = dim.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(sum((F.octet_length(c) for c in names), F.lit(16))), F.lit(0))).first()
+    return size[0] <= limit and size[1] <= MAX_BROADCAST_BYTES
 
 
 def with_label_id(df: DataFrame, label_col: str = "label", dim: DataFrame | None = None,

@@ -184,43 +184,25 @@ def _split_straddling(out, keyed, id_col, split_col, cuts, straddles, names):
     return result
 
 
-def seeded_rank(df: DataFrame, id_col: str, seed: int = 42, pos_col: str = "pos", bucket_digits: int = 5) -> DataFrame:
+def seeded_rank(df: DataFrame, id_col: str, seed: int = 42, pos_col: str = "pos") -> DataFrame:
     """0-based position of every row in the seeded order (a distributed, skew-free rank).
 
-    1. Distinct keys with multiplicities (partial aggregation: a hot id is one row).
-    2. Key start = bucket start (from the bounded bucket histogram) + running sum of the earlier
-       keys of the bucket – a window over distinct keys, so buckets are balanced by the hash.
-    3. Rows join their key's start (a hot key on the row side is split by adaptive skew handling).
-    4. Only if some id has copies: those copies are checkpointed (fixed order) and ranked per
-       (key, scan partition) after a per-key prefix over partitions – no task holds a whole group.
+    One range exchange sorts the rows by ``(key, id)``; copies of an id are ordered by a hash of their
+    place in the input, so a hot id is spread over range partitions like any other rows. The sorted rows
+    are written to the shared checkpoint folder with their place in their partition (which fixes the
+    order if a task is run again), and a row's position is that place plus the rows of the partitions
+    before – a running sum over one row per partition. A null id comes before the other ids of its key.
 
     Use ``split_exact`` when only the split is needed: it does not move the rows at all.
     """
-    from pyspark.sql import SparkSession
-
-    from ..session import ensure_checkpoint_dir
-
-    keyed = df.withColumn(K, seeded_key(id_col, seed)).withColumn(B, _bucket(F.col(K), bucket_digits))
-    keys = keyed.groupBy(B, K, id_col).agg(F.count(F.lit(1)).alias("_c"))
-    hist = keys.groupBy(B).agg(F.sum("_c").alias("_bc"))  # at most 16**digits rows
-    w_all = Window.orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
-    starts = hist.select(B, F.coalesce(F.sum("_bc").over(w_all), F.lit(0)).alias("_bs"))
-    wk = Window.partitionBy(B).orderBy(K, id_col).rowsBetween(Window.unboundedPreceding, -1)
-    keys = keys.join(F.broadcast(starts), B).select(
-        K, id_col, "_c", (F.col("_bs") + F.coalesce(F.sum("_c").over(wk), F.lit(0))).alias("_ks"))
-    same = keyed[K].eqNullSafe(keys[K]) & keyed[id_col].eqNullSafe(keys[id_col])  # null ids are rows too
-    ranked = keyed.join(keys, same).drop(keys[K]).drop(keys[id_col])
-    if keys.where(F.col("_c") > 1).limit(1).count() == 0:
-        return ranked.withColumn(pos_col, F.col("_ks").cast("long")).drop(K, B, "_c", "_ks")
-    ensure_checkpoint_dir(SparkSession.getActiveSession())
-    singles = ranked.where(F.col("_c") == 1).withColumn(pos_col, F.col("_ks").cast("long"))
-    dups = ranked.where(F.col("_c") > 1).checkpoint(eager=True)
-    dups = dups.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
-    cnt = dups.groupBy(K, id_col, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    wp = Window.partitionBy(K, id_col).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    pref = cnt.select(K, id_col, "_p", F.coalesce(F.sum("_n").over(wp), F.lit(0)).alias("_pre"))
-    wl = Window.partitionBy(K, id_col, "_p").orderBy("_m")
-    same = dups[K].eqNullSafe(pref[K]) & dups[id_col].eqNullSafe(pref[id_col]) & (dups["_p"] == pref["_p"])
-    dups = dups.join(pref, same).drop(pref[K]).drop(pref[id_col]).drop(pref["_p"]).withColumn(
-        pos_col, (F.col("_ks") + F.col("_pre") + F.row_number().over(wl) - 1).cast("long")).drop("_m", "_p", "_pre")
-    return singles.unionByName(dups).drop(K, B, "_c", "_ks")
+    from ..session import materialize
+
+    tie = F.xxhash64(F.monotonically_increasing_id())
+    ordered = df.withColumn(K, seeded_key(id_col, seed)).withColumn("_t", tie).orderBy(K, id_col, "_t").drop(K, "_t")
+    rows = materialize(ordered.withColumn("_m", F.monotonically_increasing_id()), "seeded_rank")
+    rows = rows.withColumn("_p", F.shiftright("_m", 33))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_s"))
+    place = F.col("_s") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(starts, "_p").withColumn(pos_col, place.cast("long")).drop("_p", "_m", "_s")

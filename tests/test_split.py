@@ -63,7 +63,7 @@ def test_bad_ratios(spark):
 
 def test_seeded_rank_matches_row_number(spark):
     df = spark.range(800).withColumnRenamed("id", "doc_id")
-    got = {tuple(r) for r in seeded_rank(df, "doc_id", bucket_digits=2).select("doc_id", "pos").collect()}
+    got = {tuple(r) for r in seeded_rank(df, "doc_id").select("doc_id", "pos").collect()}
     w = Window.orderBy(seeded_key("doc_id"), "doc_id")
     want = {tuple(r) for r in df.select("doc_id", (F.row_number().over(w) - 1).alias("pos")).collect()}
     assert got == want
@@ -73,7 +73,7 @@ def test_seeded_rank_with_a_hot_duplicated_id(spark):
     hot = spark.range(200).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").alias("copy")).repartition(5)
     rest = spark.range(300).select((F.col("id") + 1000).alias("doc_id"), F.lit(-1).cast("long").alias("copy"))
     df = hot.unionByName(rest)
-    r = seeded_rank(df, "doc_id", bucket_digits=2)
+    r = seeded_rank(df, "doc_id")
     pos = sorted(x.pos for x in r.collect())
     assert pos == list(range(500))  # a permutation: every position exactly once
     w = Window.orderBy(seeded_key("doc_id"), "doc_id")
