@@ -7,13 +7,16 @@ one keeps passages and lines that many documents share out of the prefixes. Equa
 fingerprint), so exact copies never meet in a join.
 
 Two sets that overlap by the fraction ``t`` of either must share ``m`` of their first
-``n - ceil(t n) + m`` shingles, for any ``m``. From the exact counts of the shortest prefixes (m = 1) each
-document estimates its candidates and takes the ``m`` of least cost: a longer prefix against fewer
-candidates to verify (``_asks``). A first shingle of a few nodes gives their
+``n - ceil(t n) + m`` shingles, for any ``m``. From the exact counts of the shortest prefixes (m = 1) a
+document's candidates are estimated, and it takes the ``m`` of least cost: a longer prefix against fewer
+candidates to verify (``_asks``). Documents that share fewer than a similar one could ask for are set
+aside. A first shingle of a few nodes gives their
 pairs, and a pair counts as a candidate when it shares as many first shingles as the less demanding
-side asks for. A first shingle of more nodes ties each to the smallest node with it (a star, not all
-pairs). Components of these ties are blocks, and every similar pair lies in one: either one of its
-shared first shingles is a star's, or all ``m`` are counted.
+side asks for. Nodes with a more common first shingle (groups of near copies, or chance) meet
+another way: their sets are cut by hash into more parts than similar sets can differ in, so similar ones
+have an equal part, and each node is tied to the smallest node with that part (a star, not all pairs).
+Components of these ties are blocks, and every similar pair lies in one: either one of its shared first
+shingles is common, or all ``m`` are counted.
 
 Within a block the same is done again with the exact counts of the block. Pairs that are already connected are
 not verified again: the result is the components, for which that loses nothing. Blocks above
@@ -32,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm import tokens as tk
@@ -45,8 +48,10 @@ CELLS = 1 << 16
 SHINGLE_CELLS = 1 << 22
 #: Shingles of a block (or of two parts of one) that a task holds at a time.
 MAX_BLOCK = 2_000_000
-#: A first shingle of up to so many nodes gives their pairs; of more, a star to the smallest node.
+#: A first shingle of up to so many nodes gives their pairs; nodes with more common ones meet by equal parts.
 PAIRS_UP_TO = 16
+#: Times that nodes which share too few first shingles are set aside before pairs are made.
+PRUNINGS = 2
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +71,9 @@ def _dense_counts(docs: DataFrame, cells: int, of_text) -> np.ndarray:
             count[at] += n.astype(np.uint32)
         parts = count.reshape(-1, piece)
         some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["piece", "body"])
+        for lo in range(0, len(some), 8):
+            own = some[lo : lo + 8]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([parts[i].tobytes() for i in own], pa.binary())], ["piece", "body"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -162,6 +169,50 @@ def node_table(docs: DataFrame, k: int, percent: int, order: Order) -> DataFrame
     return docs.select("doc_id", "o", "k", "text").mapInArrow(run, "doc_id long, o long, k int, n long, f1 long, f2 long, spare int, prefix array<long>")
 
 
+def part_signatures(ident: np.ndarray, bound: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and signature of the parts of each set, such that similar sets have an equal part.
+
+    Two similar sets of at most ``hi`` shingles differ in at most ``d`` of them, so of ``d + 1`` parts by hash
+    at least one is the same in both. Sizes fall into classes of a fixed ratio; a set also stands in the next
+    class if it can be similar to a larger set there.
+    """
+    n, ratio = np.diff(bound), 105 / percent  # similar sizes differ by less than the ratio of the classes
+    size_class = np.floor(np.log(np.maximum(n, 1)) / np.log(ratio) + 1e-9).astype(np.int64)
+    rows, signs = [], []
+    for step in (0, 1):
+        c = size_class + step
+        low = np.floor(ratio**c)
+        use = np.flatnonzero((n > 0) & ((step == 0) | (100 * n >= percent * low)))
+        if not len(use):
+            continue
+        high = np.ceil(ratio ** (c[use] + 1)) + 1
+        parts = (np.floor(2 * high * (100 - percent) / (100 + percent)) + 1).astype(np.uint64)
+        at = np.repeat(bound[use], n[use]) + np.arange(n[use].sum()) - np.repeat(np.cumsum(n[use]) - n[use], n[use])
+        owner = np.repeat(np.arange(len(use)), n[use])
+        h = tk.mix64(ident[at] + np.uint64(11))
+        part = (h % parts[owner]).astype(np.int64)
+        by = np.lexsort((part, owner))
+        owner, part, h = owner[by], part[by], tk.mix64(h[by])
+        head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]))
+        total = np.add.reduceat(h, head)
+        rows.append(use[owner[head]])
+        signs.append(tk.mix64(total + tk.mix64(part[head].astype(np.uint64) * np.uint64(512) + c[use][owner[head]].astype(np.uint64))))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(rows), np.concatenate(signs)
+
+
+def equal_parts(docs: DataFrame, nodes: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
+    """nodes: node, o, k -> node, sign of the parts of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, lo, hi, data, offsets in tk.text_batches(batches):
+            row, sign = part_signatures(*shingle_sets(data, offsets, k, order), percent)
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row + lo)), pa.array(sign.view(np.int64))], ["node", "sign"])
+
+    return docs.select("o", "k", "text").join(nodes.hint("shuffle_hash"), ["o", "k"]).select("node", "text").mapInArrow(run, "node long, sign long").distinct()
+
+
 def _asks(n: int, spare: int, shared: float) -> int:
     """How many shared shingles to ask for: ``m`` of least ``m + n * shared / m``.
 
@@ -271,16 +322,33 @@ def classes(docs: DataFrame, k: int, percent: int, max_block: int = MAX_BLOCK) -
     # the shortest prefixes: a node that shares none of its shingles there is similar to no other
     first = nodes.select("node", F.explode(F.slice("prefix", F.lit(1), F.col("spare") + 1)).alias("token"))
     often = first.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    cost = first.join(often, "token").groupBy("node").agg(F.sum(F.col("c") - 1).alias("shared"))
-    asks = F.least(F.greatest(F.round(F.sqrt(F.col("n") * F.col("shared"))), F.lit(1)), F.col("spare") + 1, F.greatest(F.col("n") - F.col("spare"), F.lit(1)))
-    longer = nodes.join(cost, "node").withColumn("asks", asks.cast("int"))
-    longer = materialize(longer.select("node", "asks", F.slice("prefix", F.lit(1), F.col("spare") + F.col("asks")).alias("prefix")), "join_longer")
-
-    # ties through the shingles of the lengthened prefixes
-    first = longer.select("node", "asks", F.explode("prefix").alias("token"))
-    often = first.groupBy("token").agg(F.min("node").alias("m"), F.count("*").alias("c")).where("c > 1")
+    cost = materialize(first.join(often, "token").groupBy("node").agg(F.sum(F.col("c") - 1).alias("shared")), "join_cost")
+    shared = cost.agg(F.avg("shared")).first()[0] or 0.0
+
+    def asks(n: Column) -> Column:
+        """``_asks`` as a column, of the size alone, so that similar documents ask for similar numbers."""
+        spare = F.floor(n * (100 - percent) / 100)
+        return F.least(F.greatest(F.round(F.sqrt(n * F.lit(float(shared)))), F.lit(1)), spare + 1, F.greatest(n - spare, F.lit(1))).cast("int")
+
+    # lengthened prefixes; a node that shares fewer of their shingles than the smallest document similar to it
+    # would ask for has no partner, and without it others' shingles become rare
+    first = nodes.join(cost, "node").select("node", "n", asks(F.col("n")).alias("asks"), "spare", "prefix")
+    first = first.select("node", "n", "asks", F.explode(F.slice("prefix", F.lit(1), F.col("spare") + F.col("asks"))).alias("token"))
+    least = asks(F.ceil(F.col("n") * percent / 100))
+    for step in range(PRUNINGS):
+        often = first.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+        common = materialize(first.join(often, "token"), f"join_common_{step}")
+        stays = common.groupBy("node", "n").agg(F.count("*").alias("has")).where(F.col("has") >= least).select("node")
+        first = common.drop("c").join(stays, "node")
+
+    # ties through what is left
+    often = first.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     common = materialize(first.join(often, "token"), "join_common")
-    star = common.where((F.col("c") > PAIRS_UP_TO) & (F.col("node") != F.col("m"))).select(F.col("node").alias("a"), F.col("m").alias("b"))
+    crowded = common.where(F.col("c") > PAIRS_UP_TO).select("node").distinct()
+    crowded = nodes.select("node", "o", "k").join(crowded, "node")
+    parts = materialize(equal_parts(docs, crowded, k, percent, order), "join_parts")
+    least = parts.groupBy("sign").agg(F.min("node").alias("m"), F.count("*").alias("c")).where("c > 1").select("sign", "m")
+    star = parts.join(least, "sign").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
     # rare shingles: pairs, of which each must share as many as the less demanding of the two asks for
     few = common.where(F.col("c") <= PAIRS_UP_TO).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "asks"))).alias("x"))
     pairs = F.flatten(F.transform("x", lambda p, i: F.transform(F.slice("x", i + 2, PAIRS_UP_TO), lambda q: F.struct(p["node"].alias("a"), q["node"].alias("b"), F.least(p["asks"], q["asks"]).alias("asks")))))
@@ -315,7 +383,7 @@ def classes(docs: DataFrame, k: int, percent: int, max_block: int = MAX_BLOCK) -
     sets = wanted.mapInArrow(bodies, "block long, i int, j int, part int, node long, body binary")
     dealt = sets.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
     links = dealt.mapInArrow(lambda it: _link_units(it, percent), "a long, b long")
-    found = components(links)
+    found = components(materialize(links, "join_links"))  # written first: one Python worker a task
 
     named = nodes.select("f1", "f2", "node", "o").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = named.groupBy("c").agg(F.min("o").alias("smallest"))
