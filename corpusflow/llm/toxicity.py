@@ -32,7 +32,7 @@ from corpusflow.llm.common import fold, read, with_columns
 
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.3
-PER_CLASS = 1_500
+PER_CLASS = 3_000
 MAX_TRAIN_CHARS = 8_000
 BUCKET_BITS = 18
 GRAMS = (3, 4, 5)
