@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_ngram_join": ngram_join.SQL,
     "op6_license_scan": license_scan.SQL,
     "op8_source_mix": mixing.SQL,
     "op9_quality_rules": rules.SQL,

@@ -50,6 +50,9 @@ SHINGLE_CELLS = 1 << 22
 MAX_BLOCK = 2_000_000
 #: A first shingle of up to so many nodes gives their pairs; nodes with more common ones meet by equal parts.
 PAIRS_UP_TO = 16
+#: Shared shingles that a document asks for at most: more than a passage of ordinary length holds, and
+#: a bound on what the longest prefixes add to the shortest.
+MAX_MATCHES = 64
 #: Times that nodes which share too few first shingles are set aside before pairs are made.
 PRUNINGS = 2
 
@@ -157,7 +160,7 @@ def node_table(docs: DataFrame, k: int, percent: int, order: Order) -> DataFrame
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(tk.mix64(ident + np.uint64(c)))]) for c in (1, 7)]
             f1, f2 = ((s[bound[1:]] - s[bound[:-1]]).view(np.int64) for s in sums)
             spare = n - _need(n, percent)
-            length = np.minimum(2 * spare + 1, n)  # the longest prefix a document may take
+            length = np.minimum(spare + np.minimum(spare + 1, MAX_MATCHES), n)  # the longest prefix a document may take
             at = np.repeat(bound[:-1], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ident[at].view(np.int64)))
             own = batch.slice(lo, hi - lo)
@@ -219,7 +222,7 @@ def _asks(n: int, spare: int, shared: float) -> int:
     Every further match costs one more posting; ``shared`` others' postings in the shortest prefix make at
     most ``shared / m`` candidates with ``m`` matches, and verifying one reads n shingles.
     """
-    return int(min(max(round((n * shared) ** 0.5), 1), spare + 1, max(n - spare, 1)))
+    return int(min(max(round((n * shared) ** 0.5), 1), spare + 1, max(n - spare, 1), MAX_MATCHES))
 
 
 def link_unit(ids: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -328,7 +331,7 @@ def classes(docs: DataFrame, k: int, percent: int, max_block: int = MAX_BLOCK) -
     def asks(n: Column) -> Column:
         """``_asks`` as a column, of the size alone, so that similar documents ask for similar numbers."""
         spare = F.floor(n * (100 - percent) / 100)
-        return F.least(F.greatest(F.round(F.sqrt(n * F.lit(float(shared)))), F.lit(1)), spare + 1, F.greatest(n - spare, F.lit(1))).cast("int")
+        return F.least(F.greatest(F.round(F.sqrt(n * F.lit(float(shared)))), F.lit(1)), spare + 1, F.greatest(n - spare, F.lit(1)), F.lit(MAX_MATCHES)).cast("int")
 
     # lengthened prefixes; a node that shares fewer of their shingles than the smallest document similar to it
     # would ask for has no partner, and without it others' shingles become rare
@@ -418,3 +421,18 @@ def one_of_each(documents: DataFrame, k: int, percent: int, max_block: int = MAX
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_columns(read(spark, sf_dir, "documents"), {"doc_id": "long", "text": "string"})
     return join(docs, 3, 90)
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+                                          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+t AS (SELECT s.doc_id, s.g, n.n FROM s JOIN n USING (doc_id)),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id)
+SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.root) AS component_id
+FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""
