@@ -49,7 +49,7 @@ def equal_suffixes(text: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.
 
     Returns their indices into ``start``, classes in a row, and the class number of each.
     """
-    if not len(start):
+    if len(start) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     member = np.arange(len(start))
     group = np.zeros(len(start), np.int64)

@@ -183,3 +183,16 @@ def test_components(spark):
 
 def test_shingles_of_short_texts():
     assert shingles("A b", 3) == {("a", "b")} and shingles(" ", 3) == frozenset()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.sets(st.integers(0, 10**6), min_size=1, max_size=120), st.data(), st.sampled_from([80, 90]))
+def test_similar_sets_have_an_equal_part(base, data, percent):
+    x = sorted(base)
+    y = [v for v in x if data.draw(st.floats(0, 1)) > 0.06] + data.draw(st.lists(st.integers(2 * 10**6, 3 * 10**6), max_size=6))
+    y = sorted(set(y))
+    if not y or 100 * len(set(x) & set(y)) < percent * len(set(x) | set(y)):
+        return
+    ident = np.array(x + y, np.uint64)
+    row, sign = ngram_join.part_signatures(ident, np.array([0, len(x), len(x) + len(y)]), percent)
+    assert set(sign[row == 0].tolist()) & set(sign[row == 1].tolist())
