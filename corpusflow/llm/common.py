@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +76,3 @@ def with_columns(df: DataFrame, needed: dict[str, str]) -> DataFrame:
     """Exactly the named columns, cast; a missing one is null. Extra columns of any name are left out."""
     have = set(df.columns)
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in needed.items()])
-
-
-Apply = Callable[[DataFrame], DataFrame]

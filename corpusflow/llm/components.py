@@ -63,7 +63,7 @@ def components(links: DataFrame) -> DataFrame:
     Null ends and self links are ignored; an empty table gives an empty result.
     """
     e = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    e = materialize(e.mapInArrow(_thin, "a long, b long").distinct(), "links")
+    e = materialize(e.distinct().mapInArrow(_thin, "a long, b long").distinct(), "links")
     check = None
     for _ in range(MAX_STEPS):
         # large star: the larger neighbours of a node go to the smallest node around it

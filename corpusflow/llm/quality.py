@@ -36,8 +36,6 @@ MAX_POSITIVES = 6_000
 MAX_UNLABELLED = 6_000
 SEED = 11
 STEPS = 600
-N_WORD_STATS = 13
-WIDTH = 256 + N_WORD_STATS
 
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[0x0A] = True
@@ -58,7 +56,7 @@ def _distinct_per_row(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows x WIDTH: shares of bytes, and shapes of words, lines and repeats, of whole texts."""
+    """One row per text: shares of bytes, and shapes of words, lines and repeats, of whole texts."""
     rows = len(offsets) - 1
     size = np.diff(offsets).astype(float)
     owner = np.repeat(np.arange(rows), np.diff(offsets))
