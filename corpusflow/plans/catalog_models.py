@@ -501,9 +501,9 @@ def q_stream_score(spark, sf_dir):
 CSV_ROWS_PER_FILE = 2_500
 
 
-@register("stream_csv")
-def q_stream_csv(spark, sf_dir):
-    """CSV copies of ``documents`` (no id column) streamed in; ids default to ``id_<row in file>``."""
+def stream_csv_predictions(spark, sf_dir) -> DataFrame:
+    """CSV copies of ``documents`` (no id column) streamed in; ids default to ``<file>#id_<row in file>``."""
+    from ..schemas import PREDICTION
     from ..streaming.score_stream import stream_score_csv
 
     _, model = _nb(spark, sf_dir)
@@ -515,4 +515,11 @@ def q_stream_csv(spark, sf_dir):
     q = stream_score_csv(spark, f"{base}/in", NaiveBayesScorer(model, clean=True), f"{base}/out", f"{base}/ckpt",
                          extractor=lambda c: extract_terms(c, QUERY_TERMS, QUERY_HEAD))
     q.awaitTermination()
-    return spark.read.json(f"{base}/out").drop("batch")
+    return spark.read.schema(PREDICTION).json(f"{base}/out").drop("batch")
+
+
+@register("stream_csv", f"SELECT predicted_label, conf_0, conf_1, extracted, true AS id_names_file FROM ({SQL['enriched_predictions']})")
+def q_stream_csv(spark, sf_dir):
+    """File names differ from run to run, so rows are told apart by what was predicted for them."""
+    p = stream_csv_predictions(spark, sf_dir)
+    return flatten_predictions(p, ["0", "1"]).withColumn("id_names_file", F.col("abstract_id").rlike(r"^part-.*csv#id_\d+$")).drop("abstract_id")

@@ -30,22 +30,3 @@ PREDICTION = T.StructType([
     T.StructField("confidence_scores", T.MapType(T.StringType(), T.DoubleType())),
     T.StructField("extracted_diseases", T.ArrayType(T.StringType())),
 ])
-
-METRICS = T.StructType([
-    T.StructField("accuracy", T.DoubleType()),
-    T.StructField("f1", T.DoubleType()),
-    T.StructField("precision", T.DoubleType()),
-    T.StructField("recall", T.DoubleType()),
-    T.StructField("confusion_matrix", T.ArrayType(T.ArrayType(T.LongType()))),
-    T.StructField("classification_report", T.StringType()),
-])
-
-STATS = T.StructType([
-    T.StructField("scope", T.StringType()),
-    T.StructField("num_samples", T.LongType()),
-    T.StructField("label_counts", T.MapType(T.StringType(), T.LongType())),
-    T.StructField("avg_len_chars", T.DoubleType()),
-    T.StructField("avg_len_words", T.DoubleType()),
-    T.StructField("min_len_words", T.IntegerType()),
-    T.StructField("max_len_words", T.IntegerType()),
-])

@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from corpusflow.operators.compare import compare, core_table, extract_core, flat_cm_stats
 

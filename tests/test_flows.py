@@ -1,7 +1,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from corpusflow.plans import flows
 from test_io import _write_folders

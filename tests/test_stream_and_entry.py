@@ -24,7 +24,9 @@ def test_stream_equals_batch(spark):
 
 
 def test_stream_csv_default_ids(spark):
-    out = catalog.QUERIES["stream_csv"](spark, SF_SMALL)
+    from corpusflow.plans.catalog_models import stream_csv_predictions
+
+    out = stream_csv_predictions(spark, SF_SMALL)
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
     assert out.count() == docs
     assert out.where(~F.col("abstract_id").rlike(r"^part-.*csv#id_\d+$")).count() == 0

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from corpusflow.functions import text as tx
 
