@@ -1,7 +1,7 @@
 """Connected components of a link table, as Spark joins and aggregates.
 
-Large-star and small-star steps alternate until the links no longer change: every node is tied to
-the smallest node it knows, then smaller neighbours are tied to the smallest of them. Links are first
+Small-star and large-star steps alternate until the links no longer change: a node's smaller
+neighbours are tied to the smallest of them, then every node to the smallest around it. Links are
 thinned within each partition to a spanning forest, which leaves most components in one or two steps.
 Minima are partial aggregates, and the joins are plain equi-joins that adaptive execution splits at a
 hub, so a component with a third of all nodes needs no task of its own. Nothing is collected but one
@@ -62,19 +62,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Null ends and self links are ignored; an empty table gives an empty result.
     """
-    e = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    e = materialize(e.distinct().mapInArrow(_thin, "a long, b long").distinct(), "links")
+    ends = F.col("a").cast("long"), F.col("b").cast("long")
+    e = links.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b")).where("a <> b").distinct()
+    e = materialize(e.mapInArrow(_thin, "a long, b long"), "links")
     check = None
     for _ in range(MAX_STEPS):
+        # small star: a node and its smaller neighbours go to the smallest of them
+        least = e.groupBy("a").agg(F.min("b").alias("m"))
+        moved = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = moved.unionByName(least.withColumnRenamed("m", "b")).distinct()
+        small = materialize(small.mapInArrow(_thin, "a long, b long"), "links")
         # large star: the larger neighbours of a node go to the smallest node around it
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = small.unionByName(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: a node and its smaller neighbours go to the smallest of them
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
-        e = materialize(small.where("a <> b").distinct(), "links")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = materialize(large.where("a <> b").distinct(), "links")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == check:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
