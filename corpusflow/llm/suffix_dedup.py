@@ -177,12 +177,15 @@ def removed_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """docs: o, k, text -> ranges of starts (o, k, start, n) whose strings also start earlier."""
     runs = find_runs(docs, length, gram)
     often = runs.groupBy("anchor").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("anchor")
+    # written first: a join of two plain exchanges, which adaptive execution can split at a hot anchor
+    often = materialize(often, "suffix_often")
     shared = materialize(runs.join(often, "anchor"), "suffix_shared")
     place = F.struct("o", "start")
     kinds = shared.groupBy("anchor", "print").agg(F.min(F.struct("o", "start", "k", "n")).alias("first"))
     kinds = materialize(kinds, "suffix_kinds")
     again = shared.join(kinds, ["anchor", "print"]).where(place > F.struct("first.o", "first.start"))
     several = kinds.groupBy("anchor").agg(F.count("*").alias("different")).where(F.col("different") > 1)
+    several = materialize(several, "suffix_several")
     edges = kinds.join(several, "anchor").select("anchor", "different", "first.*")
     by_order = _order_parts(_cut_out(docs, edges, length, hot), length)
     return again.select("o", "k", "start", "n").unionByName(by_order)
