@@ -1,17 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every test item is cut into word n-grams; those of its n-grams that are rarest in the corpus (at
-least half of them, by exact counts over all documents) are its seeds. A document that holds a seed
+Every test item is cut into word n-grams, and all of them are its seeds: an edited or partial copy may
+hold any of them, and none of the rarer ones. A document that holds a seed
 is joined to the item there: seed hits on near diagonals make a passage, widened by the item's length
 and some slack, and passage and item are aligned by words (Smith-Waterman, linear gaps). The score is
 that of the best local alignment over that of the whole item aligned to itself, so copies that were
-edited or paraphrased in part still count. Choosing seeds by rank keeps items findable whose passages
-leaked into a third of all documents: however frequent, some n-grams are the rarest.
+edited or paraphrased in part still count. An alignment matches each word of the item once at most, so a
+passage that lacks the words for the threshold (most chance hits of a common n-gram) is not aligned.
 
 The items are the bounded side of the join: up to ``MAX_GRAMS`` n-grams go with the tasks at a time;
 a larger benchmark is split into shards of that size, each scanned on its own (exact at any size).
-Documents are read twice (counts, then alignment) and never shuffled; only the seed counts are.
-Equal passages are aligned once a span of texts.
+Documents are read once a shard and never shuffled. Equal passages are aligned once a span of texts.
 
 Defined cases: null texts on either side hold no words; items of fewer than ``SEED_WORDS`` words
 have no seed and are never reported; repeated rows of documents each give their rows, repeated items
@@ -32,7 +31,6 @@ from corpusflow.llm import tokens as tk
 from corpusflow.llm.common import read, with_columns
 
 SEED_WORDS = 3
-RARE_SHARE = 0.5
 MATCH, MISMATCH, GAP = 2, -2, -2
 THRESHOLD = 0.4
 MAX_GRAMS = 2_000_000
@@ -74,26 +72,6 @@ class Items:
         item = row[at][order]
         return cls(ids, [word[bound[i] : bound[i + 1]] for i in range(len(rows))], gram, np.append(head, len(h)), item, at[order] - bound[item])
 
-    def keep(self, grams: np.ndarray) -> Items:
-        """With only the given n-grams (a mask over places) as seeds."""
-        owner = np.repeat(np.arange(len(self.gram)), np.diff(self.head))[grams]
-        used, number = np.unique(owner, return_inverse=True)
-        return Items(self.ids, self.words, self.gram[used], np.searchsorted(number, np.arange(len(used) + 1)), self.item[grams], self.at[grams])
-
-    def rarest(self, times: np.ndarray, share: float = RARE_SHARE) -> Items:
-        """Each item's rarest n-grams by the given counts: all at most as frequent as its ``share`` quantile."""
-        if not len(self.item):
-            return self
-        count = np.repeat(times, np.diff(self.head))
-        order = np.lexsort((count, self.item))
-        bound = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-        limit = np.zeros(len(self.ids), np.int64)
-        for i in range(len(self.ids)):
-            own = count[order[bound[i] : bound[i + 1]]]
-            if len(own):
-                limit[i] = own[min(len(own) - 1, int(len(own) * share))]
-        return self.keep(count <= limit[self.item])
-
     def lookup(self) -> np.ndarray:
         """A table that tells quickly that a hash is no n-gram of the shard."""
         out = np.zeros(1 << _FILTER_BITS, bool)
@@ -121,24 +99,6 @@ def shards(benchmark: DataFrame, max_grams: int = MAX_GRAMS) -> Iterator[Items]:
             yield Items.of(rows)
 
 
-def count_grams(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often each n-gram of the shard occurs in all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, count = items.lookup(), np.zeros(len(items.gram), np.int64)
-        for _, _, _, data, offsets in tk.text_batches(batches):
-            h, _ = tk.shingle_hashes(*hashed_words(data, offsets), SEED_WORDS)
-            _, number = items.find(h, table)
-            count += np.bincount(number, minlength=len(count))
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["gram", "n"])
-
-    out = np.zeros(len(items.gram), np.int64)
-    for r in docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        out[r["gram"]] = r["n"]
-    return out
-
-
 def align(passages: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     """Smith-Waterman score and end of each passage against its item; pairs are run side by side."""
     out = np.zeros((len(passages), 2), np.int64)
@@ -185,6 +145,25 @@ def _passages(hit: np.ndarray, number: np.ndarray, row: np.ndarray, bound: np.nd
     return r, item, first, np.minimum(diagonal[last] + size[item] + slack, bound[r + 1])
 
 
+def _able(word: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray, items: Items, threshold: float) -> np.ndarray:
+    """Whether each passage holds enough words of its item for the threshold: what is left out cannot reach it."""
+    out = np.zeros(len(item), bool)
+    order = np.argsort(item, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], item[order][1:] != item[order][:-1]]))
+    for lo, hi in zip(head, np.append(head[1:], len(order)), strict=True):
+        some, own = order[lo:hi], items.words[item[order[lo]]]
+        value, times = np.unique(own, return_counts=True)
+        n = last[some] - first[some]
+        owner = np.repeat(np.arange(len(some)), n)
+        body = word[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        number = np.minimum(np.searchsorted(value, body), len(value) - 1)
+        ok = value[number] == body
+        held = np.unique(owner[ok] * np.int64(len(value)) + number[ok])
+        matches = np.bincount(held // len(value), times[held % len(value)], len(some))
+        out[some] = matches >= threshold * len(own) - 1e-9
+    return out
+
+
 def _leaks(data: np.ndarray, offsets: np.ndarray, items: Items, table: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
     """Row, item, score, first and last word of the best passage of each row and item, for a span of texts."""
     word, row = hashed_words(data, offsets)
@@ -197,6 +176,11 @@ def _leaks(data: np.ndarray, offsets: np.ndarray, items: Items, table: np.ndarra
     bound = np.searchsorted(row, np.arange(len(offsets)))
     r, item, first, last = _passages(at[hit], number, row, bound, items)
     # equal passages are aligned once
+    able = _able(word, item, first, last, items, threshold)
+    r, item, first, last = r[able], item[able], first[able], last[able]
+    if not len(r):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0), none, none
     passages = [word[s:e] for s, e in zip(first, last, strict=True)]
     where: dict[tuple[int, bytes], int] = {}
     which = np.array([where.setdefault((int(i), p.tobytes()), len(where)) for i, p in zip(item, passages, strict=True)])
@@ -209,11 +193,6 @@ def _leaks(data: np.ndarray, offsets: np.ndarray, items: Items, table: np.ndarra
     return r[top], item[top], score[top], first[top] - bound[r[top]], first[top] + found[top, 1] - bound[r[top]]
 
 
-def _seeded_shards(docs: DataFrame, benchmark: DataFrame, max_grams: int) -> Iterator[Items]:
-    for items in shards(with_columns(benchmark, {"item_id": "long", "text": "string"}), max_grams):
-        yield items.rarest(count_grams(docs, items))
-
-
 def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_grams: int = MAX_GRAMS) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word: passages that align with an item."""
     docs = with_columns(documents, {"doc_id": "long", "text": "string"})
@@ -232,7 +211,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
         return docs.mapInArrow(run, schema)
 
     out = None
-    for items in _seeded_shards(docs, benchmark, max_grams):
+    for items in shards(with_columns(benchmark, {"item_id": "long", "text": "string"}), max_grams):
         out = scan(items) if out is None else out.unionByName(scan(items))
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -251,7 +230,7 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float =
         return docs.mapInArrow(run, docs.schema)
 
     out = documents
-    for items in _seeded_shards(documents, benchmark, max_grams):
+    for items in shards(with_columns(benchmark, {"item_id": "long", "text": "string"}), max_grams):
         out = scan(out, items)
     return out
 

@@ -192,6 +192,29 @@ def test_leaks_found_and_clean_left(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == list(range(20, 60))
 
 
+def test_leaks_that_keep_few_ngrams(spark):
+    rng = random.Random(8)
+    v = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(v) for _ in range(40))) for i in range(40)]
+    docs = []
+    for i, text in items:
+        part = text.split()
+        if i < 20:  # single words edited: 25 to 30 %
+            for at in rng.sample(range(40), 10 + i % 3):
+                part[at] = f"edited{at}"
+        else:  # 45 % copied
+            part = part[i % 22 :][:18]
+        docs.append((i, " ".join([rng.choice(v) for _ in range(100)] + part + [rng.choice(v) for _ in range(100)])))
+    # whole copies of an item next to a partial one: the partial copy holds none of the rarer n-grams
+    docs += [(100 + i, items[30][1]) for i in range(3)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, i) for i in range(40)} | {(100 + i, 30) for i in range(3)}
+    for max_grams in (2_000_000, 100):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, b, max_grams=max_grams).collect()} == want
+    assert decontaminate.without_leaks(d, b).count() == 0
+
+
 def test_leaks_whole_table(spark, small):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     texts = {r["doc_id"]: r["text"] for r in small.collect()}
