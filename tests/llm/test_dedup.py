@@ -164,6 +164,35 @@ def test_near_passages_edited(spark):
     assert got[3] == (3, 0) and got[4] == (4, 0)
 
 
+def test_near_passages_with_words_put_in(spark):
+    rng = random.Random(12)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(30):  # 4 words in the middle of 60 (Jaccard 52/64), in either order
+        passage = fill(60)
+        edited = passage[:30] + fill(4) + passage[30:]
+        pair = (passage, edited) if i % 2 else (edited, passage)
+        rows += [(2 * i + side, " ".join(fill(60) + p + fill(60))) for side, p in enumerate(pair)]
+    got = {r["doc_id"]: r["class_id"] for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] in (d, d - d % 2) for d in got)
+    assert sum(got[2 * i + 1] == 2 * i for i in range(30)) >= 27
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=4, max_size=11), st.lists(st.tuples(st.integers(0, 10), st.integers(0, 30), st.booleans()), max_size=4))
+def test_similar_equals_all_intervals(x, edits):
+    y = list(x)
+    for at, value, put_in in edits:
+        y[at % len(y) : at % len(y) + (not put_in)] = [value]
+    span = 4
+
+    def cuts(z):
+        return [set(z[i:j]) for i in range(len(z)) for j in range(i + span, len(z) + 1)]
+
+    want = any(100 * len(a & b) >= 80 * len(a | b) for a in cuts(x) for b in cuts(y))
+    assert passages.similar(np.array(x, np.uint64), np.array(y, np.uint64), span, 80) == want
+
+
 def test_near_passages_edges(spark, edge, nothing):
     rows = passages.near_passages(edge).collect()
     assert len(rows) == edge.count()
