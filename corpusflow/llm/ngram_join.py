@@ -14,7 +14,7 @@ aside. A first shingle of a few nodes gives their
 pairs, and a pair counts as a candidate when it shares as many first shingles as the less demanding
 side asks for. Nodes with a more common first shingle (groups of near copies, or chance) meet
 another way: their sets are cut by hash into more parts than similar sets can differ in, so similar ones
-have an equal part, and each node is tied to the smallest node with that part (a star, not all pairs).
+have an equal part (sets that leave parts empty are cut in further ways, see ``part_signatures``), and each node is tied to the smallest node with that part (a star, not all pairs).
 Components of these ties are blocks, and every similar pair lies in one: either one of its shared first
 shingles is common, or all ``m`` are counted.
 
@@ -176,8 +176,10 @@ def part_signatures(ident: np.ndarray, bound: np.ndarray, percent: int) -> tuple
     """Row and signature of the parts of each set, such that similar sets have an equal part.
 
     Two similar sets of at most ``hi`` shingles differ in at most ``d`` of them, so of ``d + 1`` parts by hash
-    at least one is the same in both. Sizes fall into classes of a fixed ratio; a set also stands in the next
-    class if it can be similar to a larger set there.
+    at least one is the same in both. It may be empty, unless either set fills all parts: sets that leave one
+    empty are cut into four times as many parts too, where ``d + 1`` filled ones are enough, and those that do
+    not even fill these have each shingle as a part. Sizes fall into classes of a fixed ratio; a set also stands
+    in the next class if it can be similar to a larger set there.
     """
     n, ratio = np.diff(bound), 105 / percent  # similar sizes differ by less than the ratio of the classes
     size_class = np.floor(np.log(np.maximum(n, 1)) / np.log(ratio) + 1e-9).astype(np.int64)
@@ -186,20 +188,23 @@ def part_signatures(ident: np.ndarray, bound: np.ndarray, percent: int) -> tuple
         c = size_class + step
         low = np.floor(ratio**c)
         use = np.flatnonzero((n > 0) & ((step == 0) | (100 * n >= percent * low)))
-        if not len(use):
-            continue
-        high = np.ceil(ratio ** (c[use] + 1)) + 1
-        parts = (np.floor(2 * high * (100 - percent) / (100 + percent)) + 1).astype(np.uint64)
-        at = np.repeat(bound[use], n[use]) + np.arange(n[use].sum()) - np.repeat(np.cumsum(n[use]) - n[use], n[use])
-        owner = np.repeat(np.arange(len(use)), n[use])
-        h = tk.mix64(ident[at] + np.uint64(11))
-        part = (h % parts[owner]).astype(np.int64)
-        by = np.lexsort((part, owner))
-        owner, part, h = owner[by], part[by], tk.mix64(h[by])
-        head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]))
-        total = np.add.reduceat(h, head)
-        rows.append(use[owner[head]])
-        signs.append(tk.mix64(total + tk.mix64(part[head].astype(np.uint64) * np.uint64(512) + c[use][owner[head]].astype(np.uint64))))
+        for cut, times in enumerate((1, 4, 0)):
+            if not len(use):
+                break
+            high = np.ceil(ratio ** (c[use] + 1)) + 1
+            least = (np.floor(2 * high * (100 - percent) / (100 + percent)) + 1).astype(np.int64)
+            at = np.repeat(bound[use], n[use]) + np.arange(n[use].sum()) - np.repeat(np.cumsum(n[use]) - n[use], n[use])
+            owner = np.repeat(np.arange(len(use)), n[use])
+            h = tk.mix64(ident[at] + np.uint64(11 + cut))
+            parts = (times * least).astype(np.uint64)
+            part = h % parts[owner] if times else h
+            by = np.lexsort((part, owner))
+            owner, part, h = owner[by], part[by], tk.mix64(h[by])
+            head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]))
+            total = np.add.reduceat(h, head)
+            rows.append(use[owner[head]])
+            signs.append(tk.mix64(total + tk.mix64(part[head] * np.uint64(512) + c[use][owner[head]].astype(np.uint64)) + np.uint64(cut)))
+            use = use[np.bincount(owner[head], minlength=len(use)) < least]
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(rows), np.concatenate(signs)

@@ -225,3 +225,20 @@ def test_similar_sets_have_an_equal_part(base, data, percent):
     ident = np.array(x + y, np.uint64)
     row, sign = ngram_join.part_signatures(ident, np.array([0, len(x), len(x) + len(y)]), percent)
     assert set(sign[row == 0].tolist()) & set(sign[row == 1].tolist())
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_small_similar_sets_share_a_part(percent):
+    rng = np.random.default_rng(9)
+    lost = 0
+    for n in range(1, 31):
+        for _ in range(300):
+            x = rng.integers(0, 1 << 60, n).astype(np.uint64)
+            gone = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+            y = np.concatenate([x[gone:], rng.integers(0, 1 << 60, int(rng.integers(0, 1 + n * (100 - percent) // percent))).astype(np.uint64)])
+            both = n - gone
+            if not len(y) or 100 * both < percent * (n + len(y) - both):
+                continue
+            row, sign = ngram_join.part_signatures(np.concatenate([x, y]), np.array([0, n, n + len(y)]), percent)
+            lost += not set(sign[row == 0].tolist()) & set(sign[row == 1].tolist())
+    assert lost == 0
