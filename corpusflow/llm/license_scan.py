@@ -1,12 +1,14 @@
 """License scan: exact set-similarity join of text blocks with license templates, in Spark SQL only.
 
-A block is a line of the text; its set is the block's distinct words. A block matches a template
+A block is a line of the text, or any run of as many words as the longest template has, whatever lines they
+stand on (notices are wrapped); its set is the block's distinct words. A block matches a template
 when it holds at least ``threshold`` of the template's words (containment). Words are ordered by how
 often they occur in the whole corpus, rarest first. A template of ``n`` words that needs ``k`` of
 them can only match a block that holds one of its first ``n - k + 1`` words in this order (prefix
 filter); the block must hold ``k`` template words at all (length filter); and at the first shared
 word the words still to come on either side must suffice (positional filter). What is left is
-verified by the size of the intersection, so the result is exact.
+verified by the size of the intersection, so the result is exact. Runs of words are looked at in the texts
+that match a template as a whole by the same join, since a text holds what its runs hold.
 
 The templates are a parameter of at most ``MAX_TEMPLATE_WORDS`` words, which bounds everything that
 is shipped as literals or collected (one count per template word). Blocks are never shuffled; only the
@@ -136,6 +138,29 @@ def match_templates(docs: DataFrame, templates=TEMPLATES, threshold: float = THR
     return first.where(inter >= F.col("need")).select("doc_id", "key", "block", "template", "label", (inter / F.size("t")).alias("containment"))
 
 
+def match_runs(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Texts with a run of words that matches a template: doc_id, key, label, containment (of the best run)."""
+    width = max(len(_python_words(body)) for _, body in templates)
+    # each text as one block
+    whole = docs.withColumn("text", F.translate(blank_if_null(F.col("text")), "\n", " "))
+    found = match_templates(whole, templates, threshold).select("doc_id", "key", "template", "label").distinct()
+    words = [sorted(set(_python_words(body))) for _, body in templates]
+    per_doc = found.groupBy(F.col("doc_id").alias("m_id"), F.col("key").alias("m_key")).agg(
+        F.collect_list(F.struct("template", "label")).alias("found")
+    )
+    d = docs.select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"])
+    d = d.join(per_doc, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")))
+    d = d.select("doc_id", "key", F.filter(_words(F.lower("text")), lambda w: w != "").alias("words"), F.explode("found").alias("x"))
+    d = d.select("doc_id", "key", "words", "x.template", "x.label")
+    own = F.get(F.array(*[_literal_array(w) for w in words]), F.col("template"))
+    # a run starts at a word of the template
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains(F.col("own"), F.get(F.col("words"), i - 1)))
+    held = F.transform(starts, lambda i: F.size(F.array_intersect(F.col("own"), F.slice("words", i, width))))
+    d = d.withColumn("own", own).withColumn("n", F.array_max(held))
+    need = F.ceil(F.lit(int(round(threshold * 10_000))) * F.size("own") / 10_000)
+    return d.where(F.col("n") >= need).select("doc_id", "key", "label", (F.col("n") / F.size("own")).alias("containment"))
+
+
 def _python_words(body: str) -> list[str]:
     import re
 
@@ -146,7 +171,7 @@ def scan(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
     """Per document: base places and labels, all labels, and the best containment as score."""
     d = with_columns(documents, {"doc_id": "long", "text": "string"})
     d = d.withColumn("key", text_key(F.col("doc_id"), F.col("text")))
-    found = match_templates(d, templates, threshold)
+    found = match_templates(d, templates, threshold).select("doc_id", "key", "label", "containment").unionByName(match_runs(d, templates, threshold))
     best = found.groupBy(F.col("doc_id").alias("m_id"), F.col("key").alias("m_key")).agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("containment")
     )

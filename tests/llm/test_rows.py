@@ -72,6 +72,21 @@ def test_license_scan_phrases_and_templates(spark):
     assert got[7]["n_base"] == 1 and got[7]["first_word"] == 1
 
 
+def test_license_scan_wrapped_notices(spark):
+    rows = [
+        (1, "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"),
+        (2, " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"),
+        (3, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"),
+        (4, "all the\n" + "other words\n" * 20 + "rights are\nreserved"),
+        (None, "Copyright. All\nrights\nreserved."),
+        (None, "Copyright. All\nrights\nreserved."),
+    ]
+    out = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in out}
+    assert len(out) == 6
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("mpl", 1.0), 4: ("", 0.0), None: ("proprietary", 1.0)}
+
+
 def test_license_join_equals_all_pairs(spark):
     rng = random.Random(1)
     templates = [(f"t{i}", " ".join(rng.sample([f"w{j}" for j in range(30)], rng.randint(2, 9)))) for i in range(12)]
