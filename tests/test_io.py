@@ -7,7 +7,7 @@ from corpusflow.operators.labels import label_dimension
 from corpusflow.plans.prepare import prepare
 from corpusflow.sources import corpus as src
 from corpusflow.sources import sinks
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _write_folders(spark, root, n=30):

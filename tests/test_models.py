@@ -14,7 +14,7 @@ from corpusflow.operators.evaluate import evaluate
 from corpusflow.operators.labels import label_list
 from corpusflow.plans.catalog_models import labelled
 from corpusflow.plans.score import NaiveBayesScorer, PandasScorer, score_table, score_text
-from conftest import SF_MID
+from paths import SF_MID
 
 
 @pytest.fixture(scope="module")

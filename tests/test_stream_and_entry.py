@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from corpusflow.plans import catalog
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_entry_runs(spark):
