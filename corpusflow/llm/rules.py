@@ -113,7 +113,8 @@ def measures(text: Column) -> dict[str, Column]:
         "word_chars": (F.length(t) - F.regexp_count(t, F.lit(SPACE_CLASS))).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_bangs": F.regexp_count(t, F.lit(r"!!+")).cast("long"),
-"n_bullets": F.regexp_count(t, F.lit(r"(?m)^[\x20\x09]*[-*•]\x20")).cast("long"),
+        # only \n ends a line, as in the split above
+        "n_bullets": F.regexp_count(t, F.lit(r"(?md)^[\x20\x09]*[-*•]\x20")).cast("long"),
     }
 
 

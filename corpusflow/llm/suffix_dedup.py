@@ -146,7 +146,7 @@ def _ranges(o: np.ndarray, k: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     o, k, start = o[order], k[order], start[order]
     new = np.concatenate([[True], (o[1:] != o[:-1]) | (k[1:] != k[:-1]) | (start[1:] > start[:-1] + 1)]) if len(o) else np.zeros(0, bool)
     head = np.flatnonzero(new)
-    last = np.append(head[1:], len(o)) - 1
+    last = np.append(head[1:], len(o))[: len(head)] - 1  # without starts there is no range either
     return pa.RecordBatch.from_arrays(
         [pa.array(o[head]), pa.array(k[head].astype(np.int32)), pa.array(start[head].astype(np.int32)), pa.array((start[last] - start[head] + 1).astype(np.int32))],
         ["o", "k", "start", "n"],

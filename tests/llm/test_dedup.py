@@ -242,3 +242,24 @@ def test_small_similar_sets_share_a_part(percent):
             row, sign = ngram_join.part_signatures(np.concatenate([x, y]), np.array([0, n, n + len(y)]), percent)
             lost += not set(sign[row == 0].tolist()) & set(sign[row == 1].tolist())
     assert lost == 0
+
+
+def test_suffix_dedup_shared_strings_of_every_length(spark):
+    """Pairs that share 1 to 150 bytes, each pair a table of its own, so that a block may remove nothing."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for n in (1, 40, 55, 65, 75, 85, 95, 99, 100, 101, 120, 150):
+        shared = "".join(rng.choice(letters) for _ in range(n))
+        rows = [(i, f"{i}" * 9 + "".join(rng.choice(letters) for _ in range(60)) + shared + f"<{i}>" * 30) for i in (1, 2)]
+        got = {r[0]: tuple(r[1:]) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == removed_bytes(rows, 100), n
+
+
+def test_suffix_dedup_repeated_id(spark):
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    shared = text(130)
+    rows = [(1, text(50) + shared), (1, text(50) + shared), (1, text(70) + shared), (2, shared + text(20))]
+    out = sorted(tuple(r) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # rows of one id are compared by start: equal strings at the same start both stay
+    assert [r[:3] for r in out] == [(1, 180, 0), (1, 180, 0), (1, 200, 130), (2, 150, 130)]

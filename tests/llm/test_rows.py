@@ -72,6 +72,14 @@ def test_license_scan_phrases_and_templates(spark):
     assert got[7]["n_base"] == 1 and got[7]["first_word"] == 1
 
 
+def test_rules_bullets_only_start_lines(spark):
+    words = " ".join(f"the{i}" for i in range(60))
+    rows = [(1, f"- one\r- two\x85- {words}"), (2, f"- one\n- two\n- {words}"), (3, f"one - two\n* three {words}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    m = {r["doc_id"]: r["n"] for r in d.select("doc_id", rules.measures(d["text"])["n_bullets"].alias("n")).collect()}
+    assert m == {1: 1, 2: 3, 3: 1}
+
+
 def test_license_scan_wrapped_notices(spark):
     rows = [
         (1, "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"),
