@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import decontaminate, language_id, license_scan, mixing, ngram_join, passages, quality, rules, suffix_dedup, toxicity
+from corpusflow.llm import decontaminate, language_id, license_scan, mixing, ngram_join, passages, quality, rules, suffix_dedup, toxicity, word_bpe
 
 QUERIES = {
     "op1_near_passages": passages.op1_near_passages,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
+    "op12_word_bpe": word_bpe.op12_word_bpe,
 }
 
 SQL = {
