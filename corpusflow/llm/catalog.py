@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import decontaminate, language_id, license_scan, mixing, ngram_join, passages, quality, rules, suffix_dedup, toxicity, word_bpe
+from corpusflow.llm import decontaminate, language_id, license_scan, mixing, ngram_join, passages, prefix_trie, quality, rules, suffix_dedup, toxicity, word_bpe
 
 QUERIES = {
     "op1_near_passages": passages.op1_near_passages,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
     "op12_word_bpe": word_bpe.op12_word_bpe,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op6_license_scan": license_scan.SQL,
     "op8_source_mix": mixing.SQL,
     "op9_quality_rules": rules.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
