@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import decontaminate, language_id, license_scan, mixing, ngram_join, passages, prefix_trie, quality, rules, suffix_dedup, toxicity, word_bpe
+from corpusflow.llm import alignment, decontaminate, language_id, license_scan, mixing, ngram_join, passages, prefix_trie, quality, rules, suffix_dedup, toxicity, word_bpe
 
 QUERIES = {
     "op1_near_passages": passages.op1_near_passages,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
+    "op11_alignment": alignment.op11_alignment,
     "op12_word_bpe": word_bpe.op12_word_bpe,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
