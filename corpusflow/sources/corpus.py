@@ -5,15 +5,22 @@ Every reader gives an explicit schema (no inference): ids stay strings and the t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
 from ..operators.compare import core_table
 from ..schemas import LABEL_MAP, PREPARED, SCORING_INPUT
+from ..session import materialize
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "multiLine": "true", "mode": "PERMISSIVE"}
 
+# bytes that opening a small text file counts for when scan partitions are packed
+OPEN_COST = 64 << 10
+
 
 def _decoded_path() -> Column:
     # file paths in _metadata are URI-encoded; keep a literal '+' before decoding
@@ -58,6 +65,33 @@ def read_class_folders(spark: SparkSession, root: str, required: list[str] | Non
     return df
 
 
+@contextmanager
+def packed_scan(spark: SparkSession, open_cost: int = OPEN_COST):
+    """Plans made inside count a small file as ``open_cost`` bytes more than it has (the default is 4 MB), so
+    that scan partitions fill up with as many files as their bytes allow."""
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(open_cost))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def compact_class_folders(spark: SparkSession, root: str, required: list[str] | None = None,
+                          open_cost: int = OPEN_COST) -> DataFrame:
+    """``read_class_folders`` written once as Parquet in the shared folder.
+
+    The many small files are listed and opened once, in scan partitions packed by their bytes; cleaning,
+    the label list, the split and every later job then scan columns of a few larger files.
+    """
+    with packed_scan(spark, open_cost):
+        df = materialize(read_class_folders(spark, root), "class_folders")
+    if required:
+        require_labels(df, required, root)
+    return df
+
+
 def require_labels(df: DataFrame, required: list[str], where: str = "") -> None:
     """Raise ``FileNotFoundError`` unless every required class folder produced rows."""
     found = {r[0] for r in df.select("label").distinct().collect()}  # one row per class folder
@@ -98,13 +132,24 @@ def file_ordinal(df: DataFrame, col: str = "_cf_ordinal", path_col: str | None =
 
 def file_starts(df: DataFrame, path_col: str) -> DataFrame:
     """``path, _cf_start``: rows in the files before each file, in path order (one row per file)."""
-    from pyspark.sql import Window
-
     w = Window.orderBy(path_col).rowsBetween(Window.unboundedPreceding, -1)
     per_file = df.groupBy(path_col).agg(F.count(F.lit(1)).alias("_n"))
     return per_file.select(path_col, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_cf_start"))
 
 
+def export_positions(spark: SparkSession, path: str, split_col: str = "split") -> DataFrame:
+    """Rows of a prepared Parquet export with ``pos``, their place within the split over its files in name order.
+
+    A file's rows are numbered by the scan; files before it are a running sum over one row a file.
+    """
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.row_index").alias("_cf_row"), F.col("_metadata.file_path").alias("_cf_file"))
+    per_file = rows.groupBy(split_col, "_cf_file").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(split_col).orderBy("_cf_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_file.select("_cf_file", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_cf_start"))
+    out = rows.join(starts, "_cf_file").withColumn("pos", F.col("_cf_start") + F.col("_cf_row"))
+    return out.drop("_cf_file", "_cf_row", "_cf_start")
+
+
 def read_scoring_csv(spark: SparkSession, path: str) -> DataFrame:
     """Scoring input: ``text`` required, ``abstract_id`` optional (else ``id_<row>``, counted over the files in path order)."""
     header = spark.read.options(**CSV_OPTIONS).csv(path).columns
@@ -139,22 +184,47 @@ def read_label_map(spark: SparkSession, path: str) -> DataFrame:
 def read_metrics(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Metrics JSON files (any producer layout) -> one core row per expected model.
 
-    A model whose file is missing still gets a row (nulls), found by a left join from the
-    expected model list, so comparisons report it as missing instead of failing.
+    One scan reads all files that exist (a path is a file, or a folder that a writer filled); each row
+    knows its file, and the expected models are left-joined to the files by path or by folder. A
+    model whose file is missing gets a row of nulls, so comparisons report it instead of failing. Which files
+    exist is asked once for each parent folder.
     """
-    present = {m: p for m, p in paths.items() if _exists(spark, p)}
-    want = spark.createDataFrame([(m,) for m in paths], "model string")
-    rec = None
-    for m, p in present.items():  # one small file per model
-        r = spark.read.text(p, wholetext=True).select(F.lit(m).alias("model"), F.col("value").alias("json"))
-        rec = r if rec is None else rec.unionByName(r)
-    if rec is None:
-        return core_table(want.withColumn("json", F.lit(None).cast("string")), keep=["model"])
-    return core_table(want.join(rec, "model", "left"), keep=["model"])
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    uris = {m: _qualified(spark, p) for m, p in paths.items()}
+    present = _present(spark, sorted(set(uris.values())))
+    expected = spark.createDataFrame([(m, _path_of(u)) for m, u in uris.items()], "model string, _path string")
+    if not present:
+        return core_table(expected.select("model", F.lit(None).cast("string").alias("json")), keep=["model"])
+    with packed_scan(spark):
+        raw = spark.read.text(present, wholetext=True).select(_local_path(_decoded_path()).alias("_file"), F.col("value").alias("json"))
+        raw = materialize(raw, "metrics_files")  # small records, parsed and joined below
+    by_path = raw.select(F.explode(F.array("_file", F.regexp_replace("_file", "/[^/]*$", ""))).alias("_path"), "json")
+    return core_table(expected.join(by_path, "_path", "left").select("model", "json"), keep=["model"])
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI with its scheme and authority, not encoded."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+    return fs.makeQualified(p).toString()
+
+
+def _path_of(uri: str) -> str:
+    """A URI without its scheme and authority (as ``_local_path``)."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", uri)
+
+
+def _present(spark: SparkSession, uris: list[str]) -> list[str]:
+    """Those of the URIs that exist, by one listing of each parent folder."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    folders: dict[str, list[str]] = {}
+    for u in uris:
+        folders.setdefault(u.rsplit("/", 1)[0] or "/", []).append(u)
+    out = []
+    for folder, wanted in folders.items():
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            found = {s.getPath().getName() for s in fs.listStatus(path)}
+            out += [u for u in wanted if u.rsplit("/", 1)[1] in found]
+    return out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,8 @@ def write_prepared(df: DataFrame, path: str, fmt: str = "parquet", by_split: boo
     from ..schemas import PREPARED
 
     if order_by:
-        df = df.orderBy(order_by)
+        # the split first: the writer of partitions then needs no sort of its own, which would undo the order
+        df = df.orderBy("split", order_by) if by_split and "split" in df.columns else df.orderBy(order_by)
 
     if fmt == "csv" and set(PREPARED.fieldNames()) <= set(df.columns):
         keep = [c for c in PREPARED.fieldNames() if not (by_split and c == "split")] + (["split"] if by_split else [])
@@ -37,6 +41,47 @@ def write_prepared(df: DataFrame, path: str, fmt: str = "parquet", by_split: boo
         raise ValueError("fmt must be 'parquet' or 'csv'")
 
 
+def _local(path: str) -> str:
+    """A ``file:`` URI as a plain path (what the Arrow file systems take); other URIs unchanged."""
+    return re.sub(r"^file:/+", "/", path)
+
+
+def _file_name(x: str | None, what: str) -> str:
+    if not x or x in (".", "..") or "/" in x or "\0" in x:
+        raise ValueError(f"{x!r} cannot be the name of a {what}")
+    return x
+
+
+def write_class_folders(df: DataFrame, root: str, id_col: str = "abstract_id", text_col: str = "text",
+                        label_col: str = "label") -> int:
+    """``<root>/<label>/<id>.txt``, one file per row; returns the number of files.
+
+    Spark's writers choose their own file names, so the tasks write the files themselves, through the
+    Arrow file system of the root's URI (shared folder or object store). A repeated task writes the same
+    files again. An empty text becomes a line break, since scans skip files without a byte. Ids must be distinct within a label, and ids and labels fit for file names (else an error).
+    """
+    base = _local(root.rstrip("/"))
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(base)
+        made: set[str] = set()
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "text", "label")), strict=True)
+            for name, text, label in rows:
+                folder = f"{top}/{_file_name(label, 'class folder')}"
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{folder}/{_file_name(name, 'file')}.txt") as out:
+                    out.write((text or "\n").encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_label_map(dim: DataFrame, path: str) -> None:
     """``{"label2id": {...}, "id2label": {...}}`` as one JSON record."""
     label_map_row(dim).coalesce(1).write.mode("overwrite").json(path)

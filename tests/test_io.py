@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators.labels import label_dimension
@@ -143,3 +144,52 @@ def test_text_source(spark):
 def test_label_dimension_sorted(spark):
     df = spark.createDataFrame([("Non-Cancer",), ("Cancer",), ("Cancer",)], "label string")
     assert [tuple(r) for r in label_dimension(df).orderBy("label_id").collect()] == [("Cancer", 0), ("Non-Cancer", 1)]
+
+
+def test_class_folders_written_and_compacted(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "Set")
+    rows = [("1", "one\r\ntwo ", "en"), ("a+b c", "ünï", "f r"), ("%41", "", "en"), ("10", None, "en")]
+    df = spark.createDataFrame(rows, "abstract_id string, text string, label string")
+    assert sinks.write_class_folders(df, root) == 4 == sinks.write_class_folders(df.repartition(3), root)
+    got = {(r.abstract_id, r.label): r.text for r in src.compact_class_folders(spark, root, required=["en", "f r"]).collect()}
+    assert got == {("1", "en"): "one\r\ntwo", ("a+b c", "f r"): "ünï", ("%41", "en"): "", ("10", "en"): ""}
+    for bad in ("a/b", "", "..", None):
+        with pytest.raises(Exception, match="cannot be the name"):
+            sinks.write_class_folders(spark.createDataFrame([(bad, "x", "en")], df.schema), root)
+
+
+def test_packed_scan_packs_small_files_and_restores(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "Many")
+    df = spark.range(200).select(F.col("id").cast("string").alias("abstract_id"), F.lit("x").alias("text"), F.lit("c").alias("label"))
+    sinks.write_class_folders(df, root)
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    loose = src.read_class_folders(spark, root).rdd.getNumPartitions()
+    with src.packed_scan(spark, 1 << 10):
+        packed = src.read_class_folders(spark, root).rdd.getNumPartitions()
+    assert spark.conf.get(key) == before and packed <= loose
+
+
+def test_export_keeps_path_order_within_splits(spark, tmp_dir):
+    rows = [(str(i), "t", "c", f"/r/c/{i}.txt", 0, ["train", "val", "test"][i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "abstract_id string, text string, label string, filepath string, label_id int, split string").repartition(7)
+    sinks.write_prepared(df, tmp_dir + "/out", order_by="filepath")
+    for split in ("train", "val", "test"):
+        got = [r.filepath for r in src.export_positions(spark, tmp_dir + "/out").where(F.col("split") == split).orderBy("pos").collect()]
+        assert got == sorted(r[3] for r in rows if r[5] == split)
+
+
+def test_many_metric_files_are_one_scan(spark, tmp_dir):
+    paths = {}
+    for i in range(60):
+        folder = os.path.join(tmp_dir, f"run {i % 3}")
+        os.makedirs(folder, exist_ok=True)
+        paths[f"m{i}"] = os.path.join(folder, f"test+{i}.json")
+        if i % 5:
+            with open(paths[f"m{i}"], "w") as f:
+                json.dump({"accuracy": i / 100, "f1": None if i == 7 else 0.5}, f)
+    paths["elsewhere"] = os.path.join(tmp_dir, "no folder", "x.json")
+    out = src.read_metrics(spark, paths)
+    got = {r.model: (r.accuracy, r.f1) for r in out.collect()}
+    assert got == {m: ((int(m[1:]) / 100, None if m == "m7" else 0.5) if m != "elsewhere" and int(m[1:]) % 5 else (None, None)) for m in paths}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
