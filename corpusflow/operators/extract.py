@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS, ascii_word_border, strip_ws, title_words
 from ..functions.vectors import let
+from ..session import materialize
 
 # one character that is not whitespace (the complement of WS)
 NOT_WS = "[^" + WS[1:]
@@ -104,15 +105,13 @@ def dictionary_join(docs: DataFrame, terms: DataFrame, text_col: str = "text", t
                     max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Rows ``docs x terms`` where the lower-cased text contains the (lower-case) term.
 
-    ``mode="substring"`` keeps the plain-substring rule as an equi-join on a short key. Whitespace at
-    a term's ends is set aside (its core). A core with whitespace inside, ``p1 s1 p2 ...``, can only
-    occur where a maximal whitespace run of the text equals ``s1``: its key is the end of ``p1``,
-    ``s1`` and the beginning of ``p2``, and every gap of a text gives one candidate key per key
-    shape. A core without whitespace lies inside one token: its key is its first letters, and the
-    candidates are the tokens' letter sequences of that length. Every term has one key and candidates
-    are distinct per row, so a pair is found once; what shares a key is verified by containment of
-    the whole term. Work is linear in the text; dictionaries above the checked broadcast size are cut
-    into hash shards that each fit (exact at any size).
+    ``mode="substring"`` keeps the plain-substring rule as an equi-join on a short key. A term has a key
+    for each of its parts (see ``_key_options``); of these the one that the fewest texts hold is looked up, by a count of the
+    dictionary's keys over all texts, and a term with a key that no text holds is out. A text's candidates
+    are its distinct tokens' first and last letters (pieces of its tokens, if some term has no inner
+    whitespace). Every term has one key and candidates are distinct per row, so a pair is found once; what shares
+    a key is verified by containment of the whole term. Work is linear in the text; dictionaries above the
+    checked broadcast size are cut into hash shards that each fit (exact at any size).
 
     ``mode="words"`` matches whole word sequences only: word n-grams of the text (n up to the
     longest term's word count) equi-join the dictionary, broadcast when it fits, else a shuffle
@@ -127,45 +126,73 @@ def dictionary_join(docs: DataFrame, terms: DataFrame, text_col: str = "text", t
         fits = int(size["n"]) <= max_terms and int(size["b"]) <= max_bytes
         return _ngram_join(docs, t, text_col, term_col, int(size["max_words"] or 1), fits)
     low, key = "_cf_low", "_cf_key"
-    keyed = _keyed_terms(t, term_col, key)
-    size = keyed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(term_col) + F.octet_length(key)), F.lit(0)).alias("b"),
-                     F.collect_set("_cf_shape").alias("shapes")).first()  # a few dozen shapes at most
+    options = materialize(_key_options(t, term_col, key), "dictionary_keys")
     d = docs.withColumn(low, F.lower(F.col(text_col)))
-    if not size["n"]:
+    shapes = sorted((r[0], r[1]) for r in options.select("kind", "letters").distinct().collect())  # a few dozen at most
+    if not shapes:
         return d.withColumn(term_col, F.lit(None).cast("string")).where(F.lit(False)).drop(low)
-    shapes = sorted((r["gap"], r["a"], r["b"]) for r in size["shapes"])
     cand = d.withColumn(key, F.explode(_candidate_keys(F.col(low), shapes)))
-    shards = max(1, -(-int(size["n"]) // max_terms), -(-int(size["b"]) // max_bytes))
+    if options.groupBy(term_col).count().where("count > 1").limit(1).count():
+        keyed = _rarest_keys(cand.select(key), options, term_col, key, max_terms, max_bytes)
+    else:
+        keyed = options  # one key a term: nothing to choose
     out = None
-    for i in range(shards):
-        part = keyed if shards == 1 else keyed.where(F.pmod(F.xxhash64(term_col), F.lit(shards)) == i)
-        j = cand.join(F.broadcast(part.select(key, term_col)), key).where(F.contains(F.col(low), F.col(term_col)))
+    for part in _shards(keyed.select(key, term_col), term_col, max_terms, max_bytes):
+        j = cand.join(F.broadcast(part), key).where(F.contains(F.col(low), F.col(term_col)))
         out = j if out is None else out.unionByName(j)
     return out.drop(key, low)
 
 
-# letters of a term that its key takes: up to so many on either side of a gap, or from a token's start
-GAP_LETTERS, TOKEN_LETTERS = 4, 8
+# letters of a term that its key takes, from the start or the end of a part
+KEY_LETTERS = 8
 
 
-def _keyed_terms(t: DataFrame, term_col: str, key: str) -> DataFrame:
-    """Each term with its key and key shape (kind of key, letters before and after the gap)."""
-    tc = F.col(term_col)
-    core = strip_ws(tc)
-    inner = core.rlike(WS)
-    p1 = F.regexp_extract(core, "^" + NOT_WS + "+", 0)
-    s1 = F.regexp_extract(core, WS + "+", 0)
-    p2 = F.regexp_extract(core, "^" + NOT_WS + "+" + WS + "+(" + NOT_WS + "+)", 1)
-    a, b = F.least(F.length(p1), F.lit(GAP_LETTERS)), F.least(F.length(p2), F.lit(GAP_LETTERS))
-    q = F.least(F.length(core), F.lit(TOKEN_LETTERS))
-    blank = F.length(core) == 0  # nothing but whitespace: its own key, a piece of a whitespace run
-    return t.select(
-        term_col,
-        F.when(blank, tc).when(inner, F.concat(p1.substr(F.length(p1) - a + 1, a), s1, p2.substr(F.lit(1), b)))
-        .otherwise(core.substr(F.lit(1), q)).alias(key),
-        F.struct(F.when(blank, "blank").when(inner, "gap").otherwise("token").alias("gap"),
-                 F.when(blank, F.length(tc)).when(inner, a).otherwise(q).alias("a"), F.when(inner, b).otherwise(0).alias("b")).alias("_cf_shape"),
-    )
+def _key_options(t: DataFrame, term_col: str, key: str) -> DataFrame:
+    """``term, key, kind, letters``: the keys a term may be looked up by; a text with the term holds each of them.
+
+    A term without inner whitespace lies inside one token: its first letters, wherever they stand in a token. With
+    inner whitespace each part but the first begins a token (its first letters begin one) and each part but the last
+    ends one. Whitespace alone is its own key, a piece of a whitespace run.
+    """
+    core = strip_ws(F.col(term_col))
+    parts = F.when(F.length(core) > 0, F.split(core, WS + "+")).otherwise(F.array().cast("array<string>"))
+    n = F.size(parts)
+
+    def option(x: Column, kind: str, letters: Column) -> Column:
+        return F.struct(x.alias(key), F.lit(kind).alias("kind"), letters.alias("letters"))
+
+    def of(p: Column, i: Column) -> Column:
+        q = F.least(F.length(p), F.lit(KEY_LETTERS))
+        first, last = p.substr(F.lit(1), q), p.substr(F.length(p) - q + 1, q)
+        return F.array_compact(F.array(
+            F.when(n == 1, option(first, "inside", q)), F.when(i > 0, option(first, "begin", q)), F.when((n > 1) & (i < n - 1), option(last, "end", q))))
+
+    blank = F.array(option(F.col(term_col), "blank", F.length(term_col)))
+    each = F.when(n == 0, blank).otherwise(F.flatten(F.transform(parts, of)))
+    return t.select(term_col, F.explode(each).alias("x")).select(term_col, "x.*").distinct()
+
+
+def _shards(keyed: DataFrame, term_col: str, max_terms: int, max_bytes: int) -> list[DataFrame]:
+    """The table in parts of checked size (rows and bytes), by a hash of the term."""
+    names = [F.octet_length(c) for c in keyed.columns]
+    size = keyed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(names, F.lit(16))), F.lit(0)).alias("b")).first()
+    n = max(1, -(-int(size["n"]) // max_terms), -(-int(size["b"]) // max_bytes))
+    return [keyed] if n == 1 else [keyed.where(F.pmod(F.xxhash64(term_col), F.lit(n)) == i) for i in range(n)]
+
+
+def _rarest_keys(found: DataFrame, options: DataFrame, term_col: str, key: str, max_terms: int, max_bytes: int) -> DataFrame:
+    """``term, key``: of each term the key that the fewest texts hold. A term with a key that no text holds stands in none and goes.
+
+    Only the dictionary's keys are counted, by partial sums.
+    """
+    counts = None
+    for part in _shards(options.select(key).distinct(), key, max_terms, max_bytes):
+        c = found.join(F.broadcast(part), key).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        counts = c if counts is None else counts.unionByName(c)
+    counts = materialize(counts, "dictionary_counts")  # at most one row a key of the dictionary
+    ranked = options.join(counts, key, "left").groupBy(term_col).agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col(key))).alias("x"))
+    return materialize(ranked.where(F.col("x.n") > 0).select(term_col, F.col(f"x.{key}").alias(key)), "dictionary_rarest")
 
 
 def _pieces_of_runs(runs: Column, sizes: list[int]) -> Column:
@@ -179,30 +206,28 @@ def _pieces_of_runs(runs: Column, sizes: list[int]) -> Column:
     return F.flatten(F.transform(long_enough, lambda x: F.flatten(F.array(*[pieces(x, n) for n in sizes]))))
 
 
-def _candidate_keys(low: Column, shapes: list[tuple[str, int, int]]) -> Column:
+def _candidate_keys(low: Column, shapes: list[tuple[str, int]]) -> Column:
     """Distinct keys of the given shapes that occur in a lower-cased text."""
-    gaps = [(a, b) for kind, a, b in shapes if kind == "gap"]
-    parts = []
+    sizes = {kind: [n for k, n in shapes if k == kind] for kind in ("inside", "begin", "end", "blank")}
 
-    for kind, split_on in (("token", WS + "+"), ("blank", NOT_WS + "+")):
-        sizes = [a for k, a, _ in shapes if k == kind]
-        if sizes:
-            parts.append(_pieces_of_runs(F.array_distinct(F.split(low, split_on)), sizes))
-    if gaps:
-        most_a, most_b = max(a for a, _ in gaps), max(b for _, b in gaps)
-        # the letters before a gap, the gap, and what stands after it (looked at, not consumed)
-        around = F.regexp_extract_all(low, F.lit(f"({NOT_WS}{{1,{most_a}}}{WS}+(?={NOT_WS}))"), 1)
-        after = F.regexp_extract_all(low, F.lit(f"{NOT_WS}{WS}+(?=({NOT_WS}{{1,{most_b}}}))"), 1)
-
-        def of(x: Column) -> Column:
-            letters = F.length(F.regexp_extract(x["k"], "^" + NOT_WS + "+", 0))
-            return F.array(*[
-                F.when((letters >= a) & (F.length(x["v"]) >= b), F.concat(x["k"].substr(letters - a + 1, F.length(x["k"])), x["v"].substr(F.lit(1), F.lit(b))))
-                for a, b in gaps
-            ])
-
-        pairs = F.array_distinct(F.zip_with(around, after, lambda k, v: F.struct(k.alias("k"), v.alias("v"))))
-        parts.append(F.filter(F.flatten(F.transform(pairs, of)), lambda x: x.isNotNull()))
+    def ends(t: Column) -> Column:
+        first = [F.when(F.length(t) >= n, t.substr(F.lit(1), F.lit(n))) for n in sizes["begin"]]
+        last = [F.when(F.length(t) >= n, F.right(t, F.lit(n))) for n in sizes["end"]]
+        return F.array(*first, *last)
+
+    def of_tokens(tokens: Column) -> Column:
+        parts = []
+        if sizes["begin"] or sizes["end"]:
+            parts.append(F.filter(F.flatten(F.transform(tokens, ends)), lambda x: x.isNotNull()))
+        if sizes["inside"]:
+            parts.append(_pieces_of_runs(tokens, sizes["inside"]))
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+    parts = []
+    if sizes["begin"] or sizes["end"] or sizes["inside"]:
+        parts.append(let(F.array_distinct(F.split(low, WS + "+")), of_tokens))
+    if sizes["blank"]:
+        parts.append(_pieces_of_runs(F.array_distinct(F.split(low, NOT_WS + "+")), sizes["blank"]))
     return F.array_distinct(F.concat(*parts) if len(parts) > 1 else parts[0])
 
 
