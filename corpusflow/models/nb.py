@@ -21,7 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..operators.hotjoin import hot_cold_join
+from ..session import ensure_checkpoint_dir, materialize
 
 # parameter tables up to this many bytes (estimated) are broadcast to the scoring join
 MAX_BROADCAST_BYTES = 64 << 20
@@ -59,8 +60,12 @@ class NaiveBayesModel:
                                int(meta["vocab_size"]), float(meta["alpha"]), int(meta["token_bytes"]))
 
     def logits(self, df: DataFrame, tokens_col: str = "tokens", carry: list[str] | None = None,
-               out_col: str = "logits") -> DataFrame:
-        """``carry..., logits array<double>`` for every row of ``df``."""
+               out_col: str = "logits", max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
+        """``carry..., logits array<double>`` for every row of ``df``.
+
+        A parameter table of at most ``max_broadcast`` bytes is broadcast. A larger one is joined as hot and cold
+        words (``operators.hotjoin``), over the rows' distinct words with their counts, which are written once.
+        """
         carry = list(carry if carry is not None else [c for c in df.columns if c != tokens_col])
         key = "_cf_row"
         k = self.num_classes
@@ -69,12 +74,16 @@ class NaiveBayesModel:
         ex = keyed.select(key, *carry, F.explode_outer("_cf_tokens").alias("token"))
         side = self.params.select("token", "logp")
         est = self.vocab_size * (8 * k + 48) + self.token_bytes
-        side = F.broadcast(side) if est <= MAX_BROADCAST_BYTES else side
-        j = ex.join(side, "token", "left")
+        times = F.lit(1)
+        if est <= max_broadcast:
+            j = ex.join(F.broadcast(side), "token", "left")
+        else:
+            words = ex.groupBy(key, *carry, "token").agg(F.count(F.lit(1)).alias("_n"))
+            j, times = hot_cold_join(materialize(words, "nb_words"), side, "token"), F.col("_n")
         # the carried columns are fixed per row id, so they join the grouping key: the aggregate
         # buffers stay fixed-width sums (hash aggregation, partial per task) instead of first() over
         # arbitrary types, which would force a sort of every token occurrence
-        per = j.groupBy(key, *carry).agg(*[F.sum(F.col("logp")[i]).alias(f"_s{i}") for i in range(k)])
+        per = j.groupBy(key, *carry).agg(*[F.sum(F.col("logp")[i] * times).alias(f"_s{i}") for i in range(k)])
         logits = F.array(*[F.lit(self.log_priors[i]) + F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) for i in range(k)])
         return per.select(*carry, logits.alias(out_col))
 

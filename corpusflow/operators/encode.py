@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import attention_mask, pad_truncate
 from ..session import materialize
+from .hotjoin import hot_cold_join
 
 PAD_ID, UNK_ID = 0, 1
 RESERVED = 2
@@ -44,20 +45,21 @@ def encode(df: DataFrame, tokens_col: str, vocab: DataFrame, max_len: int = 256,
            mask_col: str = "attention_mask") -> DataFrame:
     """Add ``input_ids`` (cut/padded to ``max_len``, unknown -> 1) and ``attention_mask``.
 
-    The first ``max_len`` tokens of each row are exploded with their positions, joined to the
-    vocabulary (Spark broadcasts it when it is small enough, else shuffles), and regrouped per row –
-    map-side partial aggregation collapses each row before the exchange, so one row per document
-    (its other columns and at most ``max_len`` ids) is shuffled. The token column is replaced by the
-    ids. A row without tokens (null or empty) is all padding.
+    The first ``max_len`` tokens of each row are written once with a row id. Their positions are joined to the
+    vocabulary as hot and cold words (``hotjoin``): words that hold a share of all positions meet a broadcast of
+    bounded size, the rest of a vocabulary of any size is joined by shuffle. The regroup per row starts with
+    map-side partial aggregation, so one row per document and branch (its other columns and at most
+    ``max_len`` ids) is shuffled. The token column is replaced by the ids. A row without tokens (null or empty)
+    is all padding.
     """
-    # one id per input row, made below the explode; the row's other columns are fixed per id and
-    # join the grouping key, so the regroup needs no join back to the input and the full token
-    # array never crosses a shuffle (only the cut positions are exploded)
+    # the row's other columns are fixed per id and join the grouping key, so the regroup needs no join back to the
+    # input and the full token array never crosses a shuffle
     key = "_cf_row"
     carry = [c for c in df.columns if c != tokens_col]
     keyed = df.select(F.monotonically_increasing_id().alias(key), *carry, F.slice(F.col(tokens_col), 1, max_len).alias("_cf_cut"))
+    keyed = materialize(keyed, "encode_rows")  # both branches of the join must see the same ids
     ex = keyed.select(key, *carry, F.posexplode_outer("_cf_cut").alias("_p", "token"))
-    j = ex.join(vocab.select("token", "token_id"), "token", "left")
+    j = hot_cold_join(ex, vocab.select("token", "token_id"), "token")
     item = F.when(F.col("_p").isNotNull(), F.struct(F.col("_p"), F.coalesce("token_id", F.lit(UNK_ID)).alias("i")))
     per = j.groupBy(key, *carry).agg(F.array_sort(F.collect_list(item)).alias("_s"))
     out = per.select(*carry, F.transform("_s", lambda s: s["i"]).alias(ids_col))

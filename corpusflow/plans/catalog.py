@@ -500,5 +500,3 @@ def q_confusion_nested(spark, sf_dir):
 
 
 from . import catalog_models  # noqa: E402,F401  (registers the model and scoring queries)
-from . import catalog_files  # noqa: E402,F401  (registers the queries on files, texts and parameters)
-from . import catalog_fits  # noqa: E402,F401  (registers the fits that SQL repeats)

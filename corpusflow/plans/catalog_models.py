@@ -17,7 +17,7 @@ from ..operators.evaluate import class_report, confusion_long, evaluate
 from ..operators.extract import extract_terms
 from ..operators.labels import label_dimension, label_list, with_label_id
 from ..operators.split import split_exact
-from .catalog import (QUERY_HEAD, QUERY_TERMS, SEED, SQL, SQL_QUERY_TERMS, SQL_RULE, TRAIN, VAL, register, sql_clean,
+from .catalog import (QUERY_HEAD, QUERY_TERMS, SEED, SQL, SQL_DOCS_PREPARED, SQL_QUERY_TERMS, SQL_RULE, TRAIN, VAL, register, sql_clean,
                       sql_metrics, sql_norm, sql_split, sql_title, table)
 from ..session import materialize
 from .prepare import clean_rows
@@ -110,39 +110,65 @@ def labelled(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- vocabulary and ids (ML4, FN13-14)
-VOCAB_SIZE, MAX_LEN = 2000, 256  # MAX_LEN: the reference's default sequence length
-SQL_VOCAB = f"""
+TOP_WORDS, MAX_LEN = 2000, 256  # MAX_LEN: the reference's default sequence length
+
+
+def sql_vocab(rows: str, limit: str = "") -> str:
+    return f"""
 (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 1 AS INTEGER) AS token_id, n FROM
-  (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS token FROM {SQL_LAB} WHERE split = 'train')
-   GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB_SIZE}))"""
+  (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS token FROM {rows} WHERE split = 'train')
+   GROUP BY token ORDER BY n DESC, token {limit}))"""
 
 
-def _vocab(spark, sf_dir):
+def _vocab(spark, sf_dir, size: int | None = None):
     p, _ = labelled(spark, sf_dir)
     tr = p.where(F.col("split") == "train").select(word_tokens("text").alias("tokens"))
-    return p, build_vocab(tr, "tokens", VOCAB_SIZE)
+    return p, build_vocab(tr, "tokens", size)
 
 
-@register("vocab", f"SELECT token, token_id, n FROM {SQL_VOCAB}")
+@register("vocab", f"SELECT token, token_id, n FROM {sql_vocab(SQL_LAB)}")
 def q_vocab(spark, sf_dir):
     return _vocab(spark, sf_dir)[1]
 
 
-@register("encode_fixed", f"""
+@register("vocab_top", f"SELECT token, token_id, n FROM {sql_vocab(SQL_LAB, f'LIMIT {TOP_WORDS}')}")
+def q_vocab_top(spark, sf_dir):
+    """The most frequent words only (a top-k report)."""
+    return _vocab(spark, sf_dir, TOP_WORDS)[1]
+
+
+def sql_encode(rows: str) -> str:
+    return f"""
 WITH t AS (SELECT doc_id, generate_subscripts(string_split(lower(text), ' '), 1) AS pos,
-                  unnest(string_split(lower(text), ' ')) AS token FROM {SQL_LAB}),
-i AS (SELECT t.doc_id, t.pos, coalesce(v.token_id, 1) AS id FROM t LEFT JOIN {SQL_VOCAB} v ON v.token = t.token
+                  unnest(string_split(lower(text), ' ')) AS token FROM {rows}),
+i AS (SELECT t.doc_id, t.pos, coalesce(v.token_id, 1) AS id FROM t LEFT JOIN {sql_vocab(rows)} v ON v.token = t.token
       WHERE t.pos <= {MAX_LEN})
 SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) || repeat(',0', {MAX_LEN} - count(*)::INTEGER) AS input_ids,
        CAST(count(*) AS INTEGER) AS n_real
-FROM i GROUP BY doc_id""")
-def q_encode_fixed(spark, sf_dir):
-    p, vocab = _vocab(spark, sf_dir)
-    e = encode(p.select("doc_id", word_tokens("text").alias("tokens")), "tokens", vocab, MAX_LEN)
+FROM i GROUP BY doc_id"""
+
+
+def _encoded(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    e = encode(rows.select("doc_id", word_tokens("text").alias("tokens")), "tokens", vocab, MAX_LEN)
     return e.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"))
 
 
+@register("encode_fixed", sql_encode(SQL_LAB))
+def q_encode_fixed(spark, sf_dir):
+    """Labelled documents as ids of the whole vocabulary of their train split."""
+    return _encoded(*_vocab(spark, sf_dir))
+
+
+@register("encode_all", sql_encode(SQL_DOCS_PREPARED))
+def q_encode_all(spark, sf_dir):
+    """All documents as ids of the whole vocabulary of their train split."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    p = split_exact(materialize(clean_rows(d), "cleaned"), "doc_id", TRAIN, VAL, SEED)
+    tr = p.where(F.col("split") == "train").select(word_tokens("text").alias("tokens"))
+    return _encoded(p, build_vocab(tr, "tokens"))
+
+
 # ---------------------------------------------------------------- naive Bayes (ML1a, ML7-8, ML10)
 SQL_NB = f"""
 p AS (SELECT * FROM {SQL_LAB}),
@@ -198,6 +224,16 @@ def q_nb_score(spark, sf_dir):
                     F.round(F.col("logits")[1], 6).alias("logit_1"), F.round(F.col("probs")[1], 6).alias("prob_1"))
 
 
+@register("nb_score_hot_cold", SQL["nb_score"])
+def q_nb_score_hot_cold(spark, sf_dir):
+    """As ``nb_score``, with the parameter table joined as hot and cold words instead of a broadcast."""
+    p, model = _nb(spark, sf_dir)
+    z = model.logits(p.select("doc_id", "split", word_tokens("text").alias("tokens")), "tokens", carry=["doc_id", "split"], max_broadcast=0)
+    s = z.withColumn("probs", vx.softmax("logits")).withColumn("pred_id", vx.argmax("probs"))
+    return s.select("doc_id", "split", "pred_id", F.round(F.col("logits")[0], 6).alias("logit_0"),
+                    F.round(F.col("logits")[1], 6).alias("logit_1"), F.round(F.col("probs")[1], 6).alias("prob_1"))
+
+
 @register("nb_evaluate", f"WITH {SQL_NB} " + sql_metrics("sc", group="split"))
 def q_nb_evaluate(spark, sf_dir):
     m = evaluate(_nb_scored(spark, sf_dir), group_cols=["split"], classes=[0, 1])
@@ -523,3 +559,7 @@ def q_stream_csv(spark, sf_dir):
     """File names differ from run to run, so rows are told apart by what was predicted for them."""
     p = stream_csv_predictions(spark, sf_dir)
     return flatten_predictions(p, ["0", "1"]).withColumn("id_names_file", F.col("abstract_id").rlike(r"^part-.*csv#id_\d+$")).drop("abstract_id")
+
+
+from . import catalog_files  # noqa: E402,F401  (registers the queries on files, texts and parameters)
+from . import catalog_fits  # noqa: E402,F401  (registers the fits that SQL repeats)
