@@ -8,13 +8,20 @@ used as a literal). Zero denominators give 0, as the usual metric libraries do b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import let
 from ..session import materialize
 
 MAX_CLASSES = 10_000
+# classes up to which the dense matrix is given without being asked for (its cells are one row)
+MAX_DENSE = 512
 
 
 def class_ids(df: DataFrame, label_col: str, pred_col: str, max_classes: int = MAX_CLASSES) -> list[int]:
@@ -26,6 +33,42 @@ def class_ids(df: DataFrame, label_col: str, pred_col: str, max_classes: int = M
     return [int(r[0]) for r in rows]
 
 
+def _bounded_classes(counts: DataFrame, limit: int) -> list[int] | None:
+    """The classes of a count table, or None if there are more than ``limit``."""
+    try:
+        return class_ids(counts, "true_id", "pred_id", limit)
+    except ValueError:
+        return None
+
+
+def confusion_sparse(df: DataFrame, label_col: str = "label_id", pred_col: str = "pred_id",
+                     group_cols: list[str] | None = None) -> DataFrame:
+    """``group..., true_id, pred_id, n``: the pairs that occur. One partial aggregate; as many rows as there are
+    different pairs, whatever the number of classes, and the input that ``class_report`` takes."""
+    return _counts(df, label_col, pred_col, list(group_cols or [])).where(F.col("true_id").isNotNull() & F.col("pred_id").isNotNull())
+
+
+def custom_metrics(df: DataFrame, metric: Callable[[np.ndarray, np.ndarray, np.ndarray], float], name: str, label_col: str = "label_id",
+                   pred_col: str = "pred_id", group_cols: list[str] | None = None) -> DataFrame:
+    """``group..., <name>``: a user's metric ``f(true ids, predicted ids, counts) -> float`` for each group.
+
+    The function sees a group's distinct pairs with their numbers, as Arrow columns, so a task holds at most the pairs that
+    occur (classes squared), never the group's rows. For what aggregate Columns (``evaluate(extra=...)``) cannot say.
+    """
+    group_cols = list(group_cols or [])
+    counts = confusion_sparse(df, label_col, pred_col, group_cols)
+    keys = [counts.schema[c] for c in group_cols]
+    schema = T.StructType([*keys, T.StructField(name, T.DoubleType())])
+
+    def of_group(pairs: pa.Table) -> pa.Table:
+        t, p, n = (pairs.column(c).to_numpy() for c in ("true_id", "pred_id", "n"))
+        head = [pairs.column(k.name).slice(0, 1).combine_chunks() for k in keys]
+        value = pa.array([float(metric(t, p, n))], pa.float64())
+        return pa.Table.from_arrays([*head, value], names=[*group_cols, name])
+
+    return counts.groupBy(*group_cols).applyInArrow(of_group, schema)
+
+
 def _counts(df: DataFrame, label_col: str, pred_col: str, group_cols: list[str]) -> DataFrame:
     return df.groupBy(*group_cols, F.col(label_col).cast("int").alias("true_id"),
                       F.col(pred_col).cast("int").alias("pred_id")).agg(F.count(F.lit(1)).alias("n"))
@@ -82,26 +125,40 @@ def _ratio(num: Column, den: Column) -> Column:
 
 def evaluate(df: DataFrame, label_col: str = "label_id", pred_col: str = "pred_id", positive: int = 1,
              group_cols: list[str] | None = None, classes: list[int] | None = None,
-             extra: dict[str, Column] | None = None) -> DataFrame:
+             extra: dict[str, Column] | None = None, dense: bool | None = None) -> DataFrame:
     """Metric bundle per group: ``accuracy, precision, recall, f1`` (for class ``positive``),
     ``confusion_matrix``, ``tn, fp, fn, tp`` (2 x 2 only, else null), ``support``, and any
-    ``extra`` aggregate Columns (custom metrics over the prediction rows)."""
+    ``extra`` aggregate Columns (custom metrics over the prediction rows).
+
+    The metrics come from the counted (true, predicted) pairs, however many classes there are. The dense
+    ``confusion_matrix`` is one row of classes squared cells: it is given up to ``MAX_DENSE`` classes, beyond them
+    (up to ``MAX_CLASSES``) only with ``dense=True``, and null otherwise; ``confusion_sparse`` and
+    ``class_report`` serve any number of classes."""
     group_cols = list(group_cols or [])
-    counts, classes = _counted(df, label_col, pred_col, group_cols, classes)
-    long = _grid(counts, classes, group_cols)
+    counts = _counts(df, label_col, pred_col, group_cols)
+    if classes is None:
+        counts = materialize(counts, "confusion_counts")
+    if dense is None or dense:
+        limit = MAX_DENSE if dense is None else MAX_CLASSES
+        classes = _bounded_classes(counts, limit) if classes is None else classes
+        if classes is not None and len(classes) > limit:
+            classes = None
+        if dense and classes is None:
+            raise ValueError(f"more than {MAX_CLASSES} classes for a dense matrix")
+    else:
+        classes = None
     t, p, n = F.col("true_id"), F.col("pred_id"), F.col("n")
+    rows = counts.where(t.isNotNull() & p.isNotNull())
+    if classes is not None:
+        # the complete class x class grid: its cells sorted by (true, pred) are the matrix in row-major order, so
+        # the nested matrix comes out of the same aggregate as the metrics, no join
+        rows = _grid(rows, classes, group_cols)
     pos = F.lit(positive)
 
     def s(cond: Column) -> Column:
         return F.sum(F.when(cond, n).otherwise(F.lit(0)))
 
     tp, fp, fn = s((t == pos) & (p == pos)), s((t != pos) & (p == pos)), s((t == pos) & (p != pos))
-    k = len(classes)
-    # the long table holds the complete class x class grid, so its cells sorted by (true, pred) are
-    # the matrix in row-major order: the nested matrix comes out of the same aggregate, no join
-    cells = F.array_sort(F.collect_list(F.struct(t, p, n)))
-    matrix = let(cells, lambda c: F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.transform(F.slice(c, i * k + 1, F.lit(k)), lambda x: x["n"])))
     aggs = [
         F.sum("n").alias("support"),
         _ratio(s(t == p), F.sum("n")).alias("accuracy"),
@@ -109,12 +166,19 @@ def evaluate(df: DataFrame, label_col: str = "label_id", pred_col: str = "pred_i
         _ratio(tp, tp + fn).alias("recall"),
         _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
     ]
-    two = k == 2
+    two = classes is not None and len(classes) == 2
     for name, (ti, pi) in {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}.items():
         val = s((t == F.lit(classes[ti])) & (p == F.lit(classes[pi]))) if two else F.lit(None).cast("long")
         aggs.append(val.cast("long").alias(name))
-    aggs.append((matrix if k else F.array().cast("array<array<bigint>>")).alias("confusion_matrix"))
-    out = long.groupBy(*group_cols).agg(*aggs) if group_cols else long.agg(*aggs)
+    if classes:
+        k = len(classes)
+        cells = F.array_sort(F.collect_list(F.struct(t, p, n)))
+        matrix = let(cells, lambda c: F.transform(
+            F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.transform(F.slice(c, i * k + 1, F.lit(k)), lambda x: x["n"])))
+    else:
+        matrix = F.lit(None).cast("array<array<bigint>>") if classes is None else F.array().cast("array<array<bigint>>")
+    aggs.append(matrix.alias("confusion_matrix"))
+    out = rows.groupBy(*group_cols).agg(*aggs) if group_cols else rows.agg(*aggs)
     if extra:
         more = df.groupBy(*group_cols).agg(*[v.alias(k) for k, v in extra.items()]) if group_cols else \
             df.agg(*[v.alias(k) for k, v in extra.items()])

@@ -11,7 +11,7 @@ from ..operators.evaluate import evaluate
 from ..operators.extract import extract_terms
 from ..operators.labels import label_list
 from ..schemas import PREDICTION
-from ..session import materialize, scratch_path
+from ..session import discard, materialize, scratch_path
 from ..sources import corpus as src
 from ..sources import sinks
 from .catalog import (QUERY_HEAD, QUERY_TERMS, SEED, SQL_DOCS_PREPARED, SQL_QUERY_TERMS, TRAIN, VAL, prepared_stats, register, sql_clean,
@@ -40,8 +40,10 @@ def q_folder_splits(spark, sf_dir):
     root, out = scratch_path(spark, "folders"), scratch_path(spark, "by_split")
     sinks.write_class_folders(d, root)
     langs = [r[0] for r in table(spark, sf_dir, "documents", spread_rows=False).select("lang").distinct().limit(1000).collect()]
-    raw = src.compact_class_folders(spark, root, required=langs)
-    prepared, _ = prepare(raw, "abstract_id", "text", "label", TRAIN, VAL, SEED)
+    with src.packed_scan(spark):  # the small files are read once, by the job that writes the cleaned rows
+        prepared, _ = prepare(src.read_class_folders(spark, root), "abstract_id", "text", "label", TRAIN, VAL, SEED)
+    src.require_labels(prepared, langs, root)
+    discard(spark, root)
     sinks.write_prepared(prepared, out, order_by="filepath")
     return src.export_positions(spark, out).select("abstract_id", "label", F.col("label_id").cast("int").alias("label_id"), "split",
                                                    F.md5("text").alias("text_md5"), "pos")

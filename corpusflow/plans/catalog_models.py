@@ -537,13 +537,13 @@ def q_stream_score(spark, sf_dir):
 CSV_ROWS_PER_FILE = 2_500
 
 
-def stream_csv_predictions(spark, sf_dir) -> DataFrame:
+def stream_csv_predictions(spark, sf_dir, base: str | None = None) -> DataFrame:
     """CSV copies of ``documents`` (no id column) streamed in; ids default to ``<file>#id_<row in file>``."""
     from ..schemas import PREDICTION
     from ..streaming.score_stream import stream_score_csv
 
     _, model = _nb(spark, sf_dir)
-    base = _stream_scratch(spark)
+    base = base or _stream_scratch(spark)
     docs = table(spark, sf_dir, "documents").select("text")
     # several input files without a shuffle: the writer cuts a new file every CSV_ROWS_PER_FILE rows
     docs.write.option("header", "true").option("escape", '"').option("maxRecordsPerFile", CSV_ROWS_PER_FILE).csv(
@@ -561,5 +561,149 @@ def q_stream_csv(spark, sf_dir):
     return flatten_predictions(p, ["0", "1"]).withColumn("id_names_file", F.col("abstract_id").rlike(r"^part-.*csv#id_\d+$")).drop("abstract_id")
 
 
+@register("stream_csv_rows", f"""WITH {SQL_NB_ALL}
+SELECT md5(d.text) AS text_md5, CAST(sc.pred_id AS VARCHAR) AS predicted_label, round(sc.p0, 6) AS conf_0, round(sc.p1, 6) AS conf_1
+FROM sc JOIN documents d ON d.doc_id = sc.doc_id""")
+def q_stream_csv_rows(spark, sf_dir):
+    """The streamed CSV rows told apart by id: ``<file>#id_<row>`` leads back to the row's text in the input file."""
+    from ..sources.corpus import CSV_OPTIONS, file_ordinal
+
+    base = _stream_scratch(spark)
+    p = flatten_predictions(stream_csv_predictions(spark, sf_dir, base), ["0", "1"])
+    rows = spark.read.options(**CSV_OPTIONS).schema("text string").csv(f"{base}/in").withColumn("_path", F.col("_metadata.file_path"))
+    rows = file_ordinal(rows, "_row", path_col="_path")
+    name = F.concat(F.regexp_extract("_path", r"([^/]+)$", 1), F.lit("#id_"), F.col("_row").cast("string"))
+    rows = rows.select(name.alias("abstract_id"), F.md5("text").alias("text_md5"))
+    return p.join(rows, "abstract_id", "left").select("text_md5", "predicted_label", "conf_0", "conf_1")
+
+
+@register("stream_restart", SQL["enriched_predictions"])
+def q_stream_restart(spark, sf_dir):
+    """A stream whose sink fails after it wrote its second batch, started again from the same checkpoint: every row once."""
+    from pyspark.errors import StreamingQueryException
+
+    from ..functions.text import clean_text
+    from ..streaming.score_stream import stream_score
+
+    _, model = _nb(spark, sf_dir)
+    base = _stream_scratch(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.repartition(4).write.parquet(f"{base}/in")
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        rows = batch.where(F.length(clean_text("text")) > 0)
+        return rows.select(F.col("doc_id").cast("string").alias("abstract_id"), "text")
+
+    def fail(epoch: int) -> None:
+        if epoch == 1:
+            raise RuntimeError("the sink fails")
+
+    def start(on_batch=None):
+        return stream_score(spark, f"{base}/in", NaiveBayesScorer(model, clean=True), sink=f"{base}/out", checkpoint=f"{base}/ckpt", schema=docs.schema,
+                            prepare=prepare, max_files=1, extractor=lambda c: extract_terms(c, QUERY_TERMS, QUERY_HEAD), on_batch=on_batch)
+
+    try:
+        start(fail).awaitTermination()
+        raise AssertionError("the first run must fail")
+    except StreamingQueryException:
+        pass
+    start().awaitTermination()
+    return flatten_predictions(spark.read.parquet(f"{base}/out").drop("batch"), ["0", "1"])
+
+
+# ---------------------------------------------------------------- an outside model (UDF3) and a metric of one's own (UDF1)
+# counts of " ", "e" and line breaks, and the length; logit of class 1
+OUTSIDE = {"space": -0.02, "e": 0.01, "line": 0.03, "length": 0.001, "bias": -0.5}
+
+
+def _load_outside():
+    import json
+
+    return json.loads(json.dumps(OUTSIDE))
+
+
+def _outside_logits(model, texts):
+    import numpy as np
+    import pyarrow.compute as pc
+
+    count = lambda x: pc.count_substring(texts, x).to_numpy(zero_copy_only=False).astype(float)
+    length = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+    z = model["space"] * count(" ") + model["e"] * count("e") + model["line"] * count("\n") + model["length"] * length + model["bias"]
+    return np.stack([np.zeros(len(z)), z], axis=1)
+
+
+def _sql_times(x: str) -> str:
+    return f"(length(t) - length(replace(t, {x}, '')))"
+
+
+@register("outside_model", f"""
+SELECT CAST(doc_id AS VARCHAR) AS abstract_id, CASE WHEN z > 0 THEN 'high' ELSE 'low' END AS predicted_label,
+       round(1 / (1 + exp(-z)), 6) AS conf_high
+FROM (SELECT doc_id, {OUTSIDE['space']} * {_sql_times("' '")} + {OUTSIDE['e']} * {_sql_times("'e'")} + {OUTSIDE['line']} * {_sql_times('chr(10)')}
+             + {OUTSIDE['length']} * length(t) + ({OUTSIDE['bias']}) AS z FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""")
+def q_outside_model(spark, sf_dir):
+    """A model outside Spark over the whole table: Arrow batches bounded by bytes, the model loaded once a worker."""
+    from .score import ArrowScorer
+
+    scorer = ArrowScorer(_outside_logits, ["low", "high"], _load_outside, batch_bytes=1 << 20)
+    p = score_table(table(spark, sf_dir, "documents").select("doc_id", "text"), scorer, "text", "doc_id", extractor=lambda c: F.array().cast("array<string>"))
+    return p.select("abstract_id", F.col("predicted_labels")[0].alias("predicted_label"), F.round(F.col("confidence_scores")["high"], 6).alias("conf_high"))
+
+
+def _balanced_accuracy(true, pred, n) -> float:
+    import numpy as np
+
+    classes = np.unique(true)
+    return float(np.mean([n[(true == c) & (pred == c)].sum() / n[true == c].sum() for c in classes]))
+
+
+@register("custom_metric", f"""WITH {SQL_NB}
+SELECT split, round(avg(r), 6) AS balanced_accuracy FROM (
+  SELECT split, label_id, avg(CASE WHEN pred_id = label_id THEN 1.0 ELSE 0.0 END) AS r FROM sc GROUP BY split, label_id) GROUP BY split""")
+def q_custom_metric(spark, sf_dir):
+    """A metric written by the user, per split, over the counted pairs."""
+    from ..operators.evaluate import custom_metrics
+
+    m = custom_metrics(_nb_scored(spark, sf_dir), _balanced_accuracy, "balanced_accuracy", group_cols=["split"])
+    return m.select("split", F.round("balanced_accuracy", 6).alias("balanced_accuracy"))
+
+
+# ---------------------------------------------------------------- many classes (AGG13-15)
+MANY = 50_021
+SQL_MANY = f"(SELECT n_chars % {MANY} AS label_id, (n_chars + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) % {MANY} AS pred_id FROM documents)"
+
+
+def _many_classes(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents", spread_rows=False)
+    off = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)
+    return d.select((F.col("n_chars") % MANY).cast("int").alias("label_id"), ((F.col("n_chars") + off) % MANY).cast("int").alias("pred_id"))
+
+
+@register("many_class_pairs", f"SELECT CAST(label_id AS INTEGER) AS true_id, CAST(pred_id AS INTEGER) AS pred_id, count(*) AS n FROM {SQL_MANY} GROUP BY 1, 2")
+def q_many_class_pairs(spark, sf_dir):
+    """The confusion matrix of up to 50,021 classes as its occurring cells."""
+    from ..operators.evaluate import confusion_sparse
+
+    return confusion_sparse(_many_classes(spark, sf_dir))
+
+
+@register("many_class_report", f"""
+WITH c AS (SELECT label_id AS t, pred_id AS p, count(*) AS n FROM {SQL_MANY} GROUP BY 1, 2),
+cls AS (SELECT t AS k FROM c UNION SELECT p FROM c),
+m AS (SELECT k, coalesce((SELECT sum(n) FROM c WHERE t = k), 0) AS sup, coalesce((SELECT sum(n) FROM c WHERE p = k), 0) AS pr,
+             coalesce((SELECT sum(n) FROM c WHERE t = k AND p = k), 0) AS tp FROM cls),
+r AS (SELECT sup, tp, CASE WHEN pr = 0 THEN 0.0 ELSE tp / pr END AS pc, CASE WHEN sup = 0 THEN 0.0 ELSE tp / sup END AS rc,
+             CASE WHEN pr + sup = 0 THEN 0.0 ELSE 2 * tp / (pr + sup) END AS f FROM m)
+SELECT 'accuracy' AS class, NULL AS precision, NULL AS recall, round(sum(tp) / sum(sup), 6) AS f1, CAST(sum(sup) AS BIGINT) AS support FROM r
+UNION ALL SELECT 'macro avg', round(avg(pc), 6), round(avg(rc), 6), round(avg(f), 6), CAST(sum(sup) AS BIGINT) FROM r
+UNION ALL SELECT 'weighted avg', round(sum(pc * sup) / sum(sup), 6), round(sum(rc * sup) / sum(sup), 6), round(sum(f * sup) / sum(sup), 6), CAST(sum(sup) AS BIGINT) FROM r""")
+def q_many_class_report(spark, sf_dir):
+    """Summary rows of the report over the occurring pairs; no class x class grid is built."""
+    from ..operators.evaluate import confusion_sparse
+
+    r = class_report(confusion_sparse(_many_classes(spark, sf_dir))).where(F.col("class_id").isNull())
+    return r.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 from . import catalog_files  # noqa: E402,F401  (registers the queries on files, texts and parameters)
 from . import catalog_fits  # noqa: E402,F401  (registers the fits that SQL repeats)

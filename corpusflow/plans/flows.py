@@ -34,7 +34,8 @@ def prepare_corpus(spark: SparkSession, root: str, out_dir: str, labels: list[st
     """Folders -> ``out_dir/{prepared, label_map, stats}`` (+ ``prepared_csv`` by split and
     ``full_cleaned_csv``, the whole cleaned set as one export in path order)."""
     raw = src.read_class_folders(spark, root, required=labels)
-    prepared, dim = prepare(raw, "abstract_id", "text", "label", train_ratio, val_ratio, seed)
+    with src.packed_scan(spark):
+        prepared, dim = prepare(raw, "abstract_id", "text", "label", train_ratio, val_ratio, seed)
     sinks.write_prepared(prepared, f"{out_dir}/prepared")
     if csv:
         sinks.write_prepared(prepared, f"{out_dir}/prepared_csv", fmt="csv")

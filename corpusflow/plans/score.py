@@ -6,8 +6,9 @@ raw text; the class probabilities come from a *scorer*:
 
 * ``NaiveBayesScorer`` – the relational model of ``models.nb`` (JVM only);
 * ``SparkMLScorer`` – any fitted Spark ML ``PipelineModel`` with a ``probability`` column;
-* ``PandasScorer`` – an outside model called on Arrow batches through ``mapInPandas`` (loaded once
-  per Python worker), for models Spark cannot express.
+* ``PandasScorer`` – an outside model called on pandas batches through ``mapInPandas`` (loaded once
+  per task), for models Spark cannot express;
+* ``ArrowScorer`` – the same over Arrow batches bounded by bytes, loaded once per Python worker.
 
 A scorer maps ``(df, text_col, carry)`` to ``carry..., probs array<double>``; only the id and the
 extracted names are carried, so the text does not cross a shuffle.
@@ -15,11 +16,15 @@ extracted names are carried, so the text does not cross a shuffle.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import word_tokens
 from ..functions.vectors import argmax, confidence_map, label_of, softmax
@@ -50,7 +55,7 @@ class SparkMLScorer:
 class PandasScorer:
     """Wrap ``predict(texts: pandas.Series) -> 2-D array of logits`` for ``mapInPandas``.
 
-    ``load`` (optional) builds the model once per Python worker; ``predict`` gets ``(model, texts)``
+    ``load`` (optional) builds the model once per task; ``predict`` gets ``(model, texts)``
     when ``load`` is given. Logits are turned into probabilities by ``softmax`` in the JVM.
     """
 
@@ -60,8 +65,6 @@ class PandasScorer:
     def scores(self, df: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
         predict, load = self.predict, self.load
         fields = [df.schema[c] for c in carry]
-        from pyspark.sql import types as T
-
         schema = T.StructType(fields + [T.StructField("logits", T.ArrayType(T.DoubleType()))])
 
         def run(batches):
@@ -77,6 +80,53 @@ class PandasScorer:
         return scored.select(*carry, softmax("logits").alias("probs"))
 
 
+# models loaded in this Python worker, by scorer
+_loaded: dict[str, object] = {}
+
+
+def _model_of(key: str, load: Callable) -> object:
+    """The scorer's model in this worker. (A function of the module, so that tasks share the module's dict.)"""
+    if key not in _loaded:
+        _loaded[key] = load()
+    return _loaded[key]
+
+
+class ArrowScorer:
+    """An outside model over Arrow batches whose text is bounded by bytes, loaded once per Python worker.
+
+    ``predict(model, texts: pyarrow.Array) -> 2-D array of logits``; ``load() -> model`` runs when a worker first
+    needs it and serves all its later tasks. A batch of long texts is cut into slices of at most ``batch_bytes`` (a
+    longer text is a slice of its own), so a task's memory does not depend on how many rows a batch has. Null
+    texts are empty.
+    """
+
+    def __init__(self, predict: Callable, labels: list[str], load: Callable, batch_bytes: int = 8 << 20):
+        self.predict, self.labels, self.load, self.batch_bytes = predict, labels, load, batch_bytes
+        self.key = uuid.uuid4().hex
+
+    def scores(self, df: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
+        predict, load, key, limit = self.predict, self.load, self.key, self.batch_bytes
+        schema = T.StructType([*(df.schema[c] for c in carry), T.StructField("logits", T.ArrayType(T.DoubleType()))])
+
+        def run(batches):
+            model = _model_of(key, load)
+            for batch in batches:
+                texts = pc.fill_null(batch.column(text_col), "")
+                end = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+                lo = 0
+                while lo < batch.num_rows:
+                    start = end[lo - 1] if lo else 0
+                    hi = max(lo + 1, int(np.searchsorted(end, start + limit, "right")))
+                    z = np.asarray(predict(model, texts.slice(lo, hi - lo)), np.float64)
+                    logits = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel()))
+                    part = batch.select(carry).slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([*part.columns, logits], [*carry, "logits"])
+                    lo = hi
+
+        scored = df.select(*carry, text_col).mapInArrow(run, schema)
+        return scored.select(*carry, softmax("logits").alias("probs"))
+
+
 def predictions(scored: DataFrame, labels: list[str], id_col: str = "abstract_id",
                 extracted_col: str = "extracted_diseases") -> DataFrame:
     """Shape ``carry..., probs`` into prediction records."""

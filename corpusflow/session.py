@@ -55,6 +55,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of this application that nothing reads any more (other paths are refused)."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/"
+    if not path.startswith(base) or ".." in path:
+        raise ValueError(f"{path} is not a scratch folder of this application")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def spread(df, min_partitions: int | None = None):
     """Spread rows over the cluster when a scan yields fewer partitions than there are cores.
 

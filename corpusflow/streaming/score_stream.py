@@ -25,7 +25,7 @@ MAX_FILES_PER_TRIGGER = 1_000
 
 
 def _writer(scorer, sink: str, fmt: str, extractor, prepare: Callable[[DataFrame], DataFrame] | None,
-            keep_file_order: bool = False):
+            keep_file_order: bool = False, on_batch: Callable[[int], None] | None = None):
     def run(batch: DataFrame, epoch: int) -> None:
         # a micro-batch of a few large files arrives in a few partitions and scoring is CPU-bound,
         # so rows are spread first – after ``prepare`` when it needs the files' own row order
@@ -36,6 +36,8 @@ def _writer(scorer, sink: str, fmt: str, extractor, prepare: Callable[[DataFrame
             rows = prepare(rows) if prepare else rows
         preds = score_table(rows, scorer, extractor=extractor)
         preds.write.mode("overwrite").format(fmt).save(f"{sink}/batch={epoch}")
+        if on_batch:
+            on_batch(epoch)
 
     return run
 
@@ -44,15 +46,20 @@ def stream_score(spark: SparkSession, source: str, scorer, sink: str, checkpoint
                  source_format: str = "parquet", sink_format: str = "parquet", available_now: bool = True,
                  extractor: Callable[[Column], Column] | None = None,
                  prepare: Callable[[DataFrame], DataFrame] | None = None,
-                 max_files: int | None = MAX_FILES_PER_TRIGGER, path_glob: str | None = None) -> StreamingQuery:
-    """Score rows ``(abstract_id, text)`` of files arriving under ``source``."""
+                 max_files: int | None = MAX_FILES_PER_TRIGGER, path_glob: str | None = None,
+                 on_batch: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Score rows ``(abstract_id, text)`` of files arriving under ``source``.
+
+    ``on_batch(epoch)`` is called when a micro-batch has been written and before it is committed. If it raises, or the
+    query dies there, a restart from the same checkpoint writes that batch's files again, so no row is lost or doubled.
+    """
     r = spark.readStream.schema(schema).format(source_format)
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
     if path_glob:
         r = r.option("pathGlobFilter", path_glob)
     stream = r.load(source)
-    w = stream.writeStream.foreachBatch(_writer(scorer, sink, sink_format, extractor, prepare)).option(
+    w = stream.writeStream.foreachBatch(_writer(scorer, sink, sink_format, extractor, prepare, on_batch=on_batch)).option(
         "checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

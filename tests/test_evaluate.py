@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.operators.evaluate import class_report, confusion_long, evaluate, report_text
+from corpusflow.operators.evaluate import class_report, confusion_long, confusion_sparse, custom_metrics, evaluate, report_text
 from corpusflow.operators.select import best_by
 
 
@@ -72,3 +73,35 @@ def test_report_text_is_in_class_order(spark):
     long = confusion_long(spark.createDataFrame(rows, "label_id int, pred_id int"))
     text = report_text(class_report(long)).first()[0]
     assert [x.split()[0] for x in text.split("\n")[1:13]] == [str(i) for i in range(12)]
+
+
+def test_fifty_thousand_classes_stay_sparse(spark):
+    n = 50_000
+    df = spark.range(n).select(F.col("id").cast("int").alias("label_id"), (F.col("id") + F.when(F.col("id") % 4 == 0, 1).otherwise(0)).cast("int").alias("pred_id"))
+    m = evaluate(df).first()
+    assert m.accuracy == pytest.approx(0.75) and m.confusion_matrix is None and m.support == n and m.tn is None
+    pairs = confusion_sparse(df)
+    assert pairs.count() == n
+    r = {x["class"]: x for x in class_report(pairs).where("class_id IS NULL").collect()}
+    assert r["accuracy"].f1 == pytest.approx(0.75) and r["weighted avg"].recall == pytest.approx(0.75)
+    with pytest.raises(ValueError, match="dense matrix"):
+        evaluate(df, dense=True)
+
+
+def test_dense_on_request(spark):
+    df = preds(spark, [(0, 0), (1, 2), (2, 2), (None, 1), (1, None)])
+    assert evaluate(df, dense=False).first().confusion_matrix is None
+    assert evaluate(df, dense=True).first().confusion_matrix == [[1, 0, 0], [0, 0, 1], [0, 0, 1]]
+    assert evaluate(df).first().support == 3  # pairs without a truth or a prediction count for nothing
+
+
+def test_custom_metrics_by_group(spark):
+    df = preds(spark, [(0, 0), (1, 1), (1, 0), (0, 0), (2, 2), (2, 1)], groups=[1, 1, 1, 2, 2, 2])
+
+    def macro_recall(t, p, n):
+        return float(np.mean([n[(t == c) & (p == c)].sum() / n[t == c].sum() for c in np.unique(t)]))
+
+    got = {r.g: r.x for r in custom_metrics(df, macro_recall, "x", group_cols=["g"]).collect()}
+    assert got == {1: pytest.approx(0.75), 2: pytest.approx(0.75)}
+    assert custom_metrics(df, lambda t, p, n: n.sum(), "rows").first().rows == 6
+    assert custom_metrics(df.where("false"), macro_recall, "x", group_cols=["g"]).count() == 0
