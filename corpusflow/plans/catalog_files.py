@@ -93,7 +93,7 @@ def q_scoring_csv(spark, sf_dir):
     _, model = _nb(spark, sf_dir)
     texts, out = scratch_path(spark, "scoring_csv"), scratch_path(spark, "predictions")
     rows = table(spark, sf_dir, "documents", spread_rows=False).orderBy("doc_id").select("text")
-    rows.write.option("header", "true").option("escape", '"').option("maxRecordsPerFile", CSV_FILE_ROWS).csv(texts)
+    rows.write.option("header", "true").option("escape", '"').option("maxRecordsPerFile", CSV_FILE_ROWS).csv(texts, compression="gzip")
     preds = score_table(src.read_scoring_csv(spark, texts), NaiveBayesScorer(model, clean=True), extractor=_names)
     sinks.write_predictions(preds, out)
     return flatten_predictions(spark.read.schema(PREDICTION).json(out), ["0", "1"])

@@ -100,12 +100,17 @@ SQL_LAB = sql_split(
 )
 
 
+# labels up to so many rows (of an id and a digit) are broadcast to the documents, whose texts then stay where they are
+MAX_BROADCAST_ROWS = 2_000_000
+
+
 def labelled(spark, sf_dir):
     """Labelled documents: cleaned, label = quality as text, label ids, exact seeded split."""
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    few = lab.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     dim = label_dimension(lab)
-    rows = materialize(with_label_id(clean_rows(d.join(lab, "doc_id")), "label", dim), "labelled")
+    rows = materialize(with_label_id(clean_rows(d.join(F.broadcast(lab) if few else lab, "doc_id")), "label", dim), "labelled")
     return split_exact(rows, "doc_id", TRAIN, VAL, SEED), dim
 
 
