@@ -2,17 +2,21 @@
 
 A block is a line of the text, or any run of as many words as the longest template has, whatever lines they
 stand on (notices are wrapped); its set is the block's distinct words. A block matches a template
-when it holds at least ``threshold`` of the template's words (containment). Words are ordered by how
-often they occur in the whole corpus, rarest first. A template of ``n`` words that needs ``k`` of
-them can only match a block that holds one of its first ``n - k + 1`` words in this order (prefix
-filter); the block must hold ``k`` template words at all (length filter); and at the first shared
-word the words still to come on either side must suffice (positional filter). What is left is
-verified by the size of the intersection, so the result is exact. Runs of words are looked at in the texts
-that match a template as a whole by the same join, since a text holds what its runs hold.
-
-The templates are a parameter of at most ``MAX_TEMPLATE_WORDS`` words, which bounds everything that
-is shipped as literals or collected (one count per template word). Blocks are never shuffled; only the
-counts of template words and one row per matching document are.
+when it holds at least ``threshold`` of the template's words (containment). A text holds what its blocks
+hold, so texts are joined with the templates first, and only what passes is looked at block by block:
+
+1. *Order.* Template words are ordered by the number of texts that hold them, rarest first (one count over the
+   corpus, a row a template word).
+2. *Filters*, on a text's template words in this order. A template of ``n`` words that needs ``k`` of them can only
+   match a text that holds ``k`` template words at all (length), one of the template's first ``n - k + 1`` words
+   (prefix), and enough words on either side of the first shared one (positional). What is left is verified by the size of
+   the intersection.
+3. *Blocks* of the texts that are left, for the templates that are left. A run starts at a word of the template; it
+   can only match if ``k`` places of template words lie within its length, which two neighbouring entries of the list
+   of places tell; then its distinct words are counted. Work is linear in the text.
+
+Everything happens in the row: the templates are literals (at most ``MAX_TEMPLATE_WORDS`` words), no text and no block is
+shuffled, and words are bound once a row, behind generators that the optimiser does not look through.
 
 Defined cases: a null text counts as empty: no words, no places, no labels, score 0; repeated rows
 each give a row; other columns are ignored; an empty table gives an empty result.
@@ -23,13 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import blank_if_null, let, read, text_key, with_columns
+from corpusflow.llm.common import blank_if_null, let, read, with_columns
 
 #: Fixed by the contract: words after lower-casing A-Z, and the base phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: What parts words: the same rule turned round, before and after lower-casing (splitting is cheaper than finding).
+#: What parts words: the same rule turned round (splitting is cheaper than finding).
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,7 +51,7 @@ TEMPLATES = (
     ("proprietary", "All rights reserved."),
 )
 THRESHOLD = 0.9
-MAX_TEMPLATE_WORDS = 100_000
+MAX_TEMPLATE_WORDS = 20_000
 
 
 def ascii_lower(c: Column) -> Column:
@@ -60,16 +63,14 @@ def _words(c: Column) -> Column:
     return F.split(c, GAP)
 
 
-def _n_words(t: Column) -> Column:
-    def count(w: Column) -> Column:
-        ends = F.when(F.get(w, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), 1).otherwise(0)
-        return (F.size(w) - ends).cast("long")
-
-    return let(F.split(t, GAP_ANY_CASE), count)
+def _n_words(w: Column) -> Column:
+    """Number of words of a split text: an empty string may stand at either end."""
+    ends = F.when(F.get(w, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), 1).otherwise(0)
+    return (F.size(w) - ends).cast("long")
 
 
 def base_scan(text: Column) -> Column:
-    """Struct of n_words, n_base, first_word, last_word and base (labels) by the phrase rule."""
+    """Struct of n_base, first_word, last_word and base (labels) by the phrase rule."""
     t = blank_if_null(text)
 
     def phrase_at(w: Column, i: Column, phrase: str) -> Column:
@@ -88,17 +89,14 @@ def base_scan(text: Column) -> Column:
 
     # the word list is only built where a phrase's last word occurs at all
     found = F.when(t.rlike("(?i)license"), let(F.filter(_words(ascii_lower(t)), lambda w: w != ""), hits))
-    return F.struct(
-        _n_words(t).alias("n_words"),
-        let(
-            F.coalesce(found, F.array().cast("array<struct<i:bigint,label:string>>")),
-            lambda h: F.struct(
-                F.size(h).cast("long").alias("n_base"),
-                F.array_min(h["i"]).alias("first_word"),
-                F.array_max(h["i"]).alias("last_word"),
-                F.array_sort(F.array_distinct(h["label"])).alias("base"),
-            ),
-        ).alias("hit"),
+    return let(
+        F.coalesce(found, F.array().cast("array<struct<i:bigint,label:string>>")),
+        lambda h: F.struct(
+            F.size(h).cast("long").alias("n_base"),
+            F.array_min(h["i"]).alias("first_word"),
+            F.array_max(h["i"]).alias("last_word"),
+            F.array_sort(F.array_distinct(h["label"])).alias("base"),
+        ),
     )
 
 
@@ -106,59 +104,113 @@ def _literal_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+def _lowered(text: Column) -> Column:
+    """The text with A-Z in lower case, as far as ASCII words go.
+
+    ``lower`` is much faster than a translation by character. It also changes other letters, which no ASCII word has; the one
+    character that it would turn into an ASCII letter by itself (the Kelvin sign) is replaced by another letter first.
+    """
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u00df")))
+
+
+class Templates:
+    """Templates with their words in corpus order, and what the filters need of them."""
+
+    def __init__(self, templates, threshold: float):
+        self.width = max((len(_python_words(body)) for _, body in templates), default=0)
+        sets = [(label, sorted(set(_python_words(body)))) for label, body in templates]
+        self.sets = [(label, s, -(-int(round(threshold * 10_000)) * len(s) // 10_000)) for label, s in sets if s]
+        self.vocabulary = sorted({w for _, s, _ in self.sets for w in s})
+        if not self.vocabulary or sum(len(s) for _, s, _ in self.sets) > MAX_TEMPLATE_WORDS:
+            raise ValueError(f"templates must have between 1 and {MAX_TEMPLATE_WORDS} words")
+        if any(not w.isascii() for w in self.vocabulary):
+            raise ValueError("template words must be ASCII")
+
+    def ordered(self, docs: DataFrame) -> tuple[Column, Column]:
+        """The vocabulary in corpus order, and an array of (label, words, prefix, need)."""
+        held = F.array_intersect(_literal_array(self.vocabulary), _words(_lowered(blank_if_null(F.col("text")))))
+        counts = {r["w"]: r["count"] for r in docs.select(F.explode(held).alias("w")).groupBy("w").count().collect()}  # a row a template word
+        rank = {w: i for i, w in enumerate(sorted(self.vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+        rows = []
+        for label, words, need in self.sets:
+            words = sorted(words, key=rank.__getitem__)
+            prefix = words[: len(words) - need + 1]
+            rows.append(F.struct(F.lit(label).alias("label"), _literal_array(words).alias("words"), _literal_array(prefix).alias("prefix"), F.lit(need).alias("need")))
+        return _literal_array(sorted(self.vocabulary, key=rank.__getitem__)), F.array(*rows)
+
+
+def _may_match(t: Column, b: Column) -> Column:
+    """Length, prefix and positional filter and the verification of one template on a block's ordered template words."""
+    first = F.get(F.array_intersect(t["prefix"], b), F.lit(0))  # the rarest shared word
+    left = F.least(F.size(t["words"]) - F.array_position(t["words"], first), F.size(b) - F.array_position(b, first))
+    return (F.size(b) >= t["need"]) & first.isNotNull() & (left + 1 >= t["need"]) & (F.size(F.array_intersect(t["words"], b)) >= t["need"])
+
+
+def _best_line(t: Column, lines: Column) -> Column:
+    return F.array_max(F.transform(lines, lambda w: F.size(F.array_intersect(t["words"], w))))
+
+
+def _best_run(t: Column, words: Column, width: int) -> Column:
+    """Most distinct template words in any ``width`` consecutive words (0 if no run can match)."""
+
+    def of_places(p: Column) -> Column:
+        def run(x: Column, j: Column) -> Column:
+            # the run from this place on can only match if the place of its need-th template word is near enough
+            near = F.coalesce(F.get(p, j + t["need"] - 1)["i"] < x["i"] + width, F.lit(False))
+            own = F.filter(F.slice(p, j + 1, F.lit(width)), lambda y: y["i"] < x["i"] + width)
+            return F.when(near, F.size(F.array_distinct(F.transform(own, lambda y: y["w"])))).otherwise(0)
+
+        return F.coalesce(F.array_max(F.transform(p, run)), F.lit(0))
+
+    places = F.transform(words, lambda w, i: F.when(F.array_contains(t["words"], w), F.struct(i.alias("i"), w.alias("w"))))
+    return let(F.filter(places, lambda x: x.isNotNull()), of_places)
+
+
+def match_blocks(text: Column, found: Column, width: int) -> Column:
+    """Of the templates that a text may match: (label, containment) of those that one of its blocks matches."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.filter(F.split(x, GAP), lambda w: w != ""))
+
+    def of_lines(ls: Column) -> Column:
+        def of_words(ws: Column) -> Column:
+            def match(t: Column) -> Column:
+                n = F.greatest(_best_line(t, ls), _best_run(t, ws, width))
+                return let(n, lambda m: F.when(m >= t["need"], F.struct(t["label"].alias("label"), (m / F.size(t["words"])).alias("containment"))))
+
+            return F.filter(F.transform(found, match), lambda x: x.isNotNull())
+
+        return let(F.flatten(ls), of_words)
+
+    return let(lines, of_lines)
+
+
+def _joined(docs: DataFrame, known: Templates) -> DataFrame:
+    """All columns of docs with ``n_words`` and ``_t``: the templates that the text as a whole matches."""
+    by_rank, rows = known.ordered(docs)
+    of_words = let(_words(_lowered(blank_if_null(F.col("text")))), lambda w: F.struct(_n_words(w).alias("n_words"), F.array_intersect(by_rank, w).alias("_b")))
+    d = docs.select("*", F.inline(F.array(of_words)))
+    least = min(need for _, _, need in known.sets)
+    maybe = F.when(F.size("_b") >= least, F.filter(rows, lambda t: _may_match(t, F.col("_b")))).otherwise(F.filter(rows, lambda t: F.lit(False)))
+    return d.select(*docs.columns, "n_words", F.explode(F.array(maybe)).alias("_t"))
+
+
 def match_templates(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Blocks that match a template: doc_id, key, block, template, label, containment."""
-    sets = [(t, label, sorted({w for w in _python_words(body)})) for t, (label, body) in enumerate(templates)]
-    sets = [(t, label, s, -(-int(round(threshold * 10_000)) * len(s) // 10_000)) for t, label, s in sets if s]
-    vocabulary = sorted({w for _, _, s, _ in sets for w in s})
-    if not vocabulary or len(vocabulary) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates must have between 1 and {MAX_TEMPLATE_WORDS} distinct words")
-    blocks = docs.select("doc_id", "key", F.posexplode(F.split(blank_if_null(F.col("text")), "\n")).alias("block", "line"))
-    words = blocks.select("doc_id", "key", "block", _words(F.lower("line")).alias("words"))
-
-    # how often each template word occurs in the corpus: one row per template word comes back
-    counted = docs.select(F.explode(_words(F.lower("text"))).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count()
-    counts = {r["w"]: r["count"] for r in counted.collect()}
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    ordered = [(t, label, sorted(s, key=rank.__getitem__), k) for t, label, s, k in sets]
-    prefixes = [(w, t, label, k, pos + 1, s) for t, label, s, k in ordered for pos, w in enumerate(s[: len(s) - k + 1])]
-    table = docs.sparkSession.createDataFrame(prefixes, "w string, template int, label string, need int, t_pos int, t_words array<string>")
-
-    by_rank = _literal_array(sorted(vocabulary, key=rank.__getitem__))
-    seeds = _literal_array(sorted({p[0] for p in prefixes}))
-    least = min(k for _, _, _, k in ordered)
-    # array_intersect keeps the first array's order: the block's template words, rarest first
-    blocks = words.where(F.arrays_overlap("words", seeds)).select("doc_id", "key", "block", F.array_intersect(by_rank, "words").alias("b"))
-    blocks = blocks.where(F.size("b") >= least)
-    shared = blocks.select("doc_id", "key", "block", "b", F.posexplode("b").alias("p", "w")).join(table, "w")
-    open_ = F.size("b") - F.col("p"), F.size("t_words") - F.col("t_pos") + 1
-    shared = shared.where((F.size("b") >= F.col("need")) & (F.least(*open_) + F.col("p") >= F.col("need")))
-    first = shared.groupBy("doc_id", "key", "block", "template").agg(F.first("label").alias("label"), F.first("need").alias("need"), F.first("b").alias("b"), F.first("t_words").alias("t"))
-    inter = F.size(F.array_intersect("b", "t"))
-    return first.where(inter >= F.col("need")).select("doc_id", "key", "block", "template", "label", (inter / F.size("t")).alias("containment"))
-
-
-def match_runs(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Texts with a run of words that matches a template: doc_id, key, label, containment (of the best run)."""
-    width = max(len(_python_words(body)) for _, body in templates)
-    # each text as one block
-    whole = docs.withColumn("text", F.translate(blank_if_null(F.col("text")), "\n", " "))
-    found = match_templates(whole, templates, threshold).select("doc_id", "key", "template", "label").distinct()
-    words = [sorted(set(_python_words(body))) for _, body in templates]
-    per_doc = found.groupBy(F.col("doc_id").alias("m_id"), F.col("key").alias("m_key")).agg(
-        F.collect_list(F.struct("template", "label")).alias("found")
-    )
-    d = docs.select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"])
-    d = d.join(per_doc, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")))
-    d = d.select("doc_id", "key", F.filter(_words(F.lower("text")), lambda w: w != "").alias("words"), F.explode("found").alias("x"))
-    d = d.select("doc_id", "key", "words", "x.template", "x.label")
-    own = F.get(F.array(*[_literal_array(w) for w in words]), F.col("template"))
-    # a run starts at a word of the template
-    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains(F.col("own"), F.get(F.col("words"), i - 1)))
-    held = F.transform(starts, lambda i: F.size(F.array_intersect(F.col("own"), F.slice("words", i, width))))
-    d = d.withColumn("own", own).withColumn("n", F.array_max(held))
-    need = F.ceil(F.lit(int(round(threshold * 10_000))) * F.size("own") / 10_000)
-    return d.where(F.col("n") >= need).select("doc_id", "key", "label", (F.col("n") / F.size("own")).alias("containment"))
+    """Lines that match a template: the columns of docs without the text, block (number of the line), label, containment."""
+    others = [c for c in docs.columns if c != "text"]
+    d = _joined(docs, Templates(templates, threshold)).where(F.size("_t") > 0)
+    d = d.select(*others, "_t", F.posexplode(F.split(_lowered(blank_if_null(F.col("text"))), "\n")).alias("block", "_line"))
+    d = d.select(*others, "block", F.explode(F.array(F.split("_line", GAP))).alias("_w"), "_t")
+    d = d.select(*others, "block", "_w", F.explode("_t").alias("t"))
+    d = d.select(*others, "block", F.col("t.label").alias("label"), "t.need", F.size("t.words").alias("of"), F.size(F.array_intersect("t.words", "_w")).alias("n"))
+    return d.where("n >= need").select(*others, "block", "label", (F.col("n") / F.col("of")).alias("containment"))
+
+
+def match_texts(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """All columns of docs with ``n_words`` and ``matches``: (label, containment) of every template that a block, line or run, matches."""
+    known = Templates(templates, threshold)
+    none = F.array().cast("array<struct<label:string,containment:double>>")
+    text = _lowered(blank_if_null(F.col("text")))
+    matches = F.when(F.size("_t") > 0, match_blocks(text, F.col("_t"), known.width)).otherwise(none)
+    return _joined(docs, known).select(*docs.columns, "n_words", F.explode(F.array(matches)).alias("matches"))
 
 
 def _python_words(body: str) -> list[str]:
@@ -170,18 +222,12 @@ def _python_words(body: str) -> list[str]:
 def scan(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: base places and labels, all labels, and the best containment as score."""
     d = with_columns(documents, {"doc_id": "long", "text": "string"})
-    d = d.withColumn("key", text_key(F.col("doc_id"), F.col("text")))
-    found = match_templates(d, templates, threshold).select("doc_id", "key", "label", "containment").unionByName(match_runs(d, templates, threshold))
-    best = found.groupBy(F.col("doc_id").alias("m_id"), F.col("key").alias("m_key")).agg(
-        F.collect_set("label").alias("more"), F.max("containment").alias("containment")
-    )
+    m = match_texts(d, templates, threshold)
     # a generator of one row: the scan of a text is evaluated once, not once for each of its fields
-    b = d.select("doc_id", "key", F.inline(F.array(base_scan(F.col("text"))))).select("doc_id", "key", "n_words", "hit.*")
-    j = b.join(best, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")), "left")
-    empty = F.array().cast("array<string>")
-    labels = F.array_sort(F.array_union("base", F.coalesce("more", empty)))
-    score = F.greatest(F.when(F.col("n_base") > 0, 1.0).otherwise(0.0), F.coalesce("containment", F.lit(0.0)))
-    return j.select(
+    b = m.select("doc_id", "n_words", "matches", F.inline(F.array(base_scan(F.col("text")))))
+    labels = F.array_sort(F.array_union("base", F.col("matches")["label"]))
+    score = F.greatest(F.when(F.col("n_base") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.col("matches")["containment"]), F.lit(0.0)))
+    return b.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"),
     )
@@ -195,6 +241,7 @@ def _sql() -> str:
     low = lambda c: f"translate({c}, '{UPPER}', '{LOWER}')"
     sets = [(t, label, sorted(set(_python_words(body)))) for t, (label, body) in enumerate(TEMPLATES)]
     templates = ", ".join(f"({t}, '{label}', {s!r})" for t, label, s in sets)
+    width = max(len(_python_words(body)) for _, body in TEMPLATES)
     phrases = ", ".join(f"('{p}', {p.split()!r}, '{label}')" for p, label in PHRASES.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -204,9 +251,14 @@ e AS (SELECT r, w, unnest(range(len(w))) AS i FROM x WHERE list_contains(w, 'lic
 h AS (SELECT e.r, e.i, p.label FROM e JOIN p ON e.w[e.i + 1] = p.ws[1] AND e.w[e.i + 1:e.i + len(p.ws)] = p.ws),
 b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS base FROM h GROUP BY r),
 k(template, label, s) AS (VALUES {templates}),
+mk AS (SELECT x.r, x.w, k.label, k.s, CAST(ceil({THRESHOLD} * len(k.s) - 1e-9) AS BIGINT) AS need FROM x, k
+       WHERE len(list_intersect(list_distinct(x.w), k.s)) >= ceil({THRESHOLD} * len(k.s) - 1e-9)),
+rn AS (SELECT r, label, s, need, len(list_intersect(list_distinct(w[i:i + {width} - 1]), s)) AS n FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM mk)
+       WHERE list_contains(s, w[i])),
 ln AS (SELECT r, list_distinct(regexp_extract_all({low('l')}, '{WORD}')) AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
 mt AS (SELECT r, k.label, len(list_intersect(lw, k.s)) / len(k.s) AS c FROM ln, k
-       WHERE len(list_intersect(lw, k.s)) >= ceil({THRESHOLD} * len(k.s) - 1e-9)),
+       WHERE len(list_intersect(lw, k.s)) >= ceil({THRESHOLD} * len(k.s) - 1e-9)
+       UNION ALL SELECT r, label, n / len(s) FROM rn WHERE n >= need),
 m AS (SELECT r, list(DISTINCT label) AS more, max(c) AS containment FROM mt GROUP BY r)
 SELECT x.doc_id, CAST(len(x.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -111,6 +112,43 @@ def test_license_join_equals_all_pairs(spark):
     assert got == want
 
 
+def test_license_blocks_equal_all_lines_and_runs(spark):
+    rng = random.Random(11)
+    words = [f"w{j}" for j in range(40)]
+    templates = [(f"t{i}", " ".join(rng.sample(words, rng.randint(2, 9)))) for i in range(10)]
+    width = max(len(b.split()) for _, b in templates)
+    docs = []
+    for i in range(80):
+        lines = [" ".join(rng.choice(words + ["x", "y", "z"] * 20) for _ in range(rng.randint(0, 30))) for _ in range(4)]
+        if i % 3 == 0:  # a template wrapped over lines, some of its words changed
+            body = templates[i % 10][1].split()
+            body[rng.randrange(len(body))] = rng.choice(["x", body[0]])
+            lines.insert(rng.randrange(4), " ".join(body[: len(body) // 2]) + "\n# " + " ".join(body[len(body) // 2 :]))
+        docs.append((i, "\n".join(lines).upper() if i % 7 == 0 else "\n".join(lines)))
+    docs += [(900, None), (901, ""), (902, "\n\n"), (903, "\u212a " + templates[0][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], m["label"]): m["containment"] for r in license_scan.match_texts(df, templates, 0.7).collect() for m in r["matches"]}
+    want = {}
+    for i, t in docs:
+        w = re.findall(license_scan.WORD, (t or "").lower())
+        blocks = [re.findall(license_scan.WORD, x.lower()) for x in (t or "").split("\n")] + [w[j : j + width] for j in range(len(w))]
+        for label, body in templates:
+            s = set(body.split())
+            n = max((len(s & set(b)) for b in blocks), default=0)
+            if n >= -(-7 * len(s) // 10):
+                want[i, label] = n / len(s)
+    assert got == pytest.approx(want) and len(want) > 20
+
+
+def test_license_scan_is_linear_in_the_text(spark):
+    notice = "Redistribution and use in source and binary forms, with or without\n modification, are permitted provided"
+    body = " ".join(f"use{i % 9} in source and binary or w{i}" for i in range(4_000))  # 28,000 words, most of them template words
+    rows = [(i, body + "\n" + notice) for i in range(4)] + [(9, body)]
+    started = time.time()
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "bsd", 1: "bsd", 2: "bsd", 3: "bsd", 9: ""} and time.time() - started < 60
+
+
 def _dealt(sizes, weights=(3, 1, 2), share=1.5, copies=2):
     """Targets by dealing the excess again and again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
