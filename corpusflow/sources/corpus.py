@@ -20,6 +20,8 @@ CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "multiLine": "true
 
 # bytes that opening a small text file counts for when scan partitions are packed
 OPEN_COST = 64 << 10
+# one row a file is broadcast up to so many files
+MAX_BROADCAST_FILES = 100_000
 
 
 def _decoded_path() -> Column:
@@ -146,7 +148,8 @@ def export_positions(spark: SparkSession, path: str, split_col: str = "split") -
     per_file = rows.groupBy(split_col, "_cf_file").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(split_col).orderBy("_cf_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_file.select("_cf_file", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_cf_start"))
-    out = rows.join(starts, "_cf_file").withColumn("pos", F.col("_cf_start") + F.col("_cf_row"))
+    few = starts.limit(MAX_BROADCAST_FILES + 1).count() <= MAX_BROADCAST_FILES  # then the rows stay where they are
+    out = rows.join(F.broadcast(starts) if few else starts, "_cf_file").withColumn("pos", F.col("_cf_start") + F.col("_cf_row"))
     return out.drop("_cf_file", "_cf_row", "_cf_start")
 
 
