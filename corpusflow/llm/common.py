@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.vectors import let
 from corpusflow.session import scratch_path
 
-__all__ = ["WORD", "SPACE_CLASS", "let", "materialize", "read", "text_key", "fold", "with_columns", "word_count", "blank_if_null"]
+__all__ = ["WORD", "SPACE_CLASS", "let", "materialize", "read", "text_key", "fold", "with_columns", "word_count", "blank_if_null", "bounded_sample"]
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return: what parts words (fixed by the contract).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -67,6 +67,14 @@ def text_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, F.coalesce(text, F.lit("")), text.isNull())
 
 
+def bounded_sample(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` of the rows, each (doc_id, text) once, by least hash of both: the same rows in every run.
+
+    For samples that go to the driver: an id or a text with a large share of all rows cannot widen them.
+    """
+    return rows.dropDuplicates(["doc_id", "text"]).orderBy(F.xxhash64("doc_id", "text", F.lit(seed))).limit(most)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """``crc32`` of the id written as text, modulo ``modulus`` (null id: fold of the empty text)."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")

@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm import tokens as tk
-from corpusflow.llm.common import fold, read, with_columns
+from corpusflow.llm.common import bounded_sample, fold, read, with_columns
 
 FOLDS, HELD_OUT = 4, 2
 #: Bounds of the training sample and of the model.
 PER_LANGUAGE = 600
-MAX_LANGUAGES = 200
+MAX_ROWS = 24_000
+MAX_LANGUAGES = 2_000
 LANDMARKS_PER_LANGUAGE = 24
 MAX_LANDMARKS = 400
 #: n-gram length -> (bits of its hash space, weight in the kernel)
@@ -100,13 +101,22 @@ def _presence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE, seed: int = SEED) -> LanguageModel | None:
-    """Fit on a bounded sample of (doc_id, text, lang); None without any language."""
-    counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
+    """Fit on a bounded sample of (doc_id, text, lang); None without any language.
+
+    Every language is learned, from about ``per_language`` rows or its share of ``MAX_ROWS`` if there are many, and from its
+    row of least hash in any case; more than ``MAX_LANGUAGES`` values are an error.
+    """
+    key = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed))
+    found = train.groupBy("lang").agg(F.count("*").alias("n"), F.min(key).alias("least")).limit(MAX_LANGUAGES + 1).collect()
+    if not found:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
-    rows = train.where(F.col("lang").isin(list(counts)) & drawn).select("lang", "text")
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    per_language = max(2, min(per_language, MAX_ROWS // len(found)))
+    bounds = [(r["lang"], min(1.0, per_language / r["n"]) * (1 << 20), r["least"]) for r in found]
+    drawn = train.sparkSession.createDataFrame(bounds, "lang string, cut double, least long")  # a row a language
+    rows = train.join(F.broadcast(drawn), "lang").where((F.pmod(key, F.lit(1 << 20)) < F.col("cut")) | (key == F.col("least")))
+    rows = bounded_sample(rows.select("doc_id", "text", "lang"), 2 * MAX_ROWS, seed).select("lang", "text")
     got = rows.mapInArrow(_presence_rows, "lang string, bits binary").collect()
     if not got:
         return None

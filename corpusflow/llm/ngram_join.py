@@ -7,9 +7,9 @@ one keeps passages and lines that many documents share out of the prefixes. Equa
 fingerprint), so exact copies never meet in a join.
 
 Two sets that overlap by the fraction ``t`` of either must share ``m`` of their first
-``n - ceil(t n) + m`` shingles, for any ``m``. From the exact counts of the shortest prefixes (m = 1) a
-document's candidates are estimated, and it takes the ``m`` of least cost: a longer prefix against fewer
-candidates to verify (``_asks``). Documents that share fewer than a similar one could ask for are set
+``n - ceil(t n) + m`` shingles, for any ``m``. From the exact counts of the shortest prefixes (m = 1) the
+candidates of a document are estimated, over the corpus by its size and the mean of all documents, within a block by its own
+counts, and the ``m`` of least cost is taken: a longer prefix against fewer candidates to verify (``_asks``). Documents that share fewer than a similar one could ask for are set
 aside. A first shingle of a few nodes gives their
 pairs, and a pair counts as a candidate when it shares as many first shingles as the less demanding
 side asks for. Nodes with a more common first shingle (groups of near copies, or chance) meet
@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,16 +64,23 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tk.range_hash(tk.prefix_hash(b), start, end), row
 
 
-def _dense_counts(docs: DataFrame, cells: int, of_text) -> np.ndarray:
-    """Counts of hash cells over all documents: each task sends its counts in pieces, pieces are summed by number."""
-    piece = min(cells, 1 << 15)
+#: Cells of a count array that travel as one row, and bins of a doubling in the histogram of counts.
+PIECE, BINS = 1 << 15, 8
+
+
+def _cell_counts(docs: DataFrame, k: int) -> DataFrame:
+    """Counts of word and shingle cells over all documents, from one pass: (piece, body), word cells first."""
+    n_words, pieces = CELLS // PIECE, (CELLS + SHINGLE_CELLS) // PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(cells, np.uint32)
+        count = np.zeros(CELLS + SHINGLE_CELLS, np.uint32)
         for _, _, _, data, offsets in tk.text_batches(batches):
-            at, n = np.unique((of_text(data, offsets) % np.uint64(cells)).astype(np.int64), return_counts=True)
-            count[at] += n.astype(np.uint32)
-        parts = count.reshape(-1, piece)
+            word, row = _words(data, offsets)
+            shingle = tk.shingle_hashes(word, row, k)[0]
+            for base, cells, h in ((0, CELLS, word), (CELLS, SHINGLE_CELLS, shingle)):
+                at, n = np.unique((h % np.uint64(cells)).astype(np.int64), return_counts=True)
+                count[base + at] += n.astype(np.uint32)
+        parts = count.reshape(-1, PIECE)
         some = np.flatnonzero(parts.any(axis=1))
         for lo in range(0, len(some), 8):
             own = some[lo : lo + 8]
@@ -82,16 +90,14 @@ def _dense_counts(docs: DataFrame, cells: int, of_text) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for number, body in zip(batch.column("piece").to_pylist(), batch.column("body"), strict=True):
-                total.setdefault(number, np.zeros(piece, np.int64))
-                total[number] += np.frombuffer(body.as_py(), np.uint32 if len(body.as_py()) == 4 * piece else np.int64)
+                total.setdefault(number, np.zeros(PIECE, np.int64))
+                total[number] += np.frombuffer(body.as_py(), np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "body"])
 
-    # sums per partition, then per piece: no task gets more than one array a partition for its pieces
+    # a piece's arrays, one a task of the scan, meet in one task and are added up as they come
     sent = docs.select("text").mapInArrow(run, "piece long, body binary")
-    out = np.zeros((cells // piece, piece), np.int64)
-    for r in sent.repartition(min(64, cells // piece), "piece").mapInArrow(add, "piece long, body binary").collect():
-        out[r["piece"]] += np.frombuffer(bytes(r["body"]), np.int64)
-    return out.reshape(-1)
+    summed = sent.repartition(min(64, pieces), "piece").mapInArrow(add, "piece long, body binary")
+    return materialize(summed, "join_cells").withColumn("of_words", F.col("piece") < n_words)
 
 
 @dataclass
@@ -103,17 +109,40 @@ class Order:
 
 
 def corpus_order(docs: DataFrame, k: int) -> Order:
-    words = _dense_counts(docs, CELLS, lambda data, offsets: _words(data, offsets)[0])
+    """From counts of fixed size: the driver gets a small histogram, the word cells and one byte a shingle cell."""
+    cells = _cell_counts(docs, k)
+    words = np.zeros(CELLS, np.int64)
+    for r in cells.where("of_words").collect():
+        words[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(bytes(r["body"]), np.int64)
     log = np.clip(np.log2(np.maximum(words, 1)) - np.log2(max(words.sum(), 1)) + 28, 0, 28).astype(np.float32)
+    shingles = cells.where("NOT of_words").select((F.col("piece") - CELLS // PIECE).alias("piece"), "body")
 
-    def shingles(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        word, row = _words(data, offsets)
-        return tk.shingle_hashes(word, row, k)[0]
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column("body"):
+                at, n = np.unique(np.floor(BINS * np.log2(np.frombuffer(body.as_py(), np.int64) + 1.0)).astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["bin", "n"])
+
+    found = sorted((r["bin"], r["n"]) for r in shingles.mapInArrow(bins, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect())
+    # the usual count of a cell: the median, to the width of a bin (cells of pieces that nobody sent are empty)
+    half, usual = SHINGLE_CELLS // 2 - (SHINGLE_CELLS - sum(n for _, n in found)), 0.0
+    for at, n in found:
+        if half < 0:
+            break
+        half, usual = half - n, 2.0 ** (at / BINS) - 1
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for body in batch.column("body"):
+                above = np.frombuffer(body.as_py(), np.int64) - usual - 4 * np.sqrt(usual + 1)
+                out.append(np.where(above > 0, np.clip(1 + 4 * np.log2(np.maximum(above, 1)), 1, 100), 0).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(out, pa.binary())], ["piece", "body"])
 
-    count = _dense_counts(docs, SHINGLE_CELLS, shingles)
-    usual = float(np.median(count))
-    above = count - usual - 4 * np.sqrt(usual + 1)
-    return Order(log, np.where(above > 0, np.clip(1 + 4 * np.log2(np.maximum(above, 1)), 1, 100), 0).astype(np.uint8))
+    often = np.zeros(SHINGLE_CELLS, np.uint8)
+    for r in shingles.mapInArrow(levels, "piece long, body binary").toLocalIterator():
+        often[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(bytes(r["body"]), np.uint8)
+    return Order(log, often)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, order: Order) -> tuple[np.ndarray, np.ndarray]:
@@ -150,12 +179,12 @@ def _need(n: np.ndarray | int, percent: int):
     return -(-(n * percent) // 100)
 
 
-def node_table(docs: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
+def node_table(docs: DataFrame, k: int, percent: int, order: Broadcast) -> DataFrame:
     """doc_id, o, k, n, fingerprint (f1, f2) and the first shingles of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lo, hi, data, offsets in tk.text_batches(batches):
-            ident, bound = shingle_sets(data, offsets, k, order)
+            ident, bound = shingle_sets(data, offsets, k, order.value)
             n = np.diff(bound)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(tk.mix64(ident + np.uint64(c)))]) for c in (1, 7)]
             f1, f2 = ((s[bound[1:]] - s[bound[:-1]]).view(np.int64) for s in sums)
@@ -169,7 +198,7 @@ def node_table(docs: DataFrame, k: int, percent: int, order: Order) -> DataFrame
                 ["doc_id", "o", "k", "n", "f1", "f2", "spare", "prefix"],
             )
 
-    return docs.select("doc_id", "o", "k", "text").mapInArrow(run, "doc_id long, o long, k int, n long, f1 long, f2 long, spare int, prefix array<long>")
+    return docs.select("doc_id", "o", "k", "text").mapInArrow(run, "doc_id long, o long, k long, n long, f1 long, f2 long, spare int, prefix array<long>")
 
 
 def part_signatures(ident: np.ndarray, bound: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,12 +239,12 @@ def part_signatures(ident: np.ndarray, bound: np.ndarray, percent: int) -> tuple
     return np.concatenate(rows), np.concatenate(signs)
 
 
-def equal_parts(docs: DataFrame, nodes: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
+def equal_parts(docs: DataFrame, nodes: DataFrame, k: int, percent: int, order: Broadcast) -> DataFrame:
     """nodes: node, o, k -> node, sign of the parts of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lo, hi, data, offsets in tk.text_batches(batches):
-            row, sign = part_signatures(*shingle_sets(data, offsets, k, order), percent)
+            row, sign = part_signatures(*shingle_sets(data, offsets, k, order.value), percent)
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row + lo)), pa.array(sign.view(np.int64))], ["node", "sign"])
 
     return docs.select("o", "k", "text").join(nodes.hint("shuffle_hash"), ["o", "k"]).select("node", "text").mapInArrow(run, "node long, sign long").distinct()
@@ -321,11 +350,11 @@ def classes(docs: DataFrame, k: int, percent: int, max_block: int = MAX_BLOCK) -
 
     Two documents link when ``100 * intersection >= percent * union`` of their k-word shingle sets.
     """
-    order = corpus_order(docs, k)
+    order = docs.sparkSession.sparkContext.broadcast(corpus_order(docs, k))
     rows = materialize(node_table(docs, k, percent, order), "join_rows")
     nodes = rows.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("o", "k", "n", "spare", "prefix")).alias("x"))
-    # a node's name is its fingerprint: ids may be null or repeat with other texts
-    nodes = materialize(nodes.select("f1", "f2", "x.*").withColumn("node", F.col("f1")), "join_nodes")
+    # a node's name is a number of its own in the written table: ids may be null or repeat with other texts
+    nodes = materialize(nodes.select("f1", "f2", "x.*").withColumn("node", F.monotonically_increasing_id()), "join_nodes")
 
     # the shortest prefixes: a node that shares none of its shingles there is similar to no other
     first = nodes.select("node", F.explode(F.slice("prefix", F.lit(1), F.col("spare") + 1)).alias("token"))
@@ -376,7 +405,7 @@ def classes(docs: DataFrame, k: int, percent: int, max_block: int = MAX_BLOCK) -
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lo, hi, data, offsets in tk.text_batches(batches):
-            ident, bound = shingle_sets(data, offsets, k, order)
+            ident, bound = shingle_sets(data, offsets, k, order.value)
             sets = [ident[bound[r] : bound[r + 1]].tobytes() for r in range(hi - lo)]
             own = batch.slice(lo, hi - lo)
             units = own.column("units")
@@ -391,7 +420,9 @@ def classes(docs: DataFrame, k: int, percent: int, max_block: int = MAX_BLOCK) -
     sets = wanted.mapInArrow(bodies, "block long, i int, j int, part int, node long, body binary")
     dealt = sets.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
     links = dealt.mapInArrow(lambda it: _link_units(it, percent), "a long, b long")
-    found = components(materialize(links, "join_links"))  # written first: one Python worker a task
+    links = materialize(links, "join_links")  # written first: one Python worker a task
+    order.destroy()  # nothing after this reads texts
+    found = components(links)
 
     named = nodes.select("f1", "f2", "node", "o").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = named.groupBy("c").agg(F.min("o").alias("smallest"))

@@ -5,11 +5,10 @@ from the training folds without looking at labels. A linear model on statistics
 minimises the non-negative unbiased risk
 ``prior * R(pos, +) + max(0, R(unlabelled, -) - prior * R(pos, -))`` with the logistic loss, by
 gradient steps in numpy; when the second part turns negative, its gradient is reversed. The class
-prior is the share of 1 among the labelled training rows, or, if only positives are labelled, the
-largest prior that the unlabelled scores allow.
+prior is estimated from positives and unlabelled rows too (``estimate_prior``): labels of 0 are never looked at.
 
 Positives and unlabelled rows are bounded samples (``MAX_POSITIVES``, ``MAX_UNLABELLED``) drawn by a
-hash of the id; only their fixed-width statistics reach the driver. Scoring reads every whole text
+hash of the id, each (id, text) once and bounded as rows; only their fixed-width statistics reach the driver. Scoring reads every whole text
 once, in Arrow batches, and shuffles nothing.
 
 Defined cases: null and blank texts are scored as empty texts; without any positive every score is
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm import tokens as tk
-from corpusflow.llm.common import fold, read, with_columns
+from corpusflow.llm.common import bounded_sample, fold, read, with_columns
 
 FOLDS, HELD_OUT = 5, 0
 CUT = 0.3
@@ -118,15 +117,22 @@ def nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = STEPS, ra
     return w[:-1], float(w[-1])
 
 
-def estimate_prior(n_pos: int, n_labelled: int, pos: np.ndarray, unl: np.ndarray) -> float:
-    """Share of 1 among labels; with positives only, the least ratio of densities over score cuts."""
-    if n_labelled > n_pos:
-        return float(np.clip(n_pos / n_labelled, 0.05, 0.95))
-    w, b = nn_pu(pos, unl, 0.5, steps=150)
-    sp, su = np.sort(pos @ w + b), np.sort(unl @ w + b)
-    cuts = np.quantile(sp, np.linspace(0.05, 0.9, 30))
-    above = lambda s: 1 - np.searchsorted(s, cuts) / len(s)
-    return float(np.clip((above(su) / np.maximum(above(sp), 1e-6)).min(), 0.05, 0.95))
+def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from positives and unlabelled rows alone.
+
+    Above any score cut, unlabelled rows are at least the prior times as frequent as positives, and about that where the
+    cut keeps few negatives: the least ratio over the cuts is the estimate. Each half of the rows is scored by a
+    model of the other half, since a model scores its own positives too high, which would make the ratio too small.
+    """
+    ratios = []
+    for half in (0, 1) if min(len(pos), len(unl)) >= 4 else (None,):
+        fitted, scored = ((x[half::2] if half is not None else x for x in (pos, unl)), (x[1 - half :: 2] if half is not None else x for x in (pos, unl)))
+        w, b = nn_pu(*fitted, 0.5, steps=150)
+        sp, su = (np.sort(x @ w + b) for x in scored)
+        cuts = np.quantile(sp, np.linspace(0.05, 0.5, 20))
+        above = lambda s: 1 - np.searchsorted(s, cuts) / len(s)  # noqa: B023, E731
+        ratios.append(above(su) / np.maximum(above(sp), 1e-6))
+    return float(np.clip(np.mean(ratios, axis=0).min(), 0.05, 0.95))
 
 
 def _statistics_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVES, unla
     """docs: doc_id, text; labels: doc_id, label. Both restricted to the training folds here."""
     trained = fold(F.col("doc_id"), FOLDS) != HELD_OUT
     known = labels.where(trained & F.col("label").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label"))
-    n_pos, n_all = known.agg(F.sum((F.col("label") == 1).cast("long")), F.count("*")).first()
+    n_pos = known.where("label = 1").count()
     if not n_pos:
         return None
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 20))
@@ -152,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVES, unla
     # at most 2 * positives ids: a bounded side, so it may be broadcast
     ids = F.broadcast(sampled.select(F.col("doc_id").alias("l_id"), "label"))
     rows = docs.where(trained).join(ids, F.col("doc_id") == F.col("l_id"), "left").withColumn("unlabelled", other)
-    rows = rows.where(F.col("unlabelled") | (F.col("label") == 1)).select("label", "unlabelled", "text")
+    rows = rows.where(F.col("unlabelled") | (F.col("label") == 1)).select("doc_id", "label", "unlabelled", "text")
+    rows = bounded_sample(rows, 2 * (positives + unlabelled), seed).select("label", "unlabelled", "text")
     got = rows.mapInArrow(_statistics_rows, "label int, unlabelled boolean, x binary").collect()
     if not got:
         return None
@@ -164,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVES, unla
         return None
     mean, scale = x[is_unl].mean(0), x[is_unl].std(0) + 1e-3
     z = ((x - mean) / scale).clip(-8, 8)
-    prior = estimate_prior(int(n_pos), int(n_all), z[is_pos], z[is_unl])
+    prior = estimate_prior(z[is_pos], z[is_unl])
     w, b = nn_pu(z[is_pos], z[is_unl], prior)
     return QualityModel(mean.astype(np.float32), scale.astype(np.float32), w.astype(np.float32), b, prior)
 

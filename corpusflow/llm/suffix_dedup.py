@@ -87,7 +87,7 @@ def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 ["anchor", "print", "o", "k", "start", "n"],
             )
 
-    return docs.select("o", "k", "text").mapInArrow(run, "anchor long, print long, o long, k int, start int, n int")
+    return docs.select("o", "k", "text").mapInArrow(run, "anchor long, print long, o long, k long, start int, n int")
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame, length: int, hot: int) -> DataFrame:
@@ -115,11 +115,11 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, length: int, hot: int) -> DataF
                     part, key, o, k, start, body = [], [], [], [], [], []
             yield pa.RecordBatch.from_pydict({"anchor": part, "part": key, "o": o, "k": k, "start": start, "body": body}, schema)
 
-    schema = pa.schema([("anchor", pa.int64()), ("part", pa.int64()), ("o", pa.int64()), ("k", pa.int32()), ("start", pa.int32()), ("body", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("part", pa.int64()), ("o", pa.int64()), ("k", pa.int64()), ("start", pa.int32()), ("body", pa.binary())])
     per_doc = wanted.groupBy("o", "k").agg(F.collect_list(F.struct("start", "n", "anchor", "different")).alias("spans"))
     j = docs.select("o", "k", "text").join(per_doc.hint("shuffle_hash"), ["o", "k"])
     # rows that repeat a document would only repeat its runs, which changes no class
-    return j.mapInArrow(run, "anchor long, part long, o long, k int, start int, body binary")
+    return j.mapInArrow(run, "anchor long, part long, o long, k long, start int, body binary")
 
 
 def _order(block: list[tuple], length: int) -> pa.RecordBatch:
@@ -148,7 +148,7 @@ def _ranges(o: np.ndarray, k: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     head = np.flatnonzero(new)
     last = np.append(head[1:], len(o))[: len(head)] - 1  # without starts there is no range either
     return pa.RecordBatch.from_arrays(
-        [pa.array(o[head]), pa.array(k[head].astype(np.int32)), pa.array(start[head].astype(np.int32)), pa.array((start[last] - start[head] + 1).astype(np.int32))],
+        [pa.array(o[head]), pa.array(k[head]), pa.array(start[head].astype(np.int32)), pa.array((start[last] - start[head] + 1).astype(np.int32))],
         ["o", "k", "start", "n"],
     )
 
@@ -170,7 +170,7 @@ def _order_parts(bodies: DataFrame, length: int, block_bytes: int = BLOCK_BYTES)
             yield _order(block, length)
 
     dealt = bodies.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.mapInArrow(run, "o long, k int, start int, n int")
+    return dealt.mapInArrow(run, "o long, k long, start int, n int")
 
 
 def removed_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -194,7 +194,7 @@ def removed_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 def prepared(documents: DataFrame) -> DataFrame:
     """Adds the order id ``o`` (null last) and the text hash ``k`` to documents."""
     d = documents.withColumn("o", F.coalesce("doc_id", F.lit(LAST)))
-    return d.withColumn("k", F.hash(F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    return d.withColumn("k", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
 
 
 def dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm import tokens as tk
-from corpusflow.llm.common import fold, read, with_columns
+from corpusflow.llm.common import bounded_sample, fold, read, with_columns
 
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.3
@@ -223,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)
     ids = F.broadcast(known.where(F.col("label").isin(0, 1) & drawn).limit(4 * per_class).withColumnRenamed("doc_id", "l_id"))  # bounded
     rows = docs.join(ids, F.col("doc_id") == F.col("l_id")).where(F.length("text") <= MAX_TRAIN_CHARS)
+    rows = bounded_sample(rows.select("doc_id", "text", "label"), 4 * per_class, seed)
     got = sorted((r["label"], r["text"].encode()) for r in rows.select("label", "text").collect())
     y = np.array([label for label, _ in got])
     if not len(y) or y.min() == y.max():

@@ -34,7 +34,7 @@ def test_nn_pu_finds_positives_without_negative_labels():
     unl = np.concatenate([rng.normal(1.5, 1, (600, 3)), rng.normal(-1.5, 1, (400, 3))])
     w, b = quality.nn_pu(pos, unl, 0.6)
     assert (pos @ w + b > 0).mean() > 0.9 and (neg @ w + b < 0).mean() > 0.9
-    assert 0.45 < quality.estimate_prior(400, 400, pos, unl) < 0.75
+    assert 0.45 < quality.estimate_prior(pos, unl) < 0.75
 
 
 def test_toxicity_held_out(spark):
@@ -98,3 +98,71 @@ def test_language_does_not_read_other_columns(spark, name):
     a = {r["doc_id"]: r["score"] for r in language_id.predict(d, model).collect()}
     b = {r["doc_id"]: r["score"] for r in language_id.predict(docs.withColumn("lang", F.lit("xx")).select("doc_id", "text", "lang"), model).collect()}
     assert a == b
+
+
+def _one_by_one(score, rows):
+    out = {}
+    for r in rows:
+        b = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        out[r["doc_id"]] = score(b, np.array([0, len(b)]))
+    return out
+
+
+def test_rows_are_scored_as_each_text_alone(spark, small):
+    """Neither the rows that share a batch nor its spans change a score."""
+    labels, rows = _labels(spark), small.collect()
+    q = quality.fit(small.select("doc_id", "text"), labels.select("doc_id", F.col("quality").alias("label")))
+    t = toxicity.fit(small.select("doc_id", "text"), labels.select("doc_id", F.col("toxic").alias("label")))
+    for model, module, alone in (
+        (q, quality, lambda b, o: float(q.score(quality.statistics(b, o))[0])),
+        (t, toxicity, lambda b, o: float(t.score(b, o)[0])),
+    ):
+        got = {r["doc_id"]: r["score"] for r in module.score(small.select("doc_id", "text").repartition(3), model).collect()}
+        assert got == pytest.approx(_one_by_one(alone, rows), abs=1e-6)
+
+
+def test_language_scores_equal_a_plain_kernel(spark, small):
+    """Presence of n-grams as Python sets, the kernel and the ridge scores by their formulas."""
+    d = small.select("doc_id", "text", "lang")
+    model = language_id.fit(d.where(fold(F.col("doc_id"), 4) != 2))
+    got = {r["doc_id"]: r for r in language_id.predict(d, model).collect()}
+    for r in small.limit(40).collect():
+        folded = bytearray(language_id._FOLDED[np.frombuffer(r["text"].encode(), np.uint8)].tobytes())
+        raw = bytes(folded)
+        for i in range(1, len(raw)):  # capital accented letters
+            if raw[i - 1] == 0xC3 and 0x80 <= raw[i] <= 0x9E:
+                folded[i] += 0x20
+        held, base = set(), 0
+        for n, (bits, _) in language_id.BLEND.items():
+            for i in range(len(folded) - n + 1):
+                code = int.from_bytes(folded[i : i + n], "big")
+                held.add(base + (code if n == 1 else (code * 0x9E3779B1 % (1 << 32)) >> (32 - bits)))
+            base += 1 << bits
+        w = language_id.weights()
+        kernel = sum(model.landmarks[f].astype(float) for f in held) / np.sqrt(sum(float(w[f]) for f in held))
+        z = kernel @ model.ridge.astype(float)
+        assert got[r["doc_id"]]["lang_pred"] == model.languages[int(z.argmax())]
+        assert got[r["doc_id"]]["score"] == pytest.approx(float(np.clip(z.max(), 0, 1)), abs=1e-3)
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """One id and one text with most of the rows: the samples stay small, and every language is learned."""
+    rows = [(1, "the same text again", "en")] * 300 + [(1, f"one id and text number {i}", "en") for i in range(300)]
+    rows += [(7, "ein Satz der Zeit", "de")] * 200 + [(8, "la phrase du temps", "fr"), (12, "una frase", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(d.where("lang IS NOT NULL"), per_language=5)
+    assert model.languages == ["de", "en", "fr"]
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language_id.fit(d.where("lang IS NOT NULL"))
+    from corpusflow.llm.common import bounded_sample
+
+    assert bounded_sample(d, 1_000, 1).count() == 304 and bounded_sample(d, 10, 1).count() == 10
+
+
+def test_prior_is_estimated_without_negative_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    known = _labels(spark).select("doc_id", F.col("quality").alias("label"))
+    share = known.agg(F.avg("label")).first()[0]
+    both, positives = quality.fit(docs, known), quality.fit(docs, known.where("label = 1"))
+    assert abs(positives.prior - share) < 0.05 and both.prior == positives.prior
