@@ -77,14 +77,22 @@ def spread(df, min_partitions: int | None = None):
     return df.repartition(target)
 
 
+# drops a finished write's shuffle files at once instead of when the driver next collects garbage
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df, name: str = "table"):
-    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back; the shuffles behind it are freed.
 
     Cuts the lineage (a lost executor re-reads files instead of recomputing the plan), runs
     expensive per-row work once for several later jobs, and lets those jobs prune columns (a
     Parquet scan of one id column instead of a recomputation of whole rows).
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.parquet(path)
