@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 WS = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Unicode decimal digit (Python's \d on str).
 DIGIT = r"\p{Nd}"
-# Bracketed numeric citations such as [1], [12], [1, 2,3].
+# Square brackets around nothing but numbers, with commas between them.
 CITATION = r"\[" + WS + "*" + DIGIT + "+(?:" + WS + "*," + WS + "*" + DIGIT + "+)*" + WS + r"*\]"
-# A year 20dd alone in parentheses, such as (2018) or ( 2020 ).
+# Round brackets around one number from 2000 to 2099.
 YEAR = r"\(" + WS + "*20" + DIGIT + "{2}" + WS + r"*\)"
 # Combining marks, then non-ASCII letters and non-ASCII numbers (see ``ascii_word_border``).
 MARK = r"\p{M}"
