@@ -13,7 +13,8 @@ a larger benchmark is split into shards of that size, each scanned on its own (e
 Documents are read once a shard and never shuffled. Equal passages are aligned once a span of texts.
 
 Defined cases: null texts on either side hold no words; items of fewer than ``SEED_WORDS`` words
-have no seed and are never reported; repeated rows of documents each give their rows, repeated items
+have no seed and are never reported (a word or two stand in clean texts too); an item without id is
+reported with a null; repeated rows of documents each give their rows, repeated items
 (same id and text) give one; empty tables give an empty result; other columns are ignored.
 """
 
@@ -59,8 +60,8 @@ class Items:
     at: np.ndarray  # per place: word position in the item
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> Items:
-        ids = np.array([r[0] for r in rows], np.int64)
+    def of(cls, rows: list[tuple[int | None, str]]) -> Items:
+        ids = np.array([r[0] for r in rows], object)
         bodies = [r[1].encode() for r in rows]
         data = np.frombuffer(b"".join(bodies), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]).astype(np.int64)
@@ -94,7 +95,8 @@ def shards(benchmark: DataFrame, max_grams: int = MAX_GRAMS) -> Iterator[Items]:
     n = max(1, -(-int(words) // (2 * max_grams)))  # a word is two characters at least, with its gap
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for i in range(n):
-        rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in b.where(part == i).collect())
+        found = [(r["item_id"], r["text"]) for r in b.where(part == i).collect()]
+        rows = sorted(found, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         if rows:
             yield Items.of(rows)
 
@@ -204,7 +206,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
             for batch, lo, _, data, offsets in tk.text_batches(batches):
                 r, item, score, first, last = _leaks(data, offsets, items, table, threshold)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(r + lo)), pa.array(items.ids[item]), pa.array(score), pa.array(first), pa.array(last)],
+                    [batch.column("doc_id").take(pa.array(r + lo)), pa.array(items.ids[item], pa.int64()), pa.array(score), pa.array(first), pa.array(last)],
                     ["doc_id", "item_id", "score", "first_word", "last_word"],
                 )
 

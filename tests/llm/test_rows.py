@@ -276,6 +276,14 @@ def test_leaks_that_keep_few_ngrams(spark):
     assert decontaminate.without_leaks(d, b).count() == 0
 
 
+def test_leaks_of_an_item_without_id(spark):
+    text = "a test item of some ten words that stands in a text"
+    docs = spark.createDataFrame([(1, "before it " + text + " and after"), (2, "nothing of it here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text), (-1, text), (None, None)], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()]
+    assert sorted(got, key=str) == [(1, -1), (1, None)]
+
+
 def test_leaks_whole_table(spark, small):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     texts = {r["doc_id"]: r["text"] for r in small.collect()}
