@@ -82,11 +82,12 @@ def confusion_long(df: DataFrame, label_col: str = "label_id", pred_col: str = "
 
 
 def _counted(df: DataFrame, label_col: str, pred_col: str, group_cols: list[str], classes: list[int] | None):
-    """The count table and the class list; without given classes the counts are written once, so the
-    predictions are scanned once and the classes come from the counts."""
+    """The count table and the class list; without given classes, or with groups (whose grid reads the counts
+    twice), the counts are written once, so the predictions are scanned once and the classes come from the counts."""
     c = _counts(df, label_col, pred_col, group_cols)
-    if classes is None:
+    if classes is None or group_cols:
         c = materialize(c, "confusion_counts")
+    if classes is None:
         classes = class_ids(c, "true_id", "pred_id")
     return c, classes
 
@@ -136,7 +137,7 @@ def evaluate(df: DataFrame, label_col: str = "label_id", pred_col: str = "pred_i
     ``class_report`` serve any number of classes."""
     group_cols = list(group_cols or [])
     counts = _counts(df, label_col, pred_col, group_cols)
-    if classes is None:
+    if classes is None or group_cols:  # the grid reads the counts for its groups and for its cells
         counts = materialize(counts, "confusion_counts")
     if dense is None or dense:
         limit = MAX_DENSE if dense is None else MAX_CLASSES
