@@ -532,8 +532,9 @@ def q_stream_score(spark, sf_dir):
         rows = batch.where(F.length(clean_text("text")) > 0)
         return rows.select(F.col("doc_id").cast("string").alias("abstract_id"), "text")
 
-    q = stream_score(spark, sf_dir, NaiveBayesScorer(model, clean=True), sink=f"{base}/out",
-                     checkpoint=f"{base}/ckpt", schema=schema, prepare=prepare, path_glob="documents.parquet",
+    # the table's own path: one file, or a folder of them
+    q = stream_score(spark, f"{sf_dir.rstrip('/')}/documents.parquet", NaiveBayesScorer(model, clean=True), sink=f"{base}/out",
+                     checkpoint=f"{base}/ckpt", schema=schema, prepare=prepare,
                      extractor=lambda c: extract_terms(c, QUERY_TERMS, QUERY_HEAD))
     q.awaitTermination()
     return flatten_predictions(spark.read.parquet(f"{base}/out").drop("batch"), ["0", "1"])
