@@ -118,9 +118,10 @@ class NaiveBayesModel:
         """
         side = self.params.select("token", "logp")
         hot = self.hot_words(hot_bytes).select("token", "logp")
-        # a null word after a row's own ones: every row has sums
+        # a null word after a row's own ones: every row has sums (the outer form, since a plain explode brings a
+        # filter on its array, for which the words would be made once more)
         words = F.array_append(F.coalesce("_cf_tokens", F.array().cast("array<string>")), F.lit(None).cast("string"))
-        ex = keyed.select(key, *carry, F.explode(words).alias("token"))
+        ex = keyed.select(key, *carry, F.explode_outer(words).alias("token"))
         j = ex.join(F.broadcast(hot), "token", "left")
         cold = F.when(F.col("logp").isNull(), F.col("token"))
         j = j.select(key, "logp", cold.alias("_word"), *[F.when(cold.isNull(), F.col(c)).alias(c) for c in carry])

@@ -24,6 +24,16 @@ from ..schemas import SCORING_INPUT
 MAX_FILES_PER_TRIGGER = 1_000
 
 
+def spread_batch(batch: DataFrame) -> DataFrame:
+    """A micro-batch with its rows dealt evenly, unless no partition holds twice its share already.
+
+    The number of partitions does not tell: a file of one row group is cut into many splits, and one of them gets all rows.
+    """
+    target = batch.sparkSession.sparkContext.defaultParallelism
+    sizes = [r[1] for r in batch.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1))).collect()]  # one number a partition
+    return batch if max(sizes, default=0) * target <= 2 * sum(sizes) else batch.repartition(target)
+
+
 def _writer(scorer, sink: str, fmt: str, extractor, prepare: Callable[[DataFrame], DataFrame] | None,
             keep_file_order: bool = False, on_batch: Callable[[int], None] | None = None):
     def run(batch: DataFrame, epoch: int) -> None:
@@ -32,7 +42,7 @@ def _writer(scorer, sink: str, fmt: str, extractor, prepare: Callable[[DataFrame
         if keep_file_order:
             rows = spread(prepare(batch) if prepare else batch)
         else:
-            rows = spread(batch)
+            rows = spread_batch(batch)
             rows = prepare(rows) if prepare else rows
         preds = score_table(rows, scorer, extractor=extractor)
         preds.write.mode("overwrite").format(fmt).save(f"{sink}/batch={epoch}")

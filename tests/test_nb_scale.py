@@ -74,3 +74,28 @@ def test_stream_score_reads_a_table_of_several_files(spark, tmp_dir):
     spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int").write.parquet(f"{tmp_dir}/labels.parquet")
     got = sorted(tuple(r) for r in catalog.QUERIES["stream_score"](spark, tmp_dir).collect())
     assert got == sorted(tuple(r) for r in catalog.QUERIES["enriched_predictions"](spark, tmp_dir).collect()) and len(got) == 12
+
+
+def test_a_batch_of_one_row_group_is_spread(spark, tmp_dir):
+    from corpusflow.plans.score import PandasScorer
+    from corpusflow.streaming.score_stream import spread_batch, stream_score
+
+    n = spark.sparkContext.defaultParallelism
+    one = spark.range(40 * n).repartition(1).union(spark.range(0).repartition(4 * n))
+    got = spread_batch(one)
+    assert max(r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()) <= 2 * 40
+    even = spark.range(0, 40 * n, 1, n)
+    assert spread_batch(even) is even and spread_batch(spark.range(0)).count() == 0
+
+    one = spark.createDataFrame([(str(i), "lung cancer " * 40 + str(i)) for i in range(40 * n)], "abstract_id string, text string")
+    one.coalesce(1).write.parquet(f"{tmp_dir}/in")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")  # more splits than cores
+    try:
+        scorer = PandasScorer(lambda texts: [[float(len(t)), 0.0] for t in texts], ["long", "short"])
+        stream_score(spark, f"{tmp_dir}/in", scorer, f"{tmp_dir}/out", f"{tmp_dir}/ckpt").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    out = spark.read.parquet(f"{tmp_dir}/out")
+    assert out.select("abstract_id").distinct().count() == out.count() == 40 * n
+    assert len(out.inputFiles()) > 1  # one task would have written one file
