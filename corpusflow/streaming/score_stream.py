@@ -58,11 +58,15 @@ def stream_score(spark: SparkSession, source: str, scorer, sink: str, checkpoint
                  prepare: Callable[[DataFrame], DataFrame] | None = None,
                  max_files: int | None = MAX_FILES_PER_TRIGGER, path_glob: str | None = None,
                  on_batch: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Score rows ``(abstract_id, text)`` of files arriving under ``source``.
+    """Score rows ``(abstract_id, text)`` of files arriving under ``source`` (a folder, or one file).
 
     ``on_batch(epoch)`` is called when a micro-batch has been written and before it is committed. If it raises, or the
     query dies there, a restart from the same checkpoint writes that batch's files again, so no row is lost or doubled.
     """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path) and fs.getFileStatus(path).isFile():  # a stream's source is a folder: the file's own, read for its name
+        source, path_glob = path.getParent().toString(), path.getName()
     r = spark.readStream.schema(schema).format(source_format)
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))

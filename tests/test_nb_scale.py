@@ -72,8 +72,19 @@ def test_stream_score_reads_a_table_of_several_files(spark, tmp_dir):
     docs = spark.createDataFrame([(i, f"{words[i % 3]} {i}") for i in range(12)], "doc_id long, text string")
     docs.repartition(3).write.parquet(f"{tmp_dir}/documents.parquet")
     spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int").write.parquet(f"{tmp_dir}/labels.parquet")
+    want = sorted(tuple(r) for r in catalog.QUERIES["enriched_predictions"](spark, tmp_dir).collect())
     got = sorted(tuple(r) for r in catalog.QUERIES["stream_score"](spark, tmp_dir).collect())
-    assert got == sorted(tuple(r) for r in catalog.QUERIES["enriched_predictions"](spark, tmp_dir).collect()) and len(got) == 12
+    assert got == want and len(got) == 12
+
+    # the same table as one file, beside another one
+    import shutil
+
+    one = f"{tmp_dir}/one"
+    docs.coalesce(1).write.parquet(f"{tmp_dir}/single")
+    spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int").write.parquet(f"{one}/labels.parquet")
+    shutil.copy(next(p for p in spark.read.parquet(f"{tmp_dir}/single").inputFiles()).removeprefix("file://"), f"{one}/documents.parquet")
+    shutil.copy(f"{one}/documents.parquet", f"{one}/pages.parquet")
+    assert sorted(tuple(r) for r in catalog.QUERIES["stream_score"](spark, one).collect()) == want
 
 
 def test_a_batch_of_one_row_group_is_spread(spark, tmp_dir):
