@@ -69,16 +69,17 @@ def with_default_ids(df: DataFrame, id_col: str = "abstract_id", source: str = "
 
     ``source="parquet"`` uses the scan's ``_metadata.row_index`` within a file (exact, no shuffle, any
     split of the file); other file sources use the ordinal of ``sources.corpus.file_ordinal``. Rows of
-    earlier files are a running sum over one row per file, joined back on the path.
+    earlier files are a running sum over one row per file, joined back on the path (a broadcast, see ``per_file_side``).
     """
     if id_col in df.columns:
         return df
-    from ..sources.corpus import file_ordinal, file_starts
+    from ..sources.corpus import file_ordinal, file_starts, per_file_side
 
     if source == "parquet":
         x = df.select("*", F.col("_metadata.row_index").alias("_cf_ordinal"), F.col("_metadata.file_path").alias("_cf_file"))
+        x = x.join(per_file_side(file_starts(x, "_cf_file")), "_cf_file")
+        number = F.col("_cf_start") + F.col("_cf_ordinal")
     else:
-        x = file_ordinal(df.withColumn("_cf_file", F.col("_metadata.file_path")), path_col="_cf_file")
-    x = x.join(file_starts(x, "_cf_file"), "_cf_file")
-    number = (F.col("_cf_start") + F.col("_cf_ordinal")).cast("string")
-    return x.withColumn(id_col, F.concat(F.lit("id_"), number)).drop("_cf_ordinal", "_cf_file", "_cf_start")
+        x = file_ordinal(df.withColumn("_cf_file", F.col("_metadata.file_path")), path_col="_cf_file", over_files=True)
+        number = F.col("_cf_ordinal")
+    return x.withColumn(id_col, F.concat(F.lit("id_"), number.cast("string"))).drop("_cf_ordinal", "_cf_file", "_cf_start")

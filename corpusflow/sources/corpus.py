@@ -113,13 +113,20 @@ def read_prepared(spark: SparkSession, path: str, split: str | None = None) -> D
     return df.where(F.col("split") == split) if split else df
 
 
-def file_ordinal(df: DataFrame, col: str = "_cf_ordinal", path_col: str | None = None) -> DataFrame:
-    """0-based row number inside each input file, in file order.
+def per_file_side(per_file: DataFrame) -> DataFrame:
+    """One row a file, written once, as the side of a join by path: up to ``MAX_BROADCAST_FILES`` it is broadcast, so that
+    the rows of the files (with their texts) stay where they are."""
+    side = materialize(per_file, "per_file")
+    return F.broadcast(side) if side.limit(MAX_BROADCAST_FILES + 1).count() <= MAX_BROADCAST_FILES else side
+
+
+def file_ordinal(df: DataFrame, col: str = "_cf_ordinal", path_col: str | None = None, over_files: bool = False) -> DataFrame:
+    """0-based row number inside each input file, in file order (``over_files``: counted on over the files in path order).
 
     CSV read with ``multiLine`` is not split, so a file is read by one task in order and
     ``monotonically_increasing_id`` rises along the file. The ordinal is that id minus the smallest
     id of the same file; the per-file minimum is a grouped aggregate (partial aggregation, one row
-    per file) joined back on the path – adaptive execution broadcasts it when small. No window, so
+    per file) joined back on the path (see ``per_file_side``). No window over rows, so
     a file holding a large share of the rows is never gathered and sorted in one task.
     """
     m = "_cf_mono"
@@ -127,16 +134,23 @@ def file_ordinal(df: DataFrame, col: str = "_cf_ordinal", path_col: str | None =
     x = df.withColumn(m, F.monotonically_increasing_id())
     if path_col is None:
         x = x.withColumn(f, F.col("_metadata.file_path"))
-    first = x.groupBy(f).agg(F.min(m).alias("_cf_first"))
-    out = x.join(first, f).withColumn(col, F.col(m) - F.col("_cf_first")).drop(m, "_cf_first")
+    first = x.groupBy(f).agg(F.min(m).alias("_cf_first"), F.count(F.lit(1)).alias("_n"))
+    if over_files:
+        first = first.withColumn("_cf_first", F.col("_cf_first") - _rows_before(f))
+    out = x.join(per_file_side(first.drop("_n")), f).withColumn(col, F.col(m) - F.col("_cf_first")).drop(m, "_cf_first")
     return out if path_col else out.drop(f)
 
 
+def _rows_before(path_col: str) -> Column:
+    """Over one row a file with its number of rows ``_n``: the rows in the files before it, in path order."""
+    w = Window.orderBy(path_col).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_n").over(w), F.lit(0))
+
+
 def file_starts(df: DataFrame, path_col: str) -> DataFrame:
     """``path, _cf_start``: rows in the files before each file, in path order (one row per file)."""
-    w = Window.orderBy(path_col).rowsBetween(Window.unboundedPreceding, -1)
     per_file = df.groupBy(path_col).agg(F.count(F.lit(1)).alias("_n"))
-    return per_file.select(path_col, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_cf_start"))
+    return per_file.select(path_col, _rows_before(path_col).alias("_cf_start"))
 
 
 def export_positions(spark: SparkSession, path: str, split_col: str = "split") -> DataFrame:

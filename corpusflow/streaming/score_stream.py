@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.score import score_table
-from ..session import spread
+from ..session import freed_shuffles, spread
 from ..schemas import SCORING_INPUT
 
 # files per micro-batch: a backlog (``availableNow``) is worked off in bounded, separately committed
@@ -45,7 +45,8 @@ def _writer(scorer, sink: str, fmt: str, extractor, prepare: Callable[[DataFrame
             rows = spread_batch(batch)
             rows = prepare(rows) if prepare else rows
         preds = score_table(rows, scorer, extractor=extractor)
-        preds.write.mode("overwrite").format(fmt).save(f"{sink}/batch={epoch}")
+        with freed_shuffles(batch.sparkSession):
+            preds.write.mode("overwrite").format(fmt).save(f"{sink}/batch={epoch}")
         if on_batch:
             on_batch(epoch)
 

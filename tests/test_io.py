@@ -107,6 +107,35 @@ def test_default_ids_unique_over_parquet_files(spark, tmp_dir):
     assert sorted(ids) == sorted(f"id_{i}" for i in range(10))
 
 
+def test_default_ids_leave_texts_where_they_are(spark, tmp_dir, monkeypatch):
+    from corpusflow.operators.labels import with_default_ids
+
+    for k, n in (("b", 4), ("a", 3), ("c", 1)):
+        with open(os.path.join(tmp_dir, f"{k}.csv"), "w") as f:
+            f.write("text\n" + "".join(f'"{k}{i}\nsame"\n' for i in range(n)))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        numbered = src.read_scoring_csv(spark, tmp_dir)
+        in_file = src.file_ordinal(spark.read.options(**src.CSV_OPTIONS).schema("text string").csv(tmp_dir), "n")
+        spark.range(6).selectExpr("id", "'t' AS text").repartition(2).write.parquet(tmp_dir + "/t")
+        of_parquet = with_default_ids(spark.read.parquet(tmp_dir + "/t"))
+        for df in (numbered, in_file, of_parquet):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        want = sorted((f"{k}{i}\nsame", f"id_{j}") for j, (k, i) in enumerate((k, i) for k, n in (("a", 3), ("b", 4), ("c", 1)) for i in range(n)))
+        assert sorted((r.text, r.abstract_id) for r in numbered.collect()) == want
+        assert all(r.text[1] == str(r.n) for r in in_file.collect())
+        # more files than are broadcast: the same ids by a shuffled join
+        monkeypatch.setattr(src, "MAX_BROADCAST_FILES", 2)
+        many = src.read_scoring_csv(spark, tmp_dir)
+        assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.text, r.abstract_id) for r in many.collect()) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_class_folders_of_dotted_and_globbed_roots(spark, tmp_dir):
     for part in ("p1", "p2"):
         os.makedirs(os.path.join(tmp_dir, part, "Cancer"))
