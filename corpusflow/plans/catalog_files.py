@@ -11,7 +11,7 @@ from ..operators.evaluate import evaluate
 from ..operators.extract import extract_terms
 from ..operators.labels import label_list
 from ..schemas import PREDICTION
-from ..session import discard, materialize, scratch_path
+from ..session import discard, freed_shuffles, materialize, scratch_path
 from ..sources import corpus as src
 from ..sources import sinks
 from .catalog import (QUERY_HEAD, QUERY_TERMS, SEED, SQL_DOCS_PREPARED, SQL_QUERY_TERMS, TRAIN, VAL, prepared_stats, register, sql_clean,
@@ -93,7 +93,8 @@ def q_scoring_csv(spark, sf_dir):
     _, model = _nb(spark, sf_dir)
     texts, out = scratch_path(spark, "scoring_csv"), scratch_path(spark, "predictions")
     rows = table(spark, sf_dir, "documents", spread_rows=False).orderBy("doc_id").select("text")
-    rows.write.option("header", "true").option("escape", '"').option("maxRecordsPerFile", CSV_FILE_ROWS).csv(texts, compression="gzip")
+    with freed_shuffles(spark):
+        rows.write.option("header", "true").option("escape", '"').option("maxRecordsPerFile", CSV_FILE_ROWS).csv(texts, compression="gzip")
     preds = score_table(src.read_scoring_csv(spark, texts), NaiveBayesScorer(model, clean=True), extractor=_names)
     sinks.write_predictions(preds, out)
     return flatten_predictions(spark.read.schema(PREDICTION).json(out), ["0", "1"])
