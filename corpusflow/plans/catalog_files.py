@@ -43,8 +43,10 @@ def q_folder_splits(spark, sf_dir):
     with src.packed_scan(spark):  # the small files are read once, by the job that writes the cleaned rows
         prepared, _ = prepare(src.read_class_folders(spark, root), "abstract_id", "text", "label", TRAIN, VAL, SEED)
     src.require_labels(prepared, langs, root)
+    sinks.delete_files(prepared, "filepath", root)  # by many tasks
     discard(spark, root)
-    sinks.write_prepared(prepared, out, order_by="filepath")
+    with freed_shuffles(spark):
+        sinks.write_prepared(prepared, out, order_by="filepath")
     return src.export_positions(spark, out).select("abstract_id", "label", F.col("label_id").cast("int").alias("label_id"), "split",
                                                    F.md5("text").alias("text_md5"), "pos")
 

@@ -6,8 +6,10 @@ Every reader gives an explicit schema (no inference): ids stay strings and the t
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "multiLine": "true
 OPEN_COST = 64 << 10
 # one row a file is broadcast up to so many files
 MAX_BROADCAST_FILES = 100_000
+# bytes of small files that a task reads, about
+READ_BYTES = 64 << 20
+# bytes of small files that leave a reading task at once
+FILES_BATCH_BYTES = 4 << 20
 
 
 def _decoded_path() -> Column:
@@ -35,33 +41,117 @@ def _local_path(c: Column) -> Column:
 
 
 def _roots(spark: SparkSession, root: str) -> list[str]:
-    """Paths that ``root`` stands for: itself, or the folders that a glob matches."""
+    """URIs (not encoded) that ``root`` stands for: itself, or the folders that a glob matches."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(path) or []
-    return [fs.makeQualified(s.getPath()).toUri().getPath() for s in found]
+    uris = [fs.makeQualified(s.getPath()).toUri() for s in fs.globStatus(path) or [] if s.isDirectory()]
+    return [f"{u.getScheme()}:{'//' + u.getAuthority() if u.getAuthority() else ''}{u.getPath()}" for u in uris]
+
+
+def _arrow_fs(uri: str):
+    """The Arrow file system of a URI and the path in it; a plain path for ``file:`` (its name may hold any character)."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), _path_of(uri)) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+
+
+def _seen_by_scans(name: str) -> bool:
+    """Whether Spark's scans read a file or folder of this name (the others count as hidden)."""
+    return not (name.startswith(".") or (name.startswith("_") and "=" not in name))
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, bytes of the text files directly inside each folder."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for folder in batch.column("folder").to_pylist():
+            system, top = _arrow_fs(folder)
+            found = [(f"{folder}/{x.base_name}", x.size) for x in system.get_file_info(fs.FileSelector(top))
+                     if x.type == fs.FileType.File and x.size and x.base_name.endswith(".txt") and _seen_by_scans(x.base_name)]
+            for lo in range(0, len(found), 10_000):
+                paths, sizes = zip(*found[lo : lo + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+
+def _file_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, value (the bytes) of each file; files that cannot be read are skipped."""
+    paths, values, held = [], [], 0
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(values, pa.binary())], ["path", "value"])
+
+    systems: dict = {}
+    for batch in batches:
+        for uri in batch.column("path").to_pylist():
+            folder, name = uri.rsplit("/", 1)
+            if folder not in systems:
+                systems[folder] = _arrow_fs(folder)
+            system, top = systems[folder]
+            try:
+                with system.open_input_file(f"{top}/{name}") as f:
+                    value = f.read()
+            except FileNotFoundError:
+                raise
+            except OSError:
+                continue
+            paths.append(uri)
+            values.append(value)
+            held += len(value)
+            if held > FILES_BATCH_BYTES:
+                yield done()
+                paths, values, held = [], [], 0
+    yield done()
+
+
+def _text_files(spark: SparkSession, roots: list[str], min_partitions: int | None) -> DataFrame | None:
+    """path, value of the text files of the class folders, listed and read by tasks (None: only Spark reads this store).
+
+    The driver lists the roots for their class folders, a task lists a folder, and the files are dealt out by name, so that
+    neither a list of all files nor one plan entry a file is held by the driver.
+    """
+    from pyarrow import fs
+
+    folders = []
+    try:
+        for root in roots:
+            system, top = _arrow_fs(root)
+            folders += [f"{root}/{x.base_name}" for x in system.get_file_info(fs.FileSelector(top)) if x.type == fs.FileType.Directory and _seen_by_scans(x.base_name)]
+    except (OSError, ValueError, NotImplementedError):
+        return None
+    if not folders:
+        return None
+    tasks = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(len(folders))
+    files = materialize(tasks.mapInArrow(_listed, "path string, bytes long"), "text_files")
+    total = files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    least = min_partitions or 4 * spark.sparkContext.defaultParallelism
+    dealt = files.select("path").repartition(max(least, total // READ_BYTES + 1))
+    return dealt.mapInArrow(_file_bytes, "path string, value binary")
 
 
 def read_class_folders(spark: SparkSession, root: str, required: list[str] | None = None,
                        min_partitions: int | None = None) -> DataFrame:
     """``<root>/<label>/<id>.txt`` -> ``abstract_id, text, label, filepath``.
 
-    One listing of the root (``recursiveFileLookup`` + ``pathGlobFilter``) instead of one glob per
-    folder; small files are packed into scan partitions by Spark. Only files directly inside a
+    The files are listed and read by tasks (``_text_files``). In a store that only Spark reads it is one
+    listing of the root (``recursiveFileLookup`` + ``pathGlobFilter``), and small files are packed into scan
+    partitions by Spark. Only files directly inside a
     class folder count. Text is stripped; bytes that are not UTF-8 are dropped (as U+FFFD markers,
     which also removes genuine U+FFFD characters). Unreadable files are skipped.
     """
-    reader = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
-              .option("ignoreCorruptFiles", "true"))
-    raw = reader.text(root, wholetext=True)
-    path = _decoded_path()
+    roots = _roots(spark, root)
+    raw, path = _text_files(spark, roots, min_partitions), F.col("path")
+    if raw is None:
+        reader = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
+                  .option("ignoreCorruptFiles", "true"))
+        raw, path = reader.text(root, wholetext=True), _decoded_path()
     parts = F.split(path, "/")
     df = raw.select(
         F.regexp_replace(F.element_at(parts, -1), r"\.txt$", "").alias("abstract_id"),
-        strip_ws(F.regexp_replace(F.col("value"), "\ufffd", "")).alias("text"),
+        strip_ws(F.regexp_replace(F.col("value").cast("string"), "\ufffd", "")).alias("text"),
         F.element_at(parts, -2).alias("label"),
         path.alias("filepath"),
-    ).where(_local_path(F.array_join(F.slice(parts, 1, F.size(parts) - 2), "/")).isin(_roots(spark, root)))
+    ).where(_local_path(F.array_join(F.slice(parts, 1, F.size(parts) - 2), "/")).isin([_path_of(r) for r in roots]))
     if required:
         require_labels(df, required, root)
     return df

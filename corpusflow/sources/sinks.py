@@ -82,6 +82,30 @@ def write_class_folders(df: DataFrame, root: str, id_col: str = "abstract_id", t
     return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def delete_files(paths: DataFrame, path_col: str, base: str) -> int:
+    """Delete the files named by the rows, by the tasks that hold them; returns how many were there. Each must lie under ``base``."""
+    top = _local(base.rstrip("/"))
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(top)
+        for batch in batches:
+            n = 0
+            for x in batch.column("path").to_pylist():
+                rest = _local(x).removeprefix(f"{top}/")
+                if rest == _local(x) or ".." in rest.split("/"):
+                    raise ValueError(f"{x} is not under {base}")
+                try:
+                    system.delete_file(f"{root}/{rest}")
+                    n += 1
+                except FileNotFoundError:  # a repeated task
+                    pass
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return paths.select(F.col(path_col).alias("path")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_label_map(dim: DataFrame, path: str) -> None:
     """``{"label2id": {...}, "id2label": {...}}`` as one JSON record."""
     label_map_row(dim).coalesce(1).write.mode("overwrite").json(path)

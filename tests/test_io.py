@@ -187,6 +187,27 @@ def test_class_folders_written_and_compacted(spark, tmp_dir):
             sinks.write_class_folders(spark.createDataFrame([(bad, "x", "en")], df.schema), root)
 
 
+def test_class_folders_are_listed_and_read_by_tasks(spark, tmp_dir, monkeypatch):
+    root = os.path.join(tmp_dir, "Se t+%41")
+    files = {"en/1.txt": b"one \xff\xc3\xa4 ", "en/a+b%20c.txt": b"\n", "en/none.txt": b"", "en/_x.txt": b"x", "en/.y.txt": b"y", "en/z.csv": b"z",
+             "f r/3.txt": "\ufffdthree\u2003".encode(), "f r/deep/4.txt": b"four", "_h/5.txt": b"five", "loose.txt": b"six"}
+    for name, value in files.items():
+        os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
+        with open(os.path.join(root, name), "wb") as f:
+            f.write(value)
+    monkeypatch.setattr(src, "FILES_BATCH_BYTES", 3)
+    df = src.read_class_folders(spark, root)
+    assert "FileScan text" not in df._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, df.collect()))
+    monkeypatch.setattr(src, "_text_files", lambda *a: None)  # a store that only Spark reads
+    assert got == sorted(map(tuple, src.read_class_folders(spark, root).collect()))
+    assert [(r[0], r[1], r[2]) for r in got] == [("1", "one ä", "en"), ("3", "three", "f r"), ("a+b%20c", "", "en")]
+    assert sinks.delete_files(df, "filepath", root) == 3 and not os.path.exists(os.path.join(root, "en/1.txt"))
+    assert os.path.exists(os.path.join(root, "loose.txt"))
+    with pytest.raises(Exception, match="is not under"):
+        sinks.delete_files(spark.createDataFrame([(os.path.join(root, "loose.txt"),)], "p string"), "p", root + "/en")
+
+
 def test_packed_scan_packs_small_files_and_restores(spark, tmp_dir):
     root = os.path.join(tmp_dir, "Many")
     df = spark.range(200).select(F.col("id").cast("string").alias("abstract_id"), F.lit("x").alias("text"), F.lit("c").alias("label"))
