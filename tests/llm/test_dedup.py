@@ -178,6 +178,49 @@ def test_near_passages_with_words_put_in(spark):
     assert sum(got[2 * i + 1] == 2 * i for i in range(30)) >= 27
 
 
+@pytest.mark.parametrize("hot", [passages.HOT, 1])
+def test_near_passages_misses_none_at_the_threshold(spark, hot):
+    rng = random.Random(77)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    rows, far = [], 0
+    for i in range(160):
+        passage = fill(50)
+        edited = list(passage)
+        edited[25] = "other"  # 41 of 51 shingles: 0.804
+        if i % 4 == 1:  # parts change places: 42 of 50
+            passage = fill(50)
+            edited = passage[25:] + passage[:25]
+        elif i % 8 == 2:  # 38 of 54: none
+            edited[10], edited[40], far = "this", "that", far + 1
+        rows += [(2 * i, " ".join(fill(40) + passage + fill(40))), (2 * i + 1, " ".join(fill(9) + edited + fill(70)))]
+    got = {r["doc_id"]: r["class_id"] for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+    assert far == 20
+    assert got == {d: d - d % 2 if (d // 2) % 8 != 2 else d for d in got}
+
+
+def test_near_passages_with_hot_passage_and_repeats(spark):
+    rng = random.Random(8)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    short, long, line = fill(40), fill(60), fill(12)
+    rows = [(i, " ".join(fill(5) + short + fill(50))) for i in range(40)]  # common, shorter than a passage
+    rows += [(100 + i, " ".join(fill(5) + long[: i + 3] + ["x"] + long[i + 4 :] + fill(9))) for i in range(50)]  # all edited differently
+    rows += [(200 + i, " ".join(fill(20) + line * (5 + i) + fill(20))) for i in range(2)]  # a repeated line: few distinct shingles
+    rows += [(300, " ".join(fill(20) + line + fill(60)))]
+    got = {r["doc_id"]: r["class_id"] for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string"), hot=10).collect()}
+    assert got == {d: d if d < 100 or d == 300 else d - d % 100 for d in got}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=4, max_size=14), st.lists(st.integers(0, 9), min_size=4, max_size=14))
+def test_near_intervals_equals_all_intervals_with_repeats(x, y):
+    def cuts(z):
+        return {frozenset(z[i:j]) for i in range(len(z)) for j in range(i + 4, len(z) + 1)}
+
+    want = any(100 * len(a & b) >= 80 * len(a | b) for a in cuts(x) for b in cuts(y))
+    assert (passages.near_intervals(np.array(x, np.uint64), np.array(y, np.uint64), 4, 80) is not None) == want
+    assert passages._least_distinct(np.array(x, np.uint64), 4) <= min(len(c) for c in cuts(x))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=4, max_size=11), st.lists(st.tuples(st.integers(0, 10), st.integers(0, 30), st.booleans()), max_size=4))
 def test_similar_equals_all_intervals(x, edits):
