@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusflow.llm import components, ngram_join, passages, suffix_dedup, suffixes
+from corpusflow.session import scratch_path
 
 
 def _variants(seed=3, n=60):
@@ -236,6 +238,31 @@ def test_similar_equals_all_intervals(x, edits):
     assert passages.similar(np.array(x, np.uint64), np.array(y, np.uint64), span, 80) == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 12), min_size=4, max_size=16), st.lists(st.integers(0, 12), min_size=4, max_size=16)), min_size=1, max_size=5))
+def test_filter_of_many_pairs_loses_none(pairs):
+    xs, ys = ([np.array(p[side], np.uint64) for p in pairs] for side in (0, 1))
+    needs = ([int(passages._distinct(z, 4).min()) for z in side] for side in (xs, ys))
+    kept = passages._may_be_near(xs, ys, *needs, 4, 80)
+    assert all(k or passages.near_intervals(x, y, 4, 80) is None for x, y, k in zip(xs, ys, kept, strict=True))
+
+
+def test_filter_of_many_pairs_sorts_out():
+    x = np.arange(100, dtype=np.uint64)
+    rare, close, far = x.copy(), x.copy(), x + np.uint64(1000)
+    rare[::6] += np.uint64(1000)  # 83 % of the tokens, but 0.8 of no union
+    rare[50:], close[20:60:10] = np.arange(5000, 5050), np.arange(7000, 7004)
+    assert passages._may_be_near([x] * 4, [rare, close, far, x], [46] * 4, [46] * 4).tolist() == [False, True, False, True]
+
+
+def test_near_passages_removes_tables_that_are_done_with(spark, small):
+    folder = Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    before = set(folder.glob("passage_*"))
+    passages.near_passages(small.select("doc_id", "text"))
+    left = {p.name.split("-")[0] for p in set(folder.glob("passage_*")) - before}
+    assert "passage_units" in left and not left & {"passage_tokens", "passage_marks", "passage_regions"}
+
+
 def test_near_passages_edges(spark, edge, nothing):
     rows = passages.near_passages(edge).collect()
     assert len(rows) == edge.count()
