@@ -5,6 +5,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import jaccard_components, passage_components, removed_bytes, shingles
 from hypothesis import given, settings
@@ -255,6 +256,14 @@ def test_filter_of_many_pairs_sorts_out():
     assert passages._may_be_near([x] * 4, [rare, close, far, x], [46] * 4, [46] * 4).tolist() == [False, True, False, True]
 
 
+def test_coverage_of_many_rows_at_once():
+    spans = [[(0, 1), (49, 2), (10, 3)], [(100, 1), (0, 1), (51, 1)], [(7, 5)]]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
+    rows = pa.array([[{"start": s, "n": n} for s, n in x] for x in spans], kind)
+    (got,) = passages._coverage([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([4, 5, 6]), rows], ["o", "k", "spans"])])
+    assert got.column("n_covered").to_pylist() == [100, 149, 54] and got.column("n_passages").to_pylist() == [1, 2, 1]
+
+
 def test_near_passages_removes_tables_that_are_done_with(spark, small):
     folder = Path(scratch_path(spark, "x").removeprefix("file:")).parent
     before = set(folder.glob("passage_*"))
