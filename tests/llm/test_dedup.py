@@ -264,6 +264,47 @@ def test_coverage_of_many_rows_at_once():
     assert got.column("n_covered").to_pylist() == [100, 149, 54] and got.column("n_passages").to_pylist() == [1, 2, 1]
 
 
+def test_pairs_of_regions_are_summed_in_slices(spark, monkeypatch):
+    rng = random.Random(31)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for g in range(2):
+        common = fill(80)
+        for i in range(30):  # all changed at other places, most below the threshold
+            own = list(common)
+            for at in rng.sample(range(80), 2 + i % 5):
+                own[at] = fill(1)[0]
+            rows.append((100 * g + i, " ".join(fill(9) + own + fill(30))))
+    docs, written = spark.createDataFrame(rows, "doc_id long, text string"), []
+
+    def counted(df, name, write=passages.materialize):
+        out = write(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(passages, "materialize", counted)
+    monkeypatch.setattr(passages, "PART", 64)
+    whole = sorted(map(tuple, passages.near_passages(docs).collect()))
+    (_, (_, pairs)) = [x for x in written if x[0] == "passage_pairs"]
+    written.clear()
+    monkeypatch.setattr(passages, "SLICE", 1)
+    assert sorted(map(tuple, passages.near_passages(docs).collect())) == whole
+    _, *slices, (_, again) = [x for x in written if x[0] == "passage_pairs"]
+    assert len(slices) > 2 and max(n for _, n in slices) < pairs
+    assert sum(n for _, n in slices) == again == pairs > 100
+
+
+def test_tokens_of_one_label_make_no_pairs():
+    kinds = (("token", np.uint64), ("unit", np.int64), ("label", np.int64), ("need", np.uint8), ("hot", np.uint32))
+    columns = ([7, 7, 7, 8, 8, 9], [11, 12, 13, 11, 12, 13], [1, 1, 2, 1, 1, 2], [46] * 6, [0] * 6)
+    posted = pa.RecordBatch.from_pylist([{"part": 0} | {c: np.array(v, kind).tobytes() for (c, kind), v in zip(kinds, columns, strict=True)}])
+    (apart,) = passages._tokens_apart([posted])
+    assert apart.column("pairs").to_pylist() == [2] and np.frombuffer(apart.column("unit")[0].as_py(), np.int64).tolist() == [11, 12, 13]
+    got = [tuple(r.values())[:2] for some in range(2) for b in passages._meet([apart], some, 2) for r in b.to_pylist()]
+    assert sorted(got) == [(11, 13), (12, 13)]
+    assert [tuple(r.values())[:2] for b in passages._meet_first([posted]) for r in b.to_pylist()] == [(11, 13)]
+
+
 def test_near_passages_removes_tables_that_are_done_with(spark, small):
     folder = Path(scratch_path(spark, "x").removeprefix("file:")).parent
     before = set(folder.glob("passage_*"))
